@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,7 @@ class At:
         pos = np.arange(len(frame)) + np.nan_to_num(rows, nan=0.0).astype(int)
         ok = ~np.isnan(rows) & (pos >= 0) & (pos < len(frame))
         got = frame[self.source].take(np.where(ok, pos, 0)).reset_index(drop=True)
-        return got.where(pd.Series(ok)).set_axis(frame.index)
+        return got.where(pd.Series(ok))
 
 
 @dataclass(frozen=True)
@@ -104,18 +106,71 @@ def first_touch(values: np.ndarray, level: np.ndarray, base: np.ndarray, limit:
     return steps
 
 
+class Session:
+    """One session's rows in time order; a column leaves Arrow only when a step reads it."""
+
+    def __init__(self, rows: pa.Table, order: str):
+        stamps = rows.column(order).cast(pa.int64()).to_numpy()
+        if np.any(stamps[1:] < stamps[:-1]):
+            rows = rows.take(pa.array(np.argsort(stamps, kind="stable")))
+        self.rows, self.made, self.index = rows, {}, pd.RangeIndex(rows.num_rows)
+
+    def __len__(self) -> int:
+        return self.rows.num_rows
+
+    def __getitem__(self, name: str) -> pd.Series:
+        if name not in self.made:
+            self.made[name] = self.rows.column(name).to_pandas()
+        return self.made[name]
+
+    def append(self, name: str, values: pd.Series, kind: pa.DataType) -> None:
+        self.made[name] = values
+        self.rows = self.rows.append_column(pa.field(name, kind), pa.Array.from_pandas(values, type=kind))
+
+
 def scan_sessions(df: DataFrame, keys: Sequence[str], order: str, steps: Sequence) -> DataFrame:
-    """Append the outputs of the steps; one pass per session, later steps see earlier outputs."""
+    """Append the outputs of the steps; one Arrow pass per session, later steps see earlier outputs."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(s.out, s.dtype) for s in steps]])
-    names = schema.fieldNames()
+    kinds = [to_arrow_type(s.dtype) for s in steps]
+
+    def run(rows: pa.Table) -> pa.Table:
+        session = Session(rows, order)
+        for step, kind in zip(steps, kinds):
+            session.append(step.out, step(session), kind)
+        return session.rows
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        for s in steps:
-            frame[s.out] = s(frame)
-        return frame[names]
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+
+@dataclass(frozen=True)
+class GreedyPick:
+    """True for rows of the greedy earliest-first selection over rows that have a release.
+
+    A row occupies ``hold`` rows; the next pick must start at or after the
+    release row, or strictly after it when ``strict``.
+    """
+
+    out: str
+    hold: str
+    strict: bool = False
+    dtype = T.BooleanType()
+
+    def __call__(self, frame) -> pd.Series:
+        hold = frame[self.hold].to_numpy(dtype=float)
+        start = np.nonzero(~np.isnan(hold))[0]
+        keep = np.zeros(len(frame), dtype=bool)
+        keep[start[greedy(start, start + hold[start], self.strict)]] = True
+        return pd.Series(keep)
+
+
+def greedy(start: np.ndarray, release: np.ndarray, strict: bool) -> list[int]:
+    """Positions picked by repeatedly jumping to the first start not before the last release."""
+    side = "right" if strict else "left"
+    picked, i = [], 0
+    while i < len(start):
+        picked.append(i)
+        i = max(i + 1, int(np.searchsorted(start, release[i], side=side)))
+    return picked
 
 
 def non_overlapping(df: DataFrame, keys: Sequence[str], start: str, release: str, inclusive: bool = True) -> DataFrame:
@@ -126,15 +181,14 @@ def non_overlapping(df: DataFrame, keys: Sequence[str], start: str, release: str
     release. The scan is inherently sequential, so it runs per group; groups are
     sessions (optionally times a fixed list of parameters), bounded by the grid.
     """
-    side = "left" if inclusive else "right"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([start, release], kind="stable").reset_index(drop=True)
-        begin, end = frame[start].to_numpy(), frame[release].to_numpy()
-        kept, i = [], 0
-        while i < len(frame):
-            kept.append(i)
-            i = max(i + 1, int(np.searchsorted(begin, end[i], side=side)))
-        return frame.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+
+    def numbers(rows: pa.Table, name: str) -> np.ndarray:
+        c = rows.column(name)
+        return (c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c).to_numpy()
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((numbers(rows, release), numbers(rows, start)))
+        rows = rows.take(pa.array(order))
+        return rows.take(pa.array(greedy(numbers(rows, start), numbers(rows, release), not inclusive), pa.int64()))
+
+    return df.groupBy(*keys).applyInArrow(run, df.schema)

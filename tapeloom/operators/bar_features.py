@@ -174,10 +174,27 @@ def finish_features(df: DataFrame, cfg: FeatureConfig) -> dict[str, Column]:
     return out
 
 
-def bar_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), keys: Sequence[str] = KEY) -> DataFrame:
-    """One feature row per bar; no row is dropped."""
-    df = scan_sessions(with_windowed_inputs(bars, cfg, keys), keys, "ts", median_steps(cfg))
-    return df.select(*keys, "ts", *[c.alias(n) for n, c in finish_features(df, cfg).items()])
+def _uses_median(name: str) -> bool:
+    return name in ("vol_surge", "tape_speed", "spread_rel", "tsize_surge")
+
+
+def bar_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), keys: Sequence[str] = KEY, extra_steps: Sequence = (), carry: Sequence[str] = ()) -> DataFrame:
+    """One feature row per bar; no row is dropped.
+
+    Only the finished features and the four median sources travel through the
+    Arrow pass. ``extra_steps`` (with their ``carry`` columns) lets a job run
+    further per-session scans, such as barrier touches, in the same pass.
+    """
+    df = with_windowed_inputs(bars, cfg, keys)
+    final = finish_features(df, cfg)
+    steps = median_steps(cfg)
+    sources = [c for c in dict.fromkeys(s.source for s in steps) if c not in final]
+    early = [c.alias(n) for n, c in final.items() if not _uses_median(n)]
+    slim = df.select(*keys, "ts", *early, *sources, *carry)
+    scanned = scan_sessions(slim, keys, "ts", [*steps, *extra_steps])
+    return scanned.select(
+        *keys, "ts", *[c.alias(n) if _uses_median(n) else F.col(n) for n, c in final.items()], *carry, *[s.out for s in extra_steps]
+    )
 
 
 def drop_features(df: DataFrame, names: str | Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tapeloom.config import BarrierConfig, FillConfig
 from tapeloom.functions.scalar import bracket_prices, sell_cost, tradable_nbbo, valid_nbbo
-from tapeloom.functions.session_scan import At, Derive, FirstTouch, non_overlapping, scan_sessions
+from tapeloom.functions.session_scan import At, Derive, FirstTouch, GreedyPick, non_overlapping, scan_sessions
 from tapeloom.operators.bars import KEY
 from tapeloom.operators.labels import assumed_edge
 
@@ -29,7 +29,8 @@ class RowsUntil:
 
     def __call__(self, frame: pd.DataFrame) -> pd.Series:
         have = frame[self.until].notna()
-        pos = np.searchsorted(frame[self.ts].to_numpy(), frame[self.until].fillna(frame[self.ts]).to_numpy(), side="right") - 1
+        until = frame[self.until].fillna(frame[self.ts])
+        pos = np.searchsorted(frame[self.ts].to_numpy(), until.to_numpy(), side="right") - 1
         return pd.Series(pos - np.arange(len(frame)), index=frame.index).astype("Int64").where(have)
 
 
@@ -105,6 +106,7 @@ def _exit_steps() -> list:
         At("_xspread", "spread", "_exit_at"),
         At("_exit_t", "ts", "_exit_at", T.TimestampType()),
         At("_entry_t", "ts", "_in", T.TimestampType()),
+        GreedyPick("_kept", "_exit_at", strict=True),
     ]
 
 
@@ -112,16 +114,22 @@ def simulate_fills(bars: DataFrame, entries: DataFrame, cfg: FillConfig = FillCo
     """What each entry decision would really have got on the recorded tape.
 
     An entry's own outcome does not depend on earlier entries, only whether it
-    is attempted does. So all outcomes come from one scan per session, then the
-    one-position-at-a-time rule is a greedy selection over the filled ones.
+    is attempted does. So all outcomes come from one scan per session, which
+    ends with the one-position-at-a-time rule over the filled ones.
     """
+    tape = bars.select(*keys, "ts", "bid", "ask", "low", "ask_size", "spread", "volume")
+    return fills_on_tape(tape.join(entries, [*keys, "ts"], "left"), cfg, keys)
+
+
+def fills_on_tape(tape: DataFrame, cfg: FillConfig = FillConfig(), keys: Sequence[str] = KEY) -> DataFrame:
+    """As simulate_fills, for a tape whose rows already carry their entry decision (qty NULL = none)."""
     if cfg.entry_mode not in ("taker", "maker"):
         raise ValueError(f"unknown entry_mode {cfg.entry_mode!r}")
     on = [*keys, "ts"]
-    extra = [c for c in entries.columns if c not in (*on, "qty", "target_px", "stop_px", "deadline")]
+    used = {*on, "qty", "target_px", "stop_px", "deadline", "bid", "ask", "low", "ask_size", "spread", "volume"}
+    extra = [c for c in tape.columns if c not in used]
     w = Window.partitionBy(*keys).orderBy("ts")
-    tape = bars.select(*on, "bid", "ask", "low", "ask_size", "spread", "volume")
-    df = tape.join(entries, on, "left").select(
+    df = tape.select(
         "*",
         F.coalesce(F.col("bid") > 0, F.lit(False)).alias("_bid_ok"),
         F.sum("volume").over(w.rowsBetween(-(cfg.volume_window - 1), 0)).alias("_vol"),
@@ -152,9 +160,7 @@ def simulate_fills(bars: DataFrame, entries: DataFrame, cfg: FillConfig = FillCo
         .when(reason == "target", F.col("target_px")).otherwise(F.col("_xbid"))
     )
     df = df.withColumn("_exit_px", exit_px)
-    filled = df.where(F.col("_in").isNotNull())
-    kept = non_overlapping(filled.select(*on, "_exit_t"), keys, "ts", "_exit_t", inclusive=False).select(*on, F.lit(True).alias("_kept"))
-    df = df.join(kept, on, "left").withColumn("filled", F.coalesce("_kept", F.lit(False)))
+    df = df.withColumn("filled", F.col("_kept"))
     got = F.col("filled")
 
     def when_filled(c: Column) -> Column:

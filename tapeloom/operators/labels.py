@@ -76,13 +76,14 @@ def barrier_label_columns(cfg: BarrierConfig) -> dict[str, Column]:
     }
 
 
-def barrier_labels(bars: DataFrame, cfg: BarrierConfig = BarrierConfig(), keys: Sequence[str] = KEY) -> DataFrame:
+def barrier_labels(bars: DataFrame, cfg: BarrierConfig = BarrierConfig(), keys: Sequence[str] = KEY, carry: Sequence[str] = ()) -> DataFrame:
     """Triple-barrier outcome of a long entry at the ask, for every bar."""
     df = bars if {"target_ps", "stop_ps"} <= set(bars.columns) else with_barriers(bars, cfg, keys)
-    slim = barrier_inputs(df.select(*keys, "ts", "bid", "ask", "n_trades", "target_ps", "stop_ps"), cfg, keys)
+    needed = dict.fromkeys(["bid", "ask", "n_trades", "target_ps", "stop_ps", *carry])
+    slim = barrier_inputs(df.select(*keys, "ts", *needed), cfg, keys)
     scanned = scan_sessions(slim, keys, "ts", barrier_steps(cfg))
     return scanned.select(
-        *keys, "ts", "target_ps", "stop_ps", *[c.alias(n) for n, c in barrier_label_columns(cfg).items()]
+        *keys, "ts", "target_ps", "stop_ps", *[c.alias(n) for n, c in barrier_label_columns(cfg).items()], *carry
     )
 
 

@@ -348,11 +348,9 @@ def _study_verdict(spark, sf):
 def scored_labels(spark, sf):
     from pyspark.sql import Window
 
-    lab = labelled(spark, sf)
+    lab = lb.barrier_labels(lb.with_barriers(bars(spark, sf), BARRIER), BARRIER, carry=("bid", "ask"))
     rn = F.row_number().over(Window.partitionBy(*b.KEY).orderBy("ts"))
-    lab = lab.withColumn("rn", rn).withColumn("p_win", F.pmod(F.col("rn") * 7919 + F.dayofmonth("session_date") * 104729, F.lit(101)) / 101.0)
-    quotes = bars(spark, sf).select(*b.KEY, "ts", "bid", "ask")
-    return lab.join(quotes, [*b.KEY, "ts"])
+    return lab.withColumn("rn", rn).withColumn("p_win", F.pmod(F.col("rn") * 7919 + F.dayofmonth("session_date") * 104729, F.lit(101)) / 101.0)
 
 
 SCORED = LABEL_CTES + """,

@@ -29,9 +29,13 @@ def build_session(app: str = "tapeloom", master: str = "local[8]", **conf: str)
     return spark
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """All timestamps are UTC; New York time is derived where a rule needs it."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """UTC timestamps (New York time is derived where a rule needs it), and small
+    shuffle partitions kept apart: per-session scans are bound by CPU, not bytes,
+    so AQE must not merge them into one task because they are small on disk.
+    """
     spark.conf.set("spark.sql.session.timeZone", UTC)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     return spark
 
 
