@@ -11,6 +11,7 @@ from tapeloom.config import PortfolioConfig
 from tapeloom.functions.ordered import average_ranks, exact_quantiles, ordered_prefix
 from tapeloom.functions.scalar import ratio
 from tapeloom.operators.daily import by_date
+from tapeloom.session import cut
 
 FACTORS = [
     "mom_12_1", "mom_6_1", "mom_3_1", "rev_1m", "rev_5d", "vol_3m", "vol_12m", "skew_3m", "max_ret_1m", "amihud_3m",
@@ -114,7 +115,7 @@ def rebalance_dataset(features: DataFrame, dates: DataFrame, names: Sequence[str
 
 def information_coefficient(scores: DataFrame, min_names: int = 20) -> DataFrame:
     """Mean, t-statistic (population std) and hit share of the per-date rank correlation."""
-    ok = scores.where(F.col("fwd_ret").isNotNull())
+    ok = cut(scores.where(F.col("fwd_ret").isNotNull()).select("date", "score", "fwd_ret"))
     ranked = average_ranks(average_ranks(ok, "score", ["date"], "rs", "_n1"), "fwd_ret", ["date"], "rf", "_n2")
     per = ranked.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.corr("rs", "rf").alias("ic")).where(F.col("n") >= min_names)
     sd = F.stddev_pop("ic")
@@ -186,7 +187,8 @@ def run_portfolio(scores: DataFrame, daily: DataFrame, cfg: PortfolioConfig = Po
     Periods are independent but for turnover, which needs only the drifted
     weights of the previous one, so no step loops over time.
     """
-    picks, wealth = holding_wealth(scores, daily, cfg.top_n)
+    picks, wealth = holding_wealth(cut(scores.select("date", "symbol", "score")), daily, cfg.top_n)
+    wealth = cut(wealth)  # top_n x sessions rows, read by returns and turnover
     turn = turnover(picks, wealth)
     port = wealth.groupBy("period", "date").agg(F.avg("wealth").alias("pw"))
     w = Window.partitionBy("period").orderBy("date")

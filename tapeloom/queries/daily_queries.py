@@ -10,12 +10,18 @@ from tapeloom.operators import xsec as xs
 from tapeloom.queries.base import DAILY, query, r, rcols, rounded, with_ctes
 from tapeloom.sources import driver_tables as tables
 
-DCOLS = ["open", "high", "low", "close", "volume", "vwap"]
+DCOLS = ["open", "high", "low", "close", "volume"]
+NOTIONAL = r("vwap * volume", "notional", 2)
 
 
-@query("daily_bars", with_ctes(DAILY) + f"SELECT symbol, date, {rcols(DCOLS)} FROM daily")
+def dollars(df):
+    """vwap as exact cents: prices are ratios, so they are compared at eight digits."""
+    return df.withColumn("notional", F.col("vwap") * F.col("volume")).drop("vwap")
+
+
+@query("daily_bars", with_ctes(DAILY) + f"SELECT symbol, date, {rcols(DCOLS, 8)}, {NOTIONAL} FROM daily")
 def _daily(spark, sf):
-    return rounded(tables.daily(spark, sf))
+    return rounded(dollars(tables.daily(spark, sf)), 8, notional=2)
 
 
 CRIT = RunnerCriteria(price_min=0.5, price_max=1e6, min_dollar_vol=5e4)
@@ -32,34 +38,34 @@ def runners(spark, sf):
     return dl.select_runner_days(tables.daily(spark, sf), CRIT)
 
 
-@query("runner_days", with_ctes(RUNNER) + f"SELECT symbol, date, {rcols(DCOLS + ['prev_close', 'gain', 'gap', 'relvol'])}, {r('dollar_vol', 'dollar_vol', 2)}, {r('score', 'score', 2)} FROM runners")
+@query("runner_days", with_ctes(RUNNER) + f"SELECT symbol, date, {rcols(DCOLS + ['prev_close', 'gain', 'gap', 'relvol'], 8)}, {NOTIONAL}, {r('dollar_vol', 'dollar_vol', 2)}, {r('score', 'score', 2)} FROM runners")
 def _runners(spark, sf):
-    return rounded(runners(spark, sf), dollar_vol=2, score=2)
+    return rounded(dollars(runners(spark, sf)), 8, dollar_vol=2, score=2, notional=2)
 
 
-@query("relative_volume_inputs", with_ctes(RUNNER) + f"SELECT symbol, date, {r('prev_close', 'prev_close')}, {r('mv', 'med_volume')} FROM ri")
+@query("relative_volume_inputs", with_ctes(RUNNER) + f"SELECT symbol, date, {r('prev_close', 'prev_close', 8)}, {r('mv', 'med_volume')} FROM ri")
 def _relvol(spark, sf):
-    return rounded(dl.relative_volume_inputs(tables.daily(spark, sf)).select("symbol", "date", "prev_close", "med_volume"))
+    return rounded(dl.relative_volume_inputs(tables.daily(spark, sf)).select("symbol", "date", "prev_close", "med_volume"), prev_close=8)
 
 
 @query(
     "prior_session_context",
-    with_ctes(RUNNER) + f"""SELECT a.symbol, a.date, {r("p.close", "prev_day_close")}, {r("p.volume", "prev_day_volume")}, {r("p.close * p.volume", "prev_day_dollar_vol", 3)}
+    with_ctes(RUNNER) + f"""SELECT a.symbol, a.date, {r("p.close", "prev_day_close", 8)}, {r("p.volume", "prev_day_volume")}, {r("p.close * p.volume", "prev_day_dollar_vol", 3)}
     FROM runners a ASOF LEFT JOIN daily p ON p.symbol = a.symbol AND a.date > p.date""",
 )
 def _prior(spark, sf):
     out = dl.prior_session_context(runners(spark, sf).select("symbol", "date"), tables.daily(spark, sf))
-    return rounded(out, prev_day_dollar_vol=3)
+    return rounded(out, prev_day_dollar_vol=3, prev_day_close=8)
 
 
 @query(
     "latest_context",
     with_ctes(DAILY) + f""", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM daily)
-    SELECT symbol, {r("CASE WHEN count(*) = 2 THEN max(open) FILTER (k = 1) END", "open")}, {r("max(close) FILTER (k = 2)", "prev_close")},
+    SELECT symbol, {r("CASE WHEN count(*) = 2 THEN max(open) FILTER (k = 1) END", "open", 8)}, {r("max(close) FILTER (k = 2)", "prev_close", 8)},
     {r("max(volume) FILTER (k = 2)", "prev_day_volume")}, {r("max(close * volume) FILTER (k = 2)", "prev_day_dollar_vol", 3)} FROM k WHERE k <= 2 GROUP BY symbol""",
 )
 def _latest(spark, sf):
-    return rounded(dl.latest_context(tables.daily(spark, sf)), prev_day_dollar_vol=3)
+    return rounded(dl.latest_context(tables.daily(spark, sf)), 8, prev_day_dollar_vol=3, prev_day_volume=6)
 
 
 @query("month_end_dates", with_ctes(DAILY) + "SELECT year(date)::INT AS year, month(date)::INT AS month, max(date) AS date FROM daily GROUP BY 1, 2")
@@ -67,9 +73,9 @@ def _month_ends(spark, sf):
     return dl.month_end_dates(tables.daily(spark, sf))
 
 
-@query("minimum_history", with_ctes(DAILY) + f"SELECT symbol, date, {r('close', 'close')} FROM daily WHERE symbol IN (SELECT symbol FROM daily GROUP BY 1 HAVING count(*) >= 530)")
+@query("minimum_history", with_ctes(DAILY) + f"SELECT symbol, date, {r('close', 'close', 8)} FROM daily WHERE symbol IN (SELECT symbol FROM daily GROUP BY 1 HAVING count(*) >= 530)")
 def _history(spark, sf):
-    return rounded(dl.with_min_history(tables.daily(spark, sf), 530).select("symbol", "date", "close"))
+    return rounded(dl.with_min_history(tables.daily(spark, sf), 530).select("symbol", "date", "close"), 8)
 
 
 MOM = DAILY + """,
@@ -84,9 +90,9 @@ def mom_universe(spark, sf):
     return dl.momentum_universe(tables.daily(spark, sf), min_dollar_vol=1e4)
 
 
-@query("momentum_universe", with_ctes(MOM) + f"SELECT symbol, {rcols(['price', 'mom_20', 'mom_5', 'score'])}, {r('dollar_vol', 'dollar_vol', 3)} FROM mu")
+@query("momentum_universe", with_ctes(MOM) + f"SELECT symbol, {rcols(['price', 'mom_20', 'mom_5', 'score'], 8)}, {r('dollar_vol', 'dollar_vol', 3)} FROM mu")
 def _mom(spark, sf):
-    return rounded(mom_universe(spark, sf), dollar_vol=3)
+    return rounded(mom_universe(spark, sf), 8, dollar_vol=3)
 
 
 @query(
@@ -338,9 +344,10 @@ wd AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS wealth FROM sr WINDOW w AS (PAR
 dd AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY series ORDER BY date) - 1 AS drawdown FROM wd)"""
 
 
-@query("wealth_and_drawdown", with_ctes(PORT) + SERIES + f"SELECT date, series, {rcols(['ret', 'wealth', 'drawdown'], 4)} FROM dd")
+@query("wealth_and_drawdown", with_ctes(PORT) + SERIES + f"SELECT date, series, {rcols(['ret', 'drawdown'], 4)}, {r('ln(wealth)', 'log_wealth', 5)} FROM dd")
 def _wealth(spark, sf):
-    return rounded(xs.with_wealth(series(spark, sf), "ret", ["series"]), 4)
+    df = xs.with_wealth(series(spark, sf), "ret", ["series"])
+    return rounded(df.withColumn("log_wealth", F.ln("wealth")).drop("wealth"), 4, log_wealth=5)
 
 
 @query(
