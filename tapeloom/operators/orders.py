@@ -168,12 +168,11 @@ def downsample(points: DataFrame, max_points: int = 2000, order: Sequence[str] =
     """Evenly spaced points of a long series; all of them when there are few."""
     rows = ordered_prefix(points, order)
     n = points.agg(F.count(F.lit(1)).alias("_n"))
-    i = F.col("row_index") - 1
-    step = (F.col("_n") - 1) / F.lit(max_points - 1)
-    k = F.ceil(i / step)
-    hit = (k < max_points) & (F.floor(k * step) == i)
-    # an index is picked if some k in [0, max_points) lands on it; k is the first candidate
-    keep = F.when(F.col("_n") <= max_points, F.lit(True)).otherwise(hit)
+    # row i is picked when some k gives floor(k * (n - 1) / (m - 1)) = i; exact integers
+    m1 = max_points - 1
+    k = F.expr(f"((row_index - 1) * {m1} + _n - 2) div (_n - 1)")
+    hit = F.expr(f"(((row_index - 1) * {m1} + _n - 2) div (_n - 1)) * (_n - 1) div {m1} = row_index - 1")
+    keep = F.when(F.col("_n") <= max_points, F.lit(True)).otherwise(hit & (k <= m1))
     return rows.crossJoin(F.broadcast(n)).where(keep).drop("_n", "row_index")
 
 
