@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,7 +76,7 @@ def match_fills(fills: DataFrame, keys: Sequence[str] = ("symbol",), chunk_rows:
     slim = rows.select(*keys, "_chunk", "row_index", "_a", "_b")
     schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", _chunk long, a double, b double"
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _blend_maps(pdf.sort_values("row_index"))
         return pd.DataFrame([(*key, a, b)], columns=[*keys, "_chunk", "a", "b"])
 

@@ -58,9 +58,13 @@ def _vol(spark, sf):
     return rounded(sg.vol_percentile_series(micro(spark, sf)))
 
 
-MR = f"""{r("CASE WHEN n >= 26 AND z IS NOT NULL THEN greatest(least(-z / 3, 1), -1) ELSE 0 END", "score")},
-    {r("CASE WHEN n >= 26 AND z IS NOT NULL THEN least(abs(z) / 3, 1) * CASE WHEN n_vol > 10 AND vol_pct > 0.9 THEN 0.2 ELSE 1 END ELSE 0 END", "confidence")},
-    {r("CASE WHEN n_bars < 40 OR n_vol < 10 OR vol_pct <= 0.5 THEN 1 ELSE greatest(0.3, 1 - 1.4 * (vol_pct - 0.5)) END", "vol_mult")}"""
+MR_COLS = {
+    "score": "CASE WHEN n >= 26 AND z IS NOT NULL THEN greatest(least(-z / 3, 1), -1) ELSE 0 END",
+    "confidence": "CASE WHEN n >= 26 AND z IS NOT NULL THEN least(abs(z) / 3, 1) * CASE WHEN n_vol > 10 AND vol_pct > 0.9 THEN 0.2 ELSE 1 END ELSE 0 END",
+    "vol_mult": "CASE WHEN n_bars < 40 OR n_vol < 10 OR vol_pct <= 0.5 THEN 1 ELSE greatest(0.3, 1 - 1.4 * (vol_pct - 0.5)) END",
+}
+MR = ", ".join(r(x, n) for n, x in MR_COLS.items())
+MR_RAW = ", ".join(f"({x}) AS {n}" for n, x in MR_COLS.items())
 
 
 @query("mean_reversion_signal", with_ctes(VOL) + f"SELECT symbol, ts, {MR} FROM mr")
@@ -79,7 +83,7 @@ e0 AS (SELECT symbol, date, row_number() OVER w AS n, row_number() OVER (PARTITI
 e1 AS (SELECT *, avg(rt) OVER p AS m, stddev_pop(rt) OVER p AS sd FROM e0 WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 mom AS (SELECT symbol, CASE WHEN n >= 25 AND coalesce(sd >= 1e-12, false) THEN sign(rt) * least(abs((rt - m) / sd) / 3, 1) ELSE 0 END AS ms,
   CASE WHEN n >= 25 AND coalesce(sd >= 1e-12, false) THEN least(abs((rt - m) / sd) / 2, 1) ELSE 0 END AS mc FROM e1 WHERE k = 1),
-rv AS (SELECT symbol, {MR} FROM mr),
+rv AS (SELECT symbol, {MR_RAW} FROM mr),
 en AS MATERIALIZED (SELECT symbol, trend_w, ms, mc, score AS rs, confidence AS rc, vol_mult, trend_w * ms * mc AS c1, (1 - trend_w) * score * confidence AS c2,
   greatest(least(trend_w * ms * mc + (1 - trend_w) * score * confidence, 1), -1) AS ensemble FROM mom JOIN rv USING (symbol) JOIN tw USING (symbol))
 """
@@ -215,7 +219,7 @@ def _ids(spark, sf):
 # ---------------------------------------------------------------- risk
 # one intent per line item of the last quarter's orders would be a filter; all line items are screened
 RISK = """
-rp AS (SELECT s_name AS symbol, (CAST(s_acctbal AS BIGINT) % 41) - 12 AS qty, 10.0 + s_suppkey % 30 AS entry_price, 9.0 + s_suppkey % 37 AS mark, CASE WHEN s_suppkey % 5 = 0 THEN 'monthly' ELSE 'intraday' END AS book
+rp AS (SELECT s_name AS symbol, (CAST(floor(s_acctbal) AS BIGINT) % 41) - 12 AS qty, 10.0 + s_suppkey % 30 AS entry_price, 9.0 + s_suppkey % 37 AS mark, CASE WHEN s_suppkey % 5 = 0 THEN 'monthly' ELSE 'intraday' END AS book
   FROM supplier WHERE s_suppkey % 3 = 0),
 it AS (SELECT l_orderkey, l_linenumber, l_partkey, s_name AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) - 3 AS qty, l_extendedprice / 5000 AS price_hint,
   CASE WHEN l_linenumber = 4 THEN 'monthly' ELSE 'intraday' END AS book, l_linenumber <> 5 AS in_entry_window, s_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
@@ -231,7 +235,7 @@ rk AS (SELECT *, abs(after) > abs(cur) AS entry, abs(after * price_hint) AS val,
 def risk_positions(spark, sf):
     s = tables.table(spark, sf, "supplier").where("s_suppkey % 3 = 0")
     return s.select(
-        F.col("s_name").alias("symbol"), (F.col("s_acctbal").cast("long") % 41 - 12).alias("qty"), (10.0 + F.col("s_suppkey") % 30).alias("entry_price"),
+        F.col("s_name").alias("symbol"), (F.floor("s_acctbal") % 41 - 12).alias("qty"), (10.0 + F.col("s_suppkey") % 30).alias("entry_price"),
         (9.0 + F.col("s_suppkey") % 37).alias("mark"), F.when(F.col("s_suppkey") % 5 == 0, "monthly").otherwise("intraday").alias("book"),
     )
 
@@ -320,9 +324,9 @@ def arrivals(spark, sf):
     return q.select("symbol", "seq", F.col("ts").alias("recv_ts"), stamp.alias("quote_ts"))
 
 
-@query("quote_gaps", with_ctes(GAPS) + f"SELECT symbol, seq, recv_ts, quote_ts, newest, {r('gap_s', 'gap_s', 4)}, {r('p50', 'gap_p50', 4)}, {r('p95', 'gap_p95', 4)} FROM gp")
+@query("quote_gaps", with_ctes(GAPS) + f"SELECT symbol, seq, recv_ts, quote_ts, newest, {r('gap_s', 'gap_s', 8)}, {r('p50', 'gap_p50', 8)}, {r('p95', 'gap_p95', 8)} FROM gp")
 def _gaps(spark, sf):
-    return rounded(b.quote_gaps(arrivals(spark, sf), 43200, 86400), 4)
+    return rounded(b.quote_gaps(arrivals(spark, sf), 43200, 86400), 8)
 
 
 @query("staleness_snapshot", with_ctes(GAPS) + f""", s AS (SELECT symbol, (epoch_us(TIMESTAMP '2024-01-31 06:00:00') - epoch_us(max(quote_ts))) / 1e6 AS age, last(p50 ORDER BY recv_ts, seq) AS a, last(p95 ORDER BY recv_ts, seq) AS b FROM gp GROUP BY 1)
@@ -397,7 +401,7 @@ def _orders(spark, sf):
 
 FILLS = """
 fl AS (SELECT 'P' || l_suppkey AS symbol, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie, CASE WHEN l_returnflag = 'R' OR l_linestatus = 'F' THEN 'sell' ELSE 'buy' END AS side,
-  CAST(l_quantity AS BIGINT) AS qty, round(l_extendedprice / l_quantity, 4) AS price FROM lineitem),
+  CAST(l_quantity AS BIGINT) AS qty, floor(CAST(round(l_extendedprice * 100) AS BIGINT) * 100 / l_quantity) / 10000.0 AS price FROM lineitem),
 fn AS (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS delta, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq, tie) AS rn FROM fl),
 mt AS (SELECT symbol, rn, ts, seq, tie, price, delta AS pos, 0::BIGINT AS prev, price AS entry, 0.0::DOUBLE AS entry_before, delta, ts AS opened, NULL::TIMESTAMP AS opened_before FROM fn WHERE rn = 1
   UNION ALL SELECT f.symbol, f.rn, f.ts, f.seq, f.tie, f.price, m.pos + f.delta, m.pos,
@@ -410,27 +414,27 @@ def matched(spark, sf):
     return od.match_fills(tables.fills(spark, sf), chunk_rows=200)
 
 
-@query("matched_fills", with_ctes(FILLS, recursive=True) + f"SELECT symbol, ts, seq, tie, prev::BIGINT AS pos_before, pos::BIGINT AS pos_after, {r('CASE WHEN pos <> 0 THEN entry END', 'entry_price', 4)} FROM mt")
+@query("matched_fills", with_ctes(FILLS, recursive=True) + f"SELECT symbol, ts, seq, tie, prev::BIGINT AS pos_before, pos::BIGINT AS pos_after, {r('CASE WHEN pos <> 0 THEN entry END', 'entry_price', 6)} FROM mt")
 def _matched(spark, sf):
-    return rounded(matched(spark, sf).select("symbol", "ts", "seq", "tie", "pos_before", "pos_after", "entry_price"), 4)
+    return rounded(matched(spark, sf).select("symbol", "ts", "seq", "tie", "pos_before", "pos_after", "entry_price"), 6)
 
 
 @query("closed_round_trips", with_ctes(FILLS, recursive=True) + f"""SELECT symbol, CASE WHEN prev > 0 THEN 'long' ELSE 'short' END AS side, least(abs(delta), abs(prev))::BIGINT AS qty, opened_before AS entry_ts, ts AS exit_ts,
-    {r("entry_before", "entry_price", 4)}, price AS exit_price, {r("(price - entry_before) * least(abs(delta), abs(prev)) * sign(prev)", "pnl", 2)} FROM mt WHERE prev <> 0 AND (prev > 0) <> (delta > 0)""")
+    {r("entry_before", "entry_price", 6)}, price AS exit_price, {r("(price - entry_before) * least(abs(delta), abs(prev)) * sign(prev)", "pnl", 4)} FROM mt WHERE prev <> 0 AND (prev > 0) <> (delta > 0)""")
 def _trips(spark, sf):
     out = od.closed_round_trips(matched(spark, sf))
-    return rounded(out, 4, pnl=2)
+    return rounded(out, 6, pnl=4)
 
 
-@query("open_positions", with_ctes(FILLS, recursive=True) + f"SELECT symbol, last(pos ORDER BY rn)::BIGINT AS qty, {r('last(entry ORDER BY rn)', 'entry_price', 4)}, last(price ORDER BY rn) AS mark FROM mt GROUP BY symbol HAVING last(pos ORDER BY rn) <> 0")
+@query("open_positions", with_ctes(FILLS, recursive=True) + f"SELECT symbol, last(pos ORDER BY rn)::BIGINT AS qty, {r('last(entry ORDER BY rn)', 'entry_price', 6)}, last(price ORDER BY rn) AS mark FROM mt GROUP BY symbol HAVING last(pos ORDER BY rn) <> 0")
 def _open(spark, sf):
-    return rounded(od.open_positions(matched(spark, sf)), 4)
+    return rounded(od.open_positions(matched(spark, sf)), 6)
 
 
 # ---------------------------------------------------------------- metrics and reports
 TRD = """
 ct AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'P' || l_suppkey AS symbol, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS side, CAST(l_quantity AS BIGINT) AS qty, l_shipdate AS entry_ts,
-  l_shipdate + to_hours(l_linenumber + 1) AS exit_ts, round(l_extendedprice / l_quantity, 2) AS entry_price, round(l_extendedprice * (l_discount - l_tax), 2) AS pnl FROM lineitem),
+  l_shipdate + to_hours(l_linenumber + 1) AS exit_ts, floor(CAST(round(l_extendedprice * 100) AS BIGINT) / l_quantity) / 100.0 AS entry_price, floor(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((l_discount - l_tax) * 100) AS BIGINT) / 100) / 100.0 AS pnl FROM lineitem),
 eq AS (SELECT o_orderkey AS id, o_orderdate + to_seconds(o_orderkey % 86400) AS ts, 100000.0 + (o_orderkey * 7919 + o_custkey * 104729) % 20011 AS equity, (100000.0 + (o_orderkey * 7919 + o_custkey * 104729) % 20011) / 2 AS cash,
   round(o_totalprice / 10, 2) AS gross_exposure FROM orders)
 """

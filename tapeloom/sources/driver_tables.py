@@ -105,6 +105,22 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cents(c: str) -> Column:
+    """A two-decimal money column as an exact integer number of cents."""
+    return F.round(F.col(c) * 100).cast("long")
+
+
+def unit_price(digits: int) -> Column:
+    """Extended price per unit, truncated (integer arithmetic, so both engines agree)."""
+    scaled = _cents("l_extendedprice") * F.lit(10 ** (digits - 2))
+    return F.floor(scaled / F.col("l_quantity")) / float(10**digits)
+
+
+def trade_pnl() -> Column:
+    rate = F.round((F.col("l_discount") - F.col("l_tax")) * 100).cast("long")
+    return F.floor(_cents("l_extendedprice") * rate / 100) / 100.0
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signed fill per line item; the order of fills is a total order."""
     li = table(spark, sf_dir, "lineitem")
@@ -115,14 +131,14 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("tie"),
         F.when(F.col("l_returnflag") == "R", "sell").when(F.col("l_linestatus") == "F", "sell").otherwise("buy").alias("side"),
         F.col("l_quantity").cast("long").alias("qty"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"),
+        unit_price(4).alias("price"),
     )
 
 
 def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed round trips: one per line item, held until the next day."""
     li = table(spark, sf_dir, "lineitem")
-    px = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    px = unit_price(2)
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("symbol"),
@@ -132,7 +148,7 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + (F.col("l_linenumber") + 1) * F.lit(3_600_000_000)).alias("exit_ts"),
         px.alias("entry_price"),
         F.round(px * (1 + F.col("l_discount") - F.col("l_tax")), 2).alias("exit_price"),
-        F.round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")), 2).alias("pnl"),
+        trade_pnl().alias("pnl"),
     )
 
 
