@@ -129,7 +129,7 @@ def _members(spark, sf):
     return rounded(t.join(F.broadcast(test), "session_date", "left_semi").select(*b.KEY, "ts", "close"))
 
 
-@query("quality_depth", with_ctes(BARS) + f", q AS (SELECT symbol, session_date, row_number() OVER (ORDER BY sum(volume) DESC, symbol, session_date) AS rank FROM bars GROUP BY ALL) SELECT symbol, session_date, ts, {r('close', 'close')} FROM bars JOIN q USING (symbol, session_date) WHERE rank <= 25")
+@query("quality_depth", with_ctes(BARS) + f", q AS (SELECT symbol, session_date, row_number() OVER (ORDER BY v DESC, symbol, session_date) AS rank FROM (SELECT symbol, session_date, sum(volume) AS v FROM bars GROUP BY 1, 2)) SELECT symbol, session_date, ts, {r('close', 'close')} FROM bars JOIN q USING (symbol, session_date) WHERE rank <= 25")
 def _quality(spark, sf):
     from tapeloom.functions.ordered import ordered_prefix
 
@@ -241,7 +241,7 @@ def _resumed(spark, sf):
     return fs.build_missing(wanted, manifest, t, store).drop("rank")
 
 
-@query("universe_symbols", "SELECT DISTINCT upper(left(p_name, 4)) AS symbol FROM part WHERE regexp_matches(upper(left(p_name, 4)), '^[A-Za-z]{1,5}$')")
+@query("universe_symbols", "SELECT DISTINCT trim(upper(left(p_name, 4))) AS symbol FROM part WHERE regexp_matches(trim(upper(left(p_name, 4))), '^[A-Za-z]{1,5}$')")
 def _universe(spark, sf):
     path = fs.scratch_path(spark, "universe")
     tables.table(spark, sf, "part").select(F.upper(F.substring("p_name", 1, 4)).alias("Symbol")).write.csv(path, header=True)
@@ -279,7 +279,7 @@ def _flags(spark, sf):
 
 
 @query("book_file_pair", """WITH x AS (SELECT event_id AS seq, round(value, 2) AS v, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)
-    SELECT (row_number() OVER (ORDER BY seq) - 1) AS seq, v + 1 AS ask_p, (1 + k % 5)::DOUBLE AS bid_v, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 0 THEN k ELSE 0 END::DOUBLE AS buy_flow, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS sell_flow FROM x""")
+    SELECT (row_number() OVER (ORDER BY seq) - 1) AS seq, round(v + 1, 2) + 0.0 AS ask_p, (1 + k % 5)::DOUBLE AS bid_v, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 0 THEN k ELSE 0 END::DOUBLE AS buy_flow, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS sell_flow FROM x""")
 def _pair(spark, sf):
     """Writes the events as an order-book / message file pair, then loads the pair back."""
     e = tables.table(spark, sf, "events").select("event_id", F.round("value", 2).alias("v"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))

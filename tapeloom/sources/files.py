@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.ordered import ordered_prefix
 from tapeloom.session import ensure_checkpoint_dir
 
 MANIFEST_SCHEMA = "symbol string, date date, status string, rows long, n_trades long, rank long"
@@ -118,9 +119,17 @@ def load_universe(spark: SparkSession, paths: Sequence[str], strict: bool = True
 
 # ---------------------------------------------------------------- order books
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their position (file order; assigned per partition, not by one task)."""
-    lines = spark.read.text(path)
-    return lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("row long, line string")
+    """Lines of a text file (or folder of parts) with their 0-based position.
+
+    The order is (file, split offset, line in split); the numbering is the
+    distributed row index, so a large file is never numbered by one task.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"),
+    )
+    rows = ordered_prefix(lines, ["_f", "_b", "_i"])
+    return rows.select((F.col("row_index") - 1).alias("row"), "line")
 
 
 def _level_struct(cells: Column, i: int) -> Column:
