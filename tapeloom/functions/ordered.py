@@ -85,7 +85,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), rank: str =
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     pref = ordered_prefix(counts, [value], by, {"__cum": "__c"})
     ranks = pref.select(*by, value, (F.col("__cum") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(rank))
-    totals = counts.groupBy(*by).agg(F.sum("__c").alias(total)) if by else counts.agg(F.sum("__c").alias(total))
+    totals = pref.groupBy(*by).agg(F.max("__cum").alias(total))  # read from the placed counts, not recomputed
     if by:
         ranks = ranks.join(totals, by)
     else:
@@ -107,7 +107,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     pref = ordered_prefix(counts, [value], by, {"__cum": "__c"})
-    totals = counts.groupBy(*by).agg(F.sum("__c").alias("__n")) if by else counts.agg(F.sum("__c").alias("__n"))
+    totals = pref.groupBy(*by).agg(F.max("__cum").alias("__n"))  # read from the placed counts, not recomputed
     pref = pref.join(totals, by) if by else pref.crossJoin(F.broadcast(totals))  # a single row
     aggs = []
     for name, p in probs.items():

@@ -32,6 +32,41 @@ class RollingMedian:
         return frame[self.source].astype(float).rolling(self.window, min_periods=self.min_count).median()
 
 
+@dataclass(frozen=True)
+class Rolling:
+    """A statistic of the last ``window`` rows of one or two columns.
+
+    ``stat`` maps (rows x window) blocks to one value per row. Each window is
+    evaluated afresh, so a huge value leaves no rounding residue when it drops
+    out; missing values make the result missing unless ``min_count`` allows them.
+    """
+
+    out: str
+    sources: tuple[str, ...]
+    window: int
+    stat: Callable[..., np.ndarray]
+    min_count: int | None = None
+    dtype = T.DoubleType()
+
+    def __call__(self, frame) -> pd.Series:
+        n = len(frame)
+        cols = [frame[c].to_numpy(dtype=float) for c in self.sources]
+        have = np.ones(n, dtype=bool)
+        for c in cols:
+            have &= ~np.isnan(c)
+        need = self.min_count or self.window
+        short = need < self.window
+        if short:
+            cols = [np.concatenate([np.full(self.window - 1, np.nan), c]) for c in cols]
+        result = np.full(n, np.nan)
+        if len(cols[0]) >= self.window:
+            blocks = [np.lib.stride_tricks.sliding_window_view(c, self.window) for c in cols]
+            with np.errstate(all="ignore"):
+                result[n - len(blocks[0]):] = self.stat(*blocks)
+        count = pd.Series(have.astype(float)).rolling(self.window, min_periods=1).sum().to_numpy()
+        return pd.Series(np.where(count >= need, result, np.nan))
+
+
 @dataclass(frozen=True)
 class FirstTouch:
     """Rows ahead until ``series`` compares true with this row's ``level``.
@@ -110,7 +145,8 @@ class Session:
     """One session's rows in time order; a column leaves Arrow only when a step reads it."""
 
     def __init__(self, rows: pa.Table, order: str):
-        stamps = rows.column(order).cast(pa.int64()).to_numpy()
+        stamps = rows.column(order)
+        stamps = stamps.cast(pa.int32() if pa.types.is_date(stamps.type) else pa.int64()).to_numpy()
         if np.any(stamps[1:] < stamps[:-1]):
             rows = rows.take(pa.array(np.argsort(stamps, kind="stable")))
         self.rows, self.made, self.index = rows, {}, pd.RangeIndex(rows.num_rows)

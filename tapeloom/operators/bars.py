@@ -122,9 +122,10 @@ def prevailing_quotes(trades: DataFrame, quotes: DataFrame, chunk_s: int = 3600)
     """
     tape = _tick_tape(trades, quotes, chunk_s)
     order = ["ts", "kind", "seq"]
-    tape = carry(tape, ["symbol"], "bar_ts", order, last={"last_bid": "bid_price", "last_ask": "ask_price"})
-    tape = carry(tape, ["symbol"], "bar_ts", order, last={"last_price": "price"}, include_current=False)
-    return tape.withColumnRenamed("bar_ts", "chunk_ts")
+    last = {"_bid": "bid_price", "_ask": "ask_price", "last_price": "price"}
+    tape = carry(tape, ["symbol"], "bar_ts", order, last=last, include_current=False)
+    tape = tape.withColumn("last_bid", F.coalesce("bid_price", "_bid")).withColumn("last_ask", F.coalesce("ask_price", "_ask"))
+    return tape.drop("_bid", "_ask").withColumnRenamed("bar_ts", "chunk_ts")
 
 
 def trade_sign(price: str = "price") -> Column:

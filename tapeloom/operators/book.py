@@ -195,6 +195,8 @@ def book_positions(df: DataFrame, cfg: BookBacktestConfig = BookBacktestConfig()
     rows = carry(rows, keys, "chunk", ["row_index"], maxes={"_since": "_change_at", "_calm": "_calm_at"})
     entered = F.coalesce(F.col("_calm") >= F.col("_since"), F.lit(False))
     rows = rows.withColumn("position", F.when(entered, F.col("want")).otherwise(F.lit(0)))
+    used = dict.fromkeys([*keys, *order, "row_index", "chunk", "bid", "ask", "want", "position"])
+    rows = cut(rows.select(*used))  # each running value below reads its input twice
     rows = carry(rows, keys, "chunk", ["row_index"], last={"_prev": "position"}, include_current=False)
     prev, pos = F.coalesce("_prev", F.lit(0)), F.col("position")
     friction = (cfg.fee_bps + cfg.slippage_bps) * 1e-4
@@ -213,14 +215,13 @@ def book_positions(df: DataFrame, cfg: BookBacktestConfig = BookBacktestConfig()
         prev.alias("_was"),
         ((F.col("want") != 0) & (pos == 0)).alias("suppressed"),
     )
-    rows = carry(rows, keys, "chunk", ["row_index"], last={"_entry": "_opened"}, include_current=False)
-    rows = carry(rows, keys, "chunk", ["row_index"], sums={"_gross_cash": "_flow", "_costs": "_cost"})
+    rows = carry(rows, keys, "chunk", ["row_index"], last={"_entry": "_opened"}, sums={"_cash0": "_flow", "_costs0": "_cost"}, include_current=False)
+    rows = rows.withColumn("_gross_cash", F.col("_cash0") + F.col("_flow")).withColumn("_costs", F.col("_costs0") + F.col("_cost"))
     mark = pos * (F.col("bid") + F.col("ask")) / 2.0
     rows = rows.withColumn("gross_pnl", F.col("_gross_cash") + mark).withColumn("net_pnl", F.col("_gross_cash") - F.col("_costs") + mark)
     rows = rows.withColumn("trade_pnl", F.when(F.col("_closed").isNotNull(), F.col("_was") * (F.col("_closed") - F.col("_entry"))))
-    rows = carry(rows, keys, "chunk", ["row_index"], maxes={"peak": "net_pnl"})
-    rows = carry(rows, keys, "chunk", ["row_index"], last={"_net_before": "net_pnl"}, include_current=False)
-    return rows.withColumn("ret", F.col("net_pnl") - F.coalesce("_net_before", zero))
+    rows = carry(rows, keys, "chunk", ["row_index"], last={"_net_before": "net_pnl"}, maxes={"_peak0": "net_pnl"}, include_current=False)
+    return rows.withColumn("peak", F.greatest("_peak0", "net_pnl")).withColumn("ret", F.col("net_pnl") - F.coalesce("_net_before", zero))
 
 
 def backtest_summary(positions: DataFrame, cfg: BookBacktestConfig = BookBacktestConfig(), keys: Sequence[str] = KEY) -> DataFrame:

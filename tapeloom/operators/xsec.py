@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.config import PortfolioConfig
 from tapeloom.functions.ordered import average_ranks, exact_quantiles, ordered_prefix
 from tapeloom.functions.scalar import ratio
+from tapeloom.functions.session_scan import Derive, Rolling, scan_sessions
 from tapeloom.operators.daily import by_date
 from tapeloom.session import cut
 
@@ -31,54 +34,81 @@ def market_returns(market: DataFrame) -> DataFrame:
     return market.select("date", (ratio("close", prev) - 1.0).alias("mret"))
 
 
+def _std(x: np.ndarray) -> np.ndarray:
+    return x.std(axis=1, ddof=1)
+
+
+def _skew(x: np.ndarray) -> np.ndarray:
+    """Bias-adjusted sample skewness."""
+    n = x.shape[1]
+    d = x - x.mean(axis=1, keepdims=True)
+    g1 = (d**3).mean(axis=1) / (d**2).mean(axis=1) ** 1.5
+    return g1 * (n * (n - 1)) ** 0.5 / (n - 2)
+
+
+def _mean(x: np.ndarray) -> np.ndarray:
+    return x.mean(axis=1)
+
+
+def _present_mean(x: np.ndarray) -> np.ndarray:
+    seen = ~np.isnan(x)
+    return np.where(seen, x, 0.0).sum(axis=1) / seen.sum(axis=1)
+
+
+def _beta(ret: np.ndarray, market: np.ndarray) -> np.ndarray:
+    dm = market - market.mean(axis=1, keepdims=True)
+    return (dm * ret).sum(axis=1) / (dm * dm).sum(axis=1)
+
+
 def factors(daily: DataFrame, market: DataFrame | None = None) -> DataFrame:
     """Price, volume and (with a market series) risk factors; NULL where history is short.
 
-    ``market`` is (date, mret): one row per session, hence broadcast.
+    ``market`` is (date, mret): one row per session, hence broadcast. Lags are
+    window columns; the year-long statistics run in one Arrow pass per symbol,
+    whose history is calendar-bounded. (As SQL frames they cost rows x window
+    per aggregate; the same numbers came out about five times slower.)
     """
 
-    def frame(n: int):
-        return by_date().rowsBetween(-(n - 1), 0)
-
-    def full(agg: Column, of: Column, n: int, need: int | None = None) -> Column:
-        return F.when(F.count(of).over(frame(n)) >= (need or n), agg.over(frame(n)))
-
     def lagged(k: int) -> Column:
         return F.lag("close", k).over(by_date())
 
-    ret, close = F.col("ret"), F.col("close")
-    df = daily_returns(daily).withColumn("_dollar", F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
+    close, ret = F.col("close"), F.col("ret")
+    df = daily_returns(daily.select("symbol", "date", "close", "volume"))
     if market is not None:
         df = df.join(F.broadcast(market), "date", "left")
-    up = F.coalesce((ret > 0).cast("double"), F.lit(0.0))
-    amihud = ratio(F.abs(ret), F.col("_dollar"))
-    bias = (63.0 * 62.0) ** 0.5 / 61.0
+    dollar = F.nullif(F.col("close") * F.col("volume"), F.lit(0.0))
     cols = {
         "mom_12_1": ratio(lagged(21), lagged(252)) - 1.0,
         "mom_6_1": ratio(lagged(21), lagged(126)) - 1.0,
         "mom_3_1": ratio(lagged(21), lagged(63)) - 1.0,
         "rev_1m": ratio(close, lagged(21)) - 1.0,
         "rev_5d": ratio(close, lagged(5)) - 1.0,
-        "vol_3m": full(F.stddev_samp(ret), ret, 63),
-        "vol_12m": full(F.stddev_samp(ret), ret, 252),
-        "skew_3m": full(F.skewness(ret), ret, 63) * bias,
-        "max_ret_1m": full(F.max(ret), ret, 21),
-        "amihud_3m": full(F.avg(amihud), amihud, 63, 40),
-        "up_frac_6m": full(F.avg(up), up, 126),
-        "dist_52w_high": ratio(close, full(F.max(close), close, 252)) - 1.0,
-        "dollar_vol": F.ln(full(F.avg("_dollar"), F.col("_dollar"), 63)),
         "fwd_ret": ratio(F.lead("close", 21).over(by_date()), close) - 1.0,
+        "_dollar": dollar,
+        "_illiq": ratio(F.abs(ret), dollar),
+        "_up": F.coalesce((ret > 0).cast("double"), F.lit(0.0)),
     }
+    have_market = ["mret"] if market is not None else []
+    df = df.select("symbol", "date", "close", "ret", *have_market, *[c.alias(n) for n, c in cols.items()])
+    steps: list = [
+        Rolling("vol_3m", ("ret",), 63, _std),
+        Rolling("vol_12m", ("ret",), 252, _std),
+        Rolling("skew_3m", ("ret",), 63, _skew),
+        Rolling("max_ret_1m", ("ret",), 21, lambda x: x.max(axis=1)),
+        Rolling("amihud_3m", ("_illiq",), 63, _present_mean, 40),
+        Rolling("up_frac_6m", ("_up",), 126, _mean),
+        Rolling("_high", ("close",), 252, lambda x: x.max(axis=1)),
+        Rolling("_mean_dollar", ("_dollar",), 63, _mean),
+    ]
     if market is not None:
-        pair = F.when(ret.isNotNull() & F.col("mret").isNotNull(), 1)
-        m = F.when(ret.isNotNull(), F.col("mret"))
-        cols["beta_12m"] = ratio(full(F.covar_samp(ret, F.col("mret")), pair, 252), full(F.var_samp(m), pair, 252))
-    out = df.select("symbol", "date", *[c.alias(n) for n, c in cols.items()], *(["ret", "mret"] if market is not None else []))
-    if market is not None:
-        resid = F.col("ret") - F.col("beta_12m") * F.col("mret")
-        out = out.withColumn("_res", resid)
-        out = out.withColumn("idio_vol_3m", full(F.stddev_samp("_res"), F.col("_res"), 63)).drop("_res", "ret", "mret")
-    return out
+        steps += [
+            Rolling("beta_12m", ("ret", "mret"), 252, _beta),
+            Derive("_res", lambda f: f["ret"] - f["beta_12m"] * f["mret"], T.DoubleType()),
+            Rolling("idio_vol_3m", ("_res",), 63, _std),
+        ]
+    out = scan_sessions(df, ["symbol"], "date", steps)
+    out = out.withColumn("dist_52w_high", ratio("close", "_high") - 1.0).withColumn("dollar_vol", F.ln("_mean_dollar"))
+    return out.select("symbol", "date", *FACTORS, *(MARKET_FACTORS if market is not None else []), "fwd_ret")
 
 
 def cross_ranks(df: DataFrame, cols: Sequence[str], by: str = "date") -> DataFrame:

@@ -20,6 +20,7 @@ def build_session(app: str = "tapeloom", master: str = "local[8]", **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", conf.pop("shuffle_partitions", "8"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "12g"))
     )
     for k, v in conf.items():
