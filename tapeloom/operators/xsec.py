@@ -114,8 +114,10 @@ def factors(daily: DataFrame, market: DataFrame | None = None) -> DataFrame:
 def cross_ranks(df: DataFrame, cols: Sequence[str], by: str = "date") -> DataFrame:
     """Tie-averaged percentile rank of each column within a date; any cross-section size.
 
-    Columns are ranked in long form, one ordered pass for all of them.
+    Columns are ranked in long form, one ordered pass for all of them. The input
+    is read three times (count, rank, result), so it is stored once first.
     """
+    df = cut(df)
     stacked = df.select(by, "symbol", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])).alias("s"))
     long = stacked.select(by, "symbol", "s.name", "s.v").where("v is not null")
     ranked = average_ranks(long, "v", [by, "name"])
