@@ -110,6 +110,22 @@ class At:
         return got.where(pd.Series(ok))
 
 
+@dataclass(frozen=True)
+class RowsUntil:
+    """Rows ahead to the last bar not after a timestamp column (as-of, inclusive)."""
+
+    out: str
+    ts: str
+    until: str
+    dtype = T.LongType()
+
+    def __call__(self, frame) -> pd.Series:
+        have = frame[self.until].notna()
+        until = frame[self.until].fillna(frame[self.ts])
+        pos = np.searchsorted(frame[self.ts].to_numpy(), until.to_numpy(), side="right") - 1
+        return pd.Series(pos - np.arange(len(frame)), index=frame.index).astype("Int64").where(have)
+
+
 @dataclass(frozen=True)
 class Derive:
     """A column computed from earlier ones inside the same scan (saves a shuffle)."""

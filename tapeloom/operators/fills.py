@@ -13,27 +13,11 @@ from pyspark.sql import types as T
 
 from tapeloom.config import BarrierConfig, FillConfig
 from tapeloom.functions.scalar import bracket_prices, sell_cost, tradable_nbbo, valid_nbbo
-from tapeloom.functions.session_scan import At, Derive, FirstTouch, GreedyPick, non_overlapping, scan_sessions
+from tapeloom.functions.session_scan import At, Derive, FirstTouch, GreedyPick, RowsUntil, non_overlapping, scan_sessions
 from tapeloom.operators.bars import KEY
 from tapeloom.operators.labels import assumed_edge
 
 
-@dataclass(frozen=True)
-class RowsUntil:
-    """Rows ahead to the last bar not after a timestamp column (as-of, inclusive)."""
-
-    out: str
-    ts: str
-    until: str
-    dtype = T.LongType()
-
-    def __call__(self, frame: pd.DataFrame) -> pd.Series:
-        have = frame[self.until].notna()
-        until = frame[self.until].fillna(frame[self.ts])
-        pos = np.searchsorted(frame[self.ts].to_numpy(), until.to_numpy(), side="right") - 1
-        return pd.Series(pos - np.arange(len(frame)), index=frame.index).astype("Int64").where(have)
-
-
 @dataclass(frozen=True)
 class NextGood:
     """Rows ahead to the first row at or after a given one where the flag holds."""

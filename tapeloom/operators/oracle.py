@@ -12,6 +12,7 @@ from tapeloom.functions.ordered import exact_quantiles
 from tapeloom.functions.scalar import mid, price_bucket, ratio, sell_cost, valid_nbbo
 from tapeloom.functions.session_scan import At, Derive, FirstTouch, non_overlapping, scan_sessions
 from tapeloom.operators.bars import KEY
+from tapeloom.session import cut
 
 
 def _numbered(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,7 +114,11 @@ def day_summary(bars: DataFrame, cfg: OracleConfig = OracleConfig(), keys: Seque
 
 
 def viability_study(bars: DataFrame, horizons: Sequence[int], meta: DataFrame | None = None, cfg: OracleConfig = OracleConfig(), keys: Sequence[str] = KEY) -> DataFrame:
-    """Session x horizon matrix with the runner metadata of the day, when there is any."""
+    """Session x horizon matrix with the runner metadata of the day, when there is any.
+
+    The bars are read several times per horizon, so they are stored once.
+    """
+    bars = cut(bars)
     rows = None
     for h in horizons:
         one = day_summary(bars, OracleConfig(h, cfg.clip_shares, cfg.maker_wait, cfg.fees), keys)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ordered import carry, ordered_prefix
+from tapeloom.functions.ordered import carry, ordered_prefix, with_row_halo
 from tapeloom.functions.scalar import contribution, local_midnight_utc, ratio
 from tapeloom.session import cut
 
@@ -23,18 +23,18 @@ def latest_orders(orders: DataFrame, events: DataFrame) -> DataFrame:
     whichever event came last decides the status.
     """
     base = orders.groupBy("client_order_id").agg(*[F.max_by(c, "seq").alias(c) for c in ("symbol", "side", "qty", "status")], F.max("seq").alias("_seq"))
-    w = Window.partitionBy("client_order_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    known = events.join(base.select("client_order_id", F.col("qty").alias("_order_qty")), "client_order_id")
-    filled = F.sum(F.coalesce("fill_qty", F.lit(0))).over(w)
-    after = F.when(F.col("fill_qty").isNotNull(), F.when(filled >= F.col("_order_qty"), "filled").otherwise("partially_filled")).otherwise(F.col("status"))
-    steps = known.select("client_order_id", "seq", after.alias("_status"), "fill_qty", "fill_price")
-    last = steps.groupBy("client_order_id").agg(
-        F.max_by("_status", "seq").alias("_status"), F.sum("fill_qty").alias("filled_qty"),
-        F.max_by("fill_price", F.when(F.col("fill_qty").isNotNull(), F.col("seq"))).alias("fill_price"),
+    known = events.join(base.select("client_order_id"), "client_order_id", "left_semi")
+    is_fill = F.col("fill_qty").isNotNull()
+    last = known.groupBy("client_order_id").agg(
+        F.max_by("status", "seq").alias("_event_status"), F.max_by(is_fill, "seq").alias("_ends_filled"), F.sum("fill_qty").alias("filled_qty"),
+        F.max_by("fill_price", F.when(is_fill, F.col("seq"))).alias("fill_price"),
     )
     out = base.join(last, "client_order_id", "left")
+    # a fill that comes last sees the whole filled quantity, so no running sum is needed
+    by_fill = F.when(F.col("filled_qty") >= F.col("qty"), "filled").otherwise("partially_filled")
+    status = F.when(F.col("_ends_filled"), by_fill).otherwise(F.coalesce("_event_status", "status"))
     return out.select(
-        "client_order_id", "symbol", "side", "qty", F.coalesce("_status", "status").alias("status"),
+        "client_order_id", "symbol", "side", "qty", status.alias("status"),
         F.coalesce("filled_qty", F.lit(0)).alias("filled_qty"), "fill_price",
     )
 
@@ -321,5 +321,7 @@ def equity_changes(equity: DataFrame, after_id: int) -> DataFrame:
 
 def status_changes(states: DataFrame, order: str = "seq", by: str = "engine") -> DataFrame:
     """Rows where an engine's status differs from its previous row."""
-    prev = F.lag("status", 1).over(Window.partitionBy(by).orderBy(order))
-    return states.withColumn("previous", prev).where(~F.col("status").eqNullSafe(F.col("previous")))
+    rows = with_row_halo(states, [by], [order], 1)
+    prev = F.lag("status", 1).over(Window.partitionBy(by, "chunk").orderBy("row_index"))
+    changed = rows.withColumn("previous", prev).where(~F.col("is_halo") & ~F.col("status").eqNullSafe(F.col("previous")))
+    return changed.drop("row_index", "chunk", "is_halo")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.config import ScalpConfig, StalenessConfig, TierConfig
-from tapeloom.functions.ordered import with_row_halo
+from tapeloom.functions.ordered import carry, with_row_halo
 from tapeloom.functions.scalar import micros, ratio
+from tapeloom.functions.session_scan import At, FirstTouch, RowsUntil, scan_sessions
 
 CENT = 1e-6
 
@@ -150,19 +152,45 @@ def staleness_snapshot(gaps: DataFrame, as_of: Column, cfg: StalenessConfig = St
     return per.crossJoin(F.broadcast(worst))  # one row
 
 
-def bracket_actions(brackets: DataFrame, quotes: DataFrame) -> DataFrame:
+def bracket_actions(brackets: DataFrame, quotes: DataFrame, chunk_s: int = 3600) -> DataFrame:
     """First trigger of each armed bracket: stop at or under the stop price, else timeout at the deadline.
 
-    Brackets are few next to quotes; the join is on symbol with the arming time
-    as a range, and only each bracket's first action survives the aggregation.
+    No bracket-by-quote pairs are formed. Brackets and quotes are merged into
+    one tape per (symbol, time chunk); a bracket appears in each chunk it lives
+    through and scans forward to its first touch. The first quote at or after
+    the deadline comes from a backward-carried value.
     """
-    q = quotes.select("symbol", "ts", "seq", "bid")
-    hit = F.col("bid") <= F.col("stop_px")
-    late = F.col("ts") >= F.col("deadline")
-    found = brackets.join(q, "symbol").where((F.col("ts") >= F.col("armed_ts")) & (hit | late))
-    kind = F.when(hit, "stop").otherwise("timeout")
-    order = F.struct("ts", F.when(hit, 0).otherwise(1), "seq")
-    return found.groupBy("bracket_id", "symbol", "qty").agg(F.min_by(kind, order).alias("kind"), F.min_by("ts", order).alias("ts"))
+    size = chunk_s * 1_000_000
+    q = quotes.groupBy("symbol", "ts").agg(F.min("bid").alias("bid")).withColumn("us", micros("ts"))
+    br = brackets.select(
+        "bracket_id", "symbol", "qty", "stop_px", "deadline", micros("armed_ts").alias("armed_us"), micros("deadline").alias("due_us")
+    )
+    chunks = F.sequence(F.floor(F.col("armed_us") / size), F.floor((F.greatest("due_us", F.col("armed_us") + 1) - 1) / size))
+    lives = br.select("*", F.explode(chunks).alias("chunk"))
+    nul = F.lit(None)
+    asked = lives.select(
+        "symbol", "chunk", (F.greatest(F.col("armed_us"), F.col("chunk") * size) * 2).alias("slot"), nul.cast("double").alias("bid"), "stop_px",
+        (F.col("due_us") * 2 - 1).alias("until"), "bracket_id",
+    )
+    shown = q.select(
+        "symbol", F.floor(F.col("us") / size).alias("chunk"), (F.col("us") * 2 + 1).alias("slot"), "bid", nul.cast("double").alias("stop_px"),
+        nul.cast("long").alias("until"), nul.cast(brackets.schema["bracket_id"].dataType).alias("bracket_id"),
+    )
+    steps = [RowsUntil("_room", "slot", "until"), FirstTouch("_hit_in", "bid", "stop_px", "le", "_room"), At("_hit_slot", "slot", "_hit_in", T.LongType())]
+    touched = scan_sessions(asked.unionByName(shown), ["symbol", "chunk"], "slot", steps)
+    stops = touched.where("_hit_slot is not null").groupBy("bracket_id").agg(F.min((F.col("_hit_slot") - 1) / 2).cast("long").alias("_stop_us"))
+    due = br.select("symbol", F.col("due_us").alias("us"), nul.cast("double").alias("bid"), "bracket_id")
+    tape = q.select("symbol", "us", "bid", nul.cast(brackets.schema["bracket_id"].dataType).alias("bracket_id")).unionByName(due)
+    tape = tape.select("*", (-F.floor(F.col("us") / size)).alias("chunk"), (-F.col("us")).alias("_t"), F.col("bracket_id").isNotNull().cast("int").alias("_k"))
+    tape = tape.withColumn("_q", F.when(F.col("_k") == 0, F.struct("us", "bid")))
+    tape = carry(tape, ["symbol"], "chunk", ["_t", "_k", "bracket_id"], last={"_next": "_q"})
+    late = tape.where("_k = 1").select("bracket_id", F.col("_next.us").alias("_late_us"), F.col("_next.bid").alias("_late_bid"))
+    df = br.join(stops, "bracket_id", "left").join(late, "bracket_id", "left")
+    stopped = F.col("_stop_us").isNotNull() | (F.col("_late_bid") <= F.col("stop_px"))
+    when = F.coalesce("_stop_us", "_late_us")
+    return df.where(when.isNotNull()).select(
+        "bracket_id", "symbol", "qty", F.when(stopped, "stop").otherwise("timeout").alias("kind"), F.timestamp_micros(when).alias("ts")
+    )
 
 
 def reconcile(broker: DataFrame, own: DataFrame) -> DataFrame:

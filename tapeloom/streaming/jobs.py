@@ -137,6 +137,13 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything available and return the collected output table."""
     spark = stream.sparkSession
     out, mark = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-mark")
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", mark).trigger(availableNow=True)
+    # state partitions are fixed when a query starts; a finite replay needs no more than the cores
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), spark.sparkContext.defaultParallelism)))
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

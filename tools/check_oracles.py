@@ -40,7 +40,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     wanted = [n for n in QUERIES if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
-    spark = build_session("oracle-check", **{"spark.ui.showConsoleProgress": "false", "spark.log.structuredLogging.enabled": "false"})
+    spark = build_session("oracle-check", shuffle_partitions=os.environ.get("SHUFFLE", "8"), **{"spark.ui.showConsoleProgress": "false", "spark.log.structuredLogging.enabled": "false"})
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
