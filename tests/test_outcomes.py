@@ -164,7 +164,7 @@ def test_fills_match_a_stepwise_simulation(spark, mode):
 
 
 def test_stop_wins_a_shared_row_and_pays_half_the_spread(spark):
-    df = bars(spark, [5.0, 5.0, 4.9, 4.9], [5.02, 5.02, 4.96, 4.96])
+    df = bars(spark, [5.0, None, 4.9, 4.9], [5.02, None, 4.96, 4.96])
     at = lambda s: OPEN + timedelta(seconds=s)
     e = spark.createDataFrame([("A", OPEN.date(), at(0), 5, 4.9, 4.9, at(3))], ENTRY)
     r = fl.simulate_fills(df, e).first()
