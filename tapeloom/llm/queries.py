@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.llm import linedup, mixing
 from tapeloom.llm.common import table
+from tapeloom.llm.gridjoin import grid_join
+from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +30,23 @@ def query(name: str, sql: str | None = None):
 @query("op5_simhash_bktree")
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_grid_order_join")
+def op3_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_sainte_lague_mix", mixing.oracle_sql())
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_three_line_windows", linedup.oracle_sql())
+def op8_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
