@@ -53,29 +53,31 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> Da
     other columns are ignored; an empty table gives no rows.
     """
     w = cfg.window
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    lines = F.split("text", "\n", -1)
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    split = F.split("text", "\n", -1)
+    # each line is hashed once; a window is the hash of its lines' hashes
+    marks = F.transform(split, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.rlike("[^\\x20\\x09-\\x0D]").alias("words")))
+    marked = rows.where(F.col("text").isNotNull()).select(*_KEY, marks.alias("m"))
     hashed = F.transform(
-        F.filter(_starts(lines, w), lambda p: _has_words(lines, p, w)),
-        lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice(lines, p + 1, w)).alias("h1"), F.xxhash64(F.lit(1), F.slice(lines, p + 1, w)).alias("h2")),
+        F.filter(_starts(F.col("m"), w), lambda p: F.exists(F.slice("m", p + 1, w), lambda x: x["words"])),
+        lambda p: F.struct(p.alias("p"), F.xxhash64(*[F.col("m")[p + i]["a"] for i in range(w)]).alias("h1"), F.xxhash64(*[F.col("m")[p + i]["b"] for i in range(w)]).alias("h2")),
     )
-    found = stored(rows.where(F.col("text").isNotNull()).select(*_KEY, F.inline(hashed)))
+    found = stored(marked.select(*_KEY, F.inline(hashed)))
     first = stored(
         found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "p")).alias("first")).where("n > 1").drop("n")
     )
-    same = F.lit(True)
-    for k in _KEY:
-        same = same & F.col(k).eqNullSafe(F.col(f"first.{k}"))
+    same = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
     later = found.join(first, ["h1", "h2"]).where(~(same & (F.col("p") < F.col("first.p") + w)))
-    gone = stored(later.groupBy(*_KEY).agg(F.collect_set("p").alias("starts")))  # at most the lines of one document
-    joined = rows.alias("d").join(gone.alias("g"), [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in _KEY], "left").select("d.*", "starts")
-    copy = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(0)))
-    every = F.filter(_starts(lines, w), lambda p: _has_words(lines, p, w))
+    gone = stored(later.groupBy("k1", "k2").agg(F.collect_set("p").alias("starts")))  # at most the lines of one document
+    joined = rows.join(gone, ["k1", "k2"], "left")  # the keys hold id and text, so the window below needs no exchange of its own
+    copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    every = F.filter(_starts(F.col("lines"), w), lambda p: _has_words(F.col("lines"), p, w))
     starts = F.when(F.col("copy") > 1, every).otherwise(F.coalesce("starts", F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cover"))
     return (
         joined.withColumn("copy", copy)
-        .select("doc_id", "text", lines.alias("lines"), _covered(starts, w).alias("cover"))
+        .select("doc_id", "text", "starts", "copy", split.alias("lines"))
+        .select("doc_id", "text", "lines", _covered(starts, w).alias("cover"))
         .select("doc_id", "text", "lines", F.when(F.size("cover") > 0, kept).alias("kept"))
         .select(
             "doc_id",
