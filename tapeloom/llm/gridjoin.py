@@ -273,7 +273,8 @@ def grid_join(vectors: DataFrame, cfg: GridJoinConfig = GridJoinConfig()) -> Dat
     while total > 1:
         levels.append(cut(_parents(nodes, k)))
         nodes, total = levels[-1].select("node", "box_low", "box_high"), -(-total // FAN)
-    pairs = vectors.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    top = levels[-1].select("node") if levels else tiles.select(F.col("tile").alias("node"))
+    pairs = top.select(F.col("node").alias("a"), F.col("node").alias("b"))  # the whole sequence against itself
     for parents in reversed(levels):
         pairs = cut(_descend(pairs, parents, k, most))
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
