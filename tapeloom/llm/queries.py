@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import linedup, mixing
 from tapeloom.llm.common import table
+from tapeloom.llm.decontaminate import find_contamination
 from tapeloom.llm.gridjoin import grid_join
+from tapeloom.llm.langid import learn_and_identify
 from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.simhash import simhash_components
+from tapeloom.llm.toxicity import learn_and_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +53,18 @@ def op8_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_template_decontamination")
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_bitmask_language_id")
+def op9_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+@query("op4_counterfactual_toxicity")
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
