@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import by_chunks, stored, text_bytes
@@ -69,16 +69,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; a null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also, fp) for every row of ``docs``; a null text has no words."""
+    names = ["doc_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_chunks(batches, "text", 8 << 20):
             fps = np.fromiter((fingerprint(t, shingle) for t in text_bytes(part.column("text"))), np.int64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(fps)], [*names, "fp"])
 
-    kind = docs.select("doc_id").dtypes[0][1]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{c} {t}" for c, t in docs.select(*names).dtypes)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def agreeing_masks(n: int, radius: int, wanted: int) -> list[int]:
@@ -190,6 +191,30 @@ def near_edges(fps: DataFrame, cfg: SimHashConfig) -> DataFrame:
     return units.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
+def rooted_fingerprints(rows: DataFrame, cfg: SimHashConfig, *kept: Column) -> DataFrame:
+    """(fp, root, kept aggregates of its rows): one row per fingerprint of ``rows(fp, ...)``."""
+    fps = stored(rows.groupBy("fp").agg(*kept))
+    root = components(near_edges(fps.select("fp"), cfg)).withColumnRenamed("node", "fp")
+    return stored(fps.join(root, "fp", "left").select(fps["*"], F.coalesce("root", "fp").alias("root")))
+
+
+def one_of_each_group(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """One row of each component, with all columns: the smallest id, then the smallest row hash.
+
+    Rows with a null id are kept only if their component has no other; of identical
+    rows one stays. Columns must be of types that can be hashed.
+    """
+    key = [F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)]
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    slim = stored(fingerprints(docs.select("doc_id", "text", key[0].alias("k1"), key[1].alias("k2")), cfg.shingle, ("k1", "k2")))
+    rooted = rooted_fingerprints(slim, cfg, F.min(order).alias("first"))
+    chosen = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2")))
+    rows = docs.withColumns({"__h1": key[0], "__h2": key[1]})
+    same = Window.partitionBy("__h1", "__h2").orderBy(F.lit(0))
+    kept = rows.join(chosen, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2"))).withColumn("__copy", F.row_number().over(same))
+    return kept.where("__copy = 1").select(*docs.columns)
+
+
 def simhash_components(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -199,9 +224,7 @@ def simhash_components(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) ->
     none); other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, cfg.shingle))
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(near_edges(fps.select("fp"), cfg)).withColumnRenamed("node", "fp")
-    rooted = stored(fps.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = rooted_fingerprints(rows, cfg, F.min("doc_id").alias("least"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stored(rooted.join(least, "root").select("fp", "component_id"))
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
