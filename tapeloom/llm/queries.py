@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import linedup, mixing
+from tapeloom.llm import linedup, mixing, toolcalls
 from tapeloom.llm.common import table
 from tapeloom.llm.decontaminate import find_contamination
 from tapeloom.llm.gridjoin import grid_join
 from tapeloom.llm.langid import learn_and_identify
+from tapeloom.llm.mixlm import score_documents
 from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.simhash import simhash_components
 from tapeloom.llm.toxicity import learn_and_score
@@ -68,3 +69,14 @@ def op9_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_counterfactual_toxicity")
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_context_mixing_lm")
+def op6_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_tool_call_links", toolcalls.oracle_sql())
+def op2_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "call_id", "level", "turn", "result_turn", "n_calls", "n_results", F.array_join("errors", ",").alias("errors"), "json")
