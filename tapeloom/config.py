@@ -222,7 +222,7 @@ class SignalConfig:
     momentum_min_closes: int = 25
     reversion_window: int = 24
     vol_window: int = 20
-    history_bars: int = 2400
+    history_bars: int | None = None  # bars an engine keeps; None keeps all
     breakout_pct: float = 0.90
     breakout_min_points: int = 10
     regime_min_bars: int = 40

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,40 +137,44 @@ def sell_cost(px: str | Column, shares: str | int | Column, fees: FeeModel = Fee
     return col(px) * fees.sec_rate + capped / F.greatest(n, F.lit(1))
 
 
-def kelly_shares(
-    p_win: Column,
-    target_ps: Column,
-    stop_ps: Column,
-    price: Column,
-    equity: Column,
-    volume: Column,
-    ask_lots: Column,
-    cfg: ScalpConfig,
-    kelly_cap: float = 0.25,
-    displayed_mult: float = 2.0,
-    fees: FeeModel = FeeModel(),
-) -> Column:
-    """Capped-Kelly share count inside hard limits; 0 when any check says no."""
-    inputs = (p_win, target_ps, stop_ps, price, equity, volume, ask_lots)
-    usable = F.lit(True)
-    for x in inputs:
-        usable = usable & finite(x)
-    usable = (
-        usable & p_win.between(0.0, 1.0) & (target_ps > 0) & (stop_ps > 0) & (price > 0) & (equity > 0)
-        & price.between(cfg.price_min, cfg.price_max)
-    )
-    loss = stop_ps + price * fees.sec_rate + fees.taf_per_share
-    edge = p_win * target_ps - (1.0 - p_win) * loss
-    odds = target_ps / loss
-    fraction = F.least(F.greatest(ratio(p_win * odds - (1.0 - p_win), odds), F.lit(0.0)), F.lit(kelly_cap))
-    shares = F.least(
-        ratio(fraction * equity, price),
-        ratio(cfg.max_position_pct * equity, price),
-        cfg.max_participation * F.greatest(volume, F.lit(0.0)),
-        displayed_mult * F.greatest(ask_lots, F.lit(0.0)) * LOT_SIZE,
-    )
-    sized = F.greatest(F.floor(shares), F.lit(0))
-    return F.when(F.coalesce(usable, F.lit(False)) & (edge > 0), sized).otherwise(F.lit(0)).cast("long")
+class Stake(NamedTuple):
+    """What one bet is sized from: odds and stakes per share, and what limits its size."""
+
+    p_win: Column
+    gain: Column
+    risk: Column
+    price: Column
+    equity: Column
+    volume: Column
+    ask_lots: Column
+
+
+@dataclass(frozen=True)
+class StakeLimits:
+    """Largest share of equity by the Kelly rule, and of the displayed ask size."""
+
+    kelly: float = 0.25
+    displayed: float = 2.0
+
+
+def kelly_shares(stake: Stake, cfg: ScalpConfig, limits: StakeLimits = StakeLimits(), fees: FeeModel = FeeModel()) -> Column:
+    """Whole shares of a bet that gains g with p and else loses l (fees included); 0 unless all is in range.
+
+    p g - (1 - p) l is its edge a share, and the Kelly fraction p - (1 - p) l / g is
+    the edge in units of the gain. The smallest of four limits rules.
+    """
+    s = stake
+    lost = fees.taf_per_share + fees.sec_rate * s.price + s.risk
+    edge = s.p_win * (s.gain + lost) - lost
+    by_money = F.least(ratio(edge, s.gain), F.lit(limits.kelly), F.lit(cfg.max_position_pct)) * ratio(s.equity, s.price)
+    by_market = F.least(s.volume * cfg.max_participation, s.ask_lots * (limits.displayed * LOT_SIZE))
+    in_range = (s.price >= cfg.price_min) & (s.price <= cfg.price_max) & (s.p_win >= 0.0) & (s.p_win <= 1.0)
+    for x in (s.gain, s.risk, s.price, s.equity, edge):
+        in_range = in_range & (x > 0)
+    for x in s:
+        in_range = in_range & finite(x)
+    whole = F.greatest(F.floor(F.least(by_money, by_market)), F.lit(0)).cast("long")
+    return F.coalesce(F.when(in_range, whole), F.lit(0).cast("long"))
 
 
 def atr_shares(tier: TierConfig, equity: Column, price: Column, atr: Column, vol_mult: Column) -> Column:
@@ -191,10 +198,6 @@ def order_id(strategy: str | Column, symbol: Column, side: Column, bar_ts: Colum
     return F.substring(F.sha1(F.concat_ws(":", s, symbol, side, bar_ts)), 1, 32)
 
 
-def is_target_leg(client_order_id: Column, suffix: str = "-tgt") -> Column:
-    return F.endswith(client_order_id, F.lit(suffix))
-
-
 def stable_unit(seed: int, *keys: str) -> Column:
     """Reproducible draw in [0, 1) from the row's own key; no RNG state."""
     return F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)

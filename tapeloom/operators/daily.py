@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.config import PRICE_BUCKETS, MoverCriteria, RunnerCriteria
-from tapeloom.functions.ordered import exact_quantiles
+from tapeloom.functions.ordered import ordered_prefix
 from tapeloom.functions.scalar import clip, plain_ticker, ratio
 
 def by_date():
@@ -154,19 +154,13 @@ def pick_next_days(index: DataFrame, done: DataFrame, n: int) -> DataFrame:
 def rotate_universe(live: DataFrame, protected: DataFrame, incoming: DataFrame, limit: int) -> DataFrame:
     """Make room for incoming names by dropping the oldest unprotected ones; ``live`` has added_at.
 
-    The number of slots is the operator's own bound, so the eviction order is a
-    top-n query, not a full ranking.
+    As many names are evicted as it takes to bring live and new ones down to
+    ``limit``, or all unprotected ones; the new names are added in any case.
     """
     new = incoming.select("symbol").distinct().join(live.select("symbol"), "symbol", "left_anti")
     counts = live.agg(F.count(F.lit(1)).alias("_live")).crossJoin(new.agg(F.count(F.lit(1)).alias("_new")))
     idle = live.join(protected.select("symbol"), "symbol", "left_anti")
-    order = F.row_number().over(Window.orderBy("added_at", "symbol"))
-    evict = idle.select("symbol", "added_at").orderBy("added_at", "symbol").limit(limit).withColumn("_k", order)
-    evict = evict.crossJoin(F.broadcast(counts)).where(F.col("_k") <= F.greatest(F.col("_live") + F.col("_new") - limit, F.lit(0))).select("symbol")
+    aged = ordered_prefix(idle.select("symbol", "added_at"), ["added_at", "symbol"], index="_k")
+    evict = aged.crossJoin(counts).where(F.col("_k") <= F.col("_live") + F.col("_new") - limit).select("symbol")  # counts is a single row
     kept = live.join(evict, "symbol", "left_anti").select("symbol", F.lit("kept").alias("state"))
     return kept.unionByName(new.select("symbol", F.lit("added").alias("state")))
-
-
-def liquidity_median(daily: DataFrame) -> DataFrame:
-    """Median dollar volume over all symbol-days (one row)."""
-    return exact_quantiles(daily.select((F.col("close") * F.col("volume")).alias("v")), "v", {"median": 0.5})

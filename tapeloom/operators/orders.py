@@ -17,22 +17,27 @@ MATCH_ORDER = ("ts", "seq", "tie")
 
 
 def latest_orders(orders: DataFrame, events: DataFrame) -> DataFrame:
-    """Current row per client order id from its upserts and its later status / fill events.
+    """Current row per client order id from its upserts and its status / fill events, in one sequence.
 
-    Unknown ids are ignored; fills add up and set filled / partially_filled,
-    whichever event came last decides the status.
+    Events of unknown ids, or from before an id was first upserted, are ignored.
+    Fields come from the last upsert; fills add up; whatever has the greatest seq,
+    upsert or event, decides the status (an event, if both have it). A fill sets
+    filled or partially_filled.
     """
-    base = orders.groupBy("client_order_id").agg(*[F.max_by(c, "seq").alias(c) for c in ("symbol", "side", "qty", "status")], F.max("seq").alias("_seq"))
-    known = events.join(base.select("client_order_id"), "client_order_id", "left_semi")
+    base = orders.groupBy("client_order_id").agg(
+        *[F.max_by(c, "seq").alias(c) for c in ("symbol", "side", "qty", "status")], F.max("seq").alias("_upsert"), F.min("seq").alias("_first")
+    )
+    known = events.join(base.select("client_order_id", "_first"), "client_order_id").where(F.col("seq") >= F.col("_first"))
     is_fill = F.col("fill_qty").isNotNull()
     last = known.groupBy("client_order_id").agg(
-        F.max_by("status", "seq").alias("_event_status"), F.max_by(is_fill, "seq").alias("_ends_filled"), F.sum("fill_qty").alias("filled_qty"),
+        F.max_by("status", "seq").alias("_event_status"), F.max_by(is_fill, "seq").alias("_ends_filled"), F.max("seq").alias("_event"), F.sum("fill_qty").alias("filled_qty"),
         F.max_by("fill_price", F.when(is_fill, F.col("seq"))).alias("fill_price"),
     )
     out = base.join(last, "client_order_id", "left")
     # a fill that comes last sees the whole filled quantity, so no running sum is needed
     by_fill = F.when(F.col("filled_qty") >= F.col("qty"), "filled").otherwise("partially_filled")
-    status = F.when(F.col("_ends_filled"), by_fill).otherwise(F.coalesce("_event_status", "status"))
+    by_event = F.when(F.col("_ends_filled"), by_fill).otherwise(F.coalesce("_event_status", "status"))
+    status = F.when(F.col("_event") >= F.col("_upsert"), by_event).otherwise(F.col("status"))
     return out.select(
         "client_order_id", "symbol", "side", "qty", status.alias("status"),
         F.coalesce("filled_qty", F.lit(0)).alias("filled_qty"), "fill_price",
@@ -237,7 +242,7 @@ def newest(rows: DataFrame, limit: int, order: Sequence[Column], where: Column |
     return (rows if where is None else rows.where(where)).orderBy(*order).limit(limit)
 
 
-def trades_report(trades: DataFrame, since: Column | None = None, limit: int | None = 100) -> DataFrame:
+def trades_report(trades: DataFrame, since: Column | None = None, limit: int | None = None) -> DataFrame:
     df = trades if since is None else trades.where(F.col("exit_ts") >= since)
     held = (F.unix_micros("exit_ts") - F.unix_micros("entry_ts")) / 1e6
     df = df.select("id", "symbol", "side", "qty", "entry_ts", "exit_ts", "entry_price", "exit_price", F.round("pnl", 2).alias("pnl"), held.alias("holding_seconds"))
@@ -264,11 +269,11 @@ def in_range(rows: DataFrame, now: Column, span: str, ts: str = "ts") -> DataFra
     return rows if days is None else rows.where(F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def latest_per_symbol(signals: DataFrame, recent: int = 200, by: str = "id") -> DataFrame:
-    """Newest row per symbol among the most recent ones, strongest signal first."""
-    top = signals.orderBy(F.desc(by)).limit(recent)
-    k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(by)))
-    return top.withColumn("_k", k).where("_k = 1").drop("_k").orderBy(F.desc(F.abs("ensemble")), "symbol")
+def latest_per_symbol(signals: DataFrame, recent: int | None = None, by: str = "id") -> DataFrame:
+    """Newest row per symbol, of all rows or of the ``recent`` newest, strongest signal first."""
+    top = signals if recent is None else signals.orderBy(F.desc(by)).limit(recent)
+    newest_row = F.max_by(F.struct(*signals.columns), by).alias("_row")
+    return top.groupBy("symbol").agg(newest_row).select("_row.*").orderBy(F.desc(F.abs("ensemble")), "symbol")
 
 
 def position_snapshot(positions: DataFrame, now: Column) -> DataFrame:

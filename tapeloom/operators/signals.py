@@ -33,10 +33,12 @@ def momentum_signal(closes: DataFrame, cfg: SignalConfig = SignalConfig()) -> Da
 
 
 def _vol_history(bars: DataFrame, cfg: SignalConfig, keys: Sequence[str]) -> DataFrame:
-    """Log returns and their rolling root mean square, over the bars an engine keeps (at most history_bars)."""
+    """Log returns and their rolling root mean square, over all bars or the newest history_bars."""
     w = Window.partitionBy(*keys).orderBy("ts")
     age = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))
-    kept = bars.select(*keys, "ts", "close", age.alias("age")).where(F.col("age") <= cfg.history_bars)
+    kept = bars.select(*keys, "ts", "close", age.alias("age"))
+    if cfg.history_bars is not None:
+        kept = kept.where(F.col("age") <= cfg.history_bars)
     lc = F.ln(F.greatest("close", F.lit(1e-9)))
     kept = kept.select("*", F.row_number().over(w).alias("n"), (lc - F.lag(lc, 1).over(w)).alias("r"))
     f = w.rowsBetween(-(cfg.vol_window - 1), 0)

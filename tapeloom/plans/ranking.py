@@ -65,7 +65,14 @@ def teacher_scores(rows: DataFrame, boosted: Model, forest: Model, names: Sequen
 
 
 def fit_student(taught: DataFrame, names: Sequence[str], alpha: float = 1.0) -> Model:
-    """Ridge regression on the teacher's output, a readable linear copy."""
+    """Ridge regression on the teacher's output, a readable linear copy.
+
+    ``alpha`` weighs the squared coefficients against the summed squared error. The
+    estimator's loss is the mean over n rows of a label in units of its deviation,
+    so the same penalty is alpha / n times that deviation.
+    """
+    n, spread = taught.agg(F.count("teacher"), F.stddev_pop("teacher")).first()
+    alpha = alpha * (spread or 1.0) / max(n, 1)
     est = LinearRegression(featuresCol="inputs", labelCol="teacher", regParam=alpha, elasticNetParam=0.0, standardization=False)
     return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="inputs"), est]).fit(taught)
 

@@ -9,10 +9,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.config import BarrierConfig, FillConfig, TrainConfig
+from tapeloom.functions.ordered import ordered_prefix
 from tapeloom.operators.bar_features import bar_features, drop_features, feature_names
 from tapeloom.operators.bars import KEY
 from tapeloom.operators.fills import entry_decisions, fill_report, fills_on_tape, threshold_sweep
@@ -20,8 +21,6 @@ from tapeloom.operators.labels import balanced_weights, barrier_inputs, barrier_
 from tapeloom.operators.splits import day_split, stratified_cap
 from tapeloom.session import cut
 
-SAMPLE_ROWS = 5000
-
 
 def labelled_features(bars: DataFrame, cfg: TrainConfig, keys: Sequence[str] = KEY, keep: Sequence[str] = ()) -> DataFrame:
     """Features, barriers and outcome of every bar: one shuffle, one Arrow pass per session."""
@@ -78,14 +77,14 @@ def split_rows(rows: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, DataFrame]
 
 
 def walk_forward(bars: DataFrame, cfg: TrainConfig, drop: str = "", max_iter: int = 20) -> tuple[PipelineModel, DataFrame]:
-    """Split by day, fit on the past, report the threshold economics of the unseen days."""
-    rows = cut(training_set(bars, cfg))
+    """Split by day, fit on the past (capped rows), report the threshold economics of all unseen rows."""
+    rows = cut(labelled_features(bars, cfg).where(F.col("label").isNotNull()))
     if rows.isEmpty():
         raise ValueError("no labelled rows in any session")
     rows = drop_features(rows, drop)
     names = [n for n in feature_names(cfg.features) if n in rows.columns]
     train, test = split_rows(rows, cfg)
-    model = fit_entry_model(train, names, cfg.seed, max_iter)
+    model = fit_entry_model(stratified_cap(train, cfg.max_rows_per_day, cfg.seed), names, cfg.seed, max_iter)
     return model, threshold_sweep(score(test, model, names), cfg.thresholds)
 
 
@@ -119,15 +118,17 @@ def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel, list[str]
     return PipelineModel.load(f"{path}/model"), names, spark.read.parquet(f"{path}/params").first().asDict()
 
 
-def permutation_importance(rows: DataFrame, model: PipelineModel, names: Sequence[str], keys: Sequence[str] = (*KEY, "ts"), repeats: int = 3, sample: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """Loss of accuracy when one feature is shuffled, on a bounded sample; one scoring job for all features."""
-    keep = rows.where(F.col("label").isNotNull()).withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(sample).select(*keys, "label", *names)
-    base = cut(keep.withColumn("_i", F.row_number().over(Window.orderBy(*keys))))  # at most ``sample`` rows
+def permutation_importance(rows: DataFrame, model: PipelineModel, names: Sequence[str], keys: Sequence[str] = (*KEY, "ts"), repeats: int = 3, sample: int | None = None, seed: int = 7) -> DataFrame:
+    """Loss of accuracy when one feature is shuffled, over all labelled rows or a hash-drawn sample; one scoring job for all features."""
+    keep = rows.where(F.col("label").isNotNull()).select(*keys, "label", *names)
+    if sample is not None:
+        keep = keep.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(sample).drop("_h")
+    base = cut(ordered_prefix(keep, list(keys), index="_i"))
     plain = score(base, model, names).agg(F.avg(((F.col("p_win") >= 0.5) == (F.col("label") == 1.0)).cast("double")).alias("_base"))
     shuffled = None
     for k in range(repeats):
-        j = F.row_number().over(Window.orderBy(F.xxhash64("_i", F.lit(seed + 1 + k)), "_i"))
-        other = base.select(j.alias("_i"), F.struct(*names).alias("_o"))
+        drawn = base.select(F.xxhash64("_i", F.lit(seed + 1 + k)).alias("_d"), "_i", F.struct(*names).alias("_o"))
+        other = ordered_prefix(drawn, ["_d", "_i"], index="_j").select(F.col("_j").alias("_i"), "_o")
         one = base.join(other, "_i").withColumn("repeat", F.lit(k))
         shuffled = one if shuffled is None else shuffled.unionByName(one)
     grid = shuffled.withColumn("feature", F.explode(F.array(*[F.lit(n) for n in names])))

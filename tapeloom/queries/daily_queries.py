@@ -161,13 +161,13 @@ def _pick(spark, sf):
 @query(
     "rotate_universe",
     """WITH live AS (SELECT s_name AS symbol, s_suppkey AS added_at FROM supplier WHERE s_suppkey % 3 <> 0), inc AS (SELECT s_name AS symbol FROM supplier WHERE s_suppkey % 3 = 0),
-    n AS (SELECT (SELECT count(*) FROM live) + (SELECT count(*) FROM inc) - 80 AS need),
+    n AS (SELECT (SELECT count(*) FROM live) + (SELECT count(*) FROM inc) - 45 AS need),
     ev AS (SELECT symbol FROM live JOIN supplier ON s_name = symbol WHERE s_acctbal < 5000 ORDER BY added_at, symbol LIMIT greatest((SELECT need FROM n), 0))
     SELECT symbol, 'kept' AS state FROM live WHERE symbol NOT IN (SELECT symbol FROM ev) UNION ALL SELECT symbol, 'added' FROM inc""",
 )
 def _rotate(spark, sf):
     s = tables.table(spark, sf, "supplier").select(F.col("s_name").alias("symbol"), F.col("s_suppkey").alias("added_at"), "s_acctbal")
-    return dl.rotate_universe(s.where("added_at % 3 <> 0").drop("s_acctbal"), s.where("s_acctbal >= 5000"), s.where("added_at % 3 = 0"), 80)
+    return dl.rotate_universe(s.where("added_at % 3 <> 0").drop("s_acctbal"), s.where("s_acctbal >= 5000"), s.where("added_at % 3 = 0"), 45)
 
 
 # ---------------------------------------------------------------- factors

@@ -182,7 +182,7 @@ KELLY = """CASE WHEN p BETWEEN 0 AND 1 AND px BETWEEN 0.5 AND 10 AND p * t - (1
 @query("kelly_size", with_ctes(SIZE) + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ({KELLY})::BIGINT AS shares FROM sz")
 def _kelly(spark, sf):
     d = size_inputs(spark, sf)
-    n = sc.kelly_shares(F.col("p"), F.col("t"), F.col("s"), F.col("px"), F.lit(50000.0), F.col("vol"), F.col("lots"), SCALP_PROFILES["mid"])
+    n = sc.kelly_shares(sc.Stake(F.col("p"), F.col("t"), F.col("s"), F.col("px"), F.lit(50000.0), F.col("vol"), F.col("lots")), SCALP_PROFILES["mid"])
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", n.alias("shares"))
 
 
@@ -375,24 +375,28 @@ def _subs(spark, sf):
 
 # ---------------------------------------------------------------- orders and fills
 OEV = """
-oo AS (SELECT 'c' || o_orderkey AS client_order_id, 'U' || o_custkey % 50 AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side, CAST(o_totalprice / 4000 AS BIGINT) AS qty, 'new' AS status FROM orders WHERE o_orderkey % 10 <> 3),
-oe AS (SELECT 'c' || l_orderkey AS client_order_id, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq, CASE WHEN l_linenumber = 6 THEN 'canceled' END AS st, CASE WHEN l_linenumber <> 6 THEN CAST(l_quantity AS BIGINT) END AS fq,
+oo0 AS (SELECT 'c' || o_orderkey AS client_order_id, 'U' || o_custkey % 50 AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side, CAST(o_totalprice / 4000 AS BIGINT) AS qty, 'new' AS status, CASE WHEN o_orderkey % 5 = 1 THEN 200000000000 ELSE 0 END AS seq, o_orderkey AS k FROM orders),
+ou AS (SELECT * FROM oo0 UNION ALL SELECT client_order_id, symbol, side, qty * 2, 'submitted', 450000000000, k FROM oo0 WHERE k % 4 = 0),
+oo AS (SELECT client_order_id, any_value(symbol) AS symbol, any_value(side) AS side, max(qty) AS qty, arg_max(status, seq) AS status, min(seq) AS f, max(seq) AS m FROM ou GROUP BY 1),
+oe AS (SELECT CASE WHEN l_linenumber = 7 THEN 'x' ELSE 'c' END || l_orderkey AS client_order_id, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq, CASE WHEN l_linenumber = 6 THEN 'canceled' END AS st, CASE WHEN l_linenumber <> 6 THEN CAST(l_quantity AS BIGINT) END AS fq,
   CASE WHEN l_linenumber <> 6 THEN l_extendedprice END AS fp FROM lineitem),
-oj AS (SELECT oe.*, oo.qty, sum(coalesce(fq, 0)) OVER (PARTITION BY client_order_id ORDER BY seq, fp) AS cum FROM oe JOIN oo USING (client_order_id)),
-os AS (SELECT client_order_id, last(CASE WHEN fq IS NULL THEN st WHEN cum >= qty THEN 'filled' ELSE 'partially_filled' END ORDER BY seq) AS st, sum(fq)::BIGINT AS filled, last(fp ORDER BY seq) FILTER (fq IS NOT NULL) AS fp FROM oj GROUP BY 1)
+oj AS (SELECT oe.*, oo.qty, sum(coalesce(fq, 0)) OVER (PARTITION BY client_order_id ORDER BY seq, fp) AS cum FROM oe JOIN oo USING (client_order_id) WHERE seq >= f),
+os AS (SELECT client_order_id, max(seq) AS e, last(CASE WHEN fq IS NULL THEN st WHEN cum >= qty THEN 'filled' ELSE 'partially_filled' END ORDER BY seq) AS st, sum(fq)::BIGINT AS filled, last(fp ORDER BY seq) FILTER (fq IS NOT NULL) AS fp FROM oj GROUP BY 1)
 """
 
 
-@query("latest_orders", with_ctes(OEV) + "SELECT client_order_id, symbol, side, oo.qty, coalesce(st, status) AS status, coalesce(filled, 0)::BIGINT AS filled_qty, fp AS fill_price FROM oo LEFT JOIN os USING (client_order_id)")
+@query("latest_orders", with_ctes(OEV) + "SELECT client_order_id, symbol, side, oo.qty, CASE WHEN e >= m THEN st ELSE status END AS status, coalesce(filled, 0)::BIGINT AS filled_qty, fp AS fill_price FROM oo LEFT JOIN os USING (client_order_id)")
 def _orders(spark, sf):
-    o = tables.table(spark, sf, "orders").where("o_orderkey % 10 <> 3").select(
-        F.concat(F.lit("c"), "o_orderkey").alias("client_order_id"), F.concat(F.lit("U"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"),
-        F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.round(F.col("o_totalprice") / 4000).cast("long").alias("qty"), F.lit("new").alias("status"), F.lit(0).cast("long").alias("seq"),
+    o = tables.table(spark, sf, "orders").select(
+        "o_orderkey", F.concat(F.lit("c"), "o_orderkey").alias("client_order_id"), F.concat(F.lit("U"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"),
+        F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.round(F.col("o_totalprice") / 4000).cast("long").alias("qty"), F.lit("new").alias("status"), F.when(F.col("o_orderkey") % 5 == 1, 200_000_000_000).otherwise(0).cast("long").alias("seq"),
     )
+    again = o.where("o_orderkey % 4 = 0").withColumns({"qty": F.col("qty") * 2, "status": F.lit("submitted"), "seq": F.lit(450_000_000_000)})
+    o = o.unionByName(again).drop("o_orderkey")
     li = tables.table(spark, sf, "lineitem")
     fill = F.col("l_linenumber") != 6
     ev = li.select(
-        F.concat(F.lit("c"), "l_orderkey").alias("client_order_id"),
+        F.concat(F.when(F.col("l_linenumber") == 7, "x").otherwise("c"), "l_orderkey").alias("client_order_id"),
         ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("seq"),
         F.when(~fill, "canceled").alias("status"), F.when(fill, F.col("l_quantity").cast("long")).alias("fill_qty"), F.when(fill, F.col("l_extendedprice")).alias("fill_price"),
     )
@@ -528,7 +532,7 @@ def _by_status(spark, sf):
 TREP = f"SELECT id, symbol, side, qty, entry_ts, exit_ts, entry_price, {r('pnl', 'pnl', 2)}, {r('(epoch_us(exit_ts) - epoch_us(entry_ts)) / 1e6', 'holding_seconds')} FROM ct"
 
 
-@query("trades_report", with_ctes(TRD) + TREP + " WHERE exit_ts >= TIMESTAMP '2001-05-01' ORDER BY exit_ts DESC, id, symbol, pnl LIMIT 100")
+@query("trades_report", with_ctes(TRD) + TREP + " WHERE exit_ts >= TIMESTAMP '2001-05-01'")
 def _trades(spark, sf):
     since = F.lit("2001-05-01").cast("timestamp")
     return rounded(od.trades_report(tables.closed_trades(spark, sf), since).drop("exit_price"))
@@ -545,7 +549,7 @@ def _today_summary(spark, sf):
     return rounded(od.trades_today(tables.closed_trades(spark, sf), now())[1], 4)
 
 
-@query("latest_signals", "WITH t AS (SELECT event_id AS id, 'U' || user_id % 20 AS symbol, value - 50 AS ensemble FROM events ORDER BY event_id DESC LIMIT 200) SELECT symbol, max(id) AS id, arg_max(ensemble, id) AS ensemble FROM t GROUP BY 1")
+@query("latest_signals", "WITH t AS (SELECT event_id AS id, 'U' || user_id % 20 AS symbol, value - 50 AS ensemble FROM events) SELECT symbol, max(id) AS id, arg_max(ensemble, id) AS ensemble FROM t GROUP BY 1")
 def _signals(spark, sf):
     e = tables.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("symbol"), (F.col("value") - 50).alias("ensemble"))
     return od.latest_per_symbol(e)

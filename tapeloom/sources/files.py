@@ -42,16 +42,17 @@ def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """One dataset partitioned by session, replacing only the sessions present in ``bars``."""
+    """One dataset partitioned by stock-day, replacing only the stock-days present in ``bars``."""
     (
         bars.repartition("session_date", "symbol").sortWithinPartitions("session_date", "symbol", "ts")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date", "symbol").parquet(path)
     )
 
 
 def read_daily_batches(spark: SparkSession, folder: str, columns: Sequence[str] = ("symbol", "ts", "close", "volume")) -> DataFrame:
-    """All daily batch files, a column subset; empty marker files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "batch_*.parquet").parquet(folder).select(*columns)
+    """All daily batch files, a column subset. Zero-byte markers are left out; a damaged file fails the read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "batch_*.parquet").load(folder).select("path", "length")
+    return spark.read.parquet(*sorted(r.path for r in files.where("length > 0").collect())).select(*columns)  # one name per batch
 
 
 # ---------------------------------------------------------------- manifest
@@ -62,26 +63,23 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).csv(path, header=True)
 
 
-def ok_days(manifest: DataFrame) -> DataFrame:
-    return manifest.where("status = 'ok'")
-
-
 def unsettled_days(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     """Stock-days still to build: neither ok nor empty (errors are retried)."""
     return wanted.join(manifest.where(F.col("status").isin(*SETTLED)).select("symbol", "date"), ["symbol", "date"], "left_anti")
 
 
 def build_missing(wanted: DataFrame, manifest_path: str, bars: DataFrame, bars_path: str) -> DataFrame:
-    """Idempotent corpus step: build only unsettled days, overwrite their sessions, append their status.
+    """Idempotent corpus step: build only unsettled days, replace their stock-days, append their status.
 
     ``bars`` is the lazily defined bar set; it is filtered to the missing days
-    before anything is computed. Returns the status rows that were appended.
+    before anything is computed. A run that died before its status was appended
+    is repeated over its own stock-days. Returns the status rows that were appended.
     """
     spark = wanted.sparkSession
     todo = unsettled_days(wanted, read_manifest(spark, manifest_path))
     need = todo.select("symbol", F.col("date").alias("session_date"))
     made = bars.join(need, ["symbol", "session_date"], "left_semi")
-    made.repartition("session_date").write.mode("append").partitionBy("session_date").parquet(bars_path)
+    write_bars(made, bars_path)
     built = spark.read.parquet(bars_path).join(need, ["symbol", "session_date"], "left_semi")
     stats = built.groupBy("symbol", F.col("session_date").alias("date")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_trades").cast("long").alias("n_trades"))
     rows = todo.select("symbol", "date", "rank").join(stats, ["symbol", "date"], "left").select(

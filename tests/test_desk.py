@@ -182,7 +182,7 @@ def test_brackets_batch_and_stream_agree(spark):
 def test_kelly_size_stays_inside_its_box(spark, p, t, s, px, vol, lots):
     cfg = SCALP_PROFILES["mid"]
     args = [F.lit(float(x)) for x in (p, t, s, px, 50_000, vol, lots)]
-    n = spark.range(1).select(sc.kelly_shares(*args, cfg).alias("n")).first().n
+    n = spark.range(1).select(sc.kelly_shares(sc.Stake(*args), cfg).alias("n")).first().n
     assert 0 <= n <= min(cfg.max_position_pct * 50_000 / px, cfg.max_participation * vol, 200 * lots) + 1e-9
     assert n == 0 or p * t > (1 - p) * s
 
@@ -192,8 +192,8 @@ def test_sizes_refuse_bad_input(spark):
     base = [0.9, 0.05, 0.02, 5.0, 50_000.0, 5000.0, 10.0]
     for i, bad in [(0, None), (0, float("nan")), (0, 1.2), (1, 0.0), (3, 20.0), (4, -1.0)]:
         v = [F.lit(x).cast("double") for x in base[:i] + [bad] + base[i + 1:]]
-        assert spark.range(1).select(sc.kelly_shares(*v, cfg).alias("n")).first().n == 0
-    assert spark.range(1).select(sc.kelly_shares(*[F.lit(float(x)) for x in base], cfg).alias("n")).first().n > 0
+        assert spark.range(1).select(sc.kelly_shares(sc.Stake(*v), cfg).alias("n")).first().n == 0
+    assert spark.range(1).select(sc.kelly_shares(sc.Stake(*[F.lit(float(x)) for x in base]), cfg).alias("n")).first().n > 0
 
 
 def test_split_integrity(spark):
