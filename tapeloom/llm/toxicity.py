@@ -7,8 +7,8 @@ score to the loss. Words that merely tend to stand beside insults, such as group
 names, are thereby held at the weight of a neutral word, so that a plain mention of
 a group doesn't count as toxic.
 
-Word statistics cover all labelled training documents; the model itself, at most
-``max_features`` weights, is fitted on at most ``max_fit_rows`` of them.
+The model has at most ``max_features`` weights and learns from at most
+``max_fit_rows`` labelled documents; every document is scored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import by_chunks, fold_mod, stored
+from tapeloom.llm.common import by_chunks, cut, fold_mod, stored
 
 #: Fixed word lists: terms that may stand for each other in a sentence; the first of each is neutral.
 IDENTITY_TERMS = (
@@ -84,10 +84,16 @@ def swaps(text: str) -> list[tuple[str, str]]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig) -> DataFrame:
-    """(doc_id, text, toxic) of the training folds. Conflicting labels count as toxic, null ones not at all."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    """(doc_id, text, toxic) of the training folds, for at most ``max_fit_rows`` labelled ids in hash order.
+
+    Conflicting labels count as toxic, null ones not at all. The ids are bounded, so
+    they go to the documents and no text is shuffled.
+    """
+    usable = labels.where("toxic is not null and doc_id is not null").where(fold_mod("doc_id", cfg.folds) != cfg.held)
+    known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_fit_rows))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(fold_mod("doc_id", cfg.folds) != cfg.held)
-    return rows.join(known.where(fold_mod("doc_id", cfg.folds) != cfg.held), "doc_id")
+    return rows.join(F.broadcast(known), "doc_id")  # max_fit_rows pairs of numbers
 
 
 def informative_words(rows: DataFrame, cfg: ToxicityConfig) -> list[str]:
@@ -180,8 +186,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Tox
             swapped = [[number.get(w, -1) for pair in swaps(t) for w in pair] for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(found, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["toxic", "found", "swapped"])
 
-    sample = rows.orderBy(F.xxhash64("doc_id", "text")).limit(cfg.max_fit_rows)  # a documented bound; hash order is a fair draw
-    data = sample.select("text", "toxic").mapInArrow(run, "toxic int, found array<int>, swapped array<int>").toArrow()
+    data = rows.select("text", "toxic").mapInArrow(run, "toxic int, found array<int>, swapped array<int>").toArrow()
     found = data.column("found").combine_chunks()
     at = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
     y = data.column("toxic").to_numpy().astype(float)
