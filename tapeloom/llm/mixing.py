@@ -156,13 +156,15 @@ def _id_draw(cfg: MixConfig) -> Column:
     return _drawn(F.lit(cfg.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def _spans(docs: DataFrame, cfg: MixConfig) -> DataFrame:
-    """row, size, source_size, target, passes, and the two word spans of a further, partial pass."""
+def _spans(docs: DataFrame, cfg: MixConfig, carried: list[str]) -> DataFrame:
+    """row (the carried columns), size, source_size, target, passes, and the two word spans of a further, partial pass."""
     sources, plan = shard_plan(docs, cfg)
-    rows = docs.select(F.struct("*").alias("row"), "source", n_words("text").alias("size"), _id_draw(cfg).alias("draw"))
+    key = F.md5(F.concat_ws("/", F.lit(cfg.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = docs.select(
+        F.struct(*carried).alias("row"), "source", "doc_id", n_words("text").alias("size"), _id_draw(cfg).alias("draw"), F.substring(key, 9, 24).alias("key"), F.md5("text").alias("tie")
+    )
     placed = _by_source(rows, sources, "shards").withColumn("shard", F.col("draw") % F.col("shards"))
-    key = F.md5(F.concat_ws("/", F.lit(cfg.seed), F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))))
-    order = Window.partitionBy("source", "shard").orderBy(F.substring(key, 9, 24), "row.doc_id", "size", F.md5("row.text"))
+    order = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size", "tie")
     at = placed.withColumn("begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.shard") == F.col("p.shard"))
     joined = at.alias("d").join(plan.alias("p"), on).select("row", "size", "begin", "source_size", "target", "passes", "lo", "hi", "wrap")
@@ -185,7 +187,7 @@ def mix_plan(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     other (rows alike in id, source and text are interchangeable); other columns are
     ignored; an empty table gives no rows. Reruns agree: every draw is a seeded md5.
     """
-    spans = _spans(docs.select("doc_id", "text", "source"), cfg)
+    spans = _spans(docs.select("doc_id", "text", "source"), cfg, ["doc_id"])
     part = F.col("late.j") - F.col("late.i") + F.col("early.j") - F.col("early.i")
     return spans.select("row.doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
 
@@ -196,7 +198,7 @@ def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     A copy cut by the end of a run holds only its taken words, with their spacing;
     a column n_chars, if there is one, is counted anew for it.
     """
-    spans = _spans(docs, cfg)
+    spans = _spans(docs, cfg, docs.columns)
     whole = F.struct(F.lit(0).cast("long").alias("i"), F.col("size").alias("j"))
     copies = F.filter(F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.array("late", "early")), lambda s: s["i"] < s["j"])
     taken = spans.select("row", "size", F.explode(copies).alias("span"))
