@@ -220,12 +220,12 @@ def _ids(spark, sf):
 # one intent per line item of the last quarter's orders would be a filter; all line items are screened
 RISK = """
 rp AS (SELECT s_name AS symbol, (CAST(floor(s_acctbal) AS BIGINT) % 41) - 12 AS qty, 10.0 + s_suppkey % 30 AS entry_price, 9.0 + s_suppkey % 37 AS mark, CASE WHEN s_suppkey % 5 = 0 THEN 'monthly' ELSE 'intraday' END AS book
-  FROM supplier WHERE s_suppkey % 3 = 0),
-it AS (SELECT l_orderkey, l_linenumber, l_partkey, s_name AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) - 3 AS qty, l_extendedprice / 5000 AS price_hint,
+  FROM supplier),
+it AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 2 THEN 'new ' ELSE '' END || s_name AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) - 3 AS qty, l_extendedprice / 5000 AS price_hint,
   CASE WHEN l_linenumber = 4 THEN 'monthly' ELSE 'intraday' END AS book, l_linenumber <> 5 AS in_entry_window, s_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 ex AS (SELECT coalesce(sum((mark - entry_price) * qty) FILTER (book = 'intraday'), 0) AS u, count(*) FILTER (book = 'intraday') AS np FROM rp),
 bg AS (SELECT book, sum(abs(qty * mark)) AS g FROM rp GROUP BY 1),
-sp AS (SELECT s_name AS symbol, CASE WHEN s_suppkey % 11 = 0 THEN -900.0 ELSE 10.0 END AS realized FROM supplier),
+sp AS (SELECT unnest([s_name, 'new ' || s_name]) AS symbol, CASE WHEN s_suppkey % 11 = 0 THEN -900.0 ELSE 10.0 END AS realized FROM supplier),
 rj AS (SELECT it.*, coalesce(rp.qty, 0) AS cur, rp.book AS pb, coalesce(rp.qty * rp.mark, 0) AS v, coalesce(g, 0) AS g, u, np, realized, coalesce(rp.qty, 0) + CASE WHEN side = 'buy' THEN it.qty ELSE -it.qty END AS after
   FROM it LEFT JOIN rp USING (symbol) LEFT JOIN bg ON bg.book = it.book CROSS JOIN ex LEFT JOIN sp USING (symbol)),
 rk AS (SELECT *, abs(after) > abs(cur) AS entry, abs(after * price_hint) AS val, NOT coalesce(pb = 'intraday', false) AS isnew FROM rj)
@@ -233,7 +233,7 @@ rk AS (SELECT *, abs(after) > abs(cur) AS entry, abs(after * price_hint) AS val,
 
 
 def risk_positions(spark, sf):
-    s = tables.table(spark, sf, "supplier").where("s_suppkey % 3 = 0")
+    s = tables.table(spark, sf, "supplier")
     return s.select(
         F.col("s_name").alias("symbol"), (F.floor("s_acctbal") % 41 - 12).alias("qty"), (10.0 + F.col("s_suppkey") % 30).alias("entry_price"),
         (9.0 + F.col("s_suppkey") % 37).alias("mark"), F.when(F.col("s_suppkey") % 5 == 0, "monthly").otherwise("intraday").alias("book"),
@@ -242,8 +242,9 @@ def risk_positions(spark, sf):
 
 def intents(spark, sf):
     li, s = tables.table(spark, sf, "lineitem"), tables.table(spark, sf, "supplier")
+    unheld = F.when(F.col("l_linenumber") % 3 == 2, "new ").otherwise("")  # names without a position
     return li.join(s, li.l_suppkey == s.s_suppkey).select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("s_name").alias("symbol"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.concat(unheld, "s_name").alias("symbol"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         (F.col("l_quantity").cast("long") - 3).alias("qty"), (F.col("l_extendedprice") / 5000).alias("price_hint"),
         F.when(F.col("l_linenumber") == 4, "monthly").otherwise("intraday").alias("book"), (F.col("l_linenumber") != 5).alias("in_entry_window"),
     )
@@ -276,8 +277,9 @@ def _screen(spark, sf):
     tier = dataclasses.replace(TIER, max_position_pct=0.005)
     acct = account(spark, [(40000.0, 41000.0, 42000.0, 100.0, False, False)])
     sup = tables.table(spark, sf, "supplier")
-    uni = sup.where("s_suppkey % 7 <> 0").select(F.col("s_name").alias("symbol"))
-    pnl = sup.select(F.col("s_name").alias("symbol"), F.when(F.col("s_suppkey") % 11 == 0, -900.0).otherwise(10.0).alias("realized"))
+    names = F.explode(F.array("s_name", F.concat(F.lit("new "), "s_name"))).alias("symbol")
+    uni = sup.where("s_suppkey % 7 <> 0").select(names)
+    pnl = sup.select(names, F.when(F.col("s_suppkey") % 11 == 0, -900.0).otherwise(10.0).alias("realized"))
     return rk.screen_intents(intents(spark, sf), risk_positions(spark, sf), acct, tier, uni, pnl, SCALP_PROFILES["mid"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.scalar import plus_seconds
 from tapeloom.queries.bar_queries import MICRO, MICRO_COLS
 from tapeloom.queries.base import BARS, EVENTS, SPEC, query, r, rcols, rounded, with_ctes
-from tapeloom.queries.desk_queries import FILLS, GAPS, arrivals
+from tapeloom.queries.desk_queries import FILLS, GAPS, TRD, arrivals
 from tapeloom.sources import driver_tables as tables
 from tapeloom.streaming import jobs
 
@@ -43,10 +43,11 @@ def _gaps(spark, sf):
     return rounded(jobs.run_to_end(jobs.stream_quote_gaps(jobs.replay(arrivals(spark, sf), "recv_ts"))), 8)
 
 
-@query("stream_transitions", """WITH a AS (SELECT 'U' || user_id % 5 AS feed, event_id AS seq, value AS age_s FROM events WHERE value <= 180), b AS (SELECT *, CASE WHEN age_s > 60 THEN 'PAUSED' ELSE 'RUNNING' END AS after FROM a),
+@query("stream_transitions", """WITH a AS (SELECT 'U' || user_id % 500 AS feed, event_id AS seq, value AS age_s, min(event_id) FILTER (value > 180) OVER (PARTITION BY user_id % 500) AS dead FROM events),
+    b AS (SELECT *, CASE WHEN age_s > 180 THEN 'KILLED' WHEN age_s > 60 THEN 'PAUSED' ELSE 'RUNNING' END AS after FROM a WHERE dead IS NULL OR seq <= dead),
     c AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY feed ORDER BY seq), 'RUNNING') AS before FROM b) SELECT feed, seq, before, after FROM c WHERE before <> after""")
 def _transitions(spark, sf):
-    e = tables.table(spark, sf, "events").where("value <= 180").select(F.concat(F.lit("U"), (F.col("user_id") % 5).cast("string")).alias("feed"), F.col("event_id").alias("seq"), F.col("value").alias("age_s"), F.col("ts").cast("timestamp").alias("ts"))
+    e = tables.table(spark, sf, "events").select(F.concat(F.lit("U"), (F.col("user_id") % 500).cast("string")).alias("feed"), F.col("event_id").alias("seq"), F.col("value").alias("age_s"), F.col("ts").cast("timestamp").alias("ts"))
     return jobs.run_to_end(jobs.stream_transitions(jobs.replay(e, "ts")))
 
 
@@ -84,9 +85,9 @@ def _telemetry(spark, sf):
     return rounded(jobs.run_to_end(jobs.decision_telemetry(jobs.replay(e, "ts"), 0.2, "1 hour")))
 
 
-@query("stream_equity_feed", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey > 5000")
+@query("stream_equity_feed", with_ctes(TRD) + "SELECT id, ts, equity FROM eq WHERE id > 5000")
 def _feed(spark, sf):
     e = tables.equity_snapshots(spark, sf)
-    return jobs.run_to_end(jobs.replay(e, "ts").where("id > 5000").select("id"))
+    return jobs.run_to_end(jobs.replay(e, "ts").where("id > 5000").select("id", "ts", "equity"))
 
 
