@@ -104,7 +104,7 @@ def book_features(df: DataFrame, mode: str = "extended", vol_window: int = 50, f
     if mode == "raw40":
         return df.select(*keys, *order, shape_levels().alias("shape"))
     if mode != "extended":
-        raise ValueError(f"unknown feature mode: {mode}")
+        raise ValueError(f"mode is {mode!r}, not extended or raw40")
     rows = with_row_halo(with_mid(df), keys, order, max(vol_window, flow_window, 10) + 1, chunk_rows=chunk_rows)
     w = Window.partitionBy(*keys, "chunk").orderBy("row_index")
 

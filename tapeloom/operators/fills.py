@@ -108,7 +108,7 @@ def simulate_fills(bars: DataFrame, entries: DataFrame, cfg: FillConfig = FillCo
 def fills_on_tape(tape: DataFrame, cfg: FillConfig = FillConfig(), keys: Sequence[str] = KEY) -> DataFrame:
     """As simulate_fills, for a tape whose rows already carry their entry decision (qty NULL = none)."""
     if cfg.entry_mode not in ("taker", "maker"):
-        raise ValueError(f"unknown entry_mode {cfg.entry_mode!r}")
+        raise ValueError(f"entries are taker or maker, not {cfg.entry_mode!r}")
     on = [*keys, "ts"]
     used = {*on, "qty", "target_px", "stop_px", "deadline", "bid", "ask", "low", "ask_size", "spread", "volume"}
     extra = [c for c in tape.columns if c not in used]

@@ -58,7 +58,7 @@ def row_split(df: DataFrame, order: Sequence[str], window: int, horizon: int, tr
     gap = window + horizon
     short = (v_end - t_end - gap < min_part) | (F.col("_n") - horizon - v_end - gap < min_part)
     part = (
-        F.when(short, F.raise_error(F.lit("series too short for requested splits")))
+        F.when(short, F.raise_error(F.lit("a part of the row split would have fewer rows than min_part")))
         .when((i >= window - 1) & (i < t_end), "train")
         .when((i >= t_end + gap) & (i < v_end), "val")
         .when((i >= v_end + gap) & (i < F.col("_n") - horizon), "test")

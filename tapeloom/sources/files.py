@@ -147,7 +147,7 @@ def load_book_pair(spark: SparkSession, orderbook_csv: str, message_csv: str, le
     enough = F.size("c") >= 4 * levels
     both = both.withColumn(
         "c",
-        F.when(F.col("c").isNull() | F.col("m").isNull(), F.raise_error(F.lit("orderbook/message row mismatch")).cast("array<string>"))
+        F.when(F.col("c").isNull() | F.col("m").isNull(), F.raise_error(F.lit("book and message files differ in length")).cast("array<string>"))
         .when(~enough, F.raise_error(F.lit("file has too few levels")).cast("array<string>")).otherwise(F.col("c")),
     )
     kind, size, side = (F.get("m", F.lit(i)) for i in (1, 3, 5))

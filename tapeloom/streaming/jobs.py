@@ -44,7 +44,7 @@ def stream_bars(ticks: DataFrame, spec: BarSpec = BarSpec(), grace: str = TICK_G
     return out.select("symbol", "session_date", "ts", *[no_nan(c).alias(c) for c in numbers])
 
 
-def _fold(df: DataFrame, keys: list[str], processor: pr.Fold, schema: str) -> DataFrame:
+def _fold(df: DataFrame, keys: list[str], processor: pr.Fold | pr.SignedBars, schema: str) -> DataFrame:
     use_rocksdb(df.sparkSession)
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
@@ -55,9 +55,7 @@ def stream_signed_bars(ticks: DataFrame, interval_s: int = 60) -> DataFrame:
         "symbol string, ts timestamp, open double, high double, low double, close double, volume double, vwap double, trade_count long, "
         "mean_spread double, mean_quote_imbalance double, flow_imbalance double"
     )
-    names = [c.split()[0] for c in schema.split(", ")]
-    fold = pr.Fold(pr.signed_bar_step(interval_s), pr.SIGNED_BAR_INITIAL, pr.SIGNED_BAR_STATE, ["us", "kind", "seq"], names)
-    return _fold(ticks.withColumn("us", F.unix_micros("ts")), ["symbol"], fold, schema)
+    return _fold(ticks.withColumn("us", F.unix_micros("ts")), ["symbol"], pr.SignedBars(interval_s), schema)
 
 
 def stream_quote_gaps(arrivals: DataFrame) -> DataFrame:

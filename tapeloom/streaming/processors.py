@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,59 +135,63 @@ class Fold(StatefulProcessor):
         yield pd.DataFrame(out, columns=self.columns)
 
 
-# ---------------------------------------------------------------- folds
-def signed_bar_step(interval_s: int) -> Callable:
-    """Left-labelled bar with signed flow; a row of a later interval (or a clock row) closes the open bar.
+class SignedBars(StatefulProcessor):
+    """Left-labelled bars with signed flow, a micro-batch at a time on whole columns.
 
-    State: bar start, last bid, last ask, last price, then the open bar's
-    open, high, low, close, volume, notional, count, spread sum and count,
-    imbalance sum and count, buy volume, sell volume.
+    Keyed by symbol. The state is the open bar's tally and the last quote and price.
+    A bar is emitted when a row of a later interval (or a clock row) arrives.
     """
-    step = interval_s * US
-    empty = (0.0, -1e30, 1e30, 0.0, 0.0, 0.0, 0, 0.0, 0, 0.0, 0, 0.0, 0.0)
 
-    def close(symbol: str, start: int, acc: tuple) -> list[tuple]:
-        o, h, lo, c, v, m, n, ss, sn, qs, qn, buy, sell = acc
-        if not n:
-            return []
-        flow = (buy - sell) / (buy + sell) if buy + sell else 0.0
-        return [(symbol, pd.Timestamp(start, unit="us"), o, h, lo, c, v, m / v if v else c, n, ss / sn if sn else 0.0, qs / qn if qn else 0.0, flow)]
+    HOW = {
+        "open": "first", "high": "max", "low": "min", "close": "last", "volume": "sum", "notional": "sum", "trades": "sum",
+        "spread": "sum", "spreads": "sum", "tilt": "sum", "tilts": "sum", "bought": "sum", "sold": "sum",
+    }
+    STATE = "bar long, bid double, ask double, price double, " + ", ".join(f"{c} double" for c in HOW)
+    OUT = ["symbol", "ts", "open", "high", "low", "close", "volume", "vwap", "trade_count", "mean_spread", "mean_quote_imbalance", "flow_imbalance"]
 
-    def run(key, state, row):
-        start, bid, ask, last, *acc = state
-        acc, out = tuple(acc), []
-        us = int(row.us)
-        bar = us - us % step
-        if bar > start:
-            out = close(key[0], start, acc) if start >= 0 else []
-            start, acc = bar, empty
-        o, h, lo, c, v, m, n, ss, sn, qs, qn, buy, sell = acc
-        if row.kind == 0:
-            bid, ask = row.bid, row.ask
-            if bid > 0 and ask > 0:
-                ss, sn = ss + ask - bid, sn + 1
-            depth = row.bid_size + row.ask_size
-            if depth > 0:
-                qs, qn = qs + (row.bid_size - row.ask_size) / depth, qn + 1
-        elif row.kind == 1:
-            p, z = row.price, row.size
-            o = p if n == 0 else o
-            h, lo, c, v, m, n = max(h, p), min(lo, p), p, v + z, m + p * z, n + 1
-            up = (ask > 0 and p >= ask) or (not (bid > 0 and p <= bid) and last > 0 and p > last)
-            down = not up and ((bid > 0 and p <= bid) or (last > 0 and p < last))
-            buy, sell, last = buy + z * up, sell + z * down, p
-        return (start, bid, ask, last, o, h, lo, c, v, m, n, ss, sn, qs, qn, buy, sell), out
-
-    return run
+    def __init__(self, interval_s: int):
+        self.step = interval_s * US
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.STATE)
 
-SIGNED_BAR_INITIAL = (-1, 0.0, 0.0, 0.0, 0.0, -1e30, 1e30, 0.0, 0.0, 0.0, 0, 0.0, 0, 0.0, 0, 0.0, 0.0)
-SIGNED_BAR_STATE = (
-    "start long, bid double, ask double, last double, o double, h double, lo double, c double, v double, m double, n long, "
-    "ss double, sn long, qs double, qn long, buy double, sell double"
-)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ticks = pd.concat(list(rows)).sort_values(["us", "kind", "seq"], kind="stable", ignore_index=True)
+        bar, bid, ask, price, *open_bar = self.state.get() if self.state.exists() else (-1, 0.0, 0.0, 0.0, *[None] * len(self.HOW))
+        known = {c: ticks[c].where(ticks["kind"] == k).ffill().fillna(v) for c, k, v in (("bid", 0, bid), ("ask", 0, ask), ("price", 1, price))}
+        before = known["price"].shift(fill_value=price)
+        label = (ticks["us"] // self.step * self.step).cummax().clip(lower=bar)
+        tallies = self._columns(ticks, known["bid"], known["ask"], before).groupby(label).agg(self.HOW)
+        carried = pd.DataFrame([open_bar], columns=list(self.HOW), index=[bar], dtype="float64")
+        tallies = pd.concat([carried, tallies]).groupby(level=0).agg(self.HOW)
+        last = tallies.iloc[-1]
+        self.state.update((int(tallies.index[-1]), *[float(known[c].iloc[-1]) for c in ("bid", "ask", "price")], *map(float, last)))
+        yield self._bars(key[0], tallies.iloc[:-1])
+
+    @staticmethod
+    def _columns(t: pd.DataFrame, bid: pd.Series, ask: pd.Series, before: pd.Series) -> pd.DataFrame:
+        quote, trade, px = t["kind"] == 0, t["kind"] == 1, t["price"]
+        side = np.select([(ask > 0) & (px >= ask), (bid > 0) & (px <= bid), before > 0], [1.0, -1.0, np.sign(px - before)], 0.0)
+        depth = t["bid_size"] + t["ask_size"]
+        two, deep = quote & (t["bid"] > 0) & (t["ask"] > 0), quote & (depth > 0)
+        px, size = px.where(trade), t["size"].where(trade, 0.0)
+        return pd.DataFrame({
+            "open": px, "high": px, "low": px, "close": px, "volume": size, "notional": px * size, "trades": trade.astype(float),
+            "spread": (t["ask"] - t["bid"]).where(two), "spreads": two.astype(float), "tilt": ((t["bid_size"] - t["ask_size"]) / depth).where(deep), "tilts": deep.astype(float),
+            "bought": size.where(side > 0, 0.0), "sold": size.where(side < 0, 0.0),
+        })
+
+    def _bars(self, symbol: str, t: pd.DataFrame) -> pd.DataFrame:
+        t = t[t["trades"] > 0]
+        mean = lambda total, n, other: (total / n).where(n > 0, other)
+        out = t[["open", "high", "low", "close", "volume"]].assign(
+            symbol=symbol, ts=pd.to_datetime(t.index, unit="us"), vwap=mean(t["notional"], t["volume"], t["close"]), trade_count=t["trades"].astype("int64"),
+            mean_spread=mean(t["spread"], t["spreads"], 0.0), mean_quote_imbalance=mean(t["tilt"], t["tilts"], 0.0), flow_imbalance=mean(t["bought"] - t["sold"], t["bought"] + t["sold"], 0.0),
+        )
+        return out[self.OUT]
 
 
+# ---------------------------------------------------------------- folds
 def gap_step(key, state, row):
     """Gap of each quote to the newest earlier stamp; out-of-order stamps give none and move nothing."""
     (newest,) = state
@@ -223,16 +228,19 @@ def bracket_step(key, state, row):
 
 
 def fill_step(key, state, row):
-    """Signed position with blended entry; a reducing fill emits a closed trade, a flip keeps the entry."""
-    qty, entry, opened = state
-    delta = int(row.qty) if row.side == "buy" else -int(row.qty)
-    if qty == 0:
-        return (delta, float(row.price), int(row.us)), []
-    out, new = [], qty + delta
-    if (qty > 0) != (delta > 0):
-        closed = min(abs(delta), abs(qty))
-        pnl = (row.price - entry) * closed * (1 if qty > 0 else -1)
-        out = [(key[0], "long" if qty > 0 else "short", closed, pd.Timestamp(opened, unit="us"), pd.Timestamp(int(row.us), unit="us"), entry, float(row.price), float(pnl))]
-    elif new:
-        entry = (entry * qty + row.price * delta) / new
-    return (new, entry, opened), out
+    """Signed position with its average entry; what a fill takes off the position is a closed trade.
+
+    A fill that turns the position round keeps the entry price and time of the old one.
+    """
+    held, entry, since = state
+    px, at = float(row.price), int(row.us)
+    signed = int(row.qty) * (1 if row.side == "buy" else -1)
+    if not held:
+        return (signed, px, at), []
+    after = held + signed
+    if held * signed > 0:
+        return (after, (entry * held + px * signed) / after, since), []
+    closed = min(abs(signed), abs(held))
+    side, gain = ("long", px - entry) if held > 0 else ("short", entry - px)
+    trade = (key[0], side, closed, pd.Timestamp(since, unit="us"), pd.Timestamp(at, unit="us"), entry, px, gain * closed)
+    return (after, entry, since), [trade]

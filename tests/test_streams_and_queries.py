@@ -41,7 +41,7 @@ def test_book_files(spark, tmp_path):
     got = fs.load_book_pair(spark, str(tmp_path / "ob.csv"), str(tmp_path / "msg.csv"), 2).orderBy("seq").collect()
     assert got[0].buy_flow == 10 and got[1].buy_flow == 0 and got[1].sell_flow == 0 and got[0].levels[1].bid_p == 98
     (tmp_path / "short.csv").write_text("34200.1,4,1,10,1010000,-1\n")
-    with pytest.raises(Exception, match="row mismatch"):
+    with pytest.raises(Exception, match="differ in length"):
         fs.load_book_pair(spark, str(tmp_path / "ob.csv"), str(tmp_path / "short.csv"), 2).collect()
     (tmp_path / "fi.txt").write_text("\n".join(" ".join(str(r * 10 + c) for c in range(3)) for r in range(9)))
     m = fs.load_transposed_book(spark, str(tmp_path / "fi.txt"), 2, 2).orderBy("seq").collect()
