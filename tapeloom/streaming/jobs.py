@@ -15,7 +15,7 @@ from tapeloom.streaming import processors as pr
 TICK_GRACE = "250 milliseconds"
 BAR_SCHEMA = (
     "symbol string, session_date date, ts timestamp, open double, high double, low double, close double, volume double, n_trades double, "
-    "vwap double, bid double, ask double, bid_size double, ask_size double, spread double"
+    "vwap double, bid double, ask double, bid_size double, ask_size double, spread double, late_trades long"
 )
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,7 +41,7 @@ def stream_bars(ticks: DataFrame, spec: BarSpec = BarSpec(), grace: str = TICK_G
         statefulProcessor=pr.BarState(spec), outputStructType=BAR_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
     numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
-    return out.select("symbol", "session_date", "ts", *[no_nan(c).alias(c) for c in numbers])
+    return out.select("symbol", "session_date", "ts", *[no_nan(c).alias(c) for c in numbers], "late_trades")
 
 
 def _fold(df: DataFrame, keys: list[str], processor: pr.Fold | pr.SignedBars, schema: str) -> DataFrame:

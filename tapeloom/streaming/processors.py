@@ -8,6 +8,7 @@ as a whole has moved on.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,13 +30,15 @@ class BarState(StatefulProcessor):
 
     Keyed by (symbol, session_date). A label is emitted once the watermark has
     passed it, whether or not anything traded in it; the grid starts at the
-    first trade label. Rows behind the watermark are dropped by the engine and
-    show up in its dropped-rows metric.
+    first trade label. A trade whose label lies before the next one to emit is
+    left out and counted (``late_trades`` of the following bars); rows behind the
+    watermark are dropped by the engine and show up in its dropped-rows metric.
+    The newest quote of a label wins, in whatever order quotes arrive.
     """
 
     CELL = "open double, high double, low double, close double, volume double, notional double, n double"
-    QUOTE = "bid double, ask double, bid_size double, ask_size double"
-    OUT = ["symbol", "session_date", "ts", "open", "high", "low", "close", "volume", "n_trades", "vwap", "bid", "ask", "bid_size", "ask_size", "spread"]
+    QUOTE = "us long, seq long, bid double, ask double, bid_size double, ask_size double"
+    OUT = ["symbol", "session_date", "ts", "open", "high", "low", "close", "volume", "n_trades", "vwap", "bid", "ask", "bid_size", "ask_size", "spread", "late_trades"]
 
     def __init__(self, spec: BarSpec):
         self.step = spec.interval_s * US
@@ -47,22 +50,34 @@ class BarState(StatefulProcessor):
         self.cells = handle.getMapState("cells", "label long", self.CELL)
         self.quotes = handle.getMapState("quotes", "label long", self.QUOTE)
         self.clock = handle.getValueState("clock", "grid_start long, next_emit long")
+        self.late = handle.getValueState("late", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         us = to_us(batch["ts"])
         batch = batch.assign(label=us + (-us) % self.step)
+        batch = batch.assign(us=us)
         fresh = not self.clock.exists()
         for row in batch.itertuples():
             label = (int(row.label),)
             if row.kind == 1:
-                self._trade(label, row)
+                if self.clock.exists() and label[0] < self.clock.get()[1]:
+                    self.late.update((self._n_late() + 1,))
+                else:
+                    self._trade(label, row)
             elif row.kind == 0 and row.bid > 0 and row.ask > 0 and row.ask >= row.bid:
-                self.quotes.updateValue(label, (row.bid, row.ask, row.bid_size, row.ask_size))
+                self._quote(label, (int(row.us), int(row.seq), row.bid, row.ask, row.bid_size, row.ask_size))
         if fresh and self.clock.exists():
             self._wake(self.clock.get()[1])
         return iter(())
 
+    def _n_late(self) -> int:
+        return self.late.get()[0] if self.late.exists() else 0
+
+    def _quote(self, label: tuple, quote: tuple) -> None:
+        if not self.quotes.containsKey(label) or tuple(self.quotes.getValue(label))[:2] <= quote[:2]:
+            self.quotes.updateValue(label, quote)
+
     def _trade(self, label: tuple, row) -> None:
         if not self.clock.exists():
             self.clock.update((label[0], label[0]))
@@ -79,11 +94,12 @@ class BarState(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         start, label = self.clock.get()
-        end = int(pd.Timestamp(key[1]).tz_localize(self.zone).tz_convert("UTC").value // 1000) + 86400 * US
-        known = {k[0]: v for k, v in self.quotes.iterator()}
+        end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).tz_localize(self.zone).tz_convert("UTC").value // 1000)  # the next local midnight
+        known = {k[0]: tuple(v)[2:] for k, v in self.quotes.iterator()}
+        labels, late = sorted(known), self._n_late()
         out = []
         while label <= now and label < end:
-            out.append(self._row(key, label, start, known))
+            out.append((*self._row(key, label, start, known, labels), late))
             label += self.step
         for old in [k for k in known if k < label - self.stale]:
             self.quotes.removeKey((old,))
@@ -98,15 +114,16 @@ class BarState(StatefulProcessor):
         second = to_us(local) - to_us(local.dt.normalize())
         yield frame[(second >= self.open_us) & (second < self.close_us)]
 
-    def _row(self, key, label: int, start: int, quotes: dict) -> tuple:
+    def _row(self, key, label: int, start: int, quotes: dict, labels: list[int]) -> tuple:
         none = float("nan")
         cell = (none, none, none, none, 0.0, 0.0, 0.0)
         if self.cells.containsKey((label,)):
             cell = self.cells.getValue((label,))
             self.cells.removeKey((label,))
         o, h, lo, c, v, m, n = cell
-        usable = [k for k in quotes if max(start, label - self.stale) <= k <= label]
-        bid, ask, bs, az = quotes[max(usable)] if usable else (none,) * 4
+        i = bisect_right(labels, label) - 1
+        fresh = i >= 0 and labels[i] >= max(start, label - self.stale)
+        bid, ask, bs, az = quotes[labels[i]] if fresh else (none,) * 4
         ts = pd.Timestamp(label, unit="us")
         return (key[0], key[1], ts, o, h, lo, c, v, n, m / v if v else none, bid, ask, bs, az, ask - bid)
 

@@ -82,3 +82,61 @@ def test_damaged_batches_fail_and_empty_markers_do_not(spark, tmp_path):
         raise AssertionError("a damaged file was skipped")
     except Exception as e:
         assert "damaged file was skipped" not in str(e)
+
+
+class Value:
+    def __init__(self):
+        self.v = None
+
+    exists = lambda self: self.v is not None
+    get = lambda self: self.v
+
+    def update(self, v):
+        self.v = v
+
+
+class Keyed(dict):
+    containsKey, getValue, updateValue, iterator, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, lambda self: iter(list(self.items())), dict.pop
+
+
+class Handle:
+    def __init__(self):
+        self.made = {}
+
+    def getMapState(self, name, *_):
+        return self.made.setdefault(name, Keyed())
+
+    def getValueState(self, name, *_):
+        return self.made.setdefault(name, Value())
+
+    def registerTimer(self, ms):
+        self.timer = ms
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_streamed_bars_count_late_trades_and_keep_the_newest_quote():
+    import pandas as pd
+
+    from tapeloom.config import BarSpec
+    from tapeloom.streaming.processors import BarState
+
+    t0 = pd.Timestamp("2024-01-02 14:30:00")
+
+    def rows(*r):
+        cols = ["ts", "seq", "kind", "price", "size", "bid", "ask", "bid_size", "ask_size"]
+        return iter([pd.DataFrame([(t0 + pd.Timedelta(seconds=s), q, k, p, 1.0, b, None if b is None else b + 1, 1.0, 1.0) for s, q, k, p, b in r], columns=cols)])
+
+    key, state = ("S", date(2024, 1, 2)), BarState(BarSpec(interval_s=1))
+    state.init(Handle())
+    list(state.handleInputRows(key, rows((10.05, 1, 1, 5.0, None), (10.5, 4, 0, None, 4.0)), None))
+    list(state.handleInputRows(key, rows((9.95, 2, 1, 9.0, None), (10.2, 3, 0, None, 3.0), (10.7, 5, 1, 6.0, None)), None))
+    out = pd.concat(state.handleExpiredTimer(key, Now(int(t0.timestamp() * 1000) + 12_000), None))
+    first = out.iloc[0]
+    assert (first["open"], first["close"], first["n_trades"], first["bid"], first["late_trades"]) == (5.0, 6.0, 2.0, 4.0, 1)
