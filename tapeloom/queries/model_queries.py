@@ -78,7 +78,7 @@ def _decisions(spark, sf):
     names = bf.feature_names(FEATURES)
     model = tr.fit_entry_model(rows, names, max_iter=3)
     history, sink, mark = (fs.scratch_path(spark, n) for n in ("history", "decisions", "mark"))
-    q = jobs.decision_stream(jobs.replay(t, "ts", 2), history, lambda b: tr.decide(b, model, names, CFG), sink, mark, keep_rows=86400)
+    q = jobs.decision_stream(jobs.replay(t, "ts", 2), history, lambda b: tr.decide(b, model, names, CFG), sink, mark)
     q.awaitTermination()
     return rounded(spark.read.parquet(sink).drop("batch"), 4)
 
