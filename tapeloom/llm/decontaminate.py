@@ -42,7 +42,7 @@ UNITS = frozenset(
     "% percent degree degrees dollar dollars cent cents euro euros usd eur gbp yen".split()
 )
 _BITS = 26  # of the bit table: 8 MB
-_CACHE = 400_000
+_CACHE = 120_000
 
 
 @dataclass(frozen=True)
@@ -198,7 +198,7 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     kind = docs.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_chunks(batches, "text", 4 << 20):
+        for part in by_chunks(batches, "text", 1 << 20):
             ids, keys = part.column("doc_id"), part.column("doc_key")
             for at, own, place, h, w, parts in windows(part.column("text").to_pylist(), sizes, cfg.literals):
                 slot = h & ((1 << _BITS) - 1)

@@ -31,7 +31,7 @@ from tapeloom.llm.common import by_chunks
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Spacing other than single inner blanks and newlines; such texts are encoded whole.
 _ODD = re.compile(r"[^\S \n]|  | \n|\n |\n\n|\A[ \n]|[ \n]\Z")
-_CACHE = 400_000  # words a worker remembers before it starts over
+_CACHE = 120_000  # words a worker remembers before it starts over
 
 
 @dataclass(frozen=True)
@@ -198,7 +198,7 @@ def pack_documents(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame
             held, held_bytes = [], 0
             return out
 
-        for part in by_chunks(batches, "text", 4 << 20):
+        for part in by_chunks(batches, "text", 1 << 20):
             id_type = part.column("doc_id").type
             for at, doc, text in zip(*(part.column(c).to_pylist() for c in ("shard", "doc_id", "text"))):
                 if at != shard:

@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int, also: tuple[str, ...] = ()) -> D
     names = ["doc_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_chunks(batches, "text", 8 << 20):
+        for part in by_chunks(batches, "text", 2 << 20):
             fps = np.fromiter((fingerprint(t, shingle) for t in text_bytes(part.column("text"))), np.int64, part.num_rows)
             yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(fps)], [*names, "fp"])
 

@@ -100,7 +100,7 @@ def informative_words(rows: DataFrame, cfg: ToxicityConfig) -> list[str]:
     """Words whose document frequency differs between the labels, and all identity terms that occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_chunks(batches, "text", 8 << 20):
+        for part in by_chunks(batches, "text", 2 << 20):
             seen: tuple[Counter, Counter] = Counter(), Counter()
             for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 seen[toxic].update(words_in(text))
@@ -180,7 +180,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Tox
     number = {w: i for i, w in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_chunks(batches, "text", 8 << 20):
+        for part in by_chunks(batches, "text", 2 << 20):
             texts = part.column("text").to_pylist()
             found = [sorted(number[w] for w in words_in(t) & number.keys()) for t in texts]
             swapped = [[number.get(w, -1) for pair in swaps(t) for w in pair] for t in texts]
@@ -212,7 +212,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, cfg: ToxicityConfig =
     kind = docs.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_chunks(batches, "text", 8 << 20):
+        for part in by_chunks(batches, "text", 2 << 20):
             score = [score_text(t or "", sent.value) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
