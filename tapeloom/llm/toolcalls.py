@@ -5,8 +5,8 @@ depend on; their order must put every call after its dependencies. Calls are alr
 ordered if every dependency stands earlier, which is the rule, so only dependencies
 that stand later cost work: ``level`` counts, along the worst path, how many of them
 lead to a call, and (level, turn, id) is then a topological order. Only the
-conversations with such a dependency take part in the rounds that find levels; a
-level above the number of late dependencies means a cycle.
+conversations with such a dependency take part in finding levels: chains of calls
+with one dependency are followed by doubling, the rest is what forks.
 
 Arguments are parsed to variants, checked against the tool's parameters, and written
 with sorted keys and no spaces. Rows of a conversation are never gathered: orders are
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import cut
 
 _ID = ["conv_id", "call_id"]
+_ENDLESS = 1 << 40  # level of calls on or behind a cycle, above the number of edges
 
 
 @dataclass(frozen=True)
 class ToolCallConfig:
-    """rounds: most relaxation rounds; a dependency path that is longer is reported as ``deep``."""
+    """rounds: if set, levels above it are reported as ``deep``; they are found in any case."""
 
-    rounds: int = 200
+    rounds: int | None = None
 
 
 def _same(l: str, r: str, columns: list[str]) -> Column:  # noqa: E741
@@ -77,30 +78,85 @@ def call_levels(calls: DataFrame, cfg: ToolCallConfig) -> DataFrame:
     """(conv_id, call_id, level int, order_error) of the calls in conversations with late dependencies.
 
     ``calls(conv_id, call_id, turn, after array)``, one row per id. order_error is
-    ``cycle`` for calls on or behind a cycle (their level is null), ``deep`` beyond
-    the rounds, else null.
+    ``cycle`` for calls on or behind a cycle (their level is null), ``deep`` for levels
+    beyond ``rounds`` if that is set, else null.
     """
     known = calls.select(*_ID, "turn")
-    edges = calls.select(*_ID, "turn", F.explode(F.array_distinct("after")).alias("on"))
-    edges = edges.alias("e").join(known.alias("k"), F.col("e.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("e.on") == F.col("k.call_id")))
-    late = (F.struct("k.turn", "k.call_id") >= F.struct("e.turn", "e.call_id")).cast("int").alias("late")
-    edges = cut(edges.select("e.conv_id", "e.call_id", "on", late))
-    odd = cut(edges.groupBy("conv_id").agg(F.sum("late").alias("n_late")).where("n_late > 0"))
-    edges = cut(edges.alias("e").join(odd.alias("o"), _same("e", "o", ["conv_id"])).select("e.*"))
-    level = calls.alias("c").join(odd.alias("o"), _same("c", "o", ["conv_id"])).select("c.conv_id", "c.call_id", F.lit(0).alias("level"), "n_late", F.lit(True).alias("moved"))
-    level = cut(level)
-    for _ in range(cfg.rounds):
-        # only calls that moved in the last round can push others
-        moved = level.where("moved").select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("from"))
-        if moved.isEmpty():
+    edges = calls.select(*_ID, "turn", F.explode(F.array_distinct("after")).alias("to"))
+    edges = edges.alias("e").join(known.alias("k"), F.col("e.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("e.to") == F.col("k.call_id")))
+    late = (F.struct("k.turn", "k.call_id") >= F.struct("e.turn", "e.call_id")).cast("long").alias("w")
+    edges = cut(edges.select("e.conv_id", "e.call_id", "to", late))
+    odd = edges.where("w > 0").select("conv_id").distinct()
+    edges = edges.alias("e").join(odd.alias("o"), _same("e", "o", ["conv_id"]), "left_semi")
+    nodes = known.alias("k").join(odd.alias("o"), _same("k", "o", ["conv_id"]), "left_semi").select(*_ID, F.lit(0).cast("long").alias("base"))
+    level = _longest(nodes, edges)
+    cyclic = F.col("level") >= _ENDLESS
+    deep = F.lit(False) if cfg.rounds is None else F.col("level") > cfg.rounds
+    return level.select(*_ID, F.when(~cyclic, F.col("level")).cast("int").alias("level"), F.when(cyclic, "cycle").when(deep, "deep").alias("order_error"))
+
+
+def _longest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of ``nodes(conv_id, call_id, base)``: the heaviest path along ``edges(conv_id, call_id, to, w)``.
+
+    level = max(base, level(to) + w over the edges), ``_ENDLESS`` or more where a path
+    meets a cycle. In every round each node with at most one edge leaves the graph: it
+    is followed to the first node with more edges (or to an end, or round a cycle) and
+    the edges that led to it are led on. Nodes are left as long as paths fork, so
+    chains and trees take a logarithmic number of rounds; no round forgets a path.
+    """
+    gone: list[DataFrame] = []
+    while True:
+        # parallel edges are one; a node that needs itself needs nothing else
+        edges = edges.groupBy(*_ID, "to").agg(F.max("w").alias("w"))
+        out = edges.groupBy(*_ID).agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to"), F.max("w").alias("w"), F.max(F.col("to") == F.col("call_id")).alias("own"))
+        endless = F.coalesce("own", F.lit(False)) | (F.col("base") >= _ENDLESS)
+        nodes = nodes.alias("v").join(out.alias("o"), _same("v", "o", _ID), "left").select("v.conv_id", "v.call_id", F.when(endless, _ENDLESS).otherwise(F.col("base")).alias("base"), F.when(endless, 0).otherwise(F.coalesce("n", F.lit(0))).alias("n"), "to", "w")
+        nodes, edges = cut(nodes), cut(edges)
+        if nodes.where("n = 0").isEmpty():  # every path goes on for ever
+            left = nodes.select(*_ID, F.lit(_ENDLESS).alias("base"))
+            break
+        thin = _followed(nodes.where("n < 2"))
+        gone.append(thin)
+        if nodes.where("n > 1").isEmpty():
+            left = None
             break
-        push = edges.alias("e").join(moved.alias("m"), _same("e", "m", ["conv_id"]) & (F.col("e.on") == F.col("m.on")))
-        push = push.groupBy("e.conv_id", "e.call_id").agg(F.max(F.col("from") + F.col("late")).alias("to"))
-        joined = level.alias("l").join(push.alias("p"), _same("l", "p", _ID), "left").select("l.conv_id", "l.call_id", "level", "n_late", "to")
-        up = F.col("to").isNotNull() & (F.least("to", F.col("n_late") + 1) > F.col("level"))
-        level = cut(joined.select(*_ID, F.when(up, F.least("to", F.col("n_late") + 1)).otherwise(F.col("level")).cast("int").alias("level"), "n_late", up.alias("moved")))
-    cyclic = F.col("level") > F.col("n_late")
-    return level.select(*_ID, F.when(~cyclic, F.col("level")).alias("level"), F.when(cyclic, "cycle").when(F.col("moved"), "deep").alias("order_error"))
+        fork = nodes.where("n > 1").select(*_ID, "base")
+        own = edges.alias("e").join(fork.alias("f"), _same("e", "f", _ID), "left_semi")
+        led = own.alias("e").join(thin.alias("t"), F.col("e.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("e.to") == F.col("t.call_id")), "left")
+        led = cut(led.select("e.conv_id", "e.call_id", F.when(F.col("t.call_id").isNull(), F.col("e.to")).otherwise(F.col("t.to")).alias("to"), (F.col("e.w") + F.coalesce("t.w", F.lit(0))).alias("w"), (F.col("e.w") + F.col("t.base")).alias("base")))
+        best = led.groupBy(*_ID).agg(F.max("base").alias("base"))
+        nodes = fork.alias("f").join(best.alias("b"), _same("f", "b", _ID)).select("f.conv_id", "f.call_id", F.greatest("f.base", "b.base").alias("base"))
+        edges = led.where("to is not null").select(*_ID, "to", "w")
+    done = left
+    for thin in reversed(gone):  # what a round followed to a fork is known once the fork is
+        if done is None:
+            done = thin.select(*_ID, "base")
+            continue
+        ended = thin.where("to is null").select(*_ID, "base")
+        open_ = thin.where("to is not null").alias("t").join(done.alias("d"), F.col("t.conv_id").eqNullSafe(F.col("d.conv_id")) & (F.col("t.to") == F.col("d.call_id")))
+        done = cut(done.unionByName(ended).unionByName(open_.select("t.conv_id", "t.call_id", F.greatest("t.base", F.col("d.base") + F.col("t.w")).alias("base"))))
+    return done.withColumnRenamed("base", "level")
+
+
+def _followed(thin: DataFrame) -> DataFrame:
+    """``thin(conv_id, call_id, base, n, to, w)`` with n of at most 1, each followed as far as there are such nodes.
+
+    Afterwards level = max(base, level(to) + w), where ``to`` is not in ``thin``, or base
+    where it is null. Every round doubles the followed length; what is still inside
+    after as many steps as there are nodes runs round a cycle.
+    """
+    first = thin.select(*_ID, "base", F.when(F.col("n") > 0, F.col("to")).alias("to"), F.when(F.col("n") > 0, F.col("w")).otherwise(0).alias("w"))
+    inside = first.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("inside"))
+    at = first.alias("a").join(inside.alias("i"), F.col("a.conv_id").eqNullSafe(F.col("i.conv_id")) & (F.col("a.to") == F.col("i.to")), "left")
+    at = cut(at.select("a.conv_id", "a.call_id", "base", "a.to", "w", F.coalesce("inside", F.lit(False)).alias("open")))
+    longest = at.groupBy("conv_id").agg(F.count_if(F.col("open")).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        ahead = at.where("open").alias("a").join(at.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.to") == F.col("b.call_id")))
+        ahead = ahead.select("a.conv_id", "a.call_id", F.greatest("a.base", F.col("b.base") + F.col("a.w")).alias("base"), "b.to", (F.col("a.w") + F.col("b.w")).alias("w"), "b.open")
+        at = cut(at.where("not open").unionByName(ahead))
+        if at.where("open").isEmpty():
+            return at.drop("open")
+    return at.select(*_ID, F.when(F.col("open"), _ENDLESS).otherwise(F.col("base")).alias("base"), F.when(~F.col("open"), F.col("to")).alias("to"), "w")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, cfg: ToolCallConfig = ToolCallConfig()) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -87,3 +88,31 @@ def test_json_of_conversations_is_canonical(spark):
         body = json.loads(r.json)
         assert r.json == json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         assert body["errors"] == r.errors and body["level"] == r.level
+
+
+def levels(calls):
+    """(level or None) by id of ``{id: (turn, after)}``, call by call."""
+    out, todo = {}, dict(calls)
+    while ready := [c for c, (_, after) in todo.items() if all(d in out for d in after if d in calls)]:
+        for c in ready:
+            t, after = todo.pop(c)
+            out[c] = max((out[d] + ((calls[d][0], d) >= (t, c)) for d in after if d in calls), default=0)
+    return {**out, **dict.fromkeys(todo)}
+
+
+def test_levels_are_exact_however_long_the_paths_and_many_the_cycles(spark):
+    rng = random.Random(4)
+    chain = {"c%03d" % i: (i, ["c%03d" % (i - 1)] if i > 1 else ["c999"] if i else []) for i in range(300)} | {"c999": (999, [])}
+    pairs = {f"p{i}": (i, [f"p{i ^ 1}"]) for i in range(240)}  # 120 cycles, each with one late dependency
+    shapes = [chain, pairs]
+    for forks in (1, 2):
+        ids = [f"n{i}" for i in range(12)]
+        shapes.append({c: (rng.randrange(9), rng.sample(ids, rng.randrange(forks + 1))) for c in ids})
+        order = rng.sample(range(12), 12)  # no cycles, but turns in any order
+        shapes.append({ids[i]: (order[i], [ids[j] for j in rng.sample(range(i), min(i, rng.randrange(forks + 1)))]) for i in range(12)})
+    calls = [(v, c, t, "t", "{}", after) for v, shape in enumerate(shapes) for c, (t, after) in shape.items()]
+    got = {(r.conv_id, r.call_id): r for r in link_tool_calls(*frames(spark, calls)).collect()}
+    for v, shape in enumerate(shapes):
+        for c, level in levels(shape).items():
+            assert got[v, c].level == level and ("cycle" in got[v, c].errors) == (level is None) and "deep" not in got[v, c].errors, (v, c)
+    assert got[0, "c299"].level == 1 and got[1, "p0"].level is None
