@@ -3,10 +3,11 @@
 Numbers, names and units of a text become typed placeholders; what is left is its
 template. Windows of template words are hashed and joined between documents and
 benchmark items, so a question whose values were exchanged still matches. The
-values then have to tell one story: within a document, each value of the item must
+values then have to tell one story: within an occurrence, each value of the item must
 stand for one value, and no two values of the item for the same one; windows that
-break this don't count. An item is found in a document if the consistent windows
-cover enough of its windows.
+break this don't count. Windows that follow each other in the item and the document
+alike are an occurrence; so is the whole document, for items that are taken apart. An
+item is found in a document if the consistent windows of one cover enough of its windows.
 
 Documents meet the join with few rows: a bit table of the item windows' hashes (a
 fixed size, made by Spark) is sent to the tasks, and only windows whose bit is set
@@ -167,24 +168,35 @@ def _item_windows(items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     return rows.mapInArrow(run, f"item_id {kind.simpleString()}, item_key long, n_item long, item_at long, size long, h long, item_slots array<string>")
 
 
-def consistent(pdf: pd.DataFrame) -> tuple[int, int]:
-    """(item windows with a consistent match, slots whose value differs) of one document and item.
+def consistent(rows: list[tuple[int, list[str], list[str]]]) -> tuple[int, int]:
+    """(item windows with a consistent match, slots whose value differs) of one occurrence's (item_at, item_slots, doc_slots).
 
-    Every match votes for the pairs (item value, document value) of its slots; an
-    item value stands for its most voted partner, if it is that partner's most voted
-    one as well. A window counts if all slots of one of its matches agree.
+    Every match votes for the pairs (item value, document value) of its slots, equal
+    ones once; an item value stands for its most voted partner, if it is that partner's
+    most voted one as well. A window counts if all slots of one of its matches agree.
     """
-    votes = Counter((a, b) for xs, ys in zip(pdf["item_slots"], pdf["doc_slots"]) for a, b in zip(xs, ys))
+    rows = {(at, tuple(xs), tuple(ys)) for at, xs, ys in rows}
+    votes = Counter((a, b) for _, xs, ys in rows for a, b in zip(xs, ys))
     there, back = defaultdict(list), defaultdict(list)
     for (a, b), n in votes.items():
         there[a].append((-n, a != b, b))
         back[b].append((-n, a != b, a))
     stands = {a: min(x)[2] for a, x in there.items()}
     stands = {a: b for a, b in stands.items() if min(back[b])[2] == a}
-    good = {at for at, xs, ys in zip(pdf["item_at"], pdf["item_slots"], pdf["doc_slots"]) if all(stands.get(a) == b for a, b in zip(xs, ys))}
+    good = {at for at, xs, ys in rows if all(stands.get(a) == b for a, b in zip(xs, ys))}
     return len(good), sum(a != b for a, b in stands.items())
 
 
+def occurrences(pdf: pd.DataFrame, least: float) -> Iterator[list[tuple[int, list[str], list[str]]]]:
+    """The matches of every place where ``least`` item windows may be: each diagonal, runs of neighbouring ones, and all."""
+    pdf = pdf.assign(diagonal=pdf["doc_at"] - pdf["item_at"]).sort_values("diagonal")
+    run = (pdf["diagonal"].diff() > 1).cumsum()
+    for by in (pdf["diagonal"], run, run * 0):
+        for _, part in pdf.groupby(by):
+            if part["item_at"].nunique() >= least:
+                yield list(zip(part["item_at"], part["item_slots"], part["doc_slots"]))
+
+
 def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     """One row per text (doc_id and hash of the text) and item that is found in it."""
     spark = docs.sparkSession
@@ -205,22 +217,23 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
                 hit = np.flatnonzero((sent.value[slot >> 6] >> (slot & 63)) & 1)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(own[hit])), keys.take(pa.array(own[hit])), pa.array([w] * len(hit), pa.int64()), pa.array(h[hit]), pa.array([_slots(int(a), w, parts) for a in at[hit]], pa.list_(pa.string()))],
-                        ["doc_id", "doc_key", "size", "h", "doc_slots"],
+                        [ids.take(pa.array(own[hit])), keys.take(pa.array(own[hit])), pa.array(place[hit], pa.int64()), pa.array([w] * len(hit), pa.int64()), pa.array(h[hit]), pa.array([_slots(int(a), w, parts) for a in at[hit]], pa.list_(pa.string()))],
+                        ["doc_id", "doc_key", "doc_at", "size", "h", "doc_slots"],
                     )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text").where("text is not null")
-    hits = rows.mapInArrow(run, f"doc_id {kind}, doc_key long, size long, h long, doc_slots array<string>")
-    # a passage repeated inside a document, or its copies, vote once
-    pairs = stored(hits.distinct().join(bench, ["size", "h"]).select("doc_id", "doc_key", "item_id", "item_key", "n_item", "item_at", "item_slots", "doc_slots"))
+    hits = rows.mapInArrow(run, f"doc_id {kind}, doc_key long, doc_at long, size long, h long, doc_slots array<string>")
+    # copies of a document vote once
+    pairs = stored(hits.distinct().join(bench, ["size", "h"]).select("doc_id", "doc_key", "doc_at", "item_id", "item_key", "n_item", "item_at", "item_slots", "doc_slots"))
     group = ["doc_id", "doc_key", "item_id", "item_key"]
     enough = pairs.groupBy(*group).agg(F.count_distinct("item_at").alias("n"), F.max("n_item").alias("of")).where(F.col("n") >= cfg.share * F.col("of")).drop("n", "of")
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in group]
     item_kind = items.select("item_id").dtypes[0][1]
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, changed = consistent(pdf)
-        return pdf[["doc_id", "doc_key", "item_id"]].iloc[:1].assign(n_windows=pdf["n_item"].iloc[:1], n_found=found, n_changed=changed)
+        of = pdf["n_item"].iloc[0]
+        found, changed = max(map(consistent, occurrences(pdf, cfg.share * of)), key=lambda x: (x[0], -x[1]))
+        return pdf[["doc_id", "doc_key", "item_id"]].iloc[:1].assign(n_windows=of, n_found=found, n_changed=changed)
 
     judged = pairs.alias("p").join(enough.alias("e"), on, "left_semi").groupBy(*group).applyInPandas(judge, f"doc_id {kind}, doc_key long, item_id {item_kind}, n_windows long, n_found long, n_changed long")
     return judged.withColumn("share", F.col("n_found") / F.col("n_windows")).where(F.col("share") >= cfg.share)

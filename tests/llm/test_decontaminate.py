@@ -54,3 +54,12 @@ def test_matches_plain_containment_on_tables_without_values(spark):
         want |= {(r.doc_id, i) for i, g in bench.items() if sum(x in own for x in g) >= 0.8 * len(g)}
     got = {(r.doc_id, r.item_id) for r in find_contamination(docs, items, TemplateConfig()).collect()}
     assert got == want and len(want) > 10
+
+
+def test_every_occurrence_tells_its_own_story(spark):
+    item = "Tom has 5 apples and buys 3 more apples today"
+    ann, bob = "Ann has 9 apples and buys 2 more apples today.", "Bob has 4 apples and buys 7 more apples today."
+    others = " ".join(f"Sue has {n} apples and buys {n} more pears now." for n in range(20, 40))
+    docs = spark.createDataFrame([(1, f"{ann} {bob}"), (2, ann), (3, f"{others} {bob} {others}"), (4, others)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.n_found, r.n_changed) for r in find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (6, 5, 2), 2: (6, 5, 2), 3: (6, 5, 2)}
