@@ -51,7 +51,8 @@ class TemplateConfig:
     """window: template words per window; literals: words a window must hold besides placeholders.
 
     share: part of an item's windows that must be found, consistently, in a document.
-    Items shorter than a window form one window of their own length.
+    Items shorter than a window form one window of their own length; items whose
+    windows all hold too few literals form one of all their words and exact values.
     """
 
     window: int = 5
@@ -97,7 +98,8 @@ _known: list[_Words] = []
 def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Template words of all texts in a row: (text number, hash, slot type or 0, spelling number, values).
 
-    A capitalised word is a name unless it opens a sentence; a unit counts only
+    A capitalised word is a name unless it opens a sentence (``windows`` reads those
+    both ways); a unit counts only
     after a number. Words without letters or digits vanish.
     """
     if not _known or len(_known[0]) > _CACHE:
@@ -123,28 +125,64 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return owner, hashes, slot, ids, words.value
 
 
+def _slots(at: int, w: int, parts: tuple, names: tuple = ()) -> list[str]:
+    _, _, slot, ids, value = parts
+    return [f"{slot[i] or CAPITAL}:{value[ids[i]]}" for i in range(at, at + w) if slot[i] or i - at in names]
+
+
+_STEP = 0x9E3779B97F4A7C15
+_WHOLE = 9  # added to the hash of whole exact items
+
+
 def windows(texts: list[str], sizes: list[int], least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each window size: (start, text number, place in its text, hash, size), and the template."""
+    """For each window size: (start, text number, place in its text, hash, offsets read as names, size), and the template.
+
+    A capitalised word that opens a sentence may be a name or not, so a window with such
+    words comes in every reading; what it must hold is counted with them as literals.
+    """
     parts = template(texts)
-    owner, hashes, slot = parts[:3]
+    owner, hashes, slot, ids, _ = parts
     begin = np.searchsorted(owner, owner)  # where each word's text starts
+    opens = (slot == 0) & (np.array(_known[0].kind, np.int8)[ids] == CAPITAL)
     for w in sizes:
         n = len(owner) - w + 1
         if n <= 0:
             continue
         h = np.zeros(n, np.uint64)
         for j in range(w):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
-        h ^= h >> np.uint64(32)
+            h = h * np.uint64(_STEP) + hashes[j : j + n]
         plain = np.concatenate([[0], np.cumsum(slot == 0)])
         ok = (owner[:n] == owner[w - 1 :]) & (plain[w:] - plain[:-w] >= min(least, w))
         at = np.flatnonzero(ok)
-        yield at, owner[at], at - begin[at], h[at].view(np.int64), w, parts
-
-
-def _slots(at: int, w: int, parts: tuple) -> list[str]:
-    _, _, slot, ids, value = parts
-    return [f"{slot[i]}:{value[ids[i]]}" for i in range(at, at + w) if slot[i]]
+        readings = [(at, h[at], ())]
+        for j in range(w):  # each reading so far, and with the word at j as a name too
+            power = np.uint64(pow(_STEP, w - 1 - j, 1 << 64))
+            for at, h, names in list(readings):
+                own = opens[at + j]
+                if own.any():
+                    named = at[own]
+                    readings.append((named, h[own] + (np.uint64(_PLACE[CAPITAL]) - hashes[named + j]) * power, (*names, j)))
+        for at, h, names in readings:
+            yield at, owner[at], at - begin[at], (h ^ (h >> np.uint64(32))).view(np.int64), names, w, parts
+
+
+def whole(texts: list[str], sizes: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Like ``windows`` for runs of exactly the same words and values, in one pass a size whatever its length."""
+    parts = template(texts)
+    owner, ids = parts[0], parts[3]
+    begin = np.searchsorted(owner, owner)
+    values = np.array(_known[0].hash, np.uint64)[ids]
+    up, down = (np.full(len(ids) + 1, k, np.uint64) for k in (_STEP, pow(_STEP, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:-1], dtype=np.uint64)])
+    for w in sizes:
+        n = len(owner) - w + 1
+        if n <= 0:
+            continue
+        at = np.flatnonzero(owner[:n] == owner[w - 1 :])
+        h = (sums[at + w] - sums[at]) * up[at] * np.uint64(_STEP) + np.uint64(_WHOLE)
+        yield at, owner[at], at - begin[at], (h ^ (h >> np.uint64(32))).view(np.int64), (), w, parts
 
 
 def _item_windows(items: DataFrame, cfg: TemplateConfig) -> DataFrame:
@@ -157,15 +195,18 @@ def _item_windows(items: DataFrame, cfg: TemplateConfig) -> DataFrame:
                 size = min(cfg.window, n)
                 if n < cfg.literals:
                     continue
-                for at, _, place, h, w, parts in windows([text], [size], cfg.literals):
-                    rows = [{"item_id": item, "item_key": key, "n_item": len(at), "item_at": int(p), "size": w, "h": int(x), "item_slots": _slots(int(a), w, parts)} for a, p, x in zip(at, place, h)]
+                own = list(windows([text], [size], cfg.literals))
+                usable = len(own[0][0])  # the first reading has every window
+                exact = not usable  # full of values: only all of it, unchanged
+                for at, _, place, h, names, w, parts in whole([text], [n]) if exact else own:
+                    rows = [{"item_id": item, "item_key": key, "n_item": usable or 1, "item_at": int(p), "size": w, "exact": exact, "h": int(x), "item_slots": [] if exact else _slots(int(a), w, parts, names)} for a, p, x in zip(at, place, h)]
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     kind = items.schema["item_id"].dataType
-    arrow = pa.schema([("item_id", to_arrow_type(kind)), ("item_key", pa.int64()), ("n_item", pa.int64()), ("item_at", pa.int64()), ("size", pa.int64()), ("h", pa.int64()), ("item_slots", pa.list_(pa.string()))])
+    arrow = pa.schema([("item_id", to_arrow_type(kind)), ("item_key", pa.int64()), ("n_item", pa.int64()), ("item_at", pa.int64()), ("size", pa.int64()), ("exact", pa.bool_()), ("h", pa.int64()), ("item_slots", pa.list_(pa.string()))])
     rows = items.select("item_id", F.xxhash64("text").alias("item_key"), "text").where("text is not null").distinct()
-    return rows.mapInArrow(run, f"item_id {kind.simpleString()}, item_key long, n_item long, item_at long, size long, h long, item_slots array<string>")
+    return rows.mapInArrow(run, f"item_id {kind.simpleString()}, item_key long, n_item long, item_at long, size long, exact boolean, h long, item_slots array<string>")
 
 
 def consistent(rows: list[tuple[int, list[str], list[str]]]) -> tuple[int, int]:
@@ -201,7 +242,8 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     """One row per text (doc_id and hash of the text) and item that is found in it."""
     spark = docs.sparkSession
     bench = stored(_item_windows(items, cfg))
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most ``window`` values
+    sizes = sorted(tuple(r) for r in bench.select("exact", "size").distinct().collect())  # at most ``window`` values, and the lengths of exact items
+    loose, exact = ([n for kind, n in sizes if kind is want] for want in (False, True))
     low = F.col("h").bitwiseAND((1 << _BITS) - 1)
     words = bench.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()  # 2^20 rows at most
     bits = np.zeros(1 << (_BITS - 6), np.int64)
@@ -212,19 +254,21 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_chunks(batches, "text", 1 << 20):
             ids, keys = part.column("doc_id"), part.column("doc_key")
-            for at, own, place, h, w, parts in windows(part.column("text").to_pylist(), sizes, cfg.literals):
+            texts = part.column("text").to_pylist()
+            every = [(False, x) for x in windows(texts, loose, cfg.literals)] + [(True, x) for x in (whole(texts, exact) if exact else ())]
+            for same, (at, own, place, h, names, w, parts) in every:
                 slot = h & ((1 << _BITS) - 1)
                 hit = np.flatnonzero((sent.value[slot >> 6] >> (slot & 63)) & 1)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(own[hit])), keys.take(pa.array(own[hit])), pa.array(place[hit], pa.int64()), pa.array([w] * len(hit), pa.int64()), pa.array(h[hit]), pa.array([_slots(int(a), w, parts) for a in at[hit]], pa.list_(pa.string()))],
-                        ["doc_id", "doc_key", "doc_at", "size", "h", "doc_slots"],
+                        [ids.take(pa.array(own[hit])), keys.take(pa.array(own[hit])), pa.array(place[hit], pa.int64()), pa.array([w] * len(hit), pa.int64()), pa.array([same] * len(hit), pa.bool_()), pa.array(h[hit]), pa.array([[] if same else _slots(int(a), w, parts, names) for a in at[hit]], pa.list_(pa.string()))],
+                        ["doc_id", "doc_key", "doc_at", "size", "exact", "h", "doc_slots"],
                     )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text").where("text is not null")
-    hits = rows.mapInArrow(run, f"doc_id {kind}, doc_key long, doc_at long, size long, h long, doc_slots array<string>")
+    hits = rows.mapInArrow(run, f"doc_id {kind}, doc_key long, doc_at long, size long, exact boolean, h long, doc_slots array<string>")
     # copies of a document vote once
-    pairs = stored(hits.distinct().join(bench, ["size", "h"]).select("doc_id", "doc_key", "doc_at", "item_id", "item_key", "n_item", "item_at", "item_slots", "doc_slots"))
+    pairs = stored(hits.distinct().join(bench, ["size", "exact", "h"]).select("doc_id", "doc_key", "doc_at", "item_id", "item_key", "n_item", "item_at", "item_slots", "doc_slots"))
     group = ["doc_id", "doc_key", "item_id", "item_key"]
     enough = pairs.groupBy(*group).agg(F.count_distinct("item_at").alias("n"), F.max("n_item").alias("of")).where(F.col("n") >= cfg.share * F.col("of")).drop("n", "of")
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in group]
@@ -245,7 +289,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, cfg: TemplateConfig =
     share is the part of the item's windows found consistently (``share`` at least),
     n_changed the number of exchanged values. Repeated rows and rows with one id but
     different texts give one row with the best match. Null texts match nothing; a
-    null id is reported as null; items with fewer template words than ``literals``
+    null id is reported as null; items without a usable window are found where all their
+    words and values stand unchanged, as one window; items with fewer template words than ``literals``
     can't be told from chance and match nothing; other columns are ignored; empty
     tables give no rows.
     """

@@ -61,5 +61,15 @@ def test_every_occurrence_tells_its_own_story(spark):
     ann, bob = "Ann has 9 apples and buys 2 more apples today.", "Bob has 4 apples and buys 7 more apples today."
     others = " ".join(f"Sue has {n} apples and buys {n} more pears now." for n in range(20, 40))
     docs = spark.createDataFrame([(1, f"{ann} {bob}"), (2, ann), (3, f"{others} {bob} {others}"), (4, others)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_windows, r.n_found, r.n_changed) for r in find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert got == {1: (6, 5, 2), 2: (6, 5, 2), 3: (6, 5, 2)}
+    got = {r.doc_id: r.share for r in find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] == got[3]
+
+
+def test_names_that_open_sentences_and_items_full_of_values(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. Anna gives Tom 2 apples. How many apples does Tom have?"
+    changed = item.replace("Anna", "Eve").replace("Tom", "Raj").replace("5", "8")
+    dense = "Compute 3 + 5 * 7 - 2"
+    docs = [(1, "some words. " + changed + " more words"), (2, item.replace("Tom buys", "Raj buys").replace("does Tom", "does Zoe")), (3, "now compute 3 + 5 * 7 - 2 at once"), (4, dense.replace("5", "6"))]
+    items = spark.createDataFrame([(1, item), (2, dense)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.share, r.n_changed) for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (3, 2)} and got[1, 1] == (1.0, 3) and got[3, 2] == (1.0, 0)
