@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import linedup, mixing, toolcalls
 from tapeloom.llm.common import table
+from tapeloom.llm.cuttingstock import pack_stock
 from tapeloom.llm.decontaminate import find_contamination
 from tapeloom.llm.gridjoin import grid_join
 from tapeloom.llm.langid import learn_and_identify
@@ -80,3 +82,9 @@ def op6_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
     return linked.select("conv_id", "call_id", "level", "turn", "result_turn", "n_calls", "n_results", F.array_join("errors", ",").alias("errors"), "json")
+
+
+@query("op13_cutting_stock")
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_stock(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
