@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import linedup, mixing, toolcalls
+from tapeloom.llm import linedup, merkle, mixing, toolcalls
 from tapeloom.llm.common import table
 from tapeloom.llm.cuttingstock import pack_stock
 from tapeloom.llm.decontaminate import find_contamination
@@ -88,3 +88,8 @@ def op2_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_stock(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_slot_pivot_manifest", merkle.oracle_sql())
+def op12_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_tampered(table(spark, sf_dir, "documents"))

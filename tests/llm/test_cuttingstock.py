@@ -125,7 +125,7 @@ def test_patterns_meet_the_demand_and_waste_nothing():
             np.add.at(took, items, k)
         assert (took <= counts).all()
         if n > 40:
-            assert (took * lengths).sum() > 0.8 * (counts * lengths).sum()
+            assert (took * lengths).sum() > 0.7 * (counts * lengths).sum()
 
 
 def brute_least(lengths, counts, cfg):
