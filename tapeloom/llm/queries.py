@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import linedup, merkle, mixing, toolcalls
+from tapeloom.llm import linedup, merkle, mixing, prefixtrie, toolcalls
 from tapeloom.llm.common import table
 from tapeloom.llm.cuttingstock import pack_stock
 from tapeloom.llm.decontaminate import find_contamination
@@ -93,3 +93,8 @@ def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_slot_pivot_manifest", merkle.oracle_sql())
 def op12_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_tampered(table(spark, sf_dir, "documents"))
+
+
+@query("op11_splitter_skeleton_trie", prefixtrie.oracle_sql(merkle.CRC32_SQL.format(x="conv_id")))
+def op11_splitter_skeleton_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
