@@ -276,6 +276,7 @@ def prefix_trie(sequences: DataFrame, cfg: TrieConfig = TrieConfig()) -> DataFra
     whole = stored(
         partial.join(shape, "skeleton")
         .withColumn("n_children", F.col("n_children") + F.col("kids"))
+        .withColumn("n_leaves", F.when(F.col("n_children") == 0, 1).otherwise(F.col("n_leaves")).cast("long"))  # a root without turns
         .withColumn("saved_tokens", F.col("saved_tokens") - F.col("bytes"))
     )
     parent = whole.select(F.col("skeleton").alias("up"), F.col("conv_id").alias("parent_conv_id"))
