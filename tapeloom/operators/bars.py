@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tapeloom.config import BarSpec
 from tapeloom.functions.ordered import carry
 from tapeloom.functions.scalar import ceil_time, floor_time, good_quote, local_date, local_second, micros, plus_seconds, ratio
+from tapeloom.functions.session_scan import scan_sessions
+from tapeloom.functions.sorted_window import WindowQuantile
 
 KEY = ("symbol", "session_date")
 QUOTE_COLS = ("bid", "ask", "bid_size", "ask_size")
@@ -233,21 +235,17 @@ def quote_gaps(quotes: DataFrame, window_s: int = 300, chunk_s: int = 3600) -> D
     """Gap to the newest earlier quote stamp, with p50/p95 over the trailing arrival window.
 
     Quotes arrive in (recv_ts, seq) order; an out-of-order stamp gives no gap and
-    does not move the newest stamp. Chunks by arrival time with a halo of one
-    window keep the range frame local.
+    does not move the newest stamp. A chunk holds its arrivals and those of the window
+    before them; its window slides in order, one binary search per arrival.
     """
     tape = quotes.withColumn("chunk_ts", floor_time("recv_ts", chunk_s))
     tape = carry(tape, ["symbol"], "chunk_ts", ["recv_ts", "seq"], maxes={"newest": "quote_ts"}, include_current=False)
     gap = (micros("quote_ts") - micros("newest")) / 1e6
     tape = tape.withColumn("gap_s", F.when(gap >= 0, gap))
     own = F.col("chunk_ts")
-    nxt = plus_seconds(own, chunk_s)
-    spill = F.when(micros(nxt) - micros("recv_ts") <= window_s * 1_000_000, nxt)
-    halo = tape.withColumn("home", own).withColumn("chunk_ts", F.explode(F.array_compact(F.array(own, spill))))
-    w = (
-        Window.partitionBy("symbol", "chunk_ts").orderBy(micros("recv_ts")).rangeBetween(-window_s * 1_000_000, 0)
-    )
-    out = halo.select(
-        "*", F.percentile("gap_s", F.lit(0.5)).over(w).alias("gap_p50"), F.percentile("gap_s", F.lit(0.95)).over(w).alias("gap_p95")
-    )
+    reach = -(-window_s // chunk_s)  # later chunks whose first rows still look back at this row
+    later = [F.when(micros(plus_seconds(own, (k + 1) * chunk_s)) - micros("recv_ts") <= window_s * 1_000_000, plus_seconds(own, (k + 1) * chunk_s)) for k in range(reach)]
+    halo = tape.withColumn("home", own).withColumn("chunk_ts", F.explode(F.array_compact(F.array(own, *later))))
+    steps = [WindowQuantile(f"gap_p{round(100 * q)}", "gap_s", "recv_ts", "seq", window_s * 1_000_000, q, (p,)) for q, p in ((0.5, 0.95), (0.95, 0.5))]
+    out = scan_sessions(halo, ["symbol", "chunk_ts"], "recv_ts", steps)
     return out.where(F.col("chunk_ts") == F.col("home")).drop("chunk_ts", "home")

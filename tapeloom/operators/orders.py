@@ -16,6 +16,52 @@ from tapeloom.session import cut
 MATCH_ORDER = ("ts", "seq", "tie")
 
 
+_UPSERT = ("symbol", "side", "qty", "status")
+
+
+def _upserts(orders: DataFrame) -> DataFrame:
+    return orders.groupBy("client_order_id").agg(*[F.max_by(c, "seq").alias(c) for c in _UPSERT], F.max("seq").alias("upsert_seq"), F.min("seq").alias("first_seq"))
+
+
+def _events(events: DataFrame, first: DataFrame) -> DataFrame:
+    """Aggregates of the events of known ids, from their first upsert on."""
+    known = events.join(first.select("client_order_id", "first_seq"), "client_order_id").where(F.col("seq") >= F.col("first_seq"))
+    is_fill = F.col("fill_qty").isNotNull()
+    fill_seq = F.when(is_fill, F.col("seq"))
+    return known.groupBy("client_order_id").agg(
+        F.max_by("status", "seq").alias("event_status"), F.max_by(is_fill, "seq").alias("ends_filled"), F.max("seq").alias("event_seq"),
+        F.sum("fill_qty").alias("filled_qty"), F.max_by("fill_price", fill_seq).alias("fill_price"), F.max(fill_seq).alias("fill_seq"),
+    )
+
+
+def order_state(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """Running aggregates per client order id: the last upsert, and what its events add up to."""
+    base = _upserts(orders)
+    return base.join(_events(events, base), "client_order_id", "left")
+
+
+def merge_orders(old: DataFrame, orders: DataFrame, events: DataFrame) -> DataFrame:
+    """``old`` aggregates advanced by later upserts and events; ids without either stay."""
+    upserts = old.select("client_order_id", *_UPSERT, "upsert_seq", "first_seq").unionByName(_upserts(orders))
+    base = upserts.groupBy("client_order_id").agg(*[F.max_by(c, "upsert_seq").alias(c) for c in _UPSERT], F.max("upsert_seq").alias("upsert_seq"), F.min("first_seq").alias("first_seq"))
+    sums = ["event_status", "ends_filled", "event_seq", "filled_qty", "fill_price", "fill_seq"]
+    both = old.select("client_order_id", *sums).unionByName(_events(events, base).select("client_order_id", *sums))
+    after = both.groupBy("client_order_id").agg(
+        F.max_by("event_status", "event_seq").alias("event_status"), F.max_by("ends_filled", "event_seq").alias("ends_filled"), F.max("event_seq").alias("event_seq"),
+        F.sum("filled_qty").alias("filled_qty"), F.max_by("fill_price", "fill_seq").alias("fill_price"), F.max("fill_seq").alias("fill_seq"),
+    )
+    return base.join(after, "client_order_id", "left")
+
+
+def orders_view(state: DataFrame) -> DataFrame:
+    """The current row of every id from its aggregates."""
+    # a fill that comes last sees the whole filled quantity, so no running sum is needed
+    by_fill = F.when(F.col("filled_qty") >= F.col("qty"), "filled").otherwise("partially_filled")
+    by_event = F.when(F.col("ends_filled"), by_fill).otherwise(F.coalesce("event_status", "status"))
+    status = F.when(F.col("event_seq") >= F.col("upsert_seq"), by_event).otherwise(F.col("status"))
+    return state.select("client_order_id", "symbol", "side", "qty", status.alias("status"), F.coalesce("filled_qty", F.lit(0)).alias("filled_qty"), "fill_price")
+
+
 def latest_orders(orders: DataFrame, events: DataFrame) -> DataFrame:
     """Current row per client order id from its upserts and its status / fill events, in one sequence.
 
@@ -24,24 +70,7 @@ def latest_orders(orders: DataFrame, events: DataFrame) -> DataFrame:
     upsert or event, decides the status (an event, if both have it). A fill sets
     filled or partially_filled.
     """
-    base = orders.groupBy("client_order_id").agg(
-        *[F.max_by(c, "seq").alias(c) for c in ("symbol", "side", "qty", "status")], F.max("seq").alias("_upsert"), F.min("seq").alias("_first")
-    )
-    known = events.join(base.select("client_order_id", "_first"), "client_order_id").where(F.col("seq") >= F.col("_first"))
-    is_fill = F.col("fill_qty").isNotNull()
-    last = known.groupBy("client_order_id").agg(
-        F.max_by("status", "seq").alias("_event_status"), F.max_by(is_fill, "seq").alias("_ends_filled"), F.max("seq").alias("_event"), F.sum("fill_qty").alias("filled_qty"),
-        F.max_by("fill_price", F.when(is_fill, F.col("seq"))).alias("fill_price"),
-    )
-    out = base.join(last, "client_order_id", "left")
-    # a fill that comes last sees the whole filled quantity, so no running sum is needed
-    by_fill = F.when(F.col("filled_qty") >= F.col("qty"), "filled").otherwise("partially_filled")
-    by_event = F.when(F.col("_ends_filled"), by_fill).otherwise(F.coalesce("_event_status", "status"))
-    status = F.when(F.col("_event") >= F.col("_upsert"), by_event).otherwise(F.col("status"))
-    return out.select(
-        "client_order_id", "symbol", "side", "qty", status.alias("status"),
-        F.coalesce("filled_qty", F.lit(0)).alias("filled_qty"), "fill_price",
-    )
+    return orders_view(order_state(orders, events))
 
 
 # ---------------------------------------------------------------- fills -> round trips

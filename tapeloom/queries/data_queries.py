@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.config import SplitConfig
+from tapeloom.functions.ordered import ordered_prefix
 from tapeloom.functions.scalar import log_target, stable_unit
 from tapeloom.operators import bar_features as bf
 from tapeloom.operators import bars as b
@@ -18,6 +19,7 @@ from tapeloom.queries.bar_queries import (
 from tapeloom.queries.base import BARS, DAILY, FEATURES, bars, query, r, rcols, rnd, rounded, with_ctes
 from tapeloom.sources import driver_tables as tables
 from tapeloom.sources import files as fs
+from tapeloom.sources.published import read_published
 
 # ---------------------------------------------------------------- guards
 EARLY = (9 * 3600, 12 * 3600)  # the test bars are ten minutes wide, so the early window is widened
@@ -252,9 +254,31 @@ def _universe(spark, sf):
 def _snapshot(spark, sf):
     path = fs.scratch_path(spark, "watchlist")
     s = tables.table(spark, sf, "supplier").select(F.col("s_name").alias("symbol"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("score"))
-    fs.replace_all(s.limit(3), path)
+    fs.replace_all(s.where("symbol like '%1'"), path)
     fs.replace_all(s, path)
-    return spark.read.parquet(path)
+    return read_published(spark, path)
+
+
+@query("stored_watchlist", "SELECT row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END, 0.0) DESC, s_name) AS position, s_name AS symbol, coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END, 0.0) AS score FROM supplier")
+def _stored_watchlist(spark, sf):
+    """The watchlist as it was last published, by falling score."""
+    rows = ordered_prefix(_snapshot(spark, sf), [F.desc("score"), "symbol"], index="position")
+    return rows.select("position", "symbol", "score")
+
+
+@query("written_report", "SELECT l_returnflag AS flag, count(*) AS n, min(l_shipdate)::DATE AS first_day, k AS kind FROM lineitem, (VALUES ('csv'), ('json'), ('parquet')) v(k) GROUP BY l_returnflag, k")
+def _report(spark, sf):
+    """A report table, read back from each of its formats."""
+    path = fs.scratch_path(spark, "report")
+    rows = tables.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").cast("date").alias("first_day"))
+    fs.write_report(rows, path)
+    schema = "flag string, n long, first_day date"
+    read = {"csv": spark.read.schema(schema).csv(f"{path}/csv", header=True), "json": spark.read.schema(schema).json(f"{path}/json"), "parquet": spark.read.parquet(f"{path}/parquet")}
+    out = None
+    for kind, df in read.items():
+        df = df.withColumn("kind", F.lit(kind))
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 @query("appended_rows", "SELECT o_orderkey AS id, o_totalprice AS equity FROM orders")
@@ -278,6 +302,21 @@ def _flags(spark, sf):
     return fs.session_flags(e, s).select("event_id", "session_open", "entry_window", "last_minutes", "month_end_session")
 
 
+@query("month_end_sessions", """WITH o AS (SELECT o_orderkey AS id, o_orderdate + to_microseconds((52200 + o_orderkey % 28800) * 1000000) AS ts FROM orders),
+    s AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM o WHERE dayofweek(ts) BETWEEN 1 AND 5), e AS (SELECT d, coalesce(date_trunc('month', lead(d) OVER (ORDER BY d)) <> date_trunc('month', d), false) AS last FROM s),
+    c AS (SELECT *, last_value(CASE WHEN last THEN d END IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM e)
+    SELECT id, coalesce(ts < d + INTERVAL 1260 MINUTE, false) AS session_open, coalesce(ts < d + INTERVAL 1260 MINUTE AND last, false) AS month_end_session, prior AS prior_month_end FROM o LEFT JOIN c ON CAST(ts AS DATE) = d""")
+def _month_ends(spark, sf):
+    """Order times against a calendar of the weekdays that had orders."""
+    o = tables.table(spark, sf, "orders")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (52200 + F.col("o_orderkey") % 28800) * F.lit(1_000_000)
+    rows = o.select(F.col("o_orderkey").alias("id"), F.timestamp_micros(at).alias("ts"))
+    days = rows.select(F.to_date("ts").alias("date")).distinct().where("dayofweek(date) between 2 and 6")
+    base = F.unix_micros(F.col("date").cast("timestamp"))
+    cal = days.select("date", F.timestamp_micros(base + F.lit(870 * 60_000_000)).alias("open_ts"), F.timestamp_micros(base + F.lit(1260 * 60_000_000)).alias("close_ts"))
+    return fs.session_flags(rows, cal).select("id", "session_open", "month_end_session", "prior_month_end")
+
+
 @query("book_file_pair", """WITH x AS (SELECT event_id AS seq, round(value, 2) AS v, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)
     SELECT (row_number() OVER (ORDER BY seq) - 1) AS seq, round(v + 1, 2) + 0.0 AS ask_p, (1 + k % 5)::DOUBLE AS bid_v, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 0 THEN k ELSE 0 END::DOUBLE AS buy_flow, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS sell_flow FROM x""")
 def _pair(spark, sf):

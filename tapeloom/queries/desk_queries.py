@@ -209,11 +209,13 @@ def _profiles(spark, sf):
     return tables.table(spark, sf, "customer").select("c_custkey", sc.scalp_profile(F.col("c_acctbal") * 8).alias("profile"))
 
 
-@query("order_ids", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, left(sha1('scalp:P' || l_suppkey || ':buy:' || strftime(l_shipdate, '%Y-%m-%d')), 32) AS client_order_id FROM lineitem")
+@query("order_ids", """WITH i AS (SELECT *, left(sha1('scalp:P' || l_suppkey || ':buy:' || strftime(l_shipdate, '%Y-%m-%d')), 32) AS cid FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN cid || '-tgt' ELSE cid END AS client_order_id, l_linenumber % 2 = 0 AS is_target FROM i""")
 def _ids(spark, sf):
     li = tables.table(spark, sf, "lineitem")
     cid = sc.order_id("scalp", F.concat(F.lit("P"), F.col("l_suppkey").cast("string")), F.lit("buy"), F.date_format("l_shipdate", "yyyy-MM-dd"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cid.alias("client_order_id"))
+    ids = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") % 2 == 0, sc.target_order_id(cid)).otherwise(cid).alias("client_order_id"))
+    return ids.withColumn("is_target", sc.is_target_order("client_order_id"))
 
 
 # ---------------------------------------------------------------- risk
@@ -389,6 +391,11 @@ os AS (SELECT client_order_id, max(seq) AS e, last(CASE WHEN fq IS NULL THEN st
 
 @query("latest_orders", with_ctes(OEV) + "SELECT client_order_id, symbol, side, oo.qty, CASE WHEN e >= m THEN st ELSE status END AS status, coalesce(filled, 0)::BIGINT AS filled_qty, fp AS fill_price FROM oo LEFT JOIN os USING (client_order_id)")
 def _orders(spark, sf):
+    return od.latest_orders(*order_updates(spark, sf))
+
+
+def order_updates(spark, sf):
+    """(upserts, events) of the order table; a quarter of the orders is upserted twice."""
     o = tables.table(spark, sf, "orders").select(
         "o_orderkey", F.concat(F.lit("c"), "o_orderkey").alias("client_order_id"), F.concat(F.lit("U"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"),
         F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.round(F.col("o_totalprice") / 4000).cast("long").alias("qty"), F.lit("new").alias("status"), F.when(F.col("o_orderkey") % 5 == 1, 200_000_000_000).otherwise(0).cast("long").alias("seq"),
@@ -402,7 +409,7 @@ def _orders(spark, sf):
         ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("seq"),
         F.when(~fill, "canceled").alias("status"), F.when(fill, F.col("l_quantity").cast("long")).alias("fill_qty"), F.when(fill, F.col("l_extendedprice")).alias("fill_price"),
     )
-    return od.latest_orders(o, ev)
+    return o, ev
 
 
 FILLS = """

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ordered import ordered_prefix
+from tapeloom.sources.published import publish
 from tapeloom.session import ensure_checkpoint_dir
 
 MANIFEST_SCHEMA = "symbol string, date date, status string, rows long, n_trades long, rank long"
@@ -73,18 +75,26 @@ def build_missing(wanted: DataFrame, manifest_path: str, bars: DataFrame, bars_p
 
     ``bars`` is the lazily defined bar set; it is filtered to the missing days
     before anything is computed. A run that died before its status was appended
-    is repeated over its own stock-days. Returns the status rows that were appended.
+    is repeated over its own stock-days. If the days can't be built, all of them are
+    logged as ``error``, which the next run retries; bars that were there stay.
+    Returns the status rows that were appended.
     """
     spark = wanted.sparkSession
-    todo = unsettled_days(wanted, read_manifest(spark, manifest_path))
+    todo = unsettled_days(wanted, read_manifest(spark, manifest_path)).select("symbol", "date", "rank")
     need = todo.select("symbol", F.col("date").alias("session_date"))
     made = bars.join(need, ["symbol", "session_date"], "left_semi")
-    write_bars(made, bars_path)
-    built = spark.read.parquet(bars_path).join(need, ["symbol", "session_date"], "left_semi")
-    stats = built.groupBy("symbol", F.col("session_date").alias("date")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_trades").cast("long").alias("n_trades"))
-    rows = todo.select("symbol", "date", "rank").join(stats, ["symbol", "date"], "left").select(
-        "symbol", "date", F.when(F.col("rows") > 0, "ok").otherwise("empty").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "rank",
+    try:
+        write_bars(made, bars_path)
+        built = spark.read.parquet(bars_path).join(need, ["symbol", "session_date"], "left_semi")
+        stats = built.groupBy("symbol", F.col("session_date").alias("date")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_trades").cast("long").alias("n_trades"))
+        found = F.when(F.col("rows") > 0, "ok").otherwise("empty")
+    except AnalysisException:  # a wrong table, not a failed day
+        raise
+    except PySparkException:
+        none = F.lit(None).cast("long")
+        stats, found = todo.select("symbol", "date", none.alias("rows"), none.alias("n_trades")).limit(0), F.lit("error")
+    rows = todo.join(stats, ["symbol", "date"], "left").select(
+        "symbol", "date", found.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "rank",
     )
     log = scratch_path(spark, "status")
     rows.write.parquet(log)
@@ -183,8 +193,12 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def replace_all(df: DataFrame, path: str) -> None:
-    """Snapshot table replaced as a whole; missing numbers become 0."""
-    df.fillna(0.0).fillna(0).write.mode("overwrite").parquet(path)
+    """Snapshot table replaced as a whole; missing numbers become 0.
+
+    Readers (``read_published``) keep the old snapshot until the new one is complete,
+    and for good if its job fails.
+    """
+    publish(df.fillna(0.0).fillna(0), path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from tapeloom.config import BarSpec, StalenessConfig
 from tapeloom.functions.scalar import ceil_time, local_date, no_nan
 from tapeloom.sources.files import scratch_path
 from tapeloom.streaming import processors as pr
+from tapeloom.streaming import staleness as st
 
 TICK_GRACE = "250 milliseconds"
 BAR_SCHEMA = (
@@ -58,11 +59,26 @@ def stream_signed_bars(ticks: DataFrame, interval_s: int = 60) -> DataFrame:
     return _fold(ticks.withColumn("us", F.unix_micros("ts")), ["symbol"], pr.SignedBars(interval_s), schema)
 
 
-def stream_quote_gaps(arrivals: DataFrame) -> DataFrame:
-    """Gap per arriving quote (symbol, seq, gap_s)."""
-    fold = pr.Fold(pr.gap_step, (-1,), "newest long", ["recv_ts", "seq"], ["symbol", "seq", "gap_s"])
-    out = _fold(arrivals.withColumn("us", F.unix_micros("quote_ts")), ["symbol"], fold, "symbol string, seq long, gap_s double")
-    return out.select("symbol", "seq", no_nan("gap_s").alias("gap_s"))
+def stream_quote_gaps(arrivals: DataFrame, cfg: StalenessConfig = StalenessConfig()) -> DataFrame:
+    """Streaming twin of ``quote_gaps``: gap, trailing p50 and p95, age and class per arriving quote."""
+    out = _fold(arrivals.select("symbol", "seq", "recv_ts", "quote_ts"), ["symbol"], st.QuoteGaps(cfg), st.QuoteGaps.OUT)
+    return out.select(*[no_nan(f.name).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in out.schema.fields])
+
+
+def stream_silence(rows: DataFrame, cfg: StalenessConfig = StalenessConfig(), clock: str = "event", delay: str = "0 seconds") -> DataFrame:
+    """State changes of the feeds of ``rows(feed, ts)``, also of feeds that have stopped sending.
+
+    clock "event": time is the watermark, ``delay`` behind the newest row of any feed.
+    clock "wall": time is the machine's; start the query with a trigger interval, since
+    timers are looked at once per micro-batch.
+    """
+    use_rocksdb(rows.sparkSession)
+    keyed = rows.select("feed", "ts")
+    if clock == "event":
+        keyed = keyed.withWatermark("ts", delay)
+    return keyed.groupBy("feed").transformWithStateInPandas(
+        statefulProcessor=st.Silence(cfg, clock), outputStructType=st.Silence.OUT, outputMode="Append", timeMode="EventTime" if clock == "event" else "ProcessingTime"
+    )
 
 
 def stream_transitions(ages: DataFrame, cfg: StalenessConfig = StalenessConfig()) -> DataFrame:
@@ -127,15 +143,27 @@ def decision_stream(bars: DataFrame, history: str, decide: Callable[[DataFrame],
 
 # ---------------------------------------------------------------- replay
 def replay(df: DataFrame, order: str, files: int = 3) -> DataFrame:
-    """Write a table as a few files in time order and read it back as a stream, one file per trigger."""
+    """Replay a table as a stream of ``files`` micro-batches in time order.
+
+    The table is computed and written once, by time slices; each slice becomes as many
+    files as there are cores (fewer for a small one), and a trigger takes one slice.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, "ticks")
-    span = df.agg(F.min(F.unix_micros(order)).alias("a"), F.max(F.unix_micros(order)).alias("b")).first()
+    path, staged = scratch_path(spark, "ticks"), scratch_path(spark, "slices")
+    at = F.unix_micros(order)
+    df.withColumn("_at", at).repartitionByRange("_at").write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    span = rows.agg(F.min("_at").alias("a"), F.max("_at").alias("b")).first()
+    if span["a"] is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
     width = max(1, (span["b"] - span["a"]) // files + 1)
-    part = F.floor((F.unix_micros(order) - F.lit(span["a"])) / F.lit(width))
+    part = F.floor((F.col("_at") - F.lit(span["a"])) / F.lit(width))
+    sizes = [r["count"] for r in rows.groupBy(part.alias("part")).count().collect()]  # one row per slice
+    each = max(1, min(spark.sparkContext.defaultParallelism, min(sizes) // 1000))
     for i in range(files):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(part == i).drop("_at").repartition(each).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -64,7 +64,7 @@ def test_bar_files_and_manifest(spark, tmp_path):
 
 def test_every_oracle_has_a_query_and_entry_runs(spark):
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 150
-    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql() == ORACLES
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.items() <= entry.oracle_sql().items()
     assert entry.entry(spark).count() > 0
 
 
