@@ -7,7 +7,8 @@ are its parent's slot columns without its own, followed by the parent's own proo
 
 Positions come from a range-partitioned index, so a source with most of the rows
 is spread like any other; parents are grouped by (source, parent position), at most
-``fanout`` rows each. Levels shrink by the fanout, and every level is written once.
+``fanout`` rows each. Levels shrink by the fanout; every level is written once on the
+way up, and once with its proofs on the way down.
 The texts are read once and hashed where they are read.
 """
 
@@ -85,7 +86,7 @@ def proofs(tree: list[DataFrame], above: DataFrame, cfg: ManifestConfig = Manife
             )
             inner = level.where("n > 1").alias("c").join(parents.alias("p"), (F.col("c.g") == F.col("p.g")) & (F.floor(F.col("c.i") / cfg.fanout) == F.col("p.i")))
             here = here.unionByName(inner.select(*[f"c.{x}" for x in kept], F.concat(F.array(siblings), "p.path").alias("path"), *[f"p.{x}" for x in given]))
-        parents = here
+        parents = here if level is tree[0] else stored(here)  # one small plan per level
     return parents
 
 
@@ -115,7 +116,7 @@ def manifest(rows: DataFrame, cfg: ManifestConfig = ManifestConfig()) -> DataFra
         .join(per_source.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source")))
         .select("l.*", (F.col("s.at") - 1).alias("g"), (F.col("l.place") - 1).alias("i"), "s.n", F.col("l.leaf").alias("h"))
     )
-    tree = levels(leaves, cfg)
+    tree = levels(stored(leaves), cfg)
     subroots = stored(tops(tree).select(F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), "h"))
     over = levels(subroots.select("*", F.lit(subroots.count()).cast("long").alias("n")), cfg)
     no_path = F.array().cast("array<struct<before: string, after: string>>")
