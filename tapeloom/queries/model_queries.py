@@ -14,12 +14,13 @@ from tapeloom.operators.bars import KEY
 from tapeloom.plans import ranking as rkg
 from tapeloom.plans import training as tr
 from tapeloom.queries.bar_queries import FEATURE_COLS, FEATURE_CTES, LABEL_CTES, study
-from tapeloom.queries.base import BARRIER, BARS, FEATURES, bars, query, rcols, rounded, with_ctes
+from tapeloom.queries.base import BARRIER, BARS, FEATURES, bars, query, r, rcols, rounded, with_ctes
 from tapeloom.queries.data_queries import EARLY, day_context
 from tapeloom.queries.daily_queries import NAMES, dataset
 from tapeloom.session import cut
 from tapeloom.sources import driver_tables as tables
 from tapeloom.sources import files as fs
+from tapeloom.streaming import decisions as dc
 from tapeloom.streaming import jobs
 
 CFG = TrainConfig(barrier=BARRIER, features=FEATURES, split=SplitConfig(test_frac=0.25, embargo_days=1), thresholds=(0.3, 0.4, 0.5, 0.6), max_rows_per_day=100_000)
@@ -70,17 +71,27 @@ def _export(spark, sf):
     return rounded(tr.score(rows, model, stored).select(*KEY, "ts", "p_win", F.lit(params["threshold"]).alias("threshold")), 4)
 
 
-@query("decision_stream")
+WEIGHTS = {"ret_3s": 4.0, "spread_bps": -0.002, "qimb": 0.5, "vol_surge": 0.1, "flow_imb_60s": 0.4, "tsize_surge": -0.05, "tod_min": 0.0005}
+SCORE = " + ".join(f"coalesce(f.{c}, 0) * ({w})" for c, w in WEIGHTS.items())
+
+
+@query(
+    "decision_stream",
+    with_ctes(FEATURE_CTES, LABEL_CTES.replace(BARS + ",\n", "")) + f""", d AS (SELECT f.symbol, f.session_date, f.ts, 1 / (1 + exp(-(-0.2 + {SCORE}))) AS p, l.target_ps, l.stop_ps
+      FROM feats f JOIN labels_v l USING (symbol, session_date, ts) WHERE l.target_ps IS NOT NULL AND l.nbbo_ok AND l.ask >= l.bid)
+    SELECT symbol, session_date, ts, {r('p', 'p_win')}, {r('target_ps', 'target_ps')}, {r('stop_ps', 'stop_ps')}, 7200 AS timeout_s, {r('stop_ps * 1.5', 'exec_stop_ps')}, 0.5::DOUBLE AS threshold, p >= 0.5 AS enter FROM d""",
+)
 def _decisions(spark, sf):
-    """Bars arrive as a stream; each batch is scored with the batch feature function."""
-    t = cut(bars(spark, sf))
-    rows = cut(tr.training_set(t, CFG))
-    names = bf.feature_names(FEATURES)
-    model = tr.fit_entry_model(rows, names, max_iter=3)
-    history, sink, mark = (fs.scratch_path(spark, n) for n in ("history", "decisions", "mark"))
-    q = jobs.decision_stream(jobs.replay(t, "ts", 2), history, lambda b: tr.decide(b, model, names, CFG), sink, mark)
-    q.awaitTermination()
-    return rounded(spark.read.parquet(sink).drop("batch"), 4)
+    """Bars arrive as a stream; features come from keyed state, a fixed linear model scores them."""
+    live = jobs.replay(cut(bars(spark, sf)), "ts", 3)
+    out = jobs.decision_stream(live, lambda f: f.withColumn("p_win", dc.linear_score(WEIGHTS, -0.2)), 0.5, FEATURES, BARRIER, 1.5)
+    return rounded(jobs.run_to_end(out))
+
+
+@query("stream_features", with_ctes(FEATURE_CTES) + f"SELECT symbol, session_date, ts, {rcols(FEATURE_COLS)} FROM feats")
+def _stream_features(spark, sf):
+    live = jobs.replay(cut(bars(spark, sf)), "ts", 4)
+    return rounded(jobs.run_to_end(dc.stream_features(live, FEATURES, BARRIER)).drop("bid", "ask", "target_ps", "stop_ps"))
 
 
 @query("morning_watchlist")

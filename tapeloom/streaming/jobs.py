@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.config import BarSpec, StalenessConfig
+from tapeloom.config import BarrierConfig, BarSpec, FeatureConfig, StalenessConfig
 from tapeloom.functions.scalar import ceil_time, local_date, no_nan
 from tapeloom.sources.files import scratch_path
+from tapeloom.streaming import decisions as dc
 from tapeloom.streaming import processors as pr
 from tapeloom.streaming import staleness as st
 
@@ -110,35 +111,9 @@ def decision_telemetry(decisions: DataFrame, threshold: float, interval: str = "
     return agg.select(F.col("window.start").alias("ts"), "evals", "max_p", "passed", "qty_zero")
 
 
-def decision_stream(bars: DataFrame, history: str, decide: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, keep_rows: int | None = None):
-    """Start the decision job: each micro-batch of final bars is appended to the history table and
-    the batch feature function is applied to the sessions that changed: to all their rows so
-    far, or to the last ``keep_rows`` before the new ones. History is partitioned by session,
-    so a batch reads only the sessions it touches.
-
-    ``decide`` maps bars to decision rows; only rows of the new bars are kept, so
-    live and historical features cannot differ. Replayed batches overwrite their own folder.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy("session_date").parquet(f"{history}/batch={batch_id}")
-        dates = [r[0] for r in batch.select("session_date").distinct().collect()]  # the sessions of one micro-batch
-        if not dates:
-            return
-        seen = spark.read.parquet(history).where((F.col("batch") <= batch_id) & F.col("session_date").isin(dates)).select(*batch.columns, "batch")
-        new = seen.where(F.col("batch") == batch_id).drop("batch")
-        first = new.groupBy("symbol", "session_date").agg(F.min("ts").alias("_first"))
-        recent = seen.drop("batch").join(first, ["symbol", "session_date"])
-        if keep_rows is not None:
-            past = F.col("ts") < F.col("_first")
-            age = F.row_number().over(Window.partitionBy("symbol", "session_date", past).orderBy(F.desc("ts")))  # rows of one session
-            recent = recent.withColumn("_age", age).where(~past | (F.col("_age") <= keep_rows)).drop("_age")
-        recent = recent.drop("_first")
-        out = decide(recent).join(new.select("symbol", "session_date", "ts"), ["symbol", "session_date", "ts"], "left_semi")
-        out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return bars.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def decision_stream(bars: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, features: FeatureConfig = FeatureConfig(), barrier: BarrierConfig = BarrierConfig(), exec_stop_mult: float = 1.0) -> DataFrame:
+    """Decision rows of a stream of final bars: features from keyed state, then ``score`` (which adds p_win)."""
+    return dc.decisions(dc.stream_features(bars, features, barrier), score, threshold, barrier, exec_stop_mult)
 
 
 # ---------------------------------------------------------------- replay
