@@ -80,8 +80,8 @@ def op6_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_tool_call_links", toolcalls.oracle_sql())
 def op2_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
-    return linked.select("conv_id", "call_id", "level", "turn", "result_turn", "n_calls", "n_results", F.array_join("errors", ",").alias("errors"), "json")
+    linked = toolcalls.whole_conversations(table(spark, sf_dir, "conversations"))
+    return linked.select("kind", "conv_id", "call_id", "level", "turn", "result_turn", "n_calls", "n_results", F.array_join("errors", ",").alias("errors"), "json")
 
 
 @query("op13_cutting_stock")

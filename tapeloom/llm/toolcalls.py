@@ -234,13 +234,12 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.pmod("turn", F.lit(3))
     call_id = F.concat(F.lit("call-"), F.col("turn").cast("string"))
     name = F.element_at(F.array(*map(F.lit, ("search", "lookup", "count"))), (kind + 1).cast("int"))
-    head = F.substring(text, 1, 20)
     arguments = (
-        F.when((kind == 0) & (n % 3 == 0), F.to_json(F.struct(head.alias("query"), F.lit("yes").alias("exact"))))
-        .when(kind == 0, F.to_json(F.struct(head.alias("query"), (n % 2 == 0).alias("exact"))))
-        .when((kind == 1) & (n % 3 == 0), F.to_json(F.struct(n.alias("limit"), head.alias("extra"))))
-        .when(kind == 1, F.to_json(F.struct(n.alias("limit"), head.alias("key"))))
-        .when(n % 3 == 0, F.concat(F.lit("{"), F.regexp_replace(head, '["\\\\]', "")))
+        F.when((kind == 0) & (n % 3 == 0), F.to_json(F.struct(text.alias("query"), F.lit("yes").alias("exact"))))
+        .when(kind == 0, F.to_json(F.struct(text.alias("query"), (n % 2 == 0).alias("exact"))))
+        .when((kind == 1) & (n % 3 == 0), F.to_json(F.struct(n.alias("limit"), text.alias("extra"))))
+        .when(kind == 1, F.to_json(F.struct(n.alias("limit"), text.alias("key"))))
+        .when(n % 3 == 0, F.concat(F.lit("{"), F.regexp_replace(text, '["\\\\]', "")))
         .otherwise(F.to_json(F.struct(n.alias("words"), text.alias("text"))))
     )
     step = F.when(n % 5 == 0, 2).when(F.pmod("turn", F.lit(8)) != 0, -2)
@@ -257,8 +256,31 @@ def link_conversations(conversations: DataFrame, cfg: ToolCallConfig = ToolCallC
     return link_tool_calls(calls, results, schemas, cfg)
 
 
+def whole_conversations(conversations: DataFrame, cfg: ToolCallConfig = ToolCallConfig()) -> DataFrame:
+    """Every turn in a row: the linked calls (``link_conversations``; their results are inside),
+    results without a call, and the turns that are neither, with their text.
+
+    kind string (call, orphan_result, turn), conv_id, call_id, level, turn, result_turn,
+    n_calls, n_results, errors array<string>, json.
+    """
+    calls, results = calls_of(conversations)
+    linked = link_conversations(conversations, cfg).withColumn("kind", F.lit("call"))
+    none, long, no_level = F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("int").alias("level")
+    alone = F.array(F.lit("orphan_result"))
+    body = F.concat(F.lit('{"errors":["orphan_result"],"id":'), quoted("call_id"), F.lit(',"result":'), F.coalesce(quoted("content"), F.lit('""')), F.lit("}"))
+    orphans = orphan_results(calls, results).where("call_id is not null").select(
+        F.lit("orphan_result").alias("kind"), *_ID, no_level, none.alias("turn"), F.col("turn").alias("result_turn"), long.alias("n_calls"), F.lit(1).cast("long").alias("n_results"), alone.alias("errors"), body.alias("json")
+    )
+    other = conversations.where("turn is null or role is null or role not in ('user', 'assistant')").withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    said = F.concat(F.lit('{"role":'), quoted("role"), F.lit(',"text":'), quoted("text"), F.lit("}"))
+    turns = other.select(
+        F.lit("turn").alias("kind"), "conv_id", F.lit(None).cast("string").alias("call_id"), no_level, "turn", none.alias("result_turn"), long.alias("n_calls"), long.alias("n_results"), F.array().cast("array<string>").alias("errors"), said.alias("json")
+    )
+    return linked.unionByName(orphans).unionByName(turns)
+
+
 def oracle_sql() -> str:
-    """``link_conversations`` in DuckDB SQL, for turns that are unique in their conversation."""
+    """``whole_conversations`` in DuckDB SQL, for non-null turns that are unique in their conversation."""
     return """
 WITH RECURSIVE base AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n FROM conversations),
 calls AS (
@@ -279,13 +301,19 @@ linked AS (SELECT c.conv_id, c.call_id, CASE WHEN v.level <= v.n_late THEN v.lev
       CASE WHEN c.dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.conv_id = c.conv_id AND e.turn = c.turn) THEN 'lost_dependency' END,
       CASE WHEN v.level > v.n_late THEN 'cycle' END] IF x IS NOT NULL]) AS errors
 FROM calls c JOIN lv v ON c.conv_id = v.conv_id AND c.turn = v.turn LEFT JOIN res r ON r.conv_id = c.conv_id AND r.call_turn = c.turn)
-SELECT conv_id, call_id, level, turn, result_turn, n_calls, n_results, array_to_string(errors, ',') AS errors,
+SELECT 'call' AS kind, conv_id, call_id, level, turn, result_turn, n_calls, n_results, array_to_string(errors, ',') AS errors,
   '{"arguments":' || CASE
-    WHEN kind = 0 THEN '{"exact":' || CASE WHEN n % 3 = 0 THEN '"yes"' WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"query":' || to_json(substr(text, 1, 20)) || '}'
-    WHEN kind = 1 AND n % 3 = 0 THEN '{"extra":' || to_json(substr(text, 1, 20)) || ',"limit":' || n || '}'
-    WHEN kind = 1 THEN '{"key":' || to_json(substr(text, 1, 20)) || ',"limit":' || n || '}'
-    WHEN n % 3 = 0 THEN to_json('{' || regexp_replace(substr(text, 1, 20), '["\\\\]', '', 'g'))
+    WHEN kind = 0 THEN '{"exact":' || CASE WHEN n % 3 = 0 THEN '"yes"' WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"query":' || to_json(text) || '}'
+    WHEN kind = 1 AND n % 3 = 0 THEN '{"extra":' || to_json(text) || ',"limit":' || n || '}'
+    WHEN kind = 1 THEN '{"key":' || to_json(text) || ',"limit":' || n || '}'
+    WHEN n % 3 = 0 THEN to_json('{' || regexp_replace(text, '["\\\\]', '', 'g'))
     ELSE '{"text":' || to_json(text) || ',"words":' || n || '}' END
   || ',"errors":' || to_json(errors) || ',"id":' || to_json(call_id) || ',"level":' || coalesce(level::VARCHAR, 'null')
   || ',"name":"' || ['search', 'lookup', 'count'][kind + 1] || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
-FROM linked"""
+FROM linked
+UNION ALL
+SELECT 'orphan_result', conv_id, 'call-' || (turn - 1), NULL, NULL, turn, 0, 1, 'orphan_result', '{"errors":["orphan_result"],"id":"call-' || (turn - 1) || '","result":' || to_json(text) || '}'
+FROM base b WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = b.conv_id AND c.turn = b.turn - 1)
+UNION ALL
+SELECT 'turn', conv_id, NULL, NULL, turn, NULL, 0, 0, '', '{"role":' || to_json(coalesce(role, '')) || ',"text":' || to_json(text) || '}'
+FROM base WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table
-from tapeloom.llm.toolcalls import ToolCallConfig, link_conversations, link_tool_calls, orphan_results
+from tapeloom.llm.toolcalls import ToolCallConfig, link_conversations, link_tool_calls, orphan_results, whole_conversations
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>, level int"
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -116,3 +116,18 @@ def test_levels_are_exact_however_long_the_paths_and_many_the_cycles(spark):
         for c, level in levels(shape).items():
             assert got[v, c].level == level and ("cycle" in got[v, c].errors) == (level is None) and "deep" not in got[v, c].errors, (v, c)
     assert got[0, "c299"].level == 1 and got[1, "p0"].level is None
+
+
+def test_whole_texts_and_every_turn_are_in_the_rows(spark):
+    long = 'long "text" \\ é\n' * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 3, "user", long + "x"), (1, 5, "assistant", "no call"), (1, 6, "system", None), (2, None, "user", "no turn"), (2, 2, None, "no role"), (2, 8, "user", long + "xy"), (None, 0, "user", "q")]
+    conv = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, kind string")
+    got = whole_conversations(conv).collect()
+    bodies = {(r.kind, r.conv_id, r.turn if r.kind != "orphan_result" else r.result_turn): json.loads(r.json) for r in got if r.turn is not None or r.kind != "call"}
+    assert bodies["call", 1, 0]["arguments"]["query"] == long and bodies["call", 1, 0]["result"] == long
+    assert bodies["call", 1, 3]["arguments"]["query"] == long + "x"
+    assert bodies["orphan_result", 1, 5]["result"] == "no call" and bodies["turn", 1, 6] == {"role": "system", "text": ""}
+    assert bodies["turn", 2, 2]["role"] == "" and bodies["turn", 2, None]["text"] == "no turn" and ("call", None, 0) in bodies
+    count = bodies["call", 2, 8]["arguments"]
+    assert (count if isinstance(count, str) else count["text"]).strip("{").replace('"', "").replace("\\", "") == (long + "xy").replace('"', "").replace("\\", "")
+    assert len(got) == 8 and whole_conversations(conv.limit(0)).collect() == []
