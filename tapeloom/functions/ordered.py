@@ -9,7 +9,7 @@ each slice, carry the summaries forward and finish inside the slice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,6 +176,30 @@ def carry(
     return out.drop(*[c for c in out.columns if c.startswith(("__il_", "__is_", "__im_", "__pl_", "__ps_", "__pm_"))])
 
 
+def prefix_fold(rows: DataFrame, by: Sequence[str], order: str, value: str, compose: Callable[[Column, Column], Column], identity: Column, out: str = "before", fan_in: int = 64) -> DataFrame:
+    """Add the fold of all earlier values of a group, for any associative ``compose(earlier, later)``.
+
+    ``order`` numbers a group's rows from 0 without gaps. Runs of ``fan_in`` values are
+    folded to one, level by level, and the folds are handed down again, so no task sees
+    more than ``fan_in`` values of a group and the rounds grow with the logarithm.
+    """
+    by = list(by)
+    levels = [rows.select(*by, F.col(order).cast("long").alias("__i"), F.col(value).alias("__v"))]
+    most = levels[0].agg(F.max("__i")).first()[0]
+    while (most or 0) > 0:
+        runs = levels[-1].groupBy(*by, F.floor(F.col("__i") / fan_in).alias("__up")).agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__l"))
+        levels.append(cut(runs.select(*by, F.col("__up").alias("__i"), F.aggregate("__l", identity, lambda a, x: compose(a, x["__v"])).alias("__v"))))
+        most //= fan_in
+    above = levels[-1].select(*by, "__i", identity.alias("__b"))
+    for level in reversed(levels[:-1]):
+        earlier = Window.partitionBy(*by, "__up").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+        siblings = level.withColumn("__up", F.floor(F.col("__i") / fan_in)).withColumn("__l", F.collect_list("__v").over(earlier))
+        on = _join_on(by, "l", "r") & (F.col("l.__up") == F.col("r.__i"))
+        above = siblings.alias("l").join(above.alias("r"), on).select(*[f"l.{c}" for c in (*by, "__i")], F.aggregate("l.__l", F.col("r.__b"), lambda a, x: compose(a, x)).alias("__b"))
+    on = _join_on(by, "l", "r") & (F.col(f"l.{order}") == F.col("r.__i"))
+    return rows.alias("l").join(above.alias("r"), on).select("l.*", F.col("r.__b").alias(out))
+
+
 def with_row_halo(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], before: int, after: int = 0, chunk_rows: int = 200_000) -> DataFrame:
     """Cut each ordered series into chunks of ``chunk_rows`` with copies of the edge rows.
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tapeloom.functions.ordered import carry, ordered_prefix, with_row_halo
+from tapeloom.functions.ordered import carry, ordered_prefix, prefix_fold, with_row_halo
 from tapeloom.functions.scalar import contribution, local_midnight_utc, ratio
 from tapeloom.session import cut
 
@@ -74,11 +75,14 @@ def latest_orders(orders: DataFrame, events: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- fills -> round trips
-def _blend_maps(rows: pd.DataFrame) -> tuple[float, float]:
-    """Compose the entry-price updates e -> a*e + b of consecutive fills."""
-    a, b = 1.0, 0.0
-    for x, y in zip(rows["_a"].to_numpy(), rows["_b"].to_numpy()):
-        a, b = x * a, x * b + y
+def affine_scan(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusive prefix compositions of the maps e -> a*e + b, in log n vector steps."""
+    a, b = a.copy(), b.copy()
+    d = 1
+    while d < len(a):
+        b[d:] += a[d:] * b[:-d].copy()
+        a[d:] *= a[:-d].copy()
+        d *= 2
     return a, b
 
 
@@ -89,7 +93,8 @@ def match_fills(fills: DataFrame, keys: Sequence[str] = ("symbol",), chunk_rows:
     (open: take the price; scale in: blend; reduce or flip: keep), and affine
     maps compose. So a symbol's fills are cut into chunks, each chunk is reduced
     to one map, the maps are chained over the chunks, and each chunk is replayed
-    from its true starting price: no symbol has to fit in one task.
+    from its true starting price: no symbol has to fit in one task. The chunks' maps are
+    chained by ``prefix_fold``, so neither has their number.
     """
     delta = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     rows = ordered_prefix(fills.withColumn("delta", delta), MATCH_ORDER, keys, {"pos_after": "delta"})
@@ -107,31 +112,34 @@ def match_fills(fills: DataFrame, keys: Sequence[str] = ("symbol",), chunk_rows:
         F.floor((F.col("row_index") - 1) / chunk_rows).alias("_chunk"),
     )
     rows = cut(rows)
-    slim = rows.select(*keys, "_chunk", "row_index", "_a", "_b")
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", _chunk long, a double, b double"
-
-    def summarise(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _blend_maps(pdf.sort_values("row_index"))
-        return pd.DataFrame([(*key, a, b)], columns=[*keys, "_chunk", "a", "b"])
-
-    maps = slim.groupBy(*keys, "_chunk").applyInPandas(summarise, schema)
-    chain = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    steps = F.collect_list(F.struct("a", "b")).over(chain)  # one pair per chunk
-    start = F.aggregate(steps, F.lit(0.0), lambda e, m: m["a"] * e + m["b"])
-    starts = maps.select(*keys, "_chunk", start.alias("_start"))
-    out_schema = schema.replace("_chunk long, a double, b double", "row_index long, entry_before double, entry_after double")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_index")
-        e, before_, after_ = float(pdf["_start"].iloc[0]), [], []
-        for a, b in zip(pdf["_a"].to_numpy(), pdf["_b"].to_numpy()):
-            before_.append(e)
-            e = a * e + b
-            after_.append(e)
-        return pdf[[*keys, "row_index"]].assign(entry_before=before_, entry_after=after_)
-
-    priced = slim.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, out_schema)
-    full = rows.join(priced, [*keys, "row_index"])
+    kinds = dict(rows.dtypes)
+    names = [*keys, "_chunk"]
+
+    def summarise(part: pa.Table) -> pa.Table:
+        part = part.sort_by("row_index")
+        a, b = affine_scan(*(part.column(c).to_numpy() for c in ("_a", "_b")))
+        return pa.table([*(part.column(c).slice(0, 1) for c in names), pa.array(a[-1:]), pa.array(b[-1:])], [*names, "a", "b"])
+
+    maps = rows.select(*names, "row_index", "_a", "_b").groupBy(*names).applyInArrow(summarise, ", ".join(f"{c} {kinds[c]}" for c in names) + ", a double, b double")
+    maps = cut(maps.select(*names, F.struct("a", "b").alias("_map")))
+    chained = prefix_fold(
+        maps, keys, "_chunk", "_map",
+        lambda first, then: F.struct((then["a"] * first["a"]).alias("a"), (then["a"] * first["b"] + then["b"]).alias("b")),
+        F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
+    )
+    starts = chained.select(*names, F.col("before.b").alias("_start"))  # from no position: the map applied to 0
+
+    def replay(part: pa.Table) -> pa.Table:
+        part = part.sort_by("row_index")
+        a, b = affine_scan(*(part.column(c).to_numpy() for c in ("_a", "_b")))
+        start = part.column("_start")[0].as_py()
+        after = a * start + b
+        before = np.concatenate([[start], after[:-1]])
+        return part.drop_columns(["_a", "_b", "_start"]).append_column("entry_before", pa.array(before)).append_column("entry_after", pa.array(after))
+
+    kept = [c for c in rows.columns if c not in ("_a", "_b")]
+    schema = StructType([*[rows.schema[c] for c in kept], StructField("entry_before", DoubleType()), StructField("entry_after", DoubleType())])
+    full = rows.join(starts, names).select(*kept, "_a", "_b", "_start").groupBy(*names).applyInArrow(replay, schema)
     closed = F.least(F.abs("delta"), F.abs("pos_before"))
     pnl = (price - F.col("entry_before")) * closed * F.signum("pos_before")
     return full.select(

@@ -155,18 +155,22 @@ def staleness_snapshot(gaps: DataFrame, as_of: Column, cfg: StalenessConfig = St
 def bracket_actions(brackets: DataFrame, quotes: DataFrame, chunk_s: int = 3600) -> DataFrame:
     """First trigger of each armed bracket: stop at or under the stop price, else timeout at the deadline.
 
-    No bracket-by-quote pairs are formed. Brackets and quotes are merged into
-    one tape per (symbol, time chunk); a bracket appears in each chunk it lives
-    through and scans forward to its first touch. The first quote at or after
-    the deadline comes from a backward-carried value.
+    No bracket-by-quote pairs are formed. The lowest bid of every time chunk says in which
+    chunk after its own a bracket can first be hit, so it joins the tape of two chunks at
+    most, however long it lives, and finds its touch there by block minima. The first
+    quote at or after the deadline comes from a backward-carried value.
     """
     size = chunk_s * 1_000_000
     q = quotes.groupBy("symbol", "ts").agg(F.min("bid").alias("bid")).withColumn("us", micros("ts"))
     br = brackets.select(
         "bracket_id", "symbol", "qty", "stop_px", "deadline", micros("armed_ts").alias("armed_us"), micros("deadline").alias("due_us")
     )
-    chunks = F.sequence(F.floor(F.col("armed_us") / size), F.floor((F.greatest("due_us", F.col("armed_us") + 1) - 1) / size))
-    lives = br.select("*", F.explode(chunks).alias("chunk"))
+    own = F.floor(F.col("armed_us") / size)
+    last = F.floor((F.greatest("due_us", F.col("armed_us") + 1) - 1) / size)
+    lows = q.groupBy("symbol", F.floor(F.col("us") / size).alias("chunk")).agg(F.min("bid").alias("low"))
+    later = br.where(last > own).select("bracket_id", "symbol", "stop_px", F.explode(F.sequence(own + 1, last)).alias("chunk")).join(lows, ["symbol", "chunk"])
+    reach = later.where("low <= stop_px").groupBy("bracket_id").agg(F.min("chunk").alias("_next"))
+    lives = br.join(reach, "bracket_id", "left").select("*", F.explode(F.array_compact(F.array(own, "_next"))).alias("chunk"))
     nul = F.lit(None)
     asked = lives.select(
         "symbol", "chunk", (F.greatest(F.col("armed_us"), F.col("chunk") * size) * 2).alias("slot"), nul.cast("double").alias("bid"), "stop_px",

@@ -84,3 +84,47 @@ def test_greedy_and_first_touch_against_loops():
         for t in range(40):
             hit = [k for k in range(1, 8) if t + k < 40 and x[t + k] >= lvl[t]]
             assert got[t] == (hit[0] if hit and not np.isnan(lvl[t]) else -1)
+
+
+def test_prefix_fold_is_the_fold_of_all_earlier_values(spark):
+    from tapeloom.functions.ordered import prefix_fold
+
+    rows = [(k, i, f"{k}{i}.") for k, n in (("a", 1), ("b", 4), ("c", 70), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, v string").repartition(3).withColumn("s", F.struct("v"))
+    for fan_in in (2, 3, 64):
+        out = prefix_fold(df, ["k"], "i", "s", lambda a, b: F.struct(F.concat(a["v"], b["v"]).alias("v")), F.struct(F.lit("").alias("v")), fan_in=fan_in)
+        got = {(r.k, r.i): r.before.v for r in out.collect()}
+        assert got == {(k, i): "".join(v for q, j, v in rows if q == k and j < i) for k, i, _ in rows}
+    assert prefix_fold(df.limit(0), ["k"], "i", "s", lambda a, b: a, F.struct(F.lit("").alias("v"))).collect() == []
+
+
+def test_first_touch_equals_a_plain_search():
+    from tapeloom.functions.session_scan import first_touch
+
+    compare = {"ge": np.greater_equal, "le": np.less_equal, "gt": np.greater, "lt": np.less}
+    rng = np.random.default_rng(0)
+    for t in range(400):
+        n = int(rng.integers(1, 40))
+        draw = lambda low, high, none: np.where(rng.random(n) < none, np.nan, rng.integers(low, high, n).astype(float))  # noqa: E731, B023
+        v, level, base, limit, op = draw(0, 12, 0.15), draw(-1, 14, 0.1), draw(0, 5, 0.1), draw(-1, 50, 0.1), list(compare)[t % 4]
+        want = np.full(n, -1.0)
+        for i in np.flatnonzero(~np.isnan(level) & ~np.isnan(base) & ~np.isnan(limit)):
+            start = i + int(base[i])
+            want[i] = next((k for k in range(1, int(limit[i]) + 1) if start + k < n and compare[op](v[start + k], level[i])), -1)
+        assert (first_touch(v, level, base, limit, op) == want).all()
+
+
+def test_searches_that_never_hit_grow_no_faster_than_n_log_n():
+    import time
+
+    from tapeloom.functions.session_scan import first_touch
+
+    took = []
+    for n in (40_000, 320_000):
+        best = 9.0
+        for _ in range(3):
+            t = time.perf_counter()
+            assert (first_touch(np.full(n, 5.0), np.full(n, 1.0), np.zeros(n), np.full(n, 1e9), "le") == -1).all()
+            best = min(best, time.perf_counter() - t)
+        took.append(best)
+    assert took[1] < 30 * took[0] and took[1] < 5
