@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -33,6 +33,7 @@ from tapeloom.llm.common import by_chunks, stored
 
 LITERAL, NUMBER, CAPITAL, UNIT, NOTHING = range(5)
 _EDGE = "\"'`.,;:!?()[]{}<>|*_~#=+/\\-–—“”‘’«»¿¡…"
+_STOPS = frozenset(".!?:")
 _NUMBER = re.compile(r"[-+]?[$€£¥]?\d[\d.,:/]*%?(?:st|nd|rd|th)?\Z")
 #: Fixed words that are units when they follow a number.
 UNITS = frozenset(
@@ -43,7 +44,7 @@ UNITS = frozenset(
     "% percent degree degrees dollar dollars cent cents euro euros usd eur gbp yen".split()
 )
 _BITS = 26  # of the bit table: 8 MB
-_CACHE = 120_000
+_CACHE = 400_000  # spellings a worker remembers before it starts over
 
 
 @dataclass(frozen=True)
@@ -61,35 +62,55 @@ class TemplateConfig:
 
 
 class _Words(dict):
-    """What is known of each spelling: its number in the lists below."""
+    """What is known of each spelling: its number in the lists and arrays below.
+
+    Spellings are added to the lists as they are met; ``arrays`` brings the arrays up to date.
+    """
 
     def __init__(self):
         super().__init__()
-        self.kind: list[int] = []
-        self.hash: list[int] = []
-        self.ends: list[bool] = []
         self.value: list[str] = []
+        self._new: list[tuple[int, int, bool]] = []
+        self._kind, self._hash, self._ends = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self._size = 0
 
     def __missing__(self, word: str) -> int:
-        core = word.strip(_EDGE)
-        if word[-1:] == "%" and core:
-            core += "%"
-        low = core.lower()
-        if not core:
-            kind = UNIT if word == "%" else NOTHING
-        elif _NUMBER.match(core):
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
+        core, last = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+        if core.isalpha() and last in _EDGE:  # letters, with one mark at most
+            low = core.lower()
+            kind = UNIT if low in UNITS else CAPITAL if core[0].isupper() else LITERAL
+            ends = last in _STOPS
         else:
-            kind = CAPITAL if core[0].isupper() else LITERAL
-        self.kind.append(kind)
-        self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1) | 1)
-        self.ends.append(word.rstrip("\"')]”’»")[-1:] in {".", "!", "?", ":"})
+            core = word.strip(_EDGE)
+            if word[-1:] == "%" and core:
+                core += "%"
+            low = core.lower()
+            if not core:
+                kind = UNIT if word == "%" else NOTHING
+            elif _NUMBER.match(core):
+                kind = NUMBER
+            elif low in UNITS:
+                kind = UNIT
+            else:
+                kind = CAPITAL if core[0].isupper() else LITERAL
+            ends = word.rstrip("\"')]”’»")[-1:] in _STOPS
+        self._new.append((kind, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1) | 1, ends))
         self.value.append(low)
-        n = self[word] = len(self.kind) - 1
+        n = self[word] = len(self.value) - 1
         return n
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(kind, hash, ends a sentence) by number."""
+        if self._new:
+            end = self._size + len(self._new)
+            if end > len(self._kind):
+                room = max(2 * len(self._kind), end)
+                self._kind, self._hash, self._ends = (np.concatenate([x, np.zeros(room - len(x), x.dtype)]) for x in (self._kind, self._hash, self._ends))
+            kind, hashes, ends = zip(*self._new)
+            self._kind[self._size : end], self._hash[self._size : end], self._ends[self._size : end] = kind, np.array(hashes, np.uint64), ends
+            self._size, self._new = end, []
+        return self._kind, self._hash, self._ends
+
 
 _PLACE = {NUMBER: 3, CAPITAL: 5, UNIT: 7}  # hashes of the placeholders: small odd numbers, which xxh64 of a word is not
 _known: list[_Words] = []
@@ -109,17 +130,18 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     ids = [np.fromiter(map(get, split), np.int64, len(split)) for split in (t.split() for t in texts)]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in ids])
     ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    kind = np.array(words.kind, np.int8)[ids]
+    of_kind, of_hash, of_end = words.arrays()
+    kind = of_kind[ids]
     real = kind != NOTHING
     owner, ids, kind = owner[real], ids[real], kind[real]
     first = np.ones(len(ids), bool)
     first[1:] = owner[1:] != owner[:-1]
     after = np.zeros(len(ids), bool)
-    after[1:] = np.array(words.ends, bool)[ids[:-1]]
+    after[1:] = of_end[ids[:-1]]
     number_before = np.zeros(len(ids), bool)
     number_before[1:] = (kind[:-1] == NUMBER) & ~first[1:]
     slot = np.where(kind == NUMBER, NUMBER, np.where((kind == CAPITAL) & ~first & ~after, CAPITAL, np.where((kind == UNIT) & number_before, UNIT, 0)))
-    hashes = np.array(words.hash, np.uint64)[ids]
+    hashes = of_hash[ids]
     for s, h in _PLACE.items():
         hashes[slot == s] = h
     return owner, hashes, slot, ids, words.value
@@ -143,7 +165,7 @@ def windows(texts: list[str], sizes: list[int], least: int) -> Iterator[tuple[np
     parts = template(texts)
     owner, hashes, slot, ids, _ = parts
     begin = np.searchsorted(owner, owner)  # where each word's text starts
-    opens = (slot == 0) & (np.array(_known[0].kind, np.int8)[ids] == CAPITAL)
+    opens = (slot == 0) & (_known[0].arrays()[0][ids] == CAPITAL)
     for w in sizes:
         n = len(owner) - w + 1
         if n <= 0:
@@ -171,7 +193,7 @@ def whole(texts: list[str], sizes: list[int]) -> Iterator[tuple[np.ndarray, ...]
     parts = template(texts)
     owner, ids = parts[0], parts[3]
     begin = np.searchsorted(owner, owner)
-    values = np.array(_known[0].hash, np.uint64)[ids]
+    values = _known[0].arrays()[1][ids]
     up, down = (np.full(len(ids) + 1, k, np.uint64) for k in (_STEP, pow(_STEP, -1, 1 << 64)))
     up[0] = down[0] = 1
     up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -270,16 +292,25 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     # copies of a document vote once
     pairs = stored(hits.distinct().join(bench, ["size", "exact", "h"]).select("doc_id", "doc_key", "doc_at", "item_id", "item_key", "n_item", "item_at", "item_slots", "doc_slots"))
     group = ["doc_id", "doc_key", "item_id", "item_key"]
+    # nothing beats an occurrence of all windows, one behind the other, with unchanged values
+    same = F.col("item_slots") == F.col("doc_slots")
+    told = pairs.groupBy(*group, (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(F.count_distinct(F.when(same, F.col("item_at"))).alias("same"), F.max("n_item").alias("of"))
+    sure = stored(told.where("same = of").select(*group, "of").distinct())
     enough = pairs.groupBy(*group).agg(F.count_distinct("item_at").alias("n"), F.max("n_item").alias("of")).where(F.col("n") >= cfg.share * F.col("of")).drop("n", "of")
-    on = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in group]
     item_kind = items.select("item_id").dtypes[0][1]
+    certain = sure.select("doc_id", "doc_key", "item_id", F.col("of").alias("n_windows"), F.col("of").cast("long").alias("n_found"), F.lit(0).cast("long").alias("n_changed"))
+
+
+    def on(r: str) -> list[Column]:
+        return [F.col(f"p.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in group]
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         of = pdf["n_item"].iloc[0]
         found, changed = max(map(consistent, occurrences(pdf, cfg.share * of)), key=lambda x: (x[0], -x[1]))
         return pdf[["doc_id", "doc_key", "item_id"]].iloc[:1].assign(n_windows=of, n_found=found, n_changed=changed)
 
-    judged = pairs.alias("p").join(enough.alias("e"), on, "left_semi").groupBy(*group).applyInPandas(judge, f"doc_id {kind}, doc_key long, item_id {item_kind}, n_windows long, n_found long, n_changed long")
+    open_ = pairs.alias("p").join(enough.alias("e"), on("e"), "left_semi").alias("p").join(sure.alias("s"), on("s"), "left_anti")
+    judged = certain.unionByName(open_.groupBy(*group).applyInPandas(judge, f"doc_id {kind}, doc_key long, item_id {item_kind}, n_windows long, n_found long, n_changed long"))
     return judged.withColumn("share", F.col("n_found") / F.col("n_windows")).where(F.col("share") >= cfg.share)
 
 
