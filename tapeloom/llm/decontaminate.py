@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeloom.llm.common import by_chunks, stored
 
-LITERAL, NUMBER, CAPITAL, UNIT, NOTHING = range(5)
+LITERAL, NUMBER, CAPITAL, UNIT, NOTHING, GLUED = range(6)
 _EDGE = "\"'`.,;:!?()[]{}<>|*_~#=+/\\-–—“”‘’«»¿¡…"
 _STOPS = frozenset(".!?:")
 _NUMBER = re.compile(r"[-+]?[$€£¥]?\d[\d.,:/]*%?(?:st|nd|rd|th)?\Z")
@@ -43,6 +43,16 @@ UNITS = frozenset(
     "mph kph km/h m/s hz khz mhz ghz w kw mw v kv a j kj kcal cal n pa kpa bar k °c °f c f kb mb gb tb byte bytes bit bits "
     "% percent degree degrees dollar dollars cent cents euro euros usd eur gbp yen".split()
 )
+#: Fixed words for numbers, and the digits they stand for.
+NUMBER_WORDS = dict(
+    zip(
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+        "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split(),
+        "0 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 30 40 50 60 70 80 90 100 1000 1000000 1000000000 dozen".split(),
+    )
+)
+_GLUED = re.compile(r"([-+]?\d[\d.,]*)([a-z°/]+)")
+_ENDS, _TAIL, _HEAD = 1, 2, 4  # flags of a spelling: ends a sentence, has a mark behind, before
 _BITS = 26  # of the bit table: 8 MB
 _CACHE = 400_000  # spellings a worker remembers before it starts over
 
@@ -71,45 +81,53 @@ class _Words(dict):
         super().__init__()
         self.value: list[str] = []
         self._new: list[tuple[int, int, bool]] = []
-        self._kind, self._hash, self._ends = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self._kind, self._hash, self._flags = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         self._size = 0
+        self.parts: dict[int, tuple[int, int]] = {}  # of a number and a unit written as one
 
     def __missing__(self, word: str) -> int:
         core, last = (word, "") if word.isalpha() else (word[:-1], word[-1:])
         if core.isalpha() and last in _EDGE:  # letters, with one mark at most
             low = core.lower()
-            kind = UNIT if low in UNITS else CAPITAL if core[0].isupper() else LITERAL
-            ends = last in _STOPS
+            kind = UNIT if low in UNITS else NUMBER if low in NUMBER_WORDS else CAPITAL if core[0].isupper() else LITERAL
+            flags = (_ENDS if last in _STOPS else 0) | (_TAIL if last else 0)
         else:
             core = word.strip(_EDGE)
             if word[-1:] == "%" and core:
                 core += "%"
             low = core.lower()
+            glued = None
             if not core:
                 kind = UNIT if word == "%" else NOTHING
-            elif _NUMBER.match(core):
+            elif _NUMBER.match(core) or all(x in NUMBER_WORDS for x in low.split("-")):
                 kind = NUMBER
             elif low in UNITS:
                 kind = UNIT
+            elif (glued := _GLUED.fullmatch(low)) and glued[2] in UNITS:
+                kind = GLUED
             else:
                 kind = CAPITAL if core[0].isupper() else LITERAL
-            ends = word.rstrip("\"')]”’»")[-1:] in _STOPS
-        self._new.append((kind, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1) | 1, ends))
-        self.value.append(low)
+            flags = (_ENDS if word.rstrip("\"')]”’»")[-1:] in _STOPS else 0) | (_TAIL if not word.endswith(core) else 0) | (_HEAD if not word.startswith(core) else 0)
+            if kind == GLUED:
+                parts = self[glued[1]], self[glued[2] + ("." if flags & _ENDS else "")]
+        self._new.append((kind, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1) | 1, flags))
+        self.value.append(NUMBER_WORDS.get(low, low))
         n = self[word] = len(self.value) - 1
+        if kind == GLUED:
+            self.parts[n] = parts
         return n
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(kind, hash, ends a sentence) by number."""
+        """(kind, hash, flags) by number."""
         if self._new:
             end = self._size + len(self._new)
             if end > len(self._kind):
                 room = max(2 * len(self._kind), end)
-                self._kind, self._hash, self._ends = (np.concatenate([x, np.zeros(room - len(x), x.dtype)]) for x in (self._kind, self._hash, self._ends))
-            kind, hashes, ends = zip(*self._new)
-            self._kind[self._size : end], self._hash[self._size : end], self._ends[self._size : end] = kind, np.array(hashes, np.uint64), ends
+                self._kind, self._hash, self._flags = (np.concatenate([x, np.zeros(room - len(x), x.dtype)]) for x in (self._kind, self._hash, self._flags))
+            kind, hashes, flags = zip(*self._new)
+            self._kind[self._size : end], self._hash[self._size : end], self._flags[self._size : end] = kind, np.array(hashes, np.uint64), flags
             self._size, self._new = end, []
-        return self._kind, self._hash, self._ends
+        return self._kind, self._hash, self._flags
 
 
 _PLACE = {NUMBER: 3, CAPITAL: 5, UNIT: 7}  # hashes of the placeholders: small odd numbers, which xxh64 of a word is not
@@ -120,8 +138,9 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Template words of all texts in a row: (text number, hash, slot type or 0, spelling number, values).
 
     A capitalised word is a name unless it opens a sentence (``windows`` reads those
-    both ways); a unit counts only
-    after a number. Words without letters or digits vanish.
+    both ways), and names that follow each other without a mark between are one; a unit
+    counts only after a number, from which it may be written apart or not; number words
+    are numbers. Words without letters or digits vanish.
     """
     if not _known or len(_known[0]) > _CACHE:
         _known[:] = [_Words()]
@@ -130,17 +149,37 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     ids = [np.fromiter(map(get, split), np.int64, len(split)) for split in (t.split() for t in texts)]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in ids])
     ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    of_kind, of_hash, of_end = words.arrays()
+    of_kind, of_hash, of_flags = words.arrays()
+    glued = np.flatnonzero(of_kind[ids] == GLUED)
+    if len(glued):
+        both = [words.parts[n] for n in ids[glued].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[glued] = 2
+        at = np.cumsum(times) - times
+        ids, owner = np.repeat(ids, times), np.repeat(owner, times)
+        ids[at[glued]], ids[at[glued] + 1] = np.array(both).T
     kind = of_kind[ids]
     real = kind != NOTHING
     owner, ids, kind = owner[real], ids[real], kind[real]
+    flags = of_flags[ids]
     first = np.ones(len(ids), bool)
     first[1:] = owner[1:] != owner[:-1]
     after = np.zeros(len(ids), bool)
-    after[1:] = of_end[ids[:-1]]
+    after[1:] = (flags[:-1] & _ENDS) > 0
     number_before = np.zeros(len(ids), bool)
     number_before[1:] = (kind[:-1] == NUMBER) & ~first[1:]
     slot = np.where(kind == NUMBER, NUMBER, np.where((kind == CAPITAL) & ~first & ~after, CAPITAL, np.where((kind == UNIT) & number_before, UNIT, 0)))
+    goes_on = np.zeros(len(ids), bool)  # a name that goes on with the word before
+    goes_on[1:] = (slot[1:] == CAPITAL) & (slot[:-1] == CAPITAL) & ((flags[1:] & _HEAD) == 0) & ((flags[:-1] & _TAIL) == 0)
+    if goes_on.any():
+        value = words.value
+        for start in np.flatnonzero(goes_on[1:] & ~goes_on[:-1]).tolist():
+            end = start + 1
+            while end < len(ids) and goes_on[end]:
+                end += 1
+            ids[start] = get(" ".join([value[n] for n in ids[start:end].tolist()]))
+        of_hash = words.arrays()[1]
+        owner, ids, slot = owner[~goes_on], ids[~goes_on], slot[~goes_on]
     hashes = of_hash[ids]
     for s, h in _PLACE.items():
         hashes[slot == s] = h
@@ -323,7 +362,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, cfg: TemplateConfig =
     null id is reported as null; items without a usable window are found where all their
     words and values stand unchanged, as one window; items with fewer template words than ``literals``
     can't be told from chance and match nothing; other columns are ignored; empty
-    tables give no rows.
+    tables give no rows. Not found, since the template has another length: a name that
+    opens a sentence and has another number of words, and a number written in several words.
     """
     best = F.max(F.struct("share", (-F.col("n_changed")).alias("same"), "n_windows", "n_found")).alias("b")
     found = _found(docs, items, cfg).groupBy("doc_id", "item_id").agg(best)

@@ -17,7 +17,7 @@ BROKEN = "A train leaves the old station with Carol at 75 miles per hour while D
 def test_template_types():
     owner, _, slot, ids, value = template(["The car, driven by Anna, goes 12.5 km in 3 hours. Then Anna stops at km nine.", "|| --"])
     got = [(value[i], int(s)) for i, s in zip(ids, slot)]
-    assert [g for g in got if g[1]] == [("anna", 2), ("12.5", 1), ("km", 3), ("3", 1), ("hours", 3), ("anna", 2)]
+    assert [g for g in got if g[1]] == [("anna", 2), ("12.5", 1), ("km", 3), ("3", 1), ("hours", 3), ("anna", 2), ("9", 1)]
     assert ("the", 0) in got and ("then", 0) in got and not (owner == 1).any()
 
 
@@ -73,3 +73,88 @@ def test_names_that_open_sentences_and_items_full_of_values(spark):
     items = spark.createDataFrame([(1, item), (2, dense)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.share, r.n_changed) for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert set(got) == {(1, 1), (3, 2)} and got[1, 1] == (1.0, 3) and got[3, 2] == (1.0, 0)
+
+
+def test_number_words_names_of_several_words_and_glued_units(spark):
+    _, _, slot, ids, value = template(["we met Anna Maria Smith, Bob and Eve (Al Li) in New York for 450km at twenty-one percent or 3 h."])
+    assert [(value[i], int(s)) for i, s in zip(ids, slot) if s] == [
+        ("anna maria smith", 2), ("bob", 2), ("eve", 2), ("al li", 2), ("new york", 2), ("450", 1), ("km", 3), ("twenty-one", 1), ("percent", 3), ("3", 1), ("h", 3),
+    ]
+    items = [
+        (1, "if twelve men dig seven holes in the field near Paris then how many holes do twelve men dig there tomorrow"),
+        (2, "the fast train from New York to Rome covers 300 km before noon and stops in New York again later that evening"),
+    ]
+    fifteen = items[0][1].replace("twelve", "fifteen").replace("seven", "9").replace("Paris", "Den Haag")
+    boston = items[1][1].replace("New York", "Boston").replace("300 km", "450km").replace("Rome", "San Marino")
+    rows = [(1, "words before. " + fifteen + " words behind"), (2, "words before " + boston), (3, boston.replace("in Boston", "in Turin")), (4, items[0][1].replace("men dig there", "men eat there")), (5, items[1][1])]
+    got = {(r.doc_id, r.item_id): (r.share, r.n_changed) for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1, 1] == (1.0, 3) and got[2, 2] == (1.0, 3) and got[5, 2] == (1.0, 0) and (3, 2) not in got
+
+
+def brute_found(text, item):
+    """Plain search: windows as lists of words, every diagonal, run of diagonals and all of them, votes as counts."""
+
+    def read(t):
+        _, h, slot, ids, value = template([t])
+        return [(int(s), value[i] if s else int(x)) for x, s, i in zip(h, slot, ids)]
+
+    def shape(w):
+        return tuple((s, None if s else v) for s, v in w)
+
+    a, d = read(item), read(text)
+    usable = [i for i in range(len(a) - 4) if sum(s == 0 for s, _ in a[i : i + 5]) >= 3]
+    pairs = [(j - i, i, j) for i in usable for j in range(len(d) - 4) if shape(a[i : i + 5]) == shape(d[j : j + 5])]
+    diagonals = sorted({x for x, _, _ in pairs})
+    runs, groups = [], []
+    for x in diagonals:
+        if runs and x - runs[-1][-1] <= 1:
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    groups = [{x} for x in diagonals] + [set(r) for r in runs] + [set(diagonals)]
+    best = 0
+    for g in groups:
+        seen = {(i, tuple(v for s, v in a[i : i + 5] if s), tuple(v for s, v in d[j : j + 5] if s)) for x, i, j in pairs if x in g}
+        votes = {}
+        for _, xs, ys in seen:
+            for p in zip(xs, ys):
+                votes[p] = votes.get(p, 0) + 1
+        stands = {}
+        for p in {x for x, _ in votes}:
+            q = min(((-n, y != p, y) for (x, y), n in votes.items() if x == p))[2]
+            back = min(((-n, x != q, x) for (x, y), n in votes.items() if y == q))[2]
+            if back == p:
+                stands[p] = q
+        best = max(best, len({i for i, xs, ys in seen if all(stands.get(x) == y for x, y in zip(xs, ys))}))
+    return bool(usable) and best >= 0.8 * len(usable)
+
+
+def test_planted_reparameterised_items_equal_a_plain_search(spark):
+    rng = random.Random(12)
+    names, places = ["Alice", "Bob", "Carol", "Dan Brown", "Eve"], ["Paris", "Oslo", "New Delhi", "Rome"]
+    base = [
+        "yesterday {a} gave {b} exactly {n} red apples while {b} walked {m} km toward {p} with {a} and ate {n} of them slowly",
+        "if {a} pays {n} dollars for every lamp and {b} pays {m} dollars more then what do {a} and {b} pay in {p} together",
+        "the old bridge near {p} carries {n} cars in {m} hours so how long would {n} cars need near {p} when {a} helps",
+    ]
+    fill = lambda t: t.format(a=rng.choice(names[:3]), b=rng.choice(names[3:]), n=rng.randint(2, 9), m=rng.randint(10, 40), p=rng.choice(places))
+    items = [(i, fill(base[i % 3])) for i in range(9)]
+    docs = []
+    for d in range(60):
+        t = fill(rng.choice(base)).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            t[rng.randrange(len(t))] = rng.choice(["seldom", "Zoe", "77", "km"])
+        docs.append((d, " ".join([prose(rng, rng.randint(0, 15)).lower(), *t, prose(rng, rng.randint(0, 15)).lower(), *(fill(rng.choice(base)).split() if rng.random() < 0.3 else [])])))
+    want = {(d, i) for d, t in docs for i, x in items if brute_found(t, x)}
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 30 < len(want) < 500
+
+
+def test_very_long_texts_and_tied_votes(spark):
+    rng = random.Random(6)
+    long = prose(rng, 120_000) + ". " + CHANGED + " " + prose(rng, 60_000)
+    tied = "Ann has 4 pears and buys 2 more pears today while Ann has 7 pears and buys 2 more pears today"
+    item = "Tom has 5 pears and buys 3 more pears today"
+    docs = spark.createDataFrame([(1, long), (2, "so " + tied)], "doc_id long, text string")
+    got = [{(r.doc_id, r.item_id, r.n_found, r.n_changed) for r in find_contamination(docs.repartition(k), spark.createDataFrame([(1, QUESTION), (2, item)], "item_id long, text string")).collect()} for k in (1, 3)]
+    assert got[0] == got[1] and {x[:2] for x in got[0]} == {(1, 1), (2, 2)}
