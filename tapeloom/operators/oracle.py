@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tapeloom.config import LOT_SIZE, OracleConfig
 from tapeloom.functions.ordered import exact_quantiles
 from tapeloom.functions.scalar import mid, price_bucket, ratio, sell_cost, valid_nbbo
-from tapeloom.functions.session_scan import At, Derive, FirstTouch, non_overlapping, scan_sessions
+from tapeloom.functions.session_scan import At, Derive, FirstTouch, first_touch, greedy, non_overlapping, scan_sessions
 from tapeloom.operators.bars import KEY
-from tapeloom.session import cut
 
 
 def _numbered(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,16 +116,101 @@ def day_summary(bars: DataFrame, cfg: OracleConfig = OracleConfig(), keys: Seque
     return out.fillna(0, numbers).withColumn("horizon_s", F.lit(cfg.horizon_rows))
 
 
+_STUDY_INPUTS = ("bid", "ask", "bid_size", "ask_size", "low", "high", "spread", "volume", "vwap", "n_trades")
+_STUDY_ROW = (
+    "n_seconds long, quote_coverage double, med_spread double, med_spread_bps double, day_volume double, med_second_dollar_vol double, frictionless_ps double, "
+    "taker_n long, taker_clip_pnl double, taker_med_edge_ps double, taker_displayed_pnl double, maker_n long, maker_clip_pnl double, maker_med_edge_ps double, horizon_s int"
+)
+
+
+def _median(x: np.ndarray) -> float | None:
+    x = x[~np.isnan(x)]
+    return float(np.median(x)) if len(x) else None
+
+
+def _sell_cost(price: np.ndarray, cfg: OracleConfig) -> np.ndarray:
+    fees = cfg.fees
+    return price * fees.sec_rate + min(fees.taf_per_share * cfg.clip_shares, fees.taf_cap) / cfg.clip_shares
+
+
+def _picked(start: np.ndarray, release: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Positions of the profitable, non-overlapping trades, earliest first."""
+    good = np.flatnonzero(edge > 0)
+    return good[greedy(start[good], release[good], False)]
+
+
+def study_session(x: Mapping[str, np.ndarray], horizons: Sequence[int], cfg: OracleConfig) -> list[tuple]:
+    """Summaries of one session at all horizons; rows of ``_STUDY_ROW``.
+
+    Quotes, the maker's fills and the horizon-free statistics are found once; only the
+    exits and the selection are done again for each horizon.
+    """
+    n, bid, ask = len(x["bid"]), x["bid"], x["ask"]
+    rows = np.arange(n)
+    ok = (bid > 0) & ~np.isnan(ask)
+    mid_px = (bid + ask) / 2.0
+    dollars = np.where(x["n_trades"] > 0, x["volume"] * x["vwap"], np.nan)
+    tape = (
+        n, float(ok.mean()), _median(x["spread"]), _median(np.where(mid_px == 0, np.nan, x["spread"] / np.where(mid_px == 0, 1.0, mid_px)) * 1e4),
+        float(np.nansum(x["volume"])) if not np.isnan(x["volume"]).all() else None, _median(dollars) or 0.0,
+    )
+    entry, ok_bid, ok_ask = np.where(ok, bid, np.nan), np.where(ok, bid, np.nan), np.where(ok, ask, np.nan)
+    wait = cfg.maker_wait
+    fill = first_touch(x["low"], entry, np.zeros(n), np.full(n, float(wait)), "lt")
+
+    def at(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+        inside = (where >= 0) & (where < n)
+        return np.where(inside, values[np.where(inside, where, 0)], np.nan)
+
+    out = []
+    for h in horizons:
+        later = rows + h
+        moved = at(mid_px, later) - mid_px
+        exit_px = np.where(ok & at(ok.astype(float), later).astype(bool), at(bid, later), np.nan)
+        edge = exit_px - ask - _sell_cost(exit_px, cfg)
+        took = _picked(rows, later, edge)
+        displayed = np.fmin(x["ask_size"], at(x["bid_size"], later)) * LOT_SIZE
+        shown = edge[took] * np.minimum(cfg.clip_shares, np.maximum(np.nan_to_num(displayed[took]), 0.0))
+
+        posted = np.flatnonzero((fill > 0) & (rows + h + wait < n))
+        leave = fill[posted].astype(np.int64) + h
+        target = at(ok_ask, posted + leave)
+        hit_in = np.full(n, np.nan)
+        level, base = np.full(n, np.nan), np.full(n, np.nan)
+        level[posted], base[posted] = target, leave
+        hit_in = first_touch(x["high"], level, base, np.full(n, float(wait)), "gt")[posted]
+        hit = hit_in > 0
+        inside = (posted + leave + wait < n) & ~np.isnan(target)
+        sold = np.where(hit, target, at(ok_bid, posted + leave + wait))
+        gain = np.where(inside, sold - entry[posted] - _sell_cost(sold, cfg), np.nan)
+        made = _picked(posted, posted + np.where(hit, leave + hit_in.astype(np.int64), leave + wait) + 1, gain)
+        out.append((
+            *tape, float(np.nansum(np.where(moved > 0, moved, 0.0))),
+            len(took), float(edge[took].sum() * cfg.clip_shares), _median(edge[took]) or 0.0, float(shown.sum()),
+            len(made), float(gain[made].sum() * cfg.clip_shares), _median(gain[made]) or 0.0, h,
+        ))
+    return out
+
+
 def viability_study(bars: DataFrame, horizons: Sequence[int], meta: DataFrame | None = None, cfg: OracleConfig = OracleConfig(), keys: Sequence[str] = KEY) -> DataFrame:
     """Session x horizon matrix with the runner metadata of the day, when there is any.
 
-    The bars are read several times per horizon, so they are stored once.
+    One shuffle and one pass per session for all horizons; the rows equal those of
+    ``day_summary`` at each horizon.
     """
-    bars = cut(bars)
-    rows = None
-    for h in horizons:
-        one = day_summary(bars, OracleConfig(h, cfg.clip_shares, cfg.maker_wait, cfg.fees), keys)
-        rows = one if rows is None else rows.unionByName(one)
+    kinds = dict(bars.dtypes)
+    names = [c.split()[0] for c in _STUDY_ROW.split(", ")]
+    fields = StructType.fromDDL(_STUDY_ROW).fields
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("ts")
+        x = {c: part.column(c).cast(pa.float64()).to_numpy() for c in _STUDY_INPUTS}
+        with np.errstate(all="ignore"):
+            rows = study_session(x, horizons, cfg)
+        own = [pa.chunked_array([part.column(k).slice(0, 1).combine_chunks().take(pa.array([0] * len(rows)))]) for k in keys]
+        return pa.table([*own, *(pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(zip(*rows), fields))], [*keys, *names])
+
+    rows = bars.select(*keys, "ts", *_STUDY_INPUTS).groupBy(*keys).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _STUDY_ROW)
     if meta is None:
         return rows.withColumn("price_bucket", F.lit("other"))
     m = meta.select(*keys, "gain", "relvol", "dollar_vol", price_bucket("open").alias("price_bucket"))

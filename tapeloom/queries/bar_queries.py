@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.config import BarSpec, FillConfig
@@ -287,23 +288,28 @@ def study_ctes() -> str:
     parts = [BARS]
     for h in HORIZONS:
         parts += [taker_cand(h, f"tc{h}"), greedy_sql(f"tc{h}", K3, f"tg{h}"), maker_cand(h, 4, f"mc{h}"), greedy_sql(f"mc{h}", K3, f"mg{h}")]
-    parts.append("meta AS (SELECT symbol, session_date, first(close ORDER BY ts) FILTER (close IS NOT NULL) AS open FROM bars GROUP BY ALL)")
+    parts.append("""meta0 AS (SELECT symbol, session_date, first(close ORDER BY ts) FILTER (close IS NOT NULL) AS open, last(close ORDER BY ts) FILTER (close IS NOT NULL) AS lastpx,
+      sum(volume) AS vol, sum(volume * vwap) AS dollar_vol FROM bars GROUP BY ALL),
+    meta AS (SELECT *, lastpx / open - 1 AS gain, vol / avg(vol) OVER (PARTITION BY symbol) AS relvol FROM meta0)""")
     parts.append("study0 AS (" + " UNION ALL ".join(summary_sql(h) for h in HORIZONS) + ")")
-    parts.append("""study AS MATERIALIZED (SELECT s.*, CASE WHEN open >= 0.5 AND open < 2 THEN '0.5-2' WHEN open >= 2 AND open < 5 THEN '2-5'
+    parts.append("""study AS MATERIALIZED (SELECT s.*, gain, relvol, dollar_vol, CASE WHEN open >= 0.5 AND open < 2 THEN '0.5-2' WHEN open >= 2 AND open < 5 THEN '2-5'
       WHEN open >= 5 AND open < 10 THEN '5-10' ELSE 'other' END AS price_bucket FROM study0 s JOIN meta USING (symbol, session_date))""")
     return with_ctes(*parts, recursive=True)
 
 
 def study(spark, sf):
     tape = bars(spark, sf)
-    meta = tape.where("close is not null").groupBy(*b.KEY).agg(F.min_by("close", "ts").alias("open"))
-    nul = F.lit(None).cast("double")
-    meta = meta.select("*", nul.alias("gain"), nul.alias("relvol"), nul.alias("dollar_vol"))
-    return orc.viability_study(tape, HORIZONS, meta, ORACLE).drop("gain", "relvol", "dollar_vol")
+    day = tape.groupBy(*b.KEY).agg(
+        F.min_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("open"), F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("_last"),
+        F.sum("volume").alias("_vol"), F.sum(F.col("volume") * F.col("vwap")).alias("dollar_vol"),
+    )
+    mean = F.avg("_vol").over(Window.partitionBy("symbol"))  # one row per session
+    meta = day.select(*b.KEY, "open", (F.col("_last") / F.col("open") - 1).alias("gain"), (F.col("_vol") / mean).alias("relvol"), "dollar_vol")
+    return orc.viability_study(tape, HORIZONS, meta, ORACLE)
 
 
-STUDY_D = ["quote_coverage", "med_spread", "med_spread_bps", "day_volume", "med_second_dollar_vol", "frictionless_ps", "taker_med_edge_ps", "maker_med_edge_ps"]
-STUDY_M = ["taker_clip_pnl", "taker_displayed_pnl", "maker_clip_pnl"]
+STUDY_D = ["quote_coverage", "med_spread", "med_spread_bps", "day_volume", "med_second_dollar_vol", "frictionless_ps", "taker_med_edge_ps", "maker_med_edge_ps", "gain", "relvol"]
+STUDY_M = ["taker_clip_pnl", "taker_displayed_pnl", "maker_clip_pnl", "dollar_vol"]
 
 
 @query("viability_study", study_ctes() + f"""SELECT symbol, session_date, price_bucket, horizon_s, n_seconds, taker_n, maker_n, {rcols(STUDY_D)}, {rcols(STUDY_M, 3)} FROM study""")
