@@ -9,10 +9,15 @@ each slice, carry the summaries forward and finish inside the slice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tapeloom.session import cut
 
@@ -200,6 +205,108 @@ def prefix_fold(rows: DataFrame, by: Sequence[str], order: str, value: str, comp
     return rows.alias("l").join(above.alias("r"), on).select("l.*", F.col("r.__b").alias(out))
 
 
+class _Filler:
+    """Last non-null values of ordered rows, group by group, over the batches of a partition."""
+
+    def __init__(self, by: Sequence[str], sources: Sequence[str], kinds: Sequence[pa.DataType]):
+        self.by, self.sources = list(by), list(sources)
+        self.kinds = list(kinds)
+        self.group: tuple | None = None
+        self.held: list = [None] * len(self.sources)
+        self.first: tuple | None = None
+        self.groups = 0
+
+    def start(self, group: tuple, held: Sequence) -> None:
+        """Values that rows before this partition left for its first group."""
+        self.group, self.held = group, list(held)
+
+    def step(self, batch: pa.RecordBatch) -> list[pa.Array]:
+        """Per source the last value before each row, in the row's group."""
+        n = batch.num_rows
+        keys = [batch.column(c) for c in self.by]
+        new = np.zeros(n, bool)
+        for k in keys:
+            a, b = k.slice(1), k.slice(0, n - 1)
+            differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+            new[1:] |= differs.to_numpy(zero_copy_only=False)
+        key = tuple(k[0].as_py() for k in keys)
+        if self.first is None:
+            self.first = key
+        goes_on = self.group is not None and key == self.group
+        new[0] = not goes_on
+        self.groups += int(new.sum())
+        begin = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1  # row i is at i + 1, behind the held value
+        begin[: int(new.argmax()) if new.any() else n] = 0
+        out, held = [], []
+        for j, (c, kind) in enumerate(zip(self.sources, self.kinds)):
+            column = batch.column(c)
+            both = pa.concat_arrays([pa.array([self.held[j] if goes_on else None], kind), column])
+            there = both.is_valid().to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(there, np.arange(n + 1), -1))
+            before = at[:-1]
+            out.append(both.take(pa.array(before, mask=(before < begin) | (before < 0))))
+            end = at[-1]
+            held.append(both[int(end)].as_py() if end >= begin[-1] and end >= 0 else None)
+        self.group, self.held = tuple(k[n - 1].as_py() for k in keys), held
+        return out
+
+
+def fill_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], last: dict[str, str]) -> DataFrame:
+    """Add, per group, the last non-null value of each source before the row.
+
+    The rows are shuffled once, into ranges of (group, order) with about equal numbers
+    of rows, so a busy hour of one group is spread over tasks. Only the first group of a
+    range goes on from the one before; what it needs from there, one row per range, is
+    chained on the driver and handed to the second pass.
+    """
+    by, sources = list(by), list(last.values())
+    placed = cut(df.repartitionByRange(*[F.col(c) for c in by], *_asc(order)).sortWithinPartitions(*[F.col(c) for c in by], *_asc(order)).withColumn(_PID, F.spark_partition_id()))
+    kinds = [to_arrow_type(placed.schema[c].dataType) for c in sources]
+    key_kinds = [to_arrow_type(placed.schema[c].dataType) for c in by]
+    fields = [*(pa.field(f"first_{i}", k) for i, k in enumerate(key_kinds)), *(pa.field(f"last_{i}", k) for i, k in enumerate(key_kinds)), *(pa.field(f"held_{i}", k) for i, k in enumerate(kinds))]
+    edge = pa.schema([pa.field(_PID, pa.int32()), pa.field("groups", pa.int64()), *fields])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler, pid = _Filler(by, sources, kinds), None
+        for batch in batches:
+            if batch.num_rows:
+                filler.step(batch)
+                pid = batch.column(_PID)[0].as_py()
+        if pid is not None:
+            row = [pid, filler.groups, *filler.first, *filler.group, *filler.held]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, edge)], schema=edge)
+
+    names = StructType([StructField(_PID, IntegerType()), StructField("groups", LongType())] + [StructField(f.name, placed.schema[c].dataType) for f, c in zip(fields, [*by, *by, *sources])])
+    starts: dict[int, tuple[tuple, list]] = {}
+    group, held = None, [None] * len(sources)
+    k = len(by)
+    for row in placed.select(*dict.fromkeys([*by, *sources]), _PID).mapInArrow(ends, names).orderBy(_PID).toArrow().to_pylist():  # one row per range
+        values = list(row.values())
+        first, end, own = tuple(values[2 : 2 + k]), tuple(values[2 + k : 2 + 2 * k]), values[2 + 2 * k :]
+        if first == group:
+            starts[row[_PID]] = group, held
+        alone = row["groups"] == 1 and first == group
+        held = [h if alone and v is None else v for v, h in zip(own, held)]
+        group = end
+    sent = df.sparkSession.sparkContext.broadcast(starts)
+    out_schema = StructType([f for f in placed.schema.fields if f.name != _PID] + [StructField(n, placed.schema[c].dataType) for n, c in last.items()])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if filler is None:
+                filler = _Filler(by, sources, kinds)
+                if (known := sent.value.get(batch.column(_PID)[0].as_py())) is not None:
+                    filler.start(*known)
+            filled = filler.step(batch)
+            kept = [c for c in batch.schema.names if c != _PID]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *filled], [*kept, *last])
+
+    return placed.mapInArrow(fill, out_schema)
+
+
 def with_row_halo(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], before: int, after: int = 0, chunk_rows: int = 200_000) -> DataFrame:
     """Cut each ordered series into chunks of ``chunk_rows`` with copies of the edge rows.
 

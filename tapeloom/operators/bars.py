@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.config import BarSpec
-from tapeloom.functions.ordered import carry
+from tapeloom.functions.ordered import carry, fill_ranges
 from tapeloom.functions.scalar import ceil_time, floor_time, good_quote, local_date, local_second, micros, plus_seconds, ratio
 from tapeloom.functions.session_scan import scan_sessions
 from tapeloom.functions.sorted_window import WindowQuantile
@@ -103,7 +103,7 @@ def second_bars(trades: DataFrame, quotes: DataFrame | None, spec: BarSpec = Bar
     return regular_hours(bars, spec)
 
 
-def _tick_tape(trades: DataFrame, quotes: DataFrame, interval_s: int) -> DataFrame:
+def _tick_tape(trades: DataFrame, quotes: DataFrame) -> DataFrame:
     """Trades and quotes in arrival order; a quote at a trade's instant comes first."""
     nul = F.lit(None).cast("double")
     q = quotes.select(
@@ -112,22 +112,21 @@ def _tick_tape(trades: DataFrame, quotes: DataFrame, interval_s: int) -> DataFra
     t = trades.select(
         "symbol", "ts", "seq", F.lit(1).alias("kind"), "price", "size", *[nul.alias(c) for c in ("bid_price", "ask_price", "bid_size", "ask_size")]
     )
-    return q.unionByName(t).withColumn("bar_ts", floor_time("ts", interval_s))
+    return q.unionByName(t)
 
 
-def prevailing_quotes(trades: DataFrame, quotes: DataFrame, chunk_s: int = 3600) -> DataFrame:
+def prevailing_quotes(trades: DataFrame, quotes: DataFrame) -> DataFrame:
     """Backward as-of join without tolerance: the last quote and last price before each trade.
 
-    Union-and-fill instead of a range join. A symbol's tape is cut into time
-    chunks and only the last values of a chunk travel, so a hot symbol is spread
-    over many tasks.
+    Union-and-fill instead of a range join. The tape is shuffled once, into ranges of
+    equal row counts; the last values before a range are handed to it, so a busy hour of
+    a hot symbol is spread over many tasks.
     """
-    tape = _tick_tape(trades, quotes, chunk_s)
-    order = ["ts", "kind", "seq"]
+    tape = _tick_tape(trades, quotes)
     last = {"_bid": "bid_price", "_ask": "ask_price", "last_price": "price"}
-    tape = carry(tape, ["symbol"], "bar_ts", order, last=last, include_current=False)
+    tape = fill_ranges(tape, ["symbol"], ["ts", "kind", "seq"], last)
     tape = tape.withColumn("last_bid", F.coalesce("bid_price", "_bid")).withColumn("last_ask", F.coalesce("ask_price", "_ask"))
-    return tape.drop("_bid", "_ask").withColumnRenamed("bar_ts", "chunk_ts")
+    return tape.drop("_bid", "_ask")
 
 
 def trade_sign(price: str = "price") -> Column:
@@ -142,9 +141,9 @@ def trade_sign(price: str = "price") -> Column:
     )
 
 
-def microstructure_bars(trades: DataFrame, quotes: DataFrame, interval_s: int = 60, chunk_s: int = 3600) -> DataFrame:
+def microstructure_bars(trades: DataFrame, quotes: DataFrame, interval_s: int = 60) -> DataFrame:
     """Left-labelled bars with signed flow, mean spread and mean quote imbalance."""
-    tape = prevailing_quotes(trades, quotes, chunk_s).withColumn("ts_open", floor_time("ts", interval_s))
+    tape = prevailing_quotes(trades, quotes).withColumn("ts_open", floor_time("ts", interval_s))
     is_trade = F.col("kind") == 1
     sign = F.when(is_trade, trade_sign())
     o = F.when(is_trade, F.struct("ts", "kind", "seq"))
@@ -207,9 +206,9 @@ def rolled_bars(bars: DataFrame, count: int = 5, interval_s: int = 300, keys: Se
     return out.where(F.col("n_bars") == count).drop("n_bars")
 
 
-def enriched_bars(official: DataFrame, trades: DataFrame, quotes: DataFrame, interval_s: int, chunk_s: int = 3600) -> DataFrame:
+def enriched_bars(official: DataFrame, trades: DataFrame, quotes: DataFrame, interval_s: int) -> DataFrame:
     """Official OHLCV bars with the tick statistics of their interval; zeros when there were no ticks."""
-    tape = prevailing_quotes(trades, quotes, chunk_s).withColumn("bar", floor_time("ts", interval_s))
+    tape = prevailing_quotes(trades, quotes).withColumn("bar", floor_time("ts", interval_s))
     sign = F.when(F.col("kind") == 1, trade_sign())
     depth = F.col("bid_size") + F.col("ask_size")
     stats = tape.groupBy("symbol", F.col("bar").alias("ts")).agg(

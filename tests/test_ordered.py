@@ -128,3 +128,53 @@ def test_searches_that_never_hit_grow_no_faster_than_n_log_n():
             best = min(best, time.perf_counter() - t)
         took.append(best)
     assert took[1] < 30 * took[0] and took[1] < 5
+
+
+def test_fill_ranges_gives_the_last_value_before_each_row(spark):
+    from tapeloom.functions.ordered import fill_ranges
+
+    rng = random.Random(8)
+    rows, seq = [], 0
+    for g, n in (("hot", 400), ("b", 3), (None, 40), ("c", 1), ("dry", 60), ("e", 25)):
+        for _ in range(n):
+            x = None if g == "dry" or rng.random() < 0.9 else rng.randint(0, 9)
+            rows.append((g, rng.choice(["x", None]), seq, x, None if rng.random() < 0.6 else f"v{seq}"))
+            seq += 1
+    df = spark.createDataFrame(rows, "g string, k string, i long, x long, s string")
+    want = {}
+    for by in (["g"], ["g", "k"]):
+        held = {}
+        for g, k, i, x, s in rows:
+            key = tuple({"g": g, "k": k}[c] for c in by)
+            want[len(by), i] = (held.get((key, "x")), held.get((key, "s")))
+            for c, v in (("x", x), ("s", s)):
+                if v is not None:
+                    held[key, c] = v
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for parts, size in ((1, "10000"), (13, "7"), (40, "1")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for by in (["g"], ["g", "k"]):
+                out = fill_ranges(df.repartition(5), by, ["i"], {"last_x": "x", "last_s": "s"})
+                assert out.columns == [*df.columns, "last_x", "last_s"]
+                assert {r.i: (r.last_x, r.last_s) for r in out.collect()} == {i: want[len(by), i] for i in range(len(rows))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert fill_ranges(df.limit(0), ["g"], ["i"], {"last_x": "x"}).collect() == []
+
+
+def test_fill_ranges_spreads_one_busy_hour(spark):
+    from tapeloom.functions.ordered import fill_ranges
+
+    df = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") % 1000).alias("i"), "id", F.when(F.col("id") % 7 == 0, F.col("id")).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = fill_ranges(df, ["g"], ["i", "id"], {"last_x": "x"}).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 4 and max(r["count"] for r in out) < 9_000
