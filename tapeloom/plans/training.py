@@ -1,14 +1,13 @@
-"""Walk-forward training, scoring, export, realism and importance jobs (MLlib)."""
+"""Walk-forward training, scoring, export, realism and importance jobs."""
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from tapeloom.operators.bars import KEY
 from tapeloom.operators.fills import entry_decisions, fill_report, fills_on_tape, threshold_sweep
 from tapeloom.operators.labels import balanced_weights, barrier_inputs, barrier_label_columns, barrier_steps, with_barriers
 from tapeloom.operators.splits import day_split, stratified_cap
+from tapeloom.plans.boosting import BoostConfig, BoostedModel, class_probabilities, fit_boosted_classes, load_boosted, save_model
 from tapeloom.session import cut
 
 
@@ -51,19 +51,19 @@ def input_columns(names: Sequence[str]) -> list[str]:
     return [f"{n}__{s}" for n in names for s in ("v", "na")]
 
 
-def fit_entry_model(train: DataFrame, names: Sequence[str], seed: int = 7, max_iter: int = 20, step: float = 0.1, depth: int = 5, quality=None) -> PipelineModel:
-    """Boosted trees for P(win), with class-balanced row weights over the three outcomes."""
-    rows = balanced_weights(train, "label", "weight", quality).withColumn("y", (F.col("label") == 1.0).cast("double"))
-    stages = [
-        VectorAssembler(inputCols=input_columns(names), outputCol="inputs"),
-        GBTClassifier(featuresCol="inputs", labelCol="y", weightCol="weight", maxIter=max_iter, stepSize=step, maxDepth=depth, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(with_inputs(rows, names))
+def fit_entry_model(train: DataFrame, names: Sequence[str], max_iter: int = 20, step: float = 0.1, depth: int = 5, quality=None) -> BoostedModel:
+    """Boosted trees for the three outcomes -1, 0 and 1, with class-balanced row weights; missing features stay missing."""
+    rows = balanced_weights(train, "label", "weight", quality)
+    return fit_boosted_classes(rows, names, "label", "weight", BoostConfig(rounds=max_iter, step=step, depth=depth))
 
 
-def score(df: DataFrame, model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    out = model.transform(with_inputs(df, names)).withColumn("p_win", vector_to_array("probability")[1])
-    return out.select(*df.columns, "p_win")
+def score(df: DataFrame, model: BoostedModel, names: Sequence[str] | None = None) -> DataFrame:
+    """Add p_loss, p_timeout and p_win, which add up to one; an outcome the model never saw has probability 0."""
+    if names is not None and list(names) != model.names:
+        raise ValueError("the model was fitted on other features")
+    out = class_probabilities(df, model, "_p_")
+    known = {f"{c:g}": F.col(f"`_p_{c:g}`") for c in model.classes}
+    return out.select(*df.columns, *[known.get(c, F.lit(0.0)).alias(n) for c, n in (("-1", "p_loss"), ("0", "p_timeout"), ("1", "p_win"))])
 
 
 def split_rows(rows: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, DataFrame]:
@@ -76,19 +76,23 @@ def split_rows(rows: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, DataFrame]
     return part("train"), part("test")
 
 
-def walk_forward(bars: DataFrame, cfg: TrainConfig, drop: str = "", max_iter: int = 20) -> tuple[PipelineModel, DataFrame]:
-    """Split by day, fit on the past (capped rows), report the threshold economics of all unseen rows."""
-    rows = cut(labelled_features(bars, cfg).where(F.col("label").isNotNull()))
-    if rows.isEmpty():
-        raise ValueError("no labelled rows in any session")
+def _sweep(rows: DataFrame, cfg: TrainConfig, drop: str, max_iter: int) -> tuple[BoostedModel, DataFrame]:
     rows = drop_features(rows, drop)
     names = [n for n in feature_names(cfg.features) if n in rows.columns]
     train, test = split_rows(rows, cfg)
-    model = fit_entry_model(stratified_cap(train, cfg.max_rows_per_day, cfg.seed), names, cfg.seed, max_iter)
+    model = fit_entry_model(stratified_cap(train, cfg.max_rows_per_day, cfg.seed), names, max_iter)
     return model, threshold_sweep(score(test, model, names), cfg.thresholds)
 
 
-def fill_realism(bars: DataFrame, model: PipelineModel, cfg: TrainConfig, threshold: float, qty: int, modes: Sequence[str] = ("taker", "maker"), stop_mult: float = 1.0, fill: FillConfig = FillConfig()) -> DataFrame:
+def walk_forward(bars: DataFrame, cfg: TrainConfig, drop: str = "", max_iter: int = 20) -> tuple[BoostedModel, DataFrame]:
+    """Split by day, fit on the past (capped rows), report the threshold economics of all unseen rows."""
+    rows = cut(labelled_features(bars, cfg).where(F.col("label").isNotNull()))
+    if rows.isEmpty():
+        raise ValueError("no labelled rows in any session")
+    return _sweep(rows, cfg, drop, max_iter)
+
+
+def fill_realism(bars: DataFrame, model: BoostedModel, cfg: TrainConfig, threshold: float, qty: int, modes: Sequence[str] = ("taker", "maker"), stop_mult: float = 1.0, fill: FillConfig = FillConfig()) -> DataFrame:
     """Simulated fills of the model's decisions on the test sessions, against the label assumption."""
     names = feature_names(cfg.features)
     tape_cols = ["low", "ask_size", "spread", "volume"]
@@ -105,20 +109,20 @@ def fill_realism(bars: DataFrame, model: PipelineModel, cfg: TrainConfig, thresh
     return fill_report(sims)
 
 
-def export_model(model: PipelineModel, names: Sequence[str], threshold: float, barrier: BarrierConfig, path: str, spark: SparkSession, exec_stop_mult: float = 1.0) -> None:
+def export_model(model: BoostedModel, names: Sequence[str], threshold: float, barrier: BarrierConfig, path: str, spark: SparkSession, exec_stop_mult: float = 1.0) -> None:
     """Model, ordered feature list and inference parameters, as one artifact folder."""
-    model.write().overwrite().save(f"{path}/model")
+    save_model(model, f"{path}/model", spark)
     spark.createDataFrame(list(enumerate(names)), "position int, feature string").write.mode("overwrite").parquet(f"{path}/features")
     p = {k: v for k, v in dataclasses.asdict(barrier).items() if not isinstance(v, dict)} | {"threshold": threshold, "exec_stop_mult": exec_stop_mult}
     spark.createDataFrame([p]).write.mode("overwrite").parquet(f"{path}/params")
 
 
-def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel, list[str], dict]:
+def load_model(path: str, spark: SparkSession) -> tuple[BoostedModel, list[str], dict]:
     names = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]  # one row per feature
-    return PipelineModel.load(f"{path}/model"), names, spark.read.parquet(f"{path}/params").first().asDict()
+    return load_boosted(f"{path}/model", spark), names, spark.read.parquet(f"{path}/params").first().asDict()
 
 
-def permutation_importance(rows: DataFrame, model: PipelineModel, names: Sequence[str], keys: Sequence[str] = (*KEY, "ts"), repeats: int = 3, sample: int | None = None, seed: int = 7) -> DataFrame:
+def permutation_importance(rows: DataFrame, model: BoostedModel, names: Sequence[str], keys: Sequence[str] = (*KEY, "ts"), repeats: int = 3, sample: int | None = None, seed: int = 7) -> DataFrame:
     """Loss of accuracy when one feature is shuffled, over all labelled rows or a hash-drawn sample; one scoring job for all features."""
     keep = rows.where(F.col("label").isNotNull()).select(*keys, "label", *names)
     if sample is not None:
@@ -139,17 +143,48 @@ def permutation_importance(rows: DataFrame, model: PipelineModel, names: Sequenc
     return drop.groupBy("feature").agg(F.avg("d").alias("importance"), F.stddev_pop("d").alias("importance_std"))
 
 
-def config_grid(bars: DataFrame, configs: dict[str, TrainConfig], max_iter: int = 10) -> DataFrame:
-    """One report over several training settings; settings are few, each is a distributed job."""
-    out = None
+def labelled_grid(bars: DataFrame, configs: Mapping[str, TrainConfig], keys: Sequence[str] = KEY) -> DataFrame:
+    """Features once, and barriers and outcome of every setting, as columns ``<name>__<setting>``.
+
+    The settings must share their feature windows; one shuffle and one pass per session
+    serve all of them.
+    """
+    features = {c.features for c in configs.values()}
+    if len(features) != 1:
+        raise ValueError("the settings of a grid share their features")
+    (shared,) = features
+    df, steps, carry = bars, [], ["bid", "ask"]
     for name, cfg in configs.items():
-        _, sweep = walk_forward(bars, cfg, max_iter=max_iter)
-        one = sweep.withColumn("config", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        own = ["target_ps", "stop_ps", "_ok", "entry_px", "_win_px", "_loss_px", "_bid_timeout"]
+        df = barrier_inputs(with_barriers(df, cfg.barrier, keys).drop("px"), cfg.barrier, keys).withColumnsRenamed({c: f"{c}__{name}" for c in own})
+        steps += [dataclasses.replace(s, out=f"{s.out}__{name}", level=f"{s.level}__{name}") for s in barrier_steps(cfg.barrier)]
+        carry += [f"{c}__{name}" for c in own]
+    return bar_features(df, shared, keys, steps, carry)
+
+
+def grid_rows(grid: DataFrame, name: str, cfg: TrainConfig, keys: Sequence[str] = KEY) -> DataFrame:
+    """The labelled rows of one setting, with the columns of ``labelled_features``."""
+    ends = f"__{name}"
+    own = {c: c.removesuffix(ends) for c in grid.columns if c.endswith(ends)}
+    rows = grid.withColumnsRenamed(own)
+    labels = barrier_label_columns(cfg.barrier)
+    return rows.select(*keys, "ts", *feature_names(cfg.features), "bid", "ask", "target_ps", "stop_ps", *[c.alias(n) for n, c in labels.items()]).where(F.col("label").isNotNull())
+
+
+def config_grid(bars: DataFrame, configs: Mapping[str, TrainConfig], max_iter: int = 10, drop: str = "", at_once: int = 4) -> DataFrame:
+    """One report over several training settings (a handful), from one labelled table; their fits run side by side."""
+    grid = cut(labelled_grid(bars, configs))
+
+    def one(item: tuple[str, TrainConfig]) -> DataFrame:
+        name, cfg = item
+        return _sweep(grid_rows(grid, name, cfg), cfg, drop, max_iter)[1].withColumn("config", F.lit(name))
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        reports = list(pool.map(inheritable_thread_target(bars.sparkSession)(one), configs.items()))
+    return reduce(DataFrame.unionByName, reports)
 
 
-def decide(bars: DataFrame, model: PipelineModel, names: Sequence[str], cfg: TrainConfig, exec_stop_mult: float = 1.0) -> DataFrame:
+def decide(bars: DataFrame, model: BoostedModel, names: Sequence[str], cfg: TrainConfig, exec_stop_mult: float = 1.0) -> DataFrame:
     """Decision rows (score, barriers, execution stop) for bars with a valid quote and warm barriers."""
     from tapeloom.functions.scalar import tradable_nbbo
 
