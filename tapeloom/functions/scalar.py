@@ -213,8 +213,9 @@ def is_target_order(coid: str | Column) -> Column:
 
 
 def stable_unit(seed: int, *keys: str) -> Column:
-    """Reproducible draw in [0, 1) from the row's own key; no RNG state."""
-    return F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
+    """Reproducible draw in [0, 1) from the row's own key; no RNG state. 32 bits of an MD5 of the key as text."""
+    digest = F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def contribution(json_map_value: Column) -> Column:

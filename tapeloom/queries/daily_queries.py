@@ -222,7 +222,7 @@ def pct(c: str, table: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY date, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0) / count({c}) OVER (PARTITION BY date) END"
 
 
-CROSS = ["rev_5d", "max_ret_1m", "up_frac_6m"]
+CROSS = NAMES
 
 
 @query("cross_ranks", with_ctes(FACT) + f"SELECT symbol, date, {', '.join(r(pct(c, 'fac'), c) for c in CROSS)} FROM fac")

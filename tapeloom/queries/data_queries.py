@@ -148,13 +148,14 @@ def _cap(spark, sf):
     return sp.stratified_cap(lab, 20, 7).groupBy(*b.KEY, "label").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("keep_positives")
+@query("keep_positives", with_ctes(LABEL_CTES) + f"""SELECT symbol, session_date, ts, {rcols(['target_ps', 'stop_ps', 'label', 'entry_px', 'exit_s', 'timeout_edge'])} FROM labels_v
+    WHERE label = 1 OR label IS NOT NULL AND ('0x' || left(md5(concat_ws('|', symbol, session_date::VARCHAR, ts::VARCHAR, 7)), 8))::BIGINT / 4294967296.0 < 0.15""")
 def _positives(spark, sf):
     lab = labelled(spark, sf).where("label is not null")
     return rounded(sp.keep_positives(lab, F.col("label") == 1, 0.15, 7, [*b.KEY, "ts"]))
 
 
-@query("hash_draws_per_tenth")
+@query("hash_draws_per_tenth", "SELECT floor(('0x' || left(md5(concat_ws('|', event_id, 7)), 8))::BIGINT / 4294967296.0 * 10)::INT AS tenth, count(*) AS n FROM events GROUP BY 1")
 def _draws(spark, sf):
     e = tables.table(spark, sf, "events")
     return e.groupBy(F.floor(stable_unit(7, "event_id") * 10).cast("int").alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +166,7 @@ def _threshold(spark, sf):
     return rounded(sp.matched_threshold(scored_labels(spark, sf).select("p_win"), 500))
 
 
-SCALED = ["ret_3s", "spread_bps", "qimb"]
+SCALED = FEATURE_COLS
 
 
 def q3(c: str) -> str:
@@ -182,7 +183,8 @@ def _scaler(spark, sf):
 
 
 def scaled_sql(c: str) -> str:
-    return r(f"coalesce(({c} - (SELECT median FROM q WHERE feature = '{c}')) / (SELECT iqr FROM q WHERE feature = '{c}'), 0)", c, 2)
+    m, q = (f"(SELECT {x} FROM q WHERE feature = '{c}')::FLOAT" for x in ("median", "iqr"))
+    return r(f"coalesce(({c}::FLOAT - {m})::FLOAT / {q}, 0)", c, 3)
 
 
 @query("scaled_features", with_ctes(FEATURE_CTES) + ", q AS (" + " UNION ALL ".join(q3(c) for c in SCALED) + f") SELECT symbol, session_date, ts, {', '.join(scaled_sql(c) for c in SCALED)} FROM feats")
@@ -192,7 +194,7 @@ def _scaled(spark, sf):
     f = cut(feature_table(spark, sf))
     path = fs.scratch_path(spark, "scaler")
     fs.save_scaler(sp.robust_scaler(f.where("day(session_date) <= 20"), SCALED), path)
-    return rounded(sp.apply_scaler(f, fs.load_scaler(spark, path), SCALED), 2)
+    return rounded(sp.apply_scaler(f, fs.load_scaler(spark, path), SCALED), 3)
 
 
 @query("average_precision", with_ctes(SCORED) + f", s AS (SELECT p_win, sum((label = 1)::INT) AS tp, count(*) AS n FROM scored WHERE label IS NOT NULL GROUP BY 1), c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER () AS p FROM s WINDOW w AS (ORDER BY p_win DESC)) SELECT {r('sum(ctp / cn * tp / p)', 'average_precision')} FROM c")
@@ -201,18 +203,26 @@ def _ap(spark, sf):
     return rounded(sp.average_precision(d))
 
 
-@query("window_tensors", with_ctes(FEATURE_CTES) + f""", w AS (SELECT symbol, session_date, ts, row_number() OVER p AS position, sum(coalesce(ret_1s, 0)) OVER f AS a, count(ret_1s) OVER f AS na, sum(coalesce(quote_ok, 0)) OVER f AS b FROM feats
-    WINDOW p AS (PARTITION BY symbol, session_date ORDER BY ts), f AS (PARTITION BY symbol, session_date ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
-    SELECT symbol, session_date, ts, position, 8 AS width, {r("a", "sum_ret", 4)}, na AS n_ret, {r("b", "sum_ok", 4)} FROM w""")
+TENSOR = "PARTITION BY symbol, session_date ORDER BY ts"
+
+
+@query(
+    "window_tensors",
+    with_ctes(FEATURE_CTES) + f"""SELECT symbol, session_date, ts, row_number() OVER ({TENSOR}) AS position, 8 AS width,
+    {", ".join(f"{r(f'sum(coalesce({c}::FLOAT::DOUBLE, 0)) OVER f', f'sum_{c}', 3)}, count({c}) OVER f AS n_{c}" for c in FEATURE_COLS)}
+    FROM feats WINDOW f AS ({TENSOR} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""",
+)
 def _tensors(spark, sf):
+    """Windows of eight rows of every feature; sums and counts of each feature over its window."""
     f = bf.bar_features(bars(spark, sf), FEATURES)
-    t = bf.window_tensors(f, ["ret_1s", "quote_ok"], 8)
+    t = bf.window_tensors(f, FEATURE_COLS, 8)
 
-    def total(i: int):
-        return F.aggregate("window", F.lit(0.0), lambda acc, v: acc + F.coalesce(v[i].cast("double"), F.lit(0.0)))
+    def cells(i: int, c: str) -> list:
+        total = F.aggregate("window", F.lit(0.0), lambda acc, v: acc + F.coalesce(v[i].cast("double"), F.lit(0.0)))
+        return [rnd(total, 3).alias(f"sum_{c}"), F.size(F.filter("window", lambda v: v[i].isNotNull())).cast("long").alias(f"n_{c}")]
 
-    have = F.size(F.filter("window", lambda v: v[0].isNotNull())).cast("long")
-    return t.select(*b.KEY, "ts", F.col("position").cast("long").alias("position"), F.size("window").alias("width"), rnd(total(0), 4).alias("sum_ret"), have.alias("n_ret"), rnd(total(1), 4).alias("sum_ok"))
+    cells = [x for i, c in enumerate(FEATURE_COLS) for x in cells(i, c)]
+    return t.select(*b.KEY, "ts", F.col("position").cast("long").alias("position"), F.size("window").alias("width"), *cells)
 
 
 @query("log_target", study_ctes() + f"SELECT symbol, session_date, horizon_s, {r('ln(1 + greatest(taker_clip_pnl - 500, 0))', 'y')} FROM study")
@@ -318,18 +328,21 @@ def _month_ends(spark, sf):
 
 
 @query("book_file_pair", """WITH x AS (SELECT event_id AS seq, round(value, 2) AS v, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)
-    SELECT (row_number() OVER (ORDER BY seq) - 1) AS seq, round(v + 1, 2) + 0.0 AS ask_p, (1 + k % 5)::DOUBLE AS bid_v, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 0 THEN k ELSE 0 END::DOUBLE AS buy_flow, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS sell_flow FROM x""")
+    SELECT (row_number() OVER (ORDER BY seq) - 1) AS seq, seq::DOUBLE AS event_time, round(v + 1, 2) + 0.0 AS ask_p_0, 3.0::DOUBLE AS ask_v_0, round(v - 1, 2) + 0.0 AS bid_p_0, (1 + k % 5)::DOUBLE AS bid_v_0,
+    round(v + 2, 2) + 0.0 AS ask_p_1, 4.0::DOUBLE AS ask_v_1, round(v - 2, 2) + 0.0 AS bid_p_1, (1 + k % 7)::DOUBLE AS bid_v_1, 0.0001::DOUBLE AS tick_size,
+    CASE WHEN k % 6 IN (4, 5) AND k % 2 = 0 THEN k ELSE 0 END::DOUBLE AS buy_flow, CASE WHEN k % 6 IN (4, 5) AND k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS sell_flow FROM x""")
 def _pair(spark, sf):
     """Writes the events as an order-book / message file pair, then loads the pair back."""
     e = tables.table(spark, sf, "events").select("event_id", F.round("value", 2).alias("v"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
     e = e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
-    level = [(F.col("v") + 1), F.lit(3), F.col("v") - 1, 1 + F.col("k") % 5]
+    levels = [F.col("v") + 1, F.lit(3), F.col("v") - 1, 1 + F.col("k") % 5, F.col("v") + 2, F.lit(4), F.col("v") - 2, 1 + F.col("k") % 7]
     book, msg = fs.scratch_path(spark, "book"), fs.scratch_path(spark, "message")
-    e.select(F.concat_ws(",", *[c.cast("string") for c in level * 2]).alias("value")).write.text(book)
+    e.select(F.concat_ws(",", *[c.cast("string") for c in levels]).alias("value")).write.text(book)
     side = F.when(F.col("k") % 2 == 0, -1).otherwise(1)
     e.select(F.concat_ws(",", *[c.cast("string") for c in (F.col("event_id"), F.col("k") % 6, F.col("event_id"), F.col("k"), F.lit(1), side)]).alias("value")).write.text(msg)
     out = fs.load_book_pair(spark, book, msg, 2)
-    return out.select("seq", rnd(F.col("levels")[0]["ask_p"], 2).alias("ask_p"), F.col("levels")[1]["bid_v"].alias("bid_v"), "buy_flow", "sell_flow")
+    cells = [(F.col("levels")[i][c] if c.endswith("v") else rnd(F.col("levels")[i][c], 2)).alias(f"{c}_{i}") for i in range(2) for c in ("ask_p", "ask_v", "bid_p", "bid_v")]
+    return out.select("seq", "event_time", *cells, "tick_size", "buy_flow", "sell_flow")
 
 
 @query("distinct_symbols", with_ctes(DAILY) + "SELECT DISTINCT symbol FROM daily ORDER BY symbol")

@@ -432,9 +432,9 @@ def matched(spark, sf):
     return od.match_fills(tables.fills(spark, sf), chunk_rows=200)
 
 
-@query("matched_fills", with_ctes(FILLS, recursive=True) + f"SELECT symbol, ts, seq, tie, prev::BIGINT AS pos_before, pos::BIGINT AS pos_after, {r('CASE WHEN pos <> 0 THEN entry END + 0.00000314159', 'entry_price', 4)} FROM mt")
+@query("matched_fills", with_ctes(FILLS, recursive=True) + f"SELECT symbol, ts, seq, tie, prev::BIGINT AS pos_before, pos::BIGINT AS pos_after, {r('CASE WHEN pos <> 0 THEN entry END + 0.00000314159', 'entry_price', 4)}, CASE WHEN prev <> 0 AND (prev > 0) <> (delta > 0) THEN least(abs(delta), abs(prev)) END::BIGINT AS closed_qty, {r('CASE WHEN prev <> 0 AND (prev > 0) <> (delta > 0) THEN entry_before + 0.00000314159 END', 'closed_entry', 4)}, {r('CASE WHEN prev <> 0 AND (prev > 0) <> (delta > 0) THEN (price - entry_before) * least(abs(delta), abs(prev)) * sign(prev) + 0.00000314159 END', 'pnl', 4)} FROM mt")
 def _matched(spark, sf):
-    return rounded(matched(spark, sf).select("symbol", "ts", "seq", "tie", "pos_before", "pos_after", off_tie()), 4)
+    return rounded(matched(spark, sf).select("symbol", "ts", "seq", "tie", "pos_before", "pos_after", off_tie(), "closed_qty", (F.col("closed_entry") + 0.00000314159).alias("closed_entry"), (F.col("pnl") + 0.00000314159).alias("pnl")), 4)
 
 
 @query("closed_round_trips", with_ctes(FILLS, recursive=True) + f"""SELECT symbol, CASE WHEN prev > 0 THEN 'long' ELSE 'short' END AS side, least(abs(delta), abs(prev))::BIGINT AS qty, opened_before AS entry_ts, ts AS exit_ts,
@@ -452,7 +452,7 @@ def _open(spark, sf):
 # ---------------------------------------------------------------- metrics and reports
 TRD = """
 ct AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'P' || l_suppkey AS symbol, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS side, CAST(l_quantity AS BIGINT) AS qty, l_shipdate AS entry_ts,
-  l_shipdate + to_hours(l_linenumber + 1) AS exit_ts, floor(CAST(round(l_extendedprice * 100) AS BIGINT) / l_quantity) / 100.0 AS entry_price, floor(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((l_discount - l_tax) * 100) AS BIGINT) / 100) / 100.0 AS pnl FROM lineitem),
+  l_shipdate + to_hours(l_linenumber + 1) AS exit_ts, floor(CAST(round(l_extendedprice * 100) AS BIGINT) / l_quantity) / 100.0 AS entry_price, floor(floor(CAST(round(l_extendedprice * 100) AS BIGINT) / l_quantity) * (100 + CAST(round((l_discount - l_tax) * 100) AS BIGINT)) / 100) / 100.0 AS exit_price, floor(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((l_discount - l_tax) * 100) AS BIGINT) / 100) / 100.0 AS pnl FROM lineitem),
 eq AS (SELECT o_orderkey AS id, o_orderdate + to_seconds(o_orderkey % 86400) AS ts, 100000.0 + (o_orderkey * 7919 + o_custkey * 104729) % 20011 AS equity, (100000.0 + (o_orderkey * 7919 + o_custkey * 104729) % 20011) / 2 AS cash,
   round(o_totalprice / 10, 2) AS gross_exposure FROM orders)
 """
@@ -538,18 +538,18 @@ def _by_status(spark, sf):
     return od.newest(o, 100, [F.desc("o_orderkey")], F.col("o_orderstatus") == "P")
 
 
-TREP = f"SELECT id, symbol, side, qty, entry_ts, exit_ts, entry_price, {r('pnl', 'pnl', 2)}, {r('(epoch_us(exit_ts) - epoch_us(entry_ts)) / 1e6', 'holding_seconds')} FROM ct"
+TREP = f"SELECT id, symbol, side, qty, entry_ts, exit_ts, entry_price, exit_price, {r('pnl', 'pnl', 2)}, {r('(epoch_us(exit_ts) - epoch_us(entry_ts)) / 1e6', 'holding_seconds')} FROM ct"
 
 
 @query("trades_report", with_ctes(TRD) + TREP + " WHERE exit_ts >= TIMESTAMP '2001-05-01'")
 def _trades(spark, sf):
     since = F.lit("2001-05-01").cast("timestamp")
-    return rounded(od.trades_report(tables.closed_trades(spark, sf), since).drop("exit_price"))
+    return rounded(od.trades_report(tables.closed_trades(spark, sf), since))
 
 
 @query("trades_today", with_ctes(TRD) + TREP + " WHERE exit_ts >= TIMESTAMP '2001-06-01 04:00:00'")
 def _today(spark, sf):
-    return rounded(od.trades_today(tables.closed_trades(spark, sf), now())[0].drop("exit_price"))
+    return rounded(od.trades_today(tables.closed_trades(spark, sf), now())[0])
 
 
 @query("trades_today_summary", with_ctes(TRD) + f"""SELECT count(*) AS n, {r("sum(pnl)", "total_pnl", 2)}, {r("avg((pnl > 0)::INT)", "hit_rate", 4)}, {r("avg(pnl) FILTER (pnl > 0)", "avg_win", 2)}, {r("avg(pnl) FILTER (pnl <= 0)", "avg_loss", 2)}

@@ -94,6 +94,19 @@ def _stream_features(spark, sf):
     return rounded(jobs.run_to_end(dc.stream_features(live, FEATURES, BARRIER)).drop("bid", "ask", "target_ps", "stop_ps"))
 
 
+@query("exported_model_difference", with_ctes(FEATURE_CTES, LABEL_CTES.replace(BARS + ",\n", "")) + "SELECT symbol, session_date, ts, 0.0::DOUBLE AS difference, 1.0::DOUBLE AS total FROM labels_v WHERE label IS NOT NULL")
+def _export_difference(spark, sf):
+    """Win probability of a model before it was written less the one after it was read; its outcomes add up to one."""
+    rows = cut(tr.training_set(bars(spark, sf), CFG))
+    names = bf.feature_names(FEATURES)
+    path = fs.scratch_path(spark, "artifact")
+    model = tr.fit_entry_model(rows, names, max_iter=3)
+    tr.export_model(model, names, 0.5, BARRIER, path, spark)
+    again, stored, _ = tr.load_model(path, spark)
+    both = tr.score(tr.score(rows, model, names).withColumnRenamed("p_win", "_first").drop("p_loss", "p_timeout"), again, stored)
+    return rounded(both.select(*KEY, "ts", (F.col("p_win") - F.col("_first")).alias("difference"), (F.col("p_loss") + F.col("p_timeout") + F.col("p_win")).alias("total")))
+
+
 @query("morning_watchlist")
 def _morning(spark, sf):
     data = cut(scan.scanner_dataset(scan.early_bars(bars(spark, sf), *EARLY), day_context(spark, sf), study(spark, sf), 6))

@@ -147,7 +147,7 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("entry_ts"),
         F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + (F.col("l_linenumber") + 1) * F.lit(3_600_000_000)).alias("exit_ts"),
         px.alias("entry_price"),
-        F.round(px * (1 + F.col("l_discount") - F.col("l_tax")), 2).alias("exit_price"),
+        (F.floor(F.floor(_cents("l_extendedprice") / F.col("l_quantity")) * (100 + F.round((F.col("l_discount") - F.col("l_tax")) * 100).cast("long")) / 100) / 100.0).alias("exit_price"),
         trade_pnl().alias("pnl"),
     )
 
