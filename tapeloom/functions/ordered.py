@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tapeloom.session import cut
 
@@ -307,6 +307,80 @@ def fill_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     return placed.mapInArrow(fill, out_schema)
 
 
+def _changes(batch: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """True where a row differs from the one before in one of the columns; nulls are equal. The first row is True."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        column = batch.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        a, b = column.slice(1), column.slice(0, max(0, n - 1))
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    return new
+
+
+def ranks_in_one_sort(df: DataFrame, by: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """Tie-averaged 1-based rank of ``value`` (not null) within a group, for groups of any size.
+
+    The rows, whatever else they carry, are shuffled once into ranges of (group, value);
+    equal values share a range, so only the number of rows that a range's first group has
+    before it comes from elsewhere: one row per range, chained on the driver.
+    """
+    by = list(by)
+    keys = [F.col(c) for c in by]
+    placed = cut(df.repartitionByRange(*keys, F.col(value)).sortWithinPartitions(*keys, F.col(value)).withColumn(_PID, F.spark_partition_id()))
+    edges = placed.groupBy(_PID, *by).agg(F.count(F.lit(1)).alias("__n"))
+    around = edges.groupBy(_PID).agg(F.min_by(F.struct(*by, "__n"), F.struct(*by)).alias("first"), F.max_by(F.struct(*by, "__n"), F.struct(*by)).alias("last"), F.count(F.lit(1)).alias("groups"))
+    starts: dict[int, int] = {}
+    group, seen = None, 0
+    for row in around.orderBy(_PID).collect():  # one row per range
+        first, last = (tuple(row[x][c] for c in by) for x in ("first", "last"))
+        starts[row[_PID]] = before = seen if first == group else 0
+        seen = row["last"]["__n"] + (before if row["groups"] == 1 else 0)
+        group = last
+    sent = df.sparkSession.sparkContext.broadcast(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows of the last value, which the next batch may go on with
+        before, group = None, None  # rows of that group before them
+
+        def ranked(rows: pa.Table) -> pa.Table:
+            nonlocal before, group
+            if before is None:
+                before = sent.value.get(rows.column(_PID)[0].as_py(), 0)
+                group = tuple(rows.column(c)[0].as_py() for c in by)
+            goes_on = tuple(rows.column(c)[0].as_py() for c in by) == group
+            n = rows.num_rows
+            heads = _changes(rows, by)
+            ties = _changes(rows, [*by, value])
+            head = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+            base = np.where(head == 0, before if goes_on else 0, 0)
+            tie = np.cumsum(ties) - 1
+            start = np.flatnonzero(ties)
+            size = np.diff(np.append(start, n))
+            rank = (start - head[start] + base[start])[tie] + (size[tie] + 1) / 2.0
+            before = int(n - head[-1] + base[-1])
+            group = tuple(rows.column(c)[n - 1].as_py() for c in by)
+            return rows.drop_columns([_PID]).append_column(out, pa.array(rank))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = int(np.flatnonzero(_changes(rows, [*by, value]))[-1])
+            held = rows.slice(last)
+            if last:
+                yield from ranked(rows.slice(0, last)).combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from ranked(held).combine_chunks().to_batches()
+
+    schema = StructType([f for f in placed.schema.fields if f.name != _PID] + [StructField(out, DoubleType())])
+    return placed.mapInArrow(run, schema)
+
+
 def with_row_halo(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], before: int, after: int = 0, chunk_rows: int = 200_000) -> DataFrame:
     """Cut each ordered series into chunks of ``chunk_rows`` with copies of the edge rows.
 

@@ -88,7 +88,17 @@ def with_min_history(daily: DataFrame, sessions: int = 252) -> DataFrame:
     return daily.withColumn("_n", n).where(F.col("_n") >= sessions).drop("_n")
 
 
+def daily_panel(rows: DataFrame, observations: int = 252, fields: Sequence[str] = ("close", "volume", "vwap"), order: str = "ts") -> DataFrame:
+    """One row per (symbol, date) with the last value of each field, for symbols with enough rows.
+
+    ``rows`` may hold several rows of a day; all of them count as observations.
+    """
+    enough = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= observations).select("symbol")
+    return last_per_day(rows.join(enough, "symbol", "left_semi"), fields, order)
+
+
 def last_per_day(rows: DataFrame, fields: Sequence[str] = ("close", "volume", "vwap"), order: str = "ts") -> DataFrame:
+    """The last non-null value of each field per (symbol, date)."""
     return rows.groupBy("symbol", "date").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
 
 

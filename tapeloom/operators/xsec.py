@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.config import PortfolioConfig
-from tapeloom.functions.ordered import average_ranks, exact_quantiles, ordered_prefix
+from tapeloom.functions.ordered import average_ranks, exact_quantiles, ordered_prefix, ranks_in_one_sort
 from tapeloom.functions.scalar import ratio
 from tapeloom.functions.session_scan import Derive, Rolling, scan_sessions
 from tapeloom.operators.daily import by_date
@@ -114,15 +114,17 @@ def factors(daily: DataFrame, market: DataFrame | None = None) -> DataFrame:
 def cross_ranks(df: DataFrame, cols: Sequence[str], by: str = "date") -> DataFrame:
     """Tie-averaged percentile rank of each column within a date; any cross-section size.
 
-    Columns are ranked in long form, one ordered pass for all of them. The input
-    is read three times (count, rank, result), so it is stored once first.
+    Columns are ranked in long form, one sort for all of them, which carries the row's
+    key; the numbers of values are counted per date beside it. The input is read three
+    times (count, rank, result), so it is stored once first.
     """
     df = cut(df)
-    stacked = df.select(by, "symbol", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])).alias("s"))
-    long = stacked.select(by, "symbol", "s.name", "s.v").where("v is not null")
-    ranked = average_ranks(long, "v", [by, "name"])
-    wide = ranked.groupBy(by, "symbol").agg(*[F.max(F.when(F.col("name") == c, F.col("rank") / F.col("rank_n"))).alias(c) for c in cols])
-    return df.drop(*cols).join(wide, [by, "symbol"], "left")
+    stacked = df.select(by, "symbol", F.explode(F.array(*[F.struct(F.lit(i).alias("name"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("s"))
+    ranked = ranks_in_one_sort(stacked.select(by, "symbol", "s.name", "s.v").where("v is not null"), [by, "name"], "v")
+    wide = ranked.groupBy(by, "symbol").agg(*[F.max(F.when(F.col("name") == i, F.col("rank"))).alias(c) for i, c in enumerate(cols)])
+    counts = df.groupBy(by).agg(*[F.count(c).alias(f"_n_{c}") for c in cols])  # one row per date
+    joined = df.drop(*cols).join(wide, [by, "symbol"], "left").join(counts, by, "left")
+    return joined.select(*[c for c in df.columns if c not in cols], *[(F.col(c) / F.col(f"_n_{c}")).alias(c) for c in cols])
 
 
 def ranked_in_list(df: DataFrame, cols: Sequence[str], by: str = "date") -> DataFrame:

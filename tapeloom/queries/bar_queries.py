@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -176,6 +178,14 @@ def _features(spark, sf):
     return rounded(bf.bar_features(bars(spark, sf), FEATURES))
 
 
+@query("price_band_tiers", with_ctes(FEATURE_CTES) + f""", t AS (SELECT symbol, session_date, ts, px / 8 AS p, pxmean / 8 AS m FROM f4)
+    SELECT symbol, session_date, ts, {r("(CASE WHEN m >= 3 THEN m * 1.1 WHEN m >= 0.75 THEN m * 1.2 WHEN m IS NOT NULL THEN m + least(0.15, m * 0.75) END - p) / p", "luld_up_dist")} FROM t""")
+def _band_tiers(spark, sf):
+    """Distance to the upper band of cheap names, whose band is wider: prices are an eighth."""
+    cheap = bars(spark, sf).withColumn("close", F.col("close") / 8)
+    return rounded(bf.bar_features(cheap, replace(FEATURES, luld_tiered=True)).select(*b.KEY, "ts", "luld_up_dist"))
+
+
 # ---------------------------------------------------------------- barriers and labels
 LABEL_CTES = BARS + f""",
 p1 AS (SELECT *, last_value(close IGNORE NULLS) {RUN} AS px FROM bars),

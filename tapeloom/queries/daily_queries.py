@@ -78,6 +78,19 @@ def _history(spark, sf):
     return rounded(dl.with_min_history(tables.daily(spark, sf), 530).select("symbol", "date", "close"), 8)
 
 
+@query("daily_panel", """WITH p AS (SELECT 'P' || l_suppkey AS symbol, l_shipdate::DATE AS date, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber <> 4 THEN l_extendedprice END AS close, l_quantity AS volume FROM lineitem)
+    SELECT symbol, date, last(close ORDER BY seq) FILTER (close IS NOT NULL) AS close, last(volume ORDER BY seq) AS volume FROM p WHERE symbol IN (SELECT symbol FROM p GROUP BY 1 HAVING count(*) >= 600) GROUP BY ALL""")
+def _panel(spark, sf):
+    """Line items as several prints a day; symbols with fewer than 600 prints are left out."""
+    li = tables.table(spark, sf, "lineitem")
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+    prints = li.select(
+        F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("date"), seq.alias("seq"),
+        F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice")).alias("close"), F.col("l_quantity").alias("volume"),
+    )
+    return dl.daily_panel(prints, 600, ["close", "volume"], "seq")
+
+
 MOM = DAILY + """,
 mu0 AS (SELECT *, lag(close, 20) OVER w AS c20, lag(close, 5) OVER w AS c5, row_number() OVER w AS rn, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k
   FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY date)),

@@ -500,6 +500,25 @@ def _curve(spark, sf):
     return od.downsample(tables.equity_snapshots(spark, sf).select("id", "ts", "equity"), 500)
 
 
+def range_sql(span: str, days: int | None) -> str:
+    rows = "eq" if days is None else f"(SELECT * FROM eq WHERE ts >= {NOW} - INTERVAL {days} DAY)"
+    k = f"(SELECT id, ts, equity, row_number() OVER (ORDER BY ts, id) - 1 AS i, count(*) OVER () AS n FROM {rows})"
+    return f"SELECT '{span}' AS span, id, ts, equity FROM {k} WHERE n <= 100 OR i IN (SELECT (j * (n0 - 1)) // 99 FROM (SELECT unnest(range(100)) AS j), (SELECT count(*) AS n0 FROM {rows}))"
+
+
+RANGES = {"1d": 1, "1w": 7, "1m": 30, "all": None}
+
+
+@query("equity_ranges", with_ctes(TRD) + " UNION ALL ".join(range_sql(s, d) for s, d in RANGES.items()))
+def _ranges(spark, sf):
+    """The equity curve of every range that can be asked for, at most 100 points each."""
+    e, out = tables.equity_snapshots(spark, sf).select("id", "ts", "equity"), None
+    for span in RANGES:
+        one = od.downsample(od.in_range(e, now(), span), 100).select(F.lit(span).alias("span"), "id", "ts", "equity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("pnl_histogram", with_ctes(TRD) + f""", ed AS (SELECT min(pnl) AS lo, (max(pnl) - min(pnl)) / 10 AS step FROM ct), c AS (SELECT least(floor((pnl - lo) / step), 9)::INT AS bin, count(*) AS n FROM ct, ed GROUP BY 1)
     SELECT bin::INT AS bin, {r("lo + bin * step", "bin_start", 3)}, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(10))::INT AS bin) b LEFT JOIN c USING (bin), ed""")
 def _hist(spark, sf):

@@ -178,3 +178,29 @@ def test_fill_ranges_spreads_one_busy_hour(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(out) == 4 and max(r["count"] for r in out) < 9_000
+
+
+def test_ranks_in_one_sort_average_ties(spark):
+    from tapeloom.functions.ordered import ranks_in_one_sort
+
+    rng = np.random.default_rng(5)
+    rows = [(g, int(i), float(rng.integers(0, k))) for g, n, k in (("a", 300, 4), ("b", 40, 1000), (None, 25, 3), ("c", 1, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    want = pd.DataFrame(rows, columns=["g", "i", "v"])
+    want["g"] = want["g"].fillna("none")
+    want["r"] = want.groupby("g")["v"].rank(method="average")
+    want = {(g, i): r for g, i, r in zip(want["g"], want["i"], want["r"])}
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts, size in ((1, "10000"), (9, "7"), (30, "1")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r.g or "none", r.i): r["rank"] for r in ranks_in_one_sort(df.repartition(4), ["g"], "v").collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranks_in_one_sort(df.limit(0), ["g"], "v").collect() == []
