@@ -63,7 +63,7 @@ def _beta(ret: np.ndarray, market: np.ndarray) -> np.ndarray:
 def factors(daily: DataFrame, market: DataFrame | None = None) -> DataFrame:
     """Price, volume and (with a market series) risk factors; NULL where history is short.
 
-    ``market`` is (date, mret): one row per session, hence broadcast. Lags are
+    ``market`` is (date, mret): one row per session. Lags are
     window columns; the year-long statistics run in one Arrow pass per symbol,
     whose history is calendar-bounded. (As SQL frames they cost rows x window
     per aggregate; the same numbers came out about five times slower.)
@@ -75,7 +75,7 @@ def factors(daily: DataFrame, market: DataFrame | None = None) -> DataFrame:
     close, ret = F.col("close"), F.col("ret")
     df = daily_returns(daily.select("symbol", "date", "close", "volume"))
     if market is not None:
-        df = df.join(F.broadcast(market), "date", "left")
+        df = df.join(market, "date", "left")
     dollar = F.nullif(F.col("close") * F.col("volume"), F.lit(0.0))
     cols = {
         "mom_12_1": ratio(lagged(21), lagged(252)) - 1.0,
@@ -141,7 +141,7 @@ def ranked_in_list(df: DataFrame, cols: Sequence[str], by: str = "date") -> Data
 
 def rebalance_dataset(features: DataFrame, dates: DataFrame, names: Sequence[str], eligible_top: int) -> DataFrame:
     """Samples at rebalance dates: complete rows, the N most liquid at that date, ranked inside that set."""
-    rows = features.join(F.broadcast(dates.select("date")), "date", "left_semi").dropna(subset=list(names))
+    rows = features.join(dates.select("date"), "date", "left_semi").dropna(subset=list(names))
     top = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("dollar_vol"), "symbol"))
     kept = rows.withColumn("_k", top).where(F.col("_k") <= eligible_top).drop("_k").withColumn("y_rank", F.col("fwd_ret"))
     return ranked_in_list(kept.select("symbol", "date", "fwd_ret", "y_rank", *names), [*names, "y_rank"])
@@ -204,7 +204,7 @@ def holding_wealth(scores: DataFrame, daily: DataFrame, top_n: int) -> tuple[Dat
     """(holdings, wealth of each holding per session of its period); missing prices carry forward."""
     picks = top_holdings(scores, top_n)
     rebal = scores.select("date").distinct()
-    cal = F.broadcast(_calendar(daily, rebal))
+    cal = _calendar(daily, rebal)
     base = picks.join(daily.select("symbol", "date", F.col("close").alias("_base")), ["symbol", "date"], "left")
     base = base.withColumnRenamed("date", "period").select("period", "symbol", "weight", "_base")
     prices = daily.select("symbol", "date", "close").join(cal, "date")
@@ -240,7 +240,7 @@ def turnover(picks: DataFrame, wealth: DataFrame) -> DataFrame:
     order = order.select("period", nxt.alias("_next"))
     last = wealth.groupBy("period", "symbol").agg(F.max_by("wealth", "date").alias("w"))
     total = last.groupBy("period").agg(F.sum("w").alias("_t"))
-    drifted = last.join(total, "period").join(F.broadcast(order), "period").where("_next is not null").select(
+    drifted = last.join(total, "period").join(order, "period").where("_next is not null").select(
         F.col("_next").alias("period"), "symbol", (F.col("w") / F.col("_t")).alias("drifted")
     )
     target = picks.select(F.col("date").alias("period"), "symbol", "weight")
@@ -272,7 +272,7 @@ def summarize_returns(returns: DataFrame, ret: str, by: Sequence[str], benchmark
     """CAGR, volatility, Sharpe, drawdown and years per series; active return against (date, bench)."""
     df = with_wealth(returns.where(F.col(ret).isNotNull()), ret, by)
     if benchmark is not None:
-        df = df.join(F.broadcast(benchmark), "date", "left").withColumn("_a", F.col(ret) - F.coalesce("bench", F.lit(0.0)))
+        df = df.join(benchmark, "date", "left").withColumn("_a", F.col(ret) - F.coalesce("bench", F.lit(0.0)))
     n = F.count(F.lit(1))
     years = n / 252.0
     year = 252.0**0.5

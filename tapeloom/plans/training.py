@@ -67,11 +67,11 @@ def score(df: DataFrame, model: BoostedModel, names: Sequence[str] | None = None
 
 
 def split_rows(rows: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by session; the list of sessions is calendar-sized and broadcast."""
+    """(train, test) by session; the list of sessions is calendar-sized."""
     parts = cut(day_split(rows, cfg.split)).withColumnRenamed("date", "session_date")
 
     def part(name: str) -> DataFrame:
-        return rows.join(F.broadcast(parts.where(F.col("part") == name).select("session_date")), "session_date", "left_semi")
+        return rows.join(parts.where(F.col("part") == name).select("session_date"), "session_date", "left_semi")
 
     return part("train"), part("test")
 

@@ -230,7 +230,25 @@ def _probs(spark, sf):
     return rounded(df.select("symbol", "session_date", "ts", "seq", *bk.oracle_probabilities()))
 
 
-@query("horizon_sweep")
+def sweep_ctes(k: int) -> str:
+    """Labels at one horizon, what trading them at the touch nets, and what they would give without costs."""
+    return f"""
+f{k} AS (SELECT *, CASE WHEN count(mid) OVER w = {k} THEN avg(mid) OVER w END AS mp, lead(mid) OVER ({BW}) - mid AS step FROM mids WINDOW w AS ({BW} ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING)),
+l{k} AS MATERIALIZED (SELECT *, CASE WHEN (mp - mid) / mid > alpha THEN 1 WHEN (mp - mid) / mid < -alpha THEN -1 WHEN mp IS NOT NULL THEN 0 END AS pos FROM f{k}, al),
+p{k} AS (SELECT *, coalesce(lag(pos) OVER ({BW}), 0) AS prev, row_number() OVER ({BW}) AS rn FROM l{k} WHERE pos IS NOT NULL),
+x{k} AS (SELECT *, CASE WHEN pos <> prev AND prev <> 0 THEN CASE WHEN prev > 0 THEN b0 ELSE a0 END END AS xpx, CASE WHEN pos <> prev AND pos <> 0 THEN CASE WHEN pos > 0 THEN a0 ELSE b0 END END AS epx FROM p{k}),
+e{k} AS (SELECT count(xpx) + count(epx) AS n, sum(coalesce(prev * xpx, 0) - coalesce(pos * epx, 0) - (coalesce(xpx, 0) + coalesce(epx, 0)) * 0.8e-4) + last(pos * (a0 + b0) / 2.0 ORDER BY rn) AS net FROM x{k} GROUP BY symbol, session_date)"""
+
+
+def sweep_row(k: int) -> str:
+    return f"""SELECT {r(f"(SELECT count(*) FILTER (pos = -1) / count(pos) FROM l{k})", "down", 5)}, {r(f"(SELECT count(*) FILTER (pos = 0) / count(pos) FROM l{k})", "flat", 5)}, {r(f"(SELECT count(*) FILTER (pos = 1) / count(pos) FROM l{k})", "up", 5)},
+    (SELECT count(pos) FROM l{k}) AS n_valid, (SELECT sum(n) FROM e{k})::BIGINT AS n_trades, {r(f"(SELECT sum(net) FROM e{k})", "cross_net", 5)}, {r(f"(SELECT sum(pos * coalesce(step, 0)) FROM l{k})", "frictionless", 5)}, {k} AS horizon"""
+
+
+SWEEP = LABEL + ", q AS (SELECT quantile_cont(mid, 0.5) AS m, quantile_cont(a0 - b0, 0.5) AS s FROM mids), al AS (SELECT (s + 2 * 0.8e-4 * m) / m AS alpha FROM q)"
+
+
+@query("horizon_sweep", with_ctes(SWEEP, sweep_ctes(3), sweep_ctes(8)) + sweep_row(3) + " UNION ALL " + sweep_row(8))
 def _sweep(spark, sf):
     return rounded(bk.horizon_sweep(tables.books(spark, sf), (3, 8)), 5)
 

@@ -128,7 +128,7 @@ def _rows(spark, sf):
 def _members(spark, sf):
     t = bars(spark, sf)
     test = sp.day_split(t, SPLIT).where("part = 'test'").select(F.col("date").alias("session_date"))
-    return rounded(t.join(F.broadcast(test), "session_date", "left_semi").select(*b.KEY, "ts", "close"))
+    return rounded(t.join(test, "session_date", "left_semi").select(*b.KEY, "ts", "close"))
 
 
 @query("quality_depth", with_ctes(BARS) + f", q AS (SELECT symbol, session_date, row_number() OVER (ORDER BY v DESC, symbol, session_date) AS rank FROM (SELECT symbol, session_date, sum(volume) AS v FROM bars GROUP BY 1, 2)) SELECT symbol, session_date, ts, {r('close', 'close')} FROM bars JOIN q USING (symbol, session_date) WHERE rank <= 25")

@@ -217,7 +217,7 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame:
 def session_flags(rows: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataFrame:
     """Open, entry-window, last-minutes and month-end flags from a table of exchange sessions.
 
-    ``sessions`` (date, open_ts, close_ts) has one row per trading day, hence broadcast.
+    ``sessions`` (date, open_ts, close_ts) has one row per trading day.
     """
     from pyspark.sql import Window
 
@@ -227,7 +227,7 @@ def session_flags(rows: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataF
     cal = sessions.withColumn("last_of_month", ends)
     prior = F.last(F.when(F.col("last_of_month"), F.col("date")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     cal = cal.withColumn("prior_month_end", prior)
-    df = rows.withColumn("_d", F.to_date(F.from_utc_timestamp(ts, "America/New_York"))).join(F.broadcast(cal.withColumnRenamed("date", "_d")), "_d", "left")
+    df = rows.withColumn("_d", F.to_date(F.from_utc_timestamp(ts, "America/New_York"))).join(cal.withColumnRenamed("date", "_d"), "_d", "left")
     t = F.unix_micros(ts)
     o, c, minute = F.unix_micros("open_ts"), F.unix_micros("close_ts"), F.lit(60_000_000)
     no = F.lit(False)
