@@ -8,7 +8,7 @@ Python passes work on UTF-8 bytes and never decode a text they only count in.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from tapeloom.session import cut, ensure_checkpoint_dir
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
-__all__ = ["WORD_GAP", "by_chunks", "cut", "forest", "fold_mod", "lower_az", "n_words", "stored", "table", "text_bytes", "words_of"]
+__all__ = ["WORD_GAP", "by_chunks", "cut", "forest", "fold_mod", "lower_az", "n_words", "remembers", "stored", "table", "text_bytes", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,20 @@ def fold_mod(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Said by a pass that keeps a memory in its Python worker: what another pass kept there is dropped.
+
+    Workers outlive the stages of a job, so without this they would hold the memories of all of them.
+    """
+    if _holder and _holder[0][0] != name:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((name, forget))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; nulls are empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeloom.functions.ordered import ordered_prefix
-from tapeloom.llm.common import by_chunks, stored
+from tapeloom.llm.common import by_chunks, remembers, stored
 
 #: Lower-case Latin letters, then ASCII marks: the normaliser leaves such a word as it is.
 _PLAIN = re.compile(r"([a-z\xe0-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
@@ -381,6 +381,7 @@ def tokenized(docs: DataFrame, vocabulary: str, cfg: StockConfig = StockConfig()
     end_id = cfg.end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("word ids", _coders.clear)
         key = hash(held.value), end_id
         if key not in _coders:
             _coders[key] = WordIds(held.value, end_id)

@@ -20,16 +20,16 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tapeloom.llm.common import by_chunks, stored
+from tapeloom.llm.common import by_chunks, remembers, stored
 
 LITERAL, NUMBER, CAPITAL, UNIT, NOTHING, GLUED = range(6)
 _EDGE = "\"'`.,;:!?()[]{}<>|*_~#=+/\\-–—“”‘’«»¿¡…"
@@ -54,7 +54,7 @@ NUMBER_WORDS = dict(
 _GLUED = re.compile(r"([-+]?\d[\d.,]*)([a-z°/]+)")
 _ENDS, _TAIL, _HEAD = 1, 2, 4  # flags of a spelling: ends a sentence, has a mark behind, before
 _BITS = 26  # of the bit table: 8 MB
-_CACHE = 400_000  # spellings a worker remembers before it starts over
+_CACHE = 250_000  # spellings a worker remembers before it starts over
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         core, last = (word, "") if word.isalpha() else (word[:-1], word[-1:])
         if core.isalpha() and last in _EDGE:  # letters, with one mark at most
-            low = core.lower()
+            low = word if core.islower() and not last else core.lower()  # one string where they are equal
             kind = UNIT if low in UNITS else NUMBER if low in NUMBER_WORDS else CAPITAL if core[0].isupper() else LITERAL
             flags = (_ENDS if last in _STOPS else 0) | (_TAIL if last else 0)
         else:
@@ -289,14 +289,23 @@ def consistent(rows: list[tuple[int, list[str], list[str]]]) -> tuple[int, int]:
     return len(good), sum(a != b for a, b in stands.items())
 
 
-def occurrences(pdf: pd.DataFrame, least: float) -> Iterator[list[tuple[int, list[str], list[str]]]]:
+Match = tuple[int, int, list[str], list[str]]  # item_at, doc_at, item_slots, doc_slots
+
+
+def occurrences(matches: list[Match], least: float) -> Iterator[list[tuple[int, list[str], list[str]]]]:
     """The matches of every place where ``least`` item windows may be: each diagonal, runs of neighbouring ones, and all."""
-    pdf = pdf.assign(diagonal=pdf["doc_at"] - pdf["item_at"]).sort_values("diagonal")
-    run = (pdf["diagonal"].diff() > 1).cumsum()
-    for by in (pdf["diagonal"], run, run * 0):
-        for _, part in pdf.groupby(by):
-            if part["item_at"].nunique() >= least:
-                yield list(zip(part["item_at"], part["item_slots"], part["doc_slots"]))
+    diagonals: dict[int, list[Match]] = defaultdict(list)
+    for m in matches:
+        diagonals[m[1] - m[0]].append(m)
+    runs: list[list[int]] = []
+    for d in sorted(diagonals):
+        if runs and d - runs[-1][-1] <= 1:
+            runs[-1].append(d)
+        else:
+            runs.append([d])
+    for part in chain(diagonals.values(), ([m for d in run for m in diagonals[d]] for run in runs), (matches,)):
+        if len({m[0] for m in part}) >= least:
+            yield [(m[0], m[2], m[3]) for m in part]
 
 
 def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
@@ -313,10 +322,11 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     kind = docs.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_chunks(batches, "text", 1 << 20):
+        remembers("template words", _known.clear)
+        for part in by_chunks(batches, "text", 1 << 19):
             ids, keys = part.column("doc_id"), part.column("doc_key")
             texts = part.column("text").to_pylist()
-            every = [(False, x) for x in windows(texts, loose, cfg.literals)] + [(True, x) for x in (whole(texts, exact) if exact else ())]
+            every = chain(((False, x) for x in windows(texts, loose, cfg.literals)), ((True, x) for x in (whole(texts, exact) if exact else ())))
             for same, (at, own, place, h, names, w, parts) in every:
                 slot = h & ((1 << _BITS) - 1)
                 hit = np.flatnonzero((sent.value[slot >> 6] >> (slot & 63)) & 1)
@@ -343,13 +353,15 @@ def _found(docs: DataFrame, items: DataFrame, cfg: TemplateConfig) -> DataFrame:
     def on(r: str) -> list[Column]:
         return [F.col(f"p.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in group]
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = pdf["n_item"].iloc[0]
-        found, changed = max(map(consistent, occurrences(pdf, cfg.share * of)), key=lambda x: (x[0], -x[1]))
-        return pdf[["doc_id", "doc_key", "item_id"]].iloc[:1].assign(n_windows=of, n_found=found, n_changed=changed)
+    def judge(rows: pa.Table) -> pa.Table:
+        of = rows.column("n_item")[0].as_py()
+        matches = list(zip(*(rows.column(c).to_pylist() for c in ("item_at", "doc_at", "item_slots", "doc_slots"))))
+        found, changed = max(map(consistent, occurrences(matches, cfg.share * of)), key=lambda x: (x[0], -x[1]))
+        own = [rows.column(c).slice(0, 1) for c in ("doc_id", "doc_key", "item_id")]
+        return pa.table([*own, *(pa.array([v], pa.int64()) for v in (of, found, changed))], ["doc_id", "doc_key", "item_id", "n_windows", "n_found", "n_changed"])
 
     open_ = pairs.alias("p").join(enough.alias("e"), on("e"), "left_semi").alias("p").join(sure.alias("s"), on("s"), "left_anti")
-    judged = certain.unionByName(open_.groupBy(*group).applyInPandas(judge, f"doc_id {kind}, doc_key long, item_id {item_kind}, n_windows long, n_found long, n_changed long"))
+    judged = certain.unionByName(open_.groupBy(*group).applyInArrow(judge, f"doc_id {kind}, doc_key long, item_id {item_kind}, n_windows long, n_found long, n_changed long"))
     return judged.withColumn("share", F.col("n_found") / F.col("n_windows")).where(F.col("share") >= cfg.share)
 
 

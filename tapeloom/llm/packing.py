@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import by_chunks
+from tapeloom.llm.common import by_chunks, remembers
 
 #: The published pre-tokenising pattern of the vocabulary below.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,6 +167,7 @@ def pack_documents(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame
     placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("packing", _tokenizers.clear)
         key = hash(ranks.value), cfg.pattern, cfg.end_id
         if key not in _tokenizers:
             _tokenizers[key] = WordTokenizer(ranks.value, cfg.pattern, cfg.end_id)
