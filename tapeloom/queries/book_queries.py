@@ -24,7 +24,9 @@ lv AS (SELECT symbol, session_date, ts, seq, i AS level, round(a0 + 0.01 * i, 4)
 
 
 def flat_levels(df, col="levels"):
-    return df.select("symbol", "session_date", "ts", "seq", F.posexplode(col).alias("level", "x")).select("symbol", "session_date", "ts", "seq", F.col("level").cast("long").alias("level"), "x.*")
+    # a plain posexplode makes Spark filter on the array's size, with the array's whole expression repeated inside that filter
+    rows = df.select("symbol", "session_date", "ts", "seq", F.posexplode_outer(col).alias("level", "x")).where("level is not null")
+    return rows.select("symbol", "session_date", "ts", "seq", F.col("level").cast("long").alias("level"), "x.*")
 
 
 @query("book_shape", with_ctes(LEVELS) + f"SELECT {KO}, level, {r('ask_p - mid', 'ask_p')}, ask_v, {r('bid_p - mid', 'bid_p')}, bid_v FROM lv")

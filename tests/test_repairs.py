@@ -140,3 +140,14 @@ def test_streamed_bars_count_late_trades_and_keep_the_newest_quote():
     out = pd.concat(state.handleExpiredTimer(key, Now(int(t0.timestamp() * 1000) + 12_000), None))
     first = out.iloc[0]
     assert (first["open"], first["close"], first["n_trades"], first["bid"], first["late_trades"]) == (5.0, 6.0, 2.0, 4.0, 1)
+
+
+def test_flattened_levels_are_built_once(spark):
+    from tapeloom.operators import book as bk
+    from tapeloom.queries.book_queries import flat_levels
+    from tapeloom.sources import driver_tables as tables
+
+    flat = flat_levels(bk.book_features(tables.books(spark, "/root/testdata/sf0.001"), "raw40"), "shape")
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    odd = spark.createDataFrame([("A", 1, 1, 1, [(1.5,)]), ("A", 1, 1, 2, []), ("A", 1, 1, 3, None)], "symbol string, session_date int, ts int, seq int, levels array<struct<ask_p double>>")
+    assert [tuple(x) for x in flat_levels(odd).collect()] == [("A", 1, 1, 1, 0, 1.5)]
