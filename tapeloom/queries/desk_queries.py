@@ -398,7 +398,7 @@ def order_updates(spark, sf):
     """(upserts, events) of the order table; a quarter of the orders is upserted twice."""
     o = tables.table(spark, sf, "orders").select(
         "o_orderkey", F.concat(F.lit("c"), "o_orderkey").alias("client_order_id"), F.concat(F.lit("U"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"),
-        F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.round(F.col("o_totalprice") / 4000).cast("long").alias("qty"), F.lit("new").alias("status"), F.when(F.col("o_orderkey") % 5 == 1, 200_000_000_000).otherwise(0).cast("long").alias("seq"),
+        F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.rint(F.col("o_totalprice") / 4000).cast("long").alias("qty"), F.lit("new").alias("status"), F.when(F.col("o_orderkey") % 5 == 1, 200_000_000_000).otherwise(0).cast("long").alias("seq"),
     )
     again = o.where("o_orderkey % 4 = 0").withColumns({"qty": F.col("qty") * 2, "status": F.lit("submitted"), "seq": F.lit(450_000_000_000)})
     o = o.unionByName(again).drop("o_orderkey")

@@ -151,3 +151,15 @@ def test_flattened_levels_are_built_once(spark):
     assert flat._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
     odd = spark.createDataFrame([("A", 1, 1, 1, [(1.5,)]), ("A", 1, 1, 2, []), ("A", 1, 1, 3, None)], "symbol string, session_date int, ts int, seq int, levels array<struct<ask_p double>>")
     assert [tuple(x) for x in flat_levels(odd).collect()] == [("A", 1, 1, 1, 0, 1.5)]
+
+
+def test_half_quantities_round_to_even_as_in_sql(spark, tmp_path):
+    """DuckDB casts 2.5 to 2 and 3.5 to 4; both the orders and their feed read this table."""
+    from tapeloom.queries.desk_queries import order_updates
+
+    rows = [(i, 1, "O", 2000.0 * i, datetime(2020, 1, 1), "x") for i in range(8)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders, _ = order_updates(spark, str(tmp_path))
+    got = {r.client_order_id: r.qty for r in orders.where("status = 'new'").collect()}
+    assert got == {f"c{i}": q for i, q in enumerate([0, 0, 1, 2, 2, 2, 3, 4])}
