@@ -163,3 +163,15 @@ def test_half_quantities_round_to_even_as_in_sql(spark, tmp_path):
     orders, _ = order_updates(spark, str(tmp_path))
     got = {r.client_order_id: r.qty for r in orders.where("status = 'new'").collect()}
     assert got == {f"c{i}": q for i, q in enumerate([0, 0, 1, 2, 2, 2, 3, 4])}
+
+
+def test_rank_correlation_of_equal_values_is_nan(spark):
+    from tapeloom.operators import xsec as xs
+
+    day = lambda d, xs_: [(date(2024, 1, d), float(a), float(b)) for a, b in xs_]
+    rows = day(1, [(1, 1), (2, 2), (3, 3)]) + day(2, [(5, 1), (5, 2), (5, 3)])
+    scores = spark.createDataFrame(rows, "date date, score double, fwd_ret double")
+    one = xs.information_coefficient(scores, 3).first()
+    assert np.isnan(one.ic_mean) and np.isnan(one.ic_tstat) and (one.ic_hit, one.n_dates) == (1.0, 2)
+    assert np.isnan(xs.rank_ic(scores.where("score = 5"), "score", "fwd_ret").first().rank_ic)
+    assert abs(xs.rank_ic(scores.where("score < 5"), "score", "fwd_ret").first().rank_ic - 1) < 1e-12
