@@ -26,6 +26,7 @@ class NextGood:
     flag: str
     rows: str
     dtype = T.LongType()
+    blockwise = True
 
     def __call__(self, frame: pd.DataFrame) -> pd.Series:
         n = len(frame)
@@ -33,8 +34,8 @@ class NextGood:
         rows = frame[self.rows].to_numpy(dtype=float)
         start = np.arange(n) + np.nan_to_num(rows, nan=0.0)
         k = np.searchsorted(good, start, side="left")
-        ok = ~np.isnan(rows) & (k < len(good))
-        pos = good[np.where(ok, k, 0)] if len(good) else np.zeros(n, dtype=int)
+        pos = np.append(good, n)[k]
+        ok = ~np.isnan(rows) & (pos < frame.end)
         return pd.Series(pos - np.arange(n), index=frame.index).astype("Int64").where(pd.Series(ok, index=frame.index))
 
 
@@ -174,13 +175,14 @@ class LastGood:
     flag: str
     rows: str
     dtype = T.LongType()
+    blockwise = True
 
     def __call__(self, frame: pd.DataFrame) -> pd.Series:
         n = len(frame)
         good = np.nonzero(frame[self.flag].to_numpy(dtype=bool))[0]
         rows = frame[self.rows].to_numpy(dtype=float)
         start = np.arange(n) + np.nan_to_num(rows, nan=0.0)
-        last = good[-1] if len(good) else -1
+        last = np.append(-1, good)[np.searchsorted(good, frame.end, side="left")]
         ok = ~np.isnan(rows) & (start <= last)
         return pd.Series(last - np.arange(n), index=frame.index).astype("Int64").where(pd.Series(ok, index=frame.index))
 

@@ -204,3 +204,36 @@ def test_ranks_in_one_sort_average_ties(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert ranks_in_one_sort(df.limit(0), ["g"], "v").collect() == []
+
+
+def test_scan_of_many_sessions_in_one_block_equals_one_at_a_time(spark):
+    """Windows, touches, lookups and picks end with their session, whatever block it is scanned in."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tapeloom.functions import session_scan as sc
+    from tapeloom.operators.fills import LastGood, NextGood
+
+    rng = np.random.default_rng(7)
+    rows = [(k, i, float(rng.integers(0, 9)), float(rng.integers(0, 9)), i + int(rng.integers(0, 4)), bool(rng.random() < 0.4)) for k in range(40) for i in range(int(rng.integers(1, 9)))]
+    df = spark.createDataFrame(rows, "k int, t long, v double, w double, until long, good boolean").withColumn("v", F.when(F.col("v") < 8, F.col("v")))
+    steps = [
+        sc.RollingMedian("med", "v", 3, 2), sc.FirstTouch("hit", "v", "w", "ge", 4), sc.At("there", "w", "hit"), sc.RowsUntil("room", "t", "until"),
+        sc.FirstTouch("low", "v", "w", "lt", "room", "hit"), NextGood("nxt", "good", "hit"), LastGood("last", "good", "room"),
+        sc.Rolling("top", ("v",), 2, lambda x: x.max(axis=1)), sc.GreedyPick("kept", "hit"), sc.GreedyPick("strict", "room", True),
+    ]
+    got = {(r.k, r.t): tuple(r)[6:] for r in sc.scan_sessions(df, ["k"], "t", steps).collect()}
+    want = {}
+    for k in range(40):
+        own = pa.table({n: [r[j] for r in sorted(map(tuple, df.where(F.col("k") == k).collect()), key=lambda r: r[1])] for j, n in enumerate(df.columns)}) if k % 8 == 0 else None
+        if own is None:
+            continue
+        one = sc.Session(own, np.zeros(1, np.int64))
+        for s in steps:
+            one.append(s.out, s(one), sc.to_arrow_type(s.dtype))
+        want |= {(k, r["t"]): tuple(r[s.out] for s in steps) for r in one.rows.to_pylist()}
+    assert want and {x: got[x] for x in want} == want
+    blocks = spark.createDataFrame([(k,) for k in range(3000)], "k int").repartition(1).select("k", F.lit(0).alias("t"), F.lit(1.0).alias("v"))
+    calls = spark.sparkContext.accumulator(0)
+    sc.scan_sessions(blocks, ["k"], "t", [sc.Derive("twice", lambda f: (calls.add(1), 2 * f["v"])[1], sc.T.DoubleType())]).collect()
+    assert calls.value <= 8  # once a block, not once a session
