@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,40 +37,49 @@ def latest_feed(rows: DataFrame, keys: Sequence[str], order: str, path: str, che
 class Changes(StatefulProcessor):
     """Rows of a key whose value differs from the row before, in ``order``; the first row is a change.
 
-    State: the last value. Rows that arrive behind a later one of an earlier micro-batch
-    are compared in order of arrival.
+    Keyed by a bucket of keys, so that a call into Python costs many keys and not one.
+    State: the last value of each key of the bucket; keys come as strings. Rows that arrive behind a later one
+    of an earlier micro-batch are compared in order of arrival.
     """
 
-    def __init__(self, value: str, order: str, columns: list[str]):
-        self.value, self.order, self.columns = value, order, columns
+    def __init__(self, by: str, value: str, order: str, columns: list[str]):
+        self.by, self.value, self.order, self.columns = by, value, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value string")
+        self.last = handle.getValueState("last", "names array<string>, held array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable", ignore_index=True)
+        batch = pd.concat(list(rows)).sort_values([self.by, self.order], kind="stable", ignore_index=True)
         now = batch[self.value].astype(object).where(batch[self.value].notna(), None)
-        known = self.last.exists()
-        before = now.shift(1).astype(object).where(now.index > 0, self.last.get()[0] if known else None)
-        same = (now == before) | (now.isna() & before.isna())
-        if not known:
-            same.iloc[0] = False
-        self.last.update((now.iloc[-1],))
-        out = batch.assign(previous=before.where(before.notna(), None))[~same]
-        yield out[self.columns]
-
-
-def status_feed(states: DataFrame, by: str = "engine", value: str = "status", order: str = "seq") -> DataFrame:
+        name, earlier = batch[self.by], batch[self.by].shift(1)
+        head = (name != earlier) & ~(name.isna() & earlier.isna())
+        head.iloc[0] = True
+        at = np.flatnonzero(head)
+        names = [None if pd.isna(x) else x for x in name.iloc[at].tolist()]
+        known = dict(zip(*self.last.get())) if self.last.exists() else {}
+        before = now.shift(1).astype(object)
+        before.iloc[at] = [known.get(x) for x in names]
+        before = before.where(before.notna(), None)
+        same = ((now == before) | (now.isna() & before.isna())).to_numpy(dtype=bool)
+        same[at] &= np.array([x in known for x in names])
+        known.update(zip(names, now.iloc[np.append(at[1:], len(batch)) - 1].tolist()))
+        self.last.update((list(known), list(known.values())))
+        yield batch.assign(previous=before)[~same][self.columns]
+
+
+def status_feed(states: DataFrame, by: str = "engine", value: str = "status", order: str = "seq", buckets: int = 512) -> DataFrame:
     """Streaming twin of ``status_changes``: (by, order, value, previous) of every change."""
     from tapeloom.streaming.jobs import use_rocksdb
 
     use_rocksdb(states.sparkSession)
     kinds = dict(states.dtypes)
     columns = [by, order, value, "previous"]
-    schema = f"{by} {kinds[by]}, {order} {kinds[order]}, {value} string, previous string"
-    return states.select(by, order, value).groupBy(by).transformWithStateInPandas(
-        statefulProcessor=Changes(value, order, columns), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    schema = f"{by} string, {order} {kinds[order]}, {value} string, previous string"
+    bucket = F.pmod(F.xxhash64(by), F.lit(buckets))
+    # pandas would make floats of long keys that come in one batch with a null
+    named = states.select(F.col(by).cast("string").alias(by), order, value, bucket.alias("_bucket"))
+    out = named.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=Changes(by, value, order, columns), outputStructType=schema, outputMode="Append", timeMode="None")
+    return out.withColumn(by, F.col(by).cast(kinds[by]))
 
 
 def order_feed(updates: DataFrame, path: str, checkpoint: str, buckets: int = 32) -> StreamingQuery:
