@@ -1,39 +1,43 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words and one end. A word is coded as its bytes and a
-blank, the end as a newline, each byte as eight binary decisions, so the product of
-the decisions is a probability over all texts. Every decision is predicted from
-counts in five contexts: the one, two, three and four bytes before it in the word
-(hashed tables) and the whole word so far. The predictions' log odds are added with
-weights from a set that is chosen by how much the longest contexts have seen; the
-weights are learned online, by a normalised step after every slice of decisions, and
-an adaptive table then maps the mixed odds to those that came true.
-
-Within a word nothing depends on the words before it, so all of this runs over the
-distinct tokens, weighted by their counts, and not over the corpus:
+A text is its lower-cased words and one end, coded in their order. A word is a path of
+binary decisions: whether training has not met it, six for its class of frequency, then
+its number in the class. A word that training has not met is spelled after that: its
+bytes and a blank, the end a newline, each byte as eight decisions. So the product of
+the decisions is a probability over texts, and every decision is a mix: contexts count
+zeros and ones, their log odds are added with weights from a set that is chosen by how
+much the longer contexts have seen; the weights are learned online, by a normalised step
+after every slice of decisions, and an adaptive table then maps the mixed odds to those
+that came true.
+
+The decisions of the running text are predicted from the path so far alone, with the word
+before, with the two words before, and with the word before the last (hashed tables); the
+plain frequency of a word is one of these inputs. Spelled bytes are predicted from the
+one, two, three and four bytes before them in the word (hashed tables) and the whole word
+so far; nothing there depends on other words, so it runs over distinct tokens.
 
 1. Chunks of documents become token numbers and a dictionary; the dictionaries'
-   training counts are added up to the vocabulary.
+   training counts are added up to the vocabulary, whose known words get their paths.
 2. Tokens that share their first bytes are packed into blocks. In a sorted block
    equal prefixes are neighbours, which gives the counts of the word so far. Prefix
    groups with too many tokens are grouped by a longer prefix.
 3. Tasks count contexts into tables of at most ``slots`` entries, learn weights from
    counts without the predicted occurrence itself (so that rare words teach what
-   new words need), and average them; then every token gets its probability.
-4. The probabilities return to the dictionaries, and each chunk adds up its texts.
-   A word seen in training may also be drawn whole, by its frequency; the mixer codes
-   the share of running words that training hasn't met (Good-Turing), and any word.
+   new words need), and average them; then every unknown token gets its probability.
+4. Paths and spellings return to the dictionaries. Over the running words of all chunks
+   contexts are counted (at most ``run_slots`` entries a table), weights learned in the
+   same way, a word met once being new without itself, and all texts scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import by_chunks, cut, fold_mod, stored, text_bytes
@@ -42,18 +46,22 @@ _INPUTS, _GATES, _SLICE = 6, 28 * 8, 1 << 16  # inputs with bias; weight sets; b
 _LEVELS = 33  # of the adaptive table
 _REACH = 256  # bytes the word-so-far context follows
 _PART = 1 << 16  # table entries per row on the way to the driver
+_CLASS = 6  # decisions for the class of a known word
+_RUN_INPUTS, _RUN_GATES, _RUN_SLICE = 5, 60, 1 << 14  # the running text's inputs with bias; weight sets; words per online step
+_NEW = 3  # path of a word that training has not met
 
 
 @dataclass(frozen=True)
 class MixLmConfig:
     """slots: most entries of a hashed table, a power of two; they are twice the vocabulary below that.
 
-    rounds: passes of weight learning. group: tokens that may share a prefix group.
+    run_slots: the same for the running text, four times the training tokens below that. rounds: passes of weight learning. group: tokens that may share a prefix group.
     block: tokens per block. chunk_bytes: text per chunk. Fold ``held`` of ``folds``
     is never learned from.
     """
 
     slots: int = 1 << 20
+    run_slots: int = 1 << 22
     rounds: int = 2
     group: int = 50_000
     block: int = 20_000
@@ -69,7 +77,7 @@ class _Numbers(dict):
 
 
 def encode(docs: DataFrame, cfg: MixLmConfig) -> DataFrame:
-    """Rows of two kinds per chunk: texts as token numbers, and the chunk's tokens with training counts."""
+    """Rows of two kinds per chunk: texts as token numbers with their coded bytes, and the chunk's tokens with training counts."""
     kind = docs.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,18 +85,19 @@ def encode(docs: DataFrame, cfg: MixLmConfig) -> DataFrame:
         for part in by_chunks(batches, "text", cfg.chunk_bytes):
             numbers = _Numbers({b"": 0})  # the end
             get = numbers.__getitem__
-            codes = []
+            codes, width = [], []
             for text in text_bytes(part.column("text")):
                 words = text.lower().split()
                 words.append(b"")
                 codes.append(np.fromiter(map(get, words), np.int32, len(words)))
+                width.append(sum(map(len, words)) + len(words))
             trained = [c for c, held in zip(codes, part.column("held_out").to_pylist()) if not held]
             count = np.bincount(np.concatenate(trained), minlength=len(numbers)) if trained else np.zeros(len(numbers), np.int64)
             chunk, n, m = (task << 24) + seq, part.num_rows, len(numbers)
             seq += 1
             none = lambda k, t: pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n), part.column("doc_id"), part.column("held_out"), pa.array([c.tobytes() for c in codes], pa.binary()), none(n, pa.binary()), none(n, pa.int32()), none(n, pa.int64())], names
+                [pa.array([chunk] * n), part.column("doc_id"), part.column("held_out"), pa.array([c.tobytes() for c in codes], pa.binary()), none(n, pa.binary()), none(n, pa.int32()), pa.array(width, pa.int64())], names
             )
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * m), none(m, part.column("doc_id").type), none(m, pa.bool_()), none(m, pa.binary()), pa.array(list(numbers), pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array(count.astype(np.int64))], names
@@ -221,20 +230,26 @@ def _sizes(slots: int) -> list[int]:
     return [1 << 16, slots, slots, slots]
 
 
-def count_contexts(blocks: DataFrame, slots: int) -> list[np.ndarray]:
-    """The four tables as (zeros, ones) pairs of 16 bits; larger counts are scaled down together."""
+def block_events(row: dict, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(slots by table, bits, weights) of a block's training bytes."""
+    b = Block(1 << 20, row["toks"], row["lens"], row["counts"])
+    for first, last in b.slices():
+        lo, hi = b.start[first], b.start[last - 1] + b.length[last - 1]
+        c = b.c[b.owner[lo:hi]].astype(np.float32)
+        for _, bit, at in table_slots(b, lo, hi, slots):
+            yield at, bit, c
+
+
+def count_contexts(rows: DataFrame, sizes: list[int], events: Callable) -> list[np.ndarray]:
+    """The tables as (zeros, ones) pairs of 16 bits; larger counts are scaled down together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 * n, np.float32) for n in _sizes(slots)]
+        tables = [np.zeros(2 * n, np.float32) for n in sizes]
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(1 << 20, row["toks"], row["lens"], row["counts"])
-                for first, last in b.slices():
-                    lo, hi = b.start[first], b.start[last - 1] + b.length[last - 1]
-                    c = b.c[b.owner[lo:hi]].astype(np.float32)
-                    for _, bit, at in table_slots(b, lo, hi, slots):
-                        for t in range(4):
-                            np.add.at(tables[t], 2 * at[t] + bit, c)
+                for at, bit, c in events(row):
+                    for t in range(len(sizes)):
+                        np.add.at(tables[t], 2 * at[t] + bit, c)
         for t, counts in enumerate(tables):
             for first in range(0, len(counts), 2 * _PART):
                 part = counts[first : first + 2 * _PART]
@@ -250,9 +265,9 @@ def count_contexts(blocks: DataFrame, slots: int) -> list[np.ndarray]:
         pair = np.minimum(np.ceil(pair * np.minimum(1, 65535 / np.maximum(pair.max(axis=1, keepdims=True), 1))), 65535)
         return pa.table({"t": table.column("t").slice(0, 1), "part": table.column("part").slice(0, 1), "n": pa.array([pair.astype(np.uint16).tobytes()])})
 
-    tables = [np.zeros((n, 2), np.uint16) for n in _sizes(slots)]
-    parts = blocks.mapInArrow(run, "t long, part long, at binary, n binary").groupBy("t", "part").applyInArrow(add, "t long, part long, n binary")
-    for r in parts.collect():  # four tables of at most ``slots`` entries of 4 bytes
+    tables = [np.zeros((n, 2), np.uint16) for n in sizes]
+    parts = rows.mapInArrow(run, "t long, part long, at binary, n binary").groupBy("t", "part").applyInArrow(add, "t long, part long, n binary")
+    for r in parts.toLocalIterator():  # tables of at most ``slots`` entries of 4 bytes
         tables[r.t][r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(r.n, np.uint16).reshape(-1, 2)
     return tables
 
@@ -319,31 +334,34 @@ def first_weights() -> np.ndarray:
     return w.reshape(_GATES, _INPUTS)
 
 
-def learn_weights(blocks: DataFrame, sent: Broadcast, cfg: MixLmConfig) -> tuple[np.ndarray, np.ndarray]:
+def block_slices(row: dict, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, bits, weight sets, weights) of a block's decisions, without their own occurrence."""
+    b = Block(row["reach"], row["toks"], row["lens"], row["counts"])
+    for first, stop in b.slices():
+        lo, hi = b.start[first], b.start[stop - 1] + b.length[stop - 1]
+        yield *decisions(b, lo, hi, tables, True), np.tile(b.c[b.owner[lo:hi]], 8)
+
+
+def learn_weights(rows: DataFrame, slices: Callable, weights: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and adapted odds: rounds of online learning in every task, averaged by the evidence of each weight."""
-    weights = first_weights()
-    adapted = np.tile((np.arange(_LEVELS) - _LEVELS // 2) / 2, (_GATES, 1))
-    for last in [False] * (cfg.rounds - 1) + [True]:
+    gates, inputs = weights.shape
+    adapted = np.tile((np.arange(_LEVELS) - _LEVELS // 2) / 2, (gates, 1))
+    for last in [False] * (rounds - 1) + [True]:
 
         def run(batches: Iterator[pa.RecordBatch], begin: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            w, mass = begin.copy(), np.zeros((_GATES, _INPUTS))
-            true, n = np.zeros(_GATES * _LEVELS), np.zeros(_GATES * _LEVELS)
+            w, mass = begin.copy(), np.zeros((gates, inputs))
+            true, n = np.zeros(gates * _LEVELS), np.zeros(gates * _LEVELS)
             for batch in batches:
                 for row in batch.to_pylist():
-                    b = Block(row["reach"], row["toks"], row["lens"], row["counts"])
-                    for first, stop in b.slices():
-                        lo, hi = b.start[first], b.start[stop - 1] + b.length[stop - 1]
-                        x, bit, gate = decisions(b, lo, hi, sent.value, True)
-                        c = b.c[b.owner[lo:hi]]
+                    for x, bit, gate, weight in slices(row):
                         odds = _mixed(x, gate, w)
                         p = 1 / (1 + np.exp(-odds))
-                        weight = np.tile(c, 8)
                         error, slope = weight * (bit - p), weight * np.maximum(p * (1 - p), 0.01)
                         reach = slope * np.abs(x).sum(axis=0)
-                        for i in range(_INPUTS):  # the row sum bounds the curvature, so a step can't overshoot
-                            h = np.bincount(gate, reach * np.abs(x[i]), _GATES)
+                        for i in range(inputs):  # the row sum bounds the curvature, so a step can't overshoot
+                            h = np.bincount(gate, reach * np.abs(x[i]), gates)
                             mass[:, i] += h  # steps shrink as evidence grows
-                            w[:, i] += np.clip(np.bincount(gate, error * x[i], _GATES) / (mass[:, i] + 1), -0.1, 0.1)
+                            w[:, i] += np.clip(np.bincount(gate, error * x[i], gates) / (mass[:, i] + 1), -0.1, 0.1)
                         spot = gate * _LEVELS + _level(odds)
                         true += np.bincount(spot, weight * bit, len(true))
                         n += np.bincount(spot, weight, len(n))
@@ -351,14 +369,14 @@ def learn_weights(blocks: DataFrame, sent: Broadcast, cfg: MixLmConfig) -> tuple
             own = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(flat[own])], ["i", "v"])
 
-        rows = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # sizes of the mixer
-        size = _GATES * _INPUTS
-        flat = np.zeros(2 * size + 2 * _GATES * _LEVELS)
-        flat[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
+        sums = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # sizes of the mixer
+        size = gates * inputs
+        flat = np.zeros(2 * size + 2 * gates * _LEVELS)
+        flat[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
         mass = flat[size : 2 * size].reshape(weights.shape)
         weights = np.where(mass > 0, flat[:size].reshape(weights.shape) / np.maximum(mass, 1e-9), weights)
         if last:
-            true, n = (flat[2 * size :][k * _GATES * _LEVELS : (k + 1) * _GATES * _LEVELS].reshape(_GATES, _LEVELS) for k in (0, 1))
+            true, n = (flat[2 * size :][k * gates * _LEVELS : (k + 1) * gates * _LEVELS].reshape(gates, _LEVELS) for k in (0, 1))
             p = (true + 20 / (1 + np.exp(-adapted))) / (n + 20)
             p = np.clip(p, 1e-6, 1 - 1e-6)
             adapted = np.log(p / (1 - p))
@@ -378,6 +396,131 @@ def token_scores(b: Block, mixer: Mixer) -> np.ndarray:
     return out
 
 
+def word_paths(vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
+    """(tok, c, path) of the words training has met.
+
+    A path is a one, the decision that the word is known, its class (how often two halves
+    the training tokens to its count) and its number in the class, in as many bits as the
+    class needs. Numbers run on through buckets of words, so no task numbers a whole class.
+    """
+    buckets = 1 + distinct // 50_000
+    known = vocabulary.where("c > 0").select(
+        "tok", "c", F.least(F.floor(F.log2(F.lit(float(total)) / F.col("c"))), F.lit(62)).cast("long").alias("cls"), F.pmod(F.xxhash64("tok"), F.lit(buckets)).alias("bucket")
+    )
+    sizes = known.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n"))  # a row per class and bucket
+    before = Window.partitionBy("cls").orderBy("bucket")
+    sizes = cut(sizes.select("cls", "bucket", (F.sum("n").over(before) - F.col("n")).alias("first"), F.ceil(F.log2(F.sum("n").over(Window.partitionBy("cls")))).alias("bits")))
+    number = F.col("first") + F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("tok")) - 1
+    return known.join(sizes, ["cls", "bucket"]).withColumn("number", number).selectExpr(
+        "tok", "c", f"shiftleft(2L, CAST({_CLASS} + bits AS INT)) + shiftleft(cls, CAST(bits AS INT)) + number AS path"
+    )
+
+
+class Running:
+    """The words of a chunk's texts in their order: paths, counts and the words before.
+
+    Before a text stand two words of path 0.
+    """
+
+    def __init__(self, row: dict, trained: bool = False):
+        codes, n = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["n"], np.int64)
+        start = np.cumsum(n) - n
+        held = np.repeat(np.array(row["held_out"], bool), n)
+        self.path, self.c = np.frombuffer(row["path"], np.int64)[codes], np.frombuffer(row["c"], np.int64)[codes]
+        place = np.arange(len(codes)) - np.repeat(start, n)
+        self.before = [np.where(place >= k, self.path[np.maximum(np.arange(len(codes)) - k, 0)], 0).astype(np.uint64) for k in (1, 2)]
+        self.start = start
+        if trained:  # only what may be learned from
+            self.path, self.c, self.before = self.path[~held], self.c[~held], [x[~held] for x in self.before]
+        self.length = np.frexp(self.path.astype(np.float64))[1].astype(np.int64) - 1
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        for lo in range(0, len(self.path), _RUN_SLICE):
+            yield lo, min(lo + _RUN_SLICE, len(self.path))
+
+    def slots(self, lo: int, hi: int, slots: int, learning: bool) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+        """For every depth: the words lo..hi that go on there, the depth, their bits, and the four contexts' slots.
+
+        Learning, a word met once is new at its first decision, as it would be without itself.
+        """
+        one, two = (x[lo:hi] for x in self.before)
+        mixed = [np.zeros(hi - lo, np.uint64), (one + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)]
+        mixed.append((mixed[1] ^ (mixed[1] >> np.uint64(29)) ^ two) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2))
+        mixed.append((two + np.uint64(3)) * np.uint64(0x165667B19E3779F9))
+        path, length = self.path[lo:hi], self.length[lo:hi]
+        shift = np.uint64(64 - slots.bit_length() + 1)
+        at = np.arange(hi - lo)
+        for depth in range(int(length.max(initial=0))):
+            at = at[length[at] > depth]
+            left = length[at] - depth
+            node = (path[at] >> left).astype(np.uint64)
+            bit = (path[at] >> (left - 1)) & 1
+            if depth == 0 and learning:
+                bit = (self.c[lo:hi] == 1).astype(np.int64)
+            spot = np.empty((4, len(at)), np.int64)
+            salt = node * np.uint64(0xD6E8FEB86659FD93)
+            for t in range(4):
+                h = (mixed[t][at] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+                spot[t] = (h * np.uint64(0x94D049BB133111EB)) >> shift
+            yield at, depth, bit, spot
+
+    def decisions(self, lo: int, hi: int, tables: list[np.ndarray], learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, bits, weight sets, words) of the words lo..hi."""
+        parts = []
+        for at, depth, bit, spot in self.slots(lo, hi, len(tables[0]), learning):
+            x = np.empty((_RUN_INPUTS, len(at)), np.float32)
+            x[4] = 0.3
+            seen = []
+            for t in range(4):
+                pair = tables[t][spot[t]].astype(np.float32)
+                if learning:
+                    pair[np.arange(len(at)), bit] -= 1
+                    np.maximum(pair, 0, out=pair)
+                x[t] = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4))
+                seen.append(pair.sum(axis=1))
+            kind = 0 if depth == 0 else 1 if depth <= _CLASS else 2
+            gate = (np.digitize(seen[1], (0.5, 1.5, 3.5, 15.5)) * 4 + np.digitize(seen[2], (0.5, 1.5, 5.5))) * 3 + kind
+            parts.append((x, bit, gate, at))
+        if not parts:
+            return np.zeros((_RUN_INPUTS, 0), np.float32), *(np.zeros(0, np.int64) for _ in range(3))
+        x, bit, gate, at = zip(*parts)
+        return np.concatenate(x, axis=1), np.concatenate(bit), np.concatenate(gate), np.concatenate(at)
+
+    def scores(self, mixer: Mixer) -> np.ndarray:
+        """log10 probability of every word's path."""
+        out = np.zeros(len(self.path))
+        for lo, hi in self.slices():
+            x, bit, gate, at = self.decisions(lo, hi, mixer.tables, False)
+            odds = _mixed(x, gate, mixer.weights)
+            odds = (odds + mixer.adapted[gate, _level(odds)]) / 2
+            out[lo:hi] = np.bincount(at, -np.logaddexp(0, np.where(bit == 1, -odds, odds)), hi - lo) / np.log(10)
+        return out
+
+
+def run_events(row: dict, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    words = Running(row, trained=True)
+    for lo, hi in words.slices():
+        for _, _, bit, spot in words.slots(lo, hi, slots, True):
+            yield spot, bit, np.float32(1)
+
+
+def run_slices(row: dict, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    words = Running(row, trained=True)
+    for lo, hi in words.slices():
+        x, bit, gate, _ = words.decisions(lo, hi, tables, True)
+        yield x, bit, gate, np.ones(len(bit))
+
+
+def first_run_weights() -> np.ndarray:
+    """Weights to start from: the frequency leads where the word before has seen little."""
+    w = np.zeros((5, 4, 3, _RUN_INPUTS))
+    for one, trust in enumerate((0.0, 0.15, 0.25, 0.4, 0.6)):
+        for two, more in enumerate((0.0, 0.15, 0.3, 0.5)):
+            w[one, two, :, :3] = (1 - max(trust, more), trust * (1 - more), more)
+    return w.reshape(_RUN_GATES, _RUN_INPUTS)
+
+
 def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFrame:
     """Scores of every row of ``docs(doc_id, text)``, learned from the documents outside the held fold.
 
@@ -389,44 +532,64 @@ def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFr
     columns are ignored; an empty table gives no rows; without training documents
     nothing is known.
     """
+    spark = docs.sparkSession
     encoded = encode(docs.select("doc_id", "text"), cfg)
     tokens = encoded.where("tok is not null").select("chunk", "tok", "num", "c")
     vocabulary = stored(tokens.groupBy("tok").agg(F.sum("c").alias("c")))
-    total, types, once, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count(F.lit(1))).first()
-    unseen = (once + 1) / (total + 1)  # share of running words that training has not met, by Good and Turing
+    total, types, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
     blocks = token_blocks(vocabulary, cfg)
     slots = max(1 << 16, min(cfg.slots, 1 << (2 * distinct).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(count_contexts(blocks, slots))  # at most 13 MB, sent once
-    weights, adapted = learn_weights(blocks, sent, cfg)
+    sent = spark.sparkContext.broadcast(count_contexts(blocks, _sizes(slots), lambda row: block_events(row, slots)))  # at most 13 MB, sent once
+    weights, adapted = learn_weights(blocks, lambda row: block_slices(row, sent.value), first_weights(), cfg.rounds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row["reach"], row["toks"], row["lens"], row["counts"])
-                yield pa.RecordBatch.from_arrays([pa.array(b.tokens, pa.binary()), pa.array(b.c), pa.array(token_scores(b, Mixer(sent.value, weights, adapted))), pa.array(b.length)], ["tok", "c", "lp", "width"])
+                new = np.flatnonzero(b.c == 0)
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([pa.array([b.tokens[i] for i in new], pa.binary()), pa.array(token_scores(b, Mixer(sent.value, weights, adapted))[new])], ["tok", "lp"])
 
-    scored = stored(blocks.mapInArrow(run, "tok binary, c long, lp double, width long"))
-    known = tokens.select("chunk", "tok", "num").join(scored, "tok").select("chunk", "num", "c", "lp", "width")
+    spelled = blocks.mapInArrow(spell, "tok binary, lp double").select("tok", F.lit(0).cast("long").alias("c"), F.lit(_NEW).cast("long").alias("path"), "lp")
+    entries = stored(word_paths(vocabulary, total, distinct).withColumn("lp", F.lit(0.0)).union(spelled))
+    known = tokens.select("chunk", "tok", "num").join(entries, "tok").select("chunk", "num", "c", "path", "lp")
     kind = docs.select("doc_id").dtypes[0][1]
 
-    def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def gather(texts: pa.Table, known: pa.Table) -> pa.Table:
         num = known.column("num").to_numpy()
-        c, lp, width = (np.zeros(len(num)) for _ in range(3))
-        for out, name in ((c, "c"), (lp, "lp"), (width, "width")):
-            out[num] = known.column(name).to_numpy()
-        codes = [np.frombuffer(x, np.int32) for x in texts.column("codes").to_pylist()]
-        n = np.array([len(x) for x in codes])
-        every, at = np.concatenate(codes), np.cumsum(n) - n
-        base = np.log10((c + 1) / (total + types + 1))
-        with np.errstate(divide="ignore"):
-            lp = np.logaddexp(np.log((1 - unseen) * c / max(total, 1)), np.log(unseen) + lp * np.log(10)) / np.log(10)
-        score = np.add.reduceat(lp[every], at)
+        made = {}
+        for name, dtype in (("c", np.int64), ("path", np.int64), ("lp", np.float64)):
+            made[name] = np.zeros(len(num), dtype)
+            made[name][num] = known.column(name).to_numpy()
+        codes = texts.column("codes").to_pylist()
+        one = lambda column: pa.array([column.to_pylist()], pa.list_(column.type))
         return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()),
-            "n_known": pa.array(np.add.reduceat((c > 0)[every].astype(np.int64), at)), "train_tokens": pa.array(np.full(len(n), total, np.int64)),
-            "base_score": pa.array(np.add.reduceat(base[every], at)), "score": pa.array(score), "bits_per_byte": pa.array(-score * np.log2(10) / np.add.reduceat(width[every], at)),
+            "doc_id": one(texts.column("doc_id")), "held_out": one(texts.column("held_out")), "width": one(texts.column("width")),
+            "n": pa.array([np.array([len(x) // 4 for x in codes], np.int64).tobytes()]), "codes": pa.array([b"".join(codes)]),
+            **{name: pa.array([values.tobytes()]) for name, values in made.items()},
         })
 
-    texts = encoded.where("tok is null").select(F.col("chunk").alias("part"), "doc_id", "held_out", "codes")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("part").cogroup(known.groupBy("chunk")).applyInArrow(add_up, schema)
+    texts = encoded.where("tok is null").select(F.col("chunk").alias("part"), "doc_id", "held_out", "codes", F.col("c").alias("width"))
+    schema = f"doc_id array<{kind}>, held_out array<boolean>, width array<long>, n binary, codes binary, c binary, path binary, lp binary"
+    chunks = stored(texts.groupBy("part").cogroup(known.groupBy("chunk")).applyInArrow(gather, schema))
+    run_slots = max(1 << 16, min(cfg.run_slots, 1 << (4 * total).bit_length()))
+    run_sent = spark.sparkContext.broadcast(count_contexts(chunks, [run_slots] * 4, lambda row: run_events(row, run_slots)))  # at most 67 MB, sent once
+    run_weights, run_adapted = learn_weights(chunks, lambda row: run_slices(row, run_sent.value), first_run_weights(), 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                words = Running(row)
+                codes = np.frombuffer(row["codes"], np.int32)
+                base = np.log10((words.c + 1) / (total + types + 1))
+                lp = words.scores(Mixer(run_sent.value, run_weights, run_adapted)) + np.frombuffer(row["lp"])[codes]
+                n, at = np.frombuffer(row["n"], np.int64), words.start
+                sums = np.add.reduceat(lp, at)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id")[k].values, pa.array(row["held_out"], pa.bool_()), pa.array(n),
+                    pa.array(np.add.reduceat((words.c > 0).astype(np.int64), at)), pa.array(np.full(len(n), total, np.int64)),
+                    pa.array(np.add.reduceat(base, at)), pa.array(sums), pa.array(-sums * np.log2(10) / np.array(row["width"])),
+                ], names)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    return chunks.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

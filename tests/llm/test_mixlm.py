@@ -8,6 +8,7 @@ import numpy as np
 
 from tapeloom.llm.common import table
 from tapeloom.llm.mixlm import Block, MixLmConfig, Mixer, _level, _mixed, decisions, score_documents, token_scores
+from tapeloom.llm.mixlm import word_paths
 
 
 def tokens(text):
@@ -101,3 +102,26 @@ def test_edges(spark):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     rows = score_documents(spark.createDataFrame([(i, "a b") for i in held], empty.schema)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(3, 0, 0, 0.0)] * 3
+
+
+def test_the_words_before_change_a_texts_score(spark):
+    """Pairs of words that training holds in one order only: the order of known words decides the score."""
+    rng = random.Random(3)
+    pairs = [(f"left{i}", f"right{i}") for i in range(30)]
+    rows = [(i, " ".join(w for p in rng.choices(pairs, k=40) for w in p)) for i in range(200)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    words = [w for p in pairs for w in p]
+    rows += [(held[0], " ".join(words)), (held[1], " ".join(words[1:] + words[:1]).replace("right", "x").replace("left", "right").replace("x", "left"))]
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = (got[i] for i in held)
+    assert a.n_known == b.n_known == a.n_tokens and abs(a.base_score - b.base_score) < 1e-6
+    assert a.score > 0.7 * a.base_score and a.score > b.score + 20
+
+
+def test_paths_are_those_of_a_prefix_code(spark):
+    counts = [("", 50), ("a", 40), ("b", 40), ("c", 3), *((f"w{i}", 1) for i in range(70)), ("new", 0)]
+    vocabulary = spark.createDataFrame([(t.encode(), c) for t, c in counts], "tok binary, c long")
+    got = word_paths(vocabulary, sum(c for _, c in counts), 200_000).collect()
+    paths = [f"{r.path:b}" for r in got]
+    assert len(got) == 74 and all(x.startswith("10") for x in paths)
+    assert not any(x != y and y.startswith(x) for x in paths for y in paths) and len(set(paths)) == 74
