@@ -237,3 +237,24 @@ def test_scan_of_many_sessions_in_one_block_equals_one_at_a_time(spark):
     calls = spark.sparkContext.accumulator(0)
     sc.scan_sessions(blocks, ["k"], "t", [sc.Derive("twice", lambda f: (calls.add(1), 2 * f["v"])[1], sc.T.DoubleType())]).collect()
     assert calls.value <= 8  # once a block, not once a session
+
+
+def test_cross_ranks_agree_between_blocks_of_dates_and_the_sort(spark):
+    """Ties, nulls, a date without a value, a null date; dates beyond a block's rows go through the sort."""
+    from tapeloom.operators.xsec import cross_ranks
+
+    rng = random.Random(11)
+    rows = [(f"P{i}", d, rng.choice([None, 1.0, 2.0, rng.random()]), rng.choice([0.5, rng.random()]) if d != 3 else None) for d in (None, 1, 2, 3, 4) for i in range(20 + 30 * (d == 2))]
+    df = spark.createDataFrame(rows, "symbol string, date int, a double, b double")
+    want = {}
+    for s, d, *values in rows:
+        out = []
+        for k, v in enumerate(values):
+            same = [r[2 + k] for r in rows if r[1] == d and r[2 + k] is not None]
+            out.append(None if v is None else round((sum(x < v for x in same) + (sum(x == v for x in same) + 1) / 2) / len(same), 9))
+        want[s, d] = out
+    for block in (1 << 20, 30):
+        plan = cross_ranks(df, ["a", "b"], block_rows=block)
+        got = {(r.symbol, r.date): [None if x is None else round(x, 9) for x in (r.a, r.b)] for r in plan.collect()}
+        assert got == want
+    assert "Generate" not in cross_ranks(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
