@@ -191,7 +191,8 @@ def bar_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), keys: Se
     sources = [c for c in dict.fromkeys(s.source for s in steps) if c not in final]
     early = [c.alias(n) for n, c in final.items() if not _uses_median(n)]
     slim = df.select(*keys, "ts", *early, *sources, *carry)
-    scanned = scan_sessions(slim, keys, "ts", [*steps, *extra_steps], blocks=False)
+    week = [F.date_trunc("week", c) if c == "session_date" else F.col(c) for c in keys]  # a group is at most seven sessions of a symbol
+    scanned = scan_sessions(slim, keys, "ts", [*steps, *extra_steps], within=week)
     return scanned.select(
         *keys, "ts", *[c.alias(n) if _uses_median(n) else F.col(n) for n, c in final.items()], *carry, *[s.out for s in extra_steps]
     )

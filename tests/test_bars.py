@@ -144,3 +144,20 @@ def test_windows_are_padded_and_complete_only_filters(spark):
 
 def test_interval_spec():
     assert BarSpec(interval_s=600, quote_stale_s=60).stale_rows == 1 and BarSpec().stale_rows == 60
+
+
+def test_sessions_of_a_week_pass_as_one_group(spark):
+    """The features of sessions that share a group are those of each session alone."""
+    from tapeloom.config import FeatureConfig
+    from tapeloom.operators.bar_features import bar_features
+
+    cfg = FeatureConfig(ret_windows=(1, 3), mom_accel_window=3, pullback_window=9, vol_surge_short=2, vol_surge_long=11, tape_speed_short=3, tape_speed_long=12, norm_window=13, norm_min=4, flow_window=5, change_lag=4, slope_lag=6, bid_lag=2)
+    tape = random_walk(spark, 60, 4)
+    days = [tape.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {d} DAYS")).withColumn("session_date", F.date_add("session_date", d)).withColumn("volume", F.col("volume") + d) for d in range(9)]
+    whole = days[0]
+    for day in days[1:]:
+        whole = whole.unionByName(day)
+    got = bar_features(whole, cfg)
+    assert "date_trunc(week" in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r for day in days for r in bar_features(day, cfg).collect()), key=lambda r: (r.symbol, r.ts))
+    assert [tuple(map(str, r)) for r in sorted(got.collect(), key=lambda r: (r.symbol, r.ts))] == [tuple(map(str, r)) for r in want]
