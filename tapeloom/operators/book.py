@@ -267,9 +267,11 @@ def cost_aware_alpha(df: DataFrame, cost_mult: float = 1.0, px: float = 1.0, fee
 def horizon_sweep(df: DataFrame, horizons: Sequence[int], cost_mult: float = 1.0, px: float = 1.0, keys: Sequence[str] = KEY) -> DataFrame:
     """Per horizon: class shares, cost-crossing net result and frictionless result of perfect labels.
 
-    The threshold is a single number, fetched once; horizons are independent jobs.
+    The threshold is a single number, fetched once; horizons are independent jobs. Only
+    the touch and the flows are carried: the levels of a book would pass through every shuffle.
     """
-    books = cut(with_mid(df).withColumn("spread", best("ask", "p") - best("bid", "p")).withColumn("bid", best("bid", "p")).withColumn("ask", best("ask", "p")))
+    touch = with_mid(df).withColumn("spread", best("ask", "p") - best("bid", "p")).withColumn("bid", best("bid", "p")).withColumn("ask", best("ask", "p"))
+    books = cut(touch.select(*keys, *ORDER, "mid", "spread", "bid", "ask", "buy_flow", "sell_flow"))
     alpha = cost_aware_alpha(books, cost_mult, px).first()["alpha"]
     out = None
     for k in horizons:

@@ -175,3 +175,19 @@ def test_rank_correlation_of_equal_values_is_nan(spark):
     assert np.isnan(one.ic_mean) and np.isnan(one.ic_tstat) and (one.ic_hit, one.n_dates) == (1.0, 2)
     assert np.isnan(xs.rank_ic(scores.where("score = 5"), "score", "fwd_ret").first().rank_ic)
     assert abs(xs.rank_ic(scores.where("score < 5"), "score", "fwd_ret").first().rank_ic - 1) < 1e-12
+
+
+def test_horizon_sweep_carries_no_levels(spark, monkeypatch):
+    from tapeloom.operators import book as bk
+    from tapeloom.sources import driver_tables as tables
+
+    stored = []
+
+    def kept(df):
+        stored.append(df.columns)
+        return cut(df)
+
+    cut = bk.cut
+    monkeypatch.setattr(bk, "cut", kept)
+    bk.horizon_sweep(tables.books(spark, "/root/testdata/sf0.001"), (3,))
+    assert stored and not any("levels" in columns for columns in stored)
