@@ -31,6 +31,7 @@ so far; nothing there depends on other words, so it runs over distinct tokens.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeloom.llm.common import by_chunks, cut, fold_mod, stored, text_bytes
 
@@ -70,6 +72,22 @@ class MixLmConfig:
     held: int = 2
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array compressed by byte planes, for what is shuffled and stored."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.tobytes(), dtype)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Large rows, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 class _Numbers(dict):
     def __missing__(self, token: bytes) -> int:
         n = self[token] = len(self)
@@ -97,7 +115,7 @@ def encode(docs: DataFrame, cfg: MixLmConfig) -> DataFrame:
             seq += 1
             none = lambda k, t: pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n), part.column("doc_id"), part.column("held_out"), pa.array([c.tobytes() for c in codes], pa.binary()), none(n, pa.binary()), none(n, pa.int32()), pa.array(width, pa.int64())], names
+                [pa.array([chunk] * n), part.column("doc_id"), part.column("held_out"), pa.array([packed(c) for c in codes], pa.binary()), none(n, pa.binary()), none(n, pa.int32()), pa.array(width, pa.int64())], names
             )
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * m), none(m, part.column("doc_id").type), none(m, pa.bool_()), none(m, pa.binary()), pa.array(list(numbers), pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array(count.astype(np.int64))], names
@@ -245,28 +263,26 @@ def count_contexts(rows: DataFrame, sizes: list[int], events: Callable) -> list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 * n, np.float32) for n in sizes]
-        for batch in batches:
-            for row in batch.to_pylist():
-                for at, bit, c in events(row):
-                    for t in range(len(sizes)):
-                        np.add.at(tables[t], 2 * at[t] + bit, c)
+        for row in rows_of(batches):
+            for at, bit, c in events(row):
+                for t in range(len(sizes)):
+                    np.add.at(tables[t], 2 * at[t] + bit, c)
         for t, counts in enumerate(tables):
             for first in range(0, len(counts), 2 * _PART):
                 part = counts[first : first + 2 * _PART]
-                own = np.flatnonzero(part)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([first // (2 * _PART)]), pa.array([own.astype(np.uint32).tobytes()]), pa.array([part[own].tobytes()])], ["t", "part", "at", "n"])
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([first // (2 * _PART)]), pa.array([packed(part)])], ["t", "part", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(2 * _PART)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.float32)
+        for n in table.column("n").to_pylist():
+            total += unpacked(n, np.float32)
         pair = total.reshape(-1, 2)
         pair = np.minimum(np.ceil(pair * np.minimum(1, 65535 / np.maximum(pair.max(axis=1, keepdims=True), 1))), 65535)
         return pa.table({"t": table.column("t").slice(0, 1), "part": table.column("part").slice(0, 1), "n": pa.array([pair.astype(np.uint16).tobytes()])})
 
     tables = [np.zeros((n, 2), np.uint16) for n in sizes]
-    parts = rows.mapInArrow(run, "t long, part long, at binary, n binary").groupBy("t", "part").applyInArrow(add, "t long, part long, n binary")
+    parts = rows.mapInArrow(run, "t long, part long, n binary").groupBy("t", "part").applyInArrow(add, "t long, part long, n binary")
     for r in parts.toLocalIterator():  # tables of at most ``slots`` entries of 4 bytes
         tables[r.t][r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(r.n, np.uint16).reshape(-1, 2)
     return tables
@@ -351,20 +367,19 @@ def learn_weights(rows: DataFrame, slices: Callable, weights: np.ndarray, rounds
         def run(batches: Iterator[pa.RecordBatch], begin: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             w, mass = begin.copy(), np.zeros((gates, inputs))
             true, n = np.zeros(gates * _LEVELS), np.zeros(gates * _LEVELS)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    for x, bit, gate, weight in slices(row):
-                        odds = _mixed(x, gate, w)
-                        p = 1 / (1 + np.exp(-odds))
-                        error, slope = weight * (bit - p), weight * np.maximum(p * (1 - p), 0.01)
-                        reach = slope * np.abs(x).sum(axis=0)
-                        for i in range(inputs):  # the row sum bounds the curvature, so a step can't overshoot
-                            h = np.bincount(gate, reach * np.abs(x[i]), gates)
-                            mass[:, i] += h  # steps shrink as evidence grows
-                            w[:, i] += np.clip(np.bincount(gate, error * x[i], gates) / (mass[:, i] + 1), -0.1, 0.1)
-                        spot = gate * _LEVELS + _level(odds)
-                        true += np.bincount(spot, weight * bit, len(true))
-                        n += np.bincount(spot, weight, len(n))
+            for row in rows_of(batches):
+                for x, bit, gate, weight in slices(row):
+                    odds = _mixed(x, gate, w)
+                    p = 1 / (1 + np.exp(-odds))
+                    error, slope = weight * (bit - p), weight * np.maximum(p * (1 - p), 0.01)
+                    reach = slope * np.abs(x).sum(axis=0)
+                    for i in range(inputs):  # the row sum bounds the curvature, so a step can't overshoot
+                        h = np.bincount(gate, reach * np.abs(x[i]), gates)
+                        mass[:, i] += h  # steps shrink as evidence grows
+                        w[:, i] += np.clip(np.bincount(gate, error * x[i], gates) / (mass[:, i] + 1), -0.1, 0.1)
+                    spot = gate * _LEVELS + _level(odds)
+                    true += np.bincount(spot, weight * bit, len(true))
+                    n += np.bincount(spot, weight, len(n))
             flat = np.concatenate([(w * mass).ravel(), mass.ravel(), true, n])
             own = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(flat[own])], ["i", "v"])
@@ -423,10 +438,10 @@ class Running:
     """
 
     def __init__(self, row: dict, trained: bool = False):
-        codes, n = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["n"], np.int64)
+        codes, n = unpacked(row["codes"], np.int32), np.frombuffer(row["n"], np.int64)
         start = np.cumsum(n) - n
         held = np.repeat(np.array(row["held_out"], bool), n)
-        self.path, self.c = np.frombuffer(row["path"], np.int64)[codes], np.frombuffer(row["c"], np.int64)[codes]
+        self.codes, self.path, self.c = codes, unpacked(row["path"], np.int64)[codes], unpacked(row["c"], np.int64)[codes]
         place = np.arange(len(codes)) - np.repeat(start, n)
         self.before = [np.where(place >= k, self.path[np.maximum(np.arange(len(codes)) - k, 0)], 0).astype(np.uint64) for k in (1, 2)]
         self.start = start
@@ -553,7 +568,7 @@ def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFr
     spelled = blocks.mapInArrow(spell, "tok binary, lp double").select("tok", F.lit(0).cast("long").alias("c"), F.lit(_NEW).cast("long").alias("path"), "lp")
     entries = stored(word_paths(vocabulary, total, distinct).withColumn("lp", F.lit(0.0)).union(spelled))
     known = tokens.select("chunk", "tok", "num").join(entries, "tok").select("chunk", "num", "c", "path", "lp")
-    kind = docs.select("doc_id").dtypes[0][1]
+    kind, ids = docs.select("doc_id").dtypes[0][1], to_arrow_type(docs.schema["doc_id"].dataType)
 
     def gather(texts: pa.Table, known: pa.Table) -> pa.Table:
         num = known.column("num").to_numpy()
@@ -561,12 +576,12 @@ def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFr
         for name, dtype in (("c", np.int64), ("path", np.int64), ("lp", np.float64)):
             made[name] = np.zeros(len(num), dtype)
             made[name][num] = known.column(name).to_numpy()
-        codes = texts.column("codes").to_pylist()
+        codes = [unpacked(x, np.int32) for x in texts.column("codes").to_pylist()]
         one = lambda column: pa.array([column.to_pylist()], pa.list_(column.type))
         return pa.table({
             "doc_id": one(texts.column("doc_id")), "held_out": one(texts.column("held_out")), "width": one(texts.column("width")),
-            "n": pa.array([np.array([len(x) // 4 for x in codes], np.int64).tobytes()]), "codes": pa.array([b"".join(codes)]),
-            **{name: pa.array([values.tobytes()]) for name, values in made.items()},
+            "n": pa.array([np.array([len(x) for x in codes], np.int64).tobytes()]), "codes": pa.array([packed(np.concatenate(codes))]),
+            **{name: pa.array([packed(values)]) for name, values in made.items()},
         })
 
     texts = encoded.where("tok is null").select(F.col("chunk").alias("part"), "doc_id", "held_out", "codes", F.col("c").alias("width"))
@@ -577,19 +592,17 @@ def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFr
     run_weights, run_adapted = learn_weights(chunks, lambda row: run_slices(row, run_sent.value), first_run_weights(), 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, row in enumerate(batch.to_pylist()):
-                words = Running(row)
-                codes = np.frombuffer(row["codes"], np.int32)
-                base = np.log10((words.c + 1) / (total + types + 1))
-                lp = words.scores(Mixer(run_sent.value, run_weights, run_adapted)) + np.frombuffer(row["lp"])[codes]
-                n, at = np.frombuffer(row["n"], np.int64), words.start
-                sums = np.add.reduceat(lp, at)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id")[k].values, pa.array(row["held_out"], pa.bool_()), pa.array(n),
-                    pa.array(np.add.reduceat((words.c > 0).astype(np.int64), at)), pa.array(np.full(len(n), total, np.int64)),
-                    pa.array(np.add.reduceat(base, at)), pa.array(sums), pa.array(-sums * np.log2(10) / np.array(row["width"])),
-                ], names)
+        for row in rows_of(batches):
+            words = Running(row)
+            base = np.log10((words.c + 1) / (total + types + 1))
+            lp = words.scores(Mixer(run_sent.value, run_weights, run_adapted)) + unpacked(row["lp"], np.float64)[words.codes]
+            n, at = np.frombuffer(row["n"], np.int64), words.start
+            sums = np.add.reduceat(lp, at)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row["doc_id"], ids), pa.array(row["held_out"], pa.bool_()), pa.array(n),
+                pa.array(np.add.reduceat((words.c > 0).astype(np.int64), at)), pa.array(np.full(len(n), total, np.int64)),
+                pa.array(np.add.reduceat(base, at)), pa.array(sums), pa.array(-sums * np.log2(10) / np.array(row["width"])),
+            ], names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     return chunks.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
