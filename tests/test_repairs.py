@@ -48,6 +48,17 @@ def test_writing_one_stock_day_keeps_the_others(spark, tmp_path):
     assert got == [("A", "2024-01-02", 9.0)] * 2 + [("A", "2024-01-03", 1.0)] * 2 + [("B", "2024-01-02", 1.0)] * 2
 
 
+def test_a_day_is_a_bounded_number_of_files_however_many_symbols_it_has(spark, tmp_path):
+    path = tmp_path / "bars"
+    data = bars(spark, *[(f"S{i}", d) for i in range(100) for d in (2, 3)])
+    fs.write_bars(data, str(path))
+    fs.write_bars(data.where("symbol < 'S5' AND session_date = '2024-01-02'").withColumn("close", F.lit(9.0)), str(path))
+    assert len(list(path.rglob("*.parquet"))) <= 2 * fs.DAY_FILES
+    assert sorted(x.name for x in path.iterdir() if x.is_dir()) == ["session_date=2024-01-02", "session_date=2024-01-03"]
+    got = sorted((r.symbol, r.session_date.day, r.ts.second, r.close) for r in spark.read.parquet(str(path)).collect())
+    assert got == sorted((f"S{i}", d, k, 9.0 if f"S{i}" < "S5" and d == 2 else 1.0) for i in range(100) for d in (2, 3) for k in range(2))
+
+
 def test_a_run_that_died_before_its_status_is_repeated_in_place(spark, tmp_path):
     store, manifest = str(tmp_path / "store"), str(tmp_path / "manifest")
     data = bars(spark, ("A", 2), ("B", 2))
