@@ -46,7 +46,12 @@ def stream_bars(ticks: DataFrame, spec: BarSpec = BarSpec(), grace: str = TICK_G
     return out.select("symbol", "session_date", "ts", *[no_nan(c).alias(c) for c in numbers], "late_trades")
 
 
-def _fold(df: DataFrame, keys: list[str], processor: pr.Fold | pr.SignedBars, schema: str) -> DataFrame:
+def bucketed(df: DataFrame, by: str, buckets: int = 512) -> DataFrame:
+    """Rows with the bucket of their name; state is kept by buckets, so Python is called once for many names."""
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
+
+
+def _fold(df: DataFrame, keys: list[str], processor: pr.Fold | pr.SignedBars | st.QuoteGaps, schema: str) -> DataFrame:
     use_rocksdb(df.sparkSession)
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
@@ -84,14 +89,14 @@ def stream_silence(rows: DataFrame, cfg: StalenessConfig = StalenessConfig(), cl
 
 def stream_transitions(ages: DataFrame, cfg: StalenessConfig = StalenessConfig()) -> DataFrame:
     """Monitor state changes of a feed (feed, seq, age_s)."""
-    fold = pr.Fold(pr.transition_step(cfg.pause_s, cfg.kill_s), ("RUNNING",), "status string", ["seq"], ["feed", "seq", "before", "after"])
-    return _fold(ages, ["feed"], fold, "feed string, seq long, before string, after string")
+    fold = pr.Fold(pr.transition_step(cfg.pause_s, cfg.kill_s), ("RUNNING",), "status string", ["seq"], ["feed", "seq", "before", "after"], "feed")
+    return _fold(bucketed(ages, "feed"), ["_bucket"], fold, "feed string, seq long, before string, after string")
 
 
 def stream_brackets(events: DataFrame) -> DataFrame:
     """Actions of armed brackets over arm / disarm / quote events."""
     fold = pr.Fold(pr.bracket_step, (0, 0, 0.0, 0, -1), "armed int, qty long, stop double, deadline long, bracket long", ["us", "prio", "seq"], ["symbol", "bracket_id", "qty", "kind", "ts"])
-    return _fold(events, ["symbol"], fold, "symbol string, bracket_id long, qty long, kind string, ts timestamp")
+    return _fold(bucketed(events, "symbol"), ["_bucket"], fold, "symbol string, bracket_id long, qty long, kind string, ts timestamp")
 
 
 def stream_fills(fills: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def stream_fills(fills: DataFrame) -> DataFrame:
     schema = "symbol string, side string, qty long, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, pnl double"
     names = [c.split()[0] for c in schema.split(", ")]
     fold = pr.Fold(pr.fill_step, (0, 0.0, 0), "qty long, entry double, opened long", ["us", "seq", "tie"], names)
-    return _fold(fills.withColumn("us", F.unix_micros("ts")), ["symbol"], fold, schema)
+    return _fold(bucketed(fills.withColumn("us", F.unix_micros("ts")), "symbol"), ["_bucket"], fold, schema)
 
 
 def decision_telemetry(decisions: DataFrame, threshold: float, interval: str = "60 seconds", delay: str = "10 seconds") -> DataFrame:

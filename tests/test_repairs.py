@@ -202,3 +202,34 @@ def test_horizon_sweep_carries_no_levels(spark, monkeypatch):
     monkeypatch.setattr(bk, "cut", kept)
     bk.horizon_sweep(tables.books(spark, "/root/testdata/sf0.001"), (3,))
     assert stored and not any("levels" in columns for columns in stored)
+
+
+class Timed(Handle):
+    def __init__(self):
+        super().__init__()
+        self.timers = []
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def test_one_call_folds_the_fills_of_many_symbols():
+    import pandas as pd
+
+    from tapeloom.streaming.processors import Fold, fill_step
+
+    cols = ["symbol", "side", "qty", "price", "us"]
+    fold = Fold(fill_step, (0, 0.0, 0), "qty long, entry double, opened long", ["us"], ["symbol", "side", "qty", "entry_ts", "exit_ts", "entry_price", "exit_price", "pnl"])
+    fold.init(Timed())
+    first = [("A", "buy", 5, 10.0, 1), ("B", "sell", 2, 20.0, 1), (None, "buy", 1, 1.0, 1), ("A", "buy", 5, 12.0, 2)]
+    assert pd.concat(fold.handleInputRows((3,), iter([pd.DataFrame(first, columns=cols)]), None)).empty
+    then = [("B", "buy", 2, 19.0, 4), ("C", "buy", 1, 3.0, 4), ("A", "sell", 4, 13.0, 3), (None, "sell", 1, 2.0, 5)]
+    out = pd.concat(fold.handleInputRows((3,), iter([pd.DataFrame(then, columns=cols)]), None))
+    got = {None if pd.isna(r.symbol) else r.symbol: (r.side, r.qty, r.entry_price, r.pnl) for r in out.itertuples()}
+    assert got == {"A": ("long", 4, 11.0, 8.0), "B": ("short", 2, 20.0, 2.0), None: ("long", 1, 1.0, 1.0)}
