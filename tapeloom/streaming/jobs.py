@@ -82,7 +82,7 @@ def stream_silence(rows: DataFrame, cfg: StalenessConfig = StalenessConfig(), cl
     keyed = rows.select("feed", "ts")
     if clock == "event":
         keyed = keyed.withWatermark("ts", delay)
-    return keyed.groupBy("feed").transformWithStateInPandas(
+    return bucketed(keyed, "feed").groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=st.Silence(cfg, clock), outputStructType=st.Silence.OUT, outputMode="Append", timeMode="EventTime" if clock == "event" else "ProcessingTime"
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.config import StalenessConfig
 from tapeloom.functions.sorted_window import sliding_quantiles
+from tapeloom.streaming.processors import in_groups
 
 US = 1_000_000
 
@@ -70,6 +71,8 @@ class Silence(StatefulProcessor):
     second one arrives, silence after the last row by a timer, so the output does not
     depend on how the rows were cut into micro-batches. The clock is the watermark
     (``clock="event"``) or the wall (``clock="wall"``, where rows count from their arrival).
+    Keyed by a bucket of feeds, so that a call into Python costs many feeds and not one; the
+    bucket wakes up when the first of its feeds would change.
     """
 
     OUT = "feed string, ts timestamp, before string, after string, silent_s double"
@@ -81,15 +84,21 @@ class Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, last_us long")
+        self.state = handle.getValueState("state", "feeds array<string>, status array<string>, last_us array<long>")
 
-    def _advance(self, key, status: str, last: int, now: int, out: list) -> str:
+    def _known(self) -> dict[str | None, tuple[str, int]]:
+        if not self.state.exists():
+            return {}
+        feeds, status, last = self.state.get()
+        return dict(zip(feeds, zip(status, last)))
+
+    def _advance(self, feed: str | None, status: str, last: int, now: int, out: list) -> str:
         """Changes that silence since ``last`` has brought by ``now``."""
         if status == "RUNNING" and now - last > self.pause:
-            out.append((key[0], last + self.pause, "RUNNING", "PAUSED", self.pause / US))
+            out.append((feed, last + self.pause, "RUNNING", "PAUSED", self.pause / US))
             status = "PAUSED"
         if status == "PAUSED" and now - last > self.kill:
-            out.append((key[0], last + self.kill, "PAUSED", "KILLED", self.kill / US))
+            out.append((feed, last + self.kill, "PAUSED", "KILLED", self.kill / US))
             status = "KILLED"
         return status
 
@@ -97,37 +106,40 @@ class Silence(StatefulProcessor):
         frame = pd.DataFrame(out, columns=["feed", "ts", "before", "after", "silent_s"])
         return frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"))
 
-    def _wake(self, status: str, last: int) -> None:
-        for limit in {"RUNNING": (self.pause, self.kill), "PAUSED": (self.kill,)}.get(status, ()):
-            self.handle.registerTimer((last + limit) // 1000 + 1)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.wall:
-            for _ in rows:
-                pass
-            stamps = [timerValues.getCurrentProcessingTimeInMs() * 1000]
-        else:
-            stamps = np.sort(_us(pd.concat([r["ts"] for r in rows]))).tolist()
-        status, last = self.state.get() if self.state.exists() else ("RUNNING", stamps[0])
+    def _keep(self, known: dict[str | None, tuple[str, int]]) -> None:
+        """Store the feeds, and wake up when the first of them would change."""
+        states = list(known.values())
+        self.state.update((list(known), [s for s, _ in states], [last for _, last in states]))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        out: list = []
-        for at in stamps:
-            status = self._advance(key, status, last, at, out)
-            if status == "KILLED":
-                break
-            if status == "PAUSED":
-                out.append((key[0], at, "PAUSED", "RUNNING", (at - last) / US))
-                status = "RUNNING"
-            last = max(last, at)
-        self.state.update((status, int(last)))
-        self._wake(status, int(last))
+        limits = {"RUNNING": min(self.pause, self.kill), "PAUSED": self.kill}
+        due = [last + limits[s] for s, last in states if s in limits]
+        if due:
+            self.handle.registerTimer(min(due) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["feed", "ts"], kind="stable", ignore_index=True)
+        stamps = _us(batch["ts"]).tolist()
+        known, out = self._known(), []
+        for feed, i, j in in_groups(batch, "feed"):
+            arrived = [timerValues.getCurrentProcessingTimeInMs() * 1000] if self.wall else stamps[i:j]
+            status, last = known.get(feed, ("RUNNING", arrived[0]))
+            for at in arrived:
+                status = self._advance(feed, status, last, at, out)
+                if status == "KILLED":
+                    break
+                if status == "PAUSED":
+                    out.append((feed, at, "PAUSED", "RUNNING", (at - last) / US))
+                    status = "RUNNING"
+                last = max(last, at)
+            known[feed] = (status, last)
+        self._keep(known)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = (timerValues.getCurrentProcessingTimeInMs() if self.wall else timerValues.getCurrentWatermarkInMs()) * 1000
-        status, last = self.state.get()
-        out: list = []
-        status = self._advance(key, status, last, now, out)
-        self.state.update((status, last))
+        known, out = self._known(), []
+        for feed, (status, last) in known.items():
+            known[feed] = (self._advance(feed, status, last, now, out), last)
+        self._keep(known)
         yield self._frame(out)

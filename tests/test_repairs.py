@@ -233,3 +233,22 @@ def test_one_call_folds_the_fills_of_many_symbols():
     out = pd.concat(fold.handleInputRows((3,), iter([pd.DataFrame(then, columns=cols)]), None))
     got = {None if pd.isna(r.symbol) else r.symbol: (r.side, r.qty, r.entry_price, r.pnl) for r in out.itertuples()}
     assert got == {"A": ("long", 4, 11.0, 8.0), "B": ("short", 2, 20.0, 2.0), None: ("long", 1, 1.0, 1.0)}
+
+
+def test_one_timer_wakes_the_feeds_of_a_bucket():
+    import pandas as pd
+
+    from tapeloom.config import StalenessConfig
+    from tapeloom.streaming.staleness import Silence
+
+    at = lambda s: pd.Timestamp(s, unit="s")
+    handle, state = Timed(), Silence(StalenessConfig(pause_s=60.0, kill_s=180.0))
+    state.init(handle)
+    rows = pd.DataFrame([("a", at(0)), ("b", at(50)), ("a", at(70))], columns=["feed", "ts"])
+    out = pd.concat(state.handleInputRows((1,), iter([rows]), None))
+    assert list(out[["feed", "after"]].itertuples(index=False, name=None)) == [("a", "PAUSED"), ("a", "RUNNING")]
+    assert handle.timers == [110_001]  # b is the first to be quiet for too long
+    out = pd.concat(state.handleExpiredTimer((1,), Now(120_000), None))
+    assert list(out[["feed", "ts", "after"]].itertuples(index=False, name=None)) == [("b", at(110), "PAUSED")] and handle.timers == [130_001]
+    out = pd.concat(state.handleExpiredTimer((1,), Now(1_000_000), None))
+    assert sorted(out[["feed", "after"]].itertuples(index=False, name=None)) == [("a", "KILLED"), ("a", "PAUSED"), ("b", "KILLED")] and handle.timers == []
