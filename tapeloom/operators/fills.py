@@ -39,18 +39,23 @@ class NextGood:
         return pd.Series(pos - np.arange(n), index=frame.index).astype("Int64").where(pd.Series(ok, index=frame.index))
 
 
-def entry_decisions(scored: DataFrame, threshold: float, qty: int, cfg: BarrierConfig, stop_mult: float = 1.0, keys: Sequence[str] = KEY) -> DataFrame:
-    """Gate scored bars: finite barriers, valid uncrossed quote, score at the threshold.
+def with_decisions(scored: DataFrame, threshold: float, qty: int, cfg: BarrierConfig, stop_mult: float = 1.0, columns: Sequence[str] = (*KEY, "ts")) -> DataFrame:
+    """``columns`` of every scored bar and its entry decision; qty and what follows are NULL without one.
 
+    A decision needs finite barriers, a valid uncrossed quote and a score at the threshold.
     ``scored`` has bid, ask, target_ps, stop_ps, p_win; label columns are carried
     along as the label-assumed edge when present.
     """
     ok = F.col("target_ps").isNotNull() & F.col("stop_ps").isNotNull() & tradable_nbbo() & (F.col("p_win") >= threshold)
     target, stop, deadline = bracket_prices(F.col("ask"), F.col("target_ps"), F.col("stop_ps"), F.col("ts"), cfg.timeout_rows * cfg.row_seconds, stop_mult)
-    extra = [assumed_edge().alias("label_edge_ps")] if "label" in scored.columns else []
-    return scored.where(ok).select(
-        *keys, "ts", F.lit(qty).cast("long").alias("qty"), target.alias("target_px"), stop.alias("stop_px"), deadline.alias("deadline"), *extra
-    )
+    extra = {"label_edge_ps": assumed_edge()} if "label" in scored.columns else {}
+    decision = {"qty": F.lit(qty).cast("long"), "target_px": target, "stop_px": stop, "deadline": deadline, **extra}
+    return scored.select(*columns, *[F.when(ok, c).alias(name) for name, c in decision.items()])
+
+
+def entry_decisions(scored: DataFrame, threshold: float, qty: int, cfg: BarrierConfig, stop_mult: float = 1.0, keys: Sequence[str] = KEY) -> DataFrame:
+    """The scored bars at which ``with_decisions`` enters."""
+    return with_decisions(scored, threshold, qty, cfg, stop_mult, (*keys, "ts")).where(F.col("qty").isNotNull())
 
 
 def missing_bar_times(entries: DataFrame, bars: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

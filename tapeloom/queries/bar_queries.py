@@ -16,6 +16,7 @@ from tapeloom.operators import oracle as orc
 from tapeloom.queries.base import (
     BARRIER, BARS, EVENTS, FEATURES, HORIZONS, ORACLE, bars, query, r, rcols, rounded, with_ctes,
 )
+from tapeloom.session import cut
 from tapeloom.sources import driver_tables as tables
 
 BAR_COLS = ["open", "high", "low", "close", "volume", "n_trades", "bid", "ask", "bid_size", "ask_size", "spread"]
@@ -361,12 +362,13 @@ def _study_verdict(spark, sf):
 # ---------------------------------------------------------------- scores, entries, fills
 # A deterministic stand-in for a model score, so the decision operators can be
 # checked on their own: a fixed arithmetic hash of the bar's position.
-def scored_labels(spark, sf):
+def scored_labels(spark, sf, carry=()):
     from pyspark.sql import Window
 
-    lab = lb.barrier_labels(lb.with_barriers(bars(spark, sf), BARRIER), BARRIER, carry=("bid", "ask"))
     rn = F.row_number().over(Window.partitionBy(*b.KEY).orderBy("ts"))
-    return lab.withColumn("rn", rn).withColumn("p_win", F.pmod(F.col("rn") * 7919 + F.dayofmonth("session_date") * 104729, F.lit(101)) / 101.0)
+    numbered = lb.with_barriers(bars(spark, sf), BARRIER).withColumn("rn", rn)
+    lab = lb.barrier_labels(numbered, BARRIER, carry=("bid", "ask", *carry, "rn"))
+    return lab.withColumn("p_win", F.pmod(F.col("rn") * 7919 + F.dayofmonth("session_date") * 104729, F.lit(101)) / 101.0)
 
 
 SCORED = LABEL_CTES + """,
@@ -439,9 +441,21 @@ VOLS = f"vols AS (SELECT symbol, session_date, rn, sum(volume) {back(60)} AS vol
 SIM_D = ["label_edge_ps", "entry_px", "exit_px", "slippage_ps"]
 
 
-def simulated(spark, sf, mode):
-    cfg = FillConfig(entry_mode=mode, maker_wait=4)
-    return fl.simulate_fills(bars(spark, sf), entries(spark, sf), cfg).withColumn("entry_mode", F.lit(mode))
+TAPE = ("low", "ask_size", "spread", "volume")
+
+
+def decided_tape(spark, sf):
+    """The bars with their entry decisions; made in one pass, without a join of the bars with themselves."""
+    return fl.with_decisions(scored_labels(spark, sf, TAPE), 0.6, 500, BARRIER, columns=(*b.KEY, "ts", "bid", "ask", *TAPE))
+
+
+def simulated(tape, mode):
+    return fl.fills_on_tape(tape, FillConfig(entry_mode=mode, maker_wait=4)).withColumn("entry_mode", F.lit(mode))
+
+
+def simulated_both(spark, sf):
+    tape = cut(decided_tape(spark, sf))
+    return simulated(tape, "taker").unionByName(simulated(tape, "maker"))
 
 
 for _mode in ("taker", "maker"):
@@ -453,7 +467,7 @@ for _mode in ("taker", "maker"):
         + f"SELECT symbol, session_date, ts, entry_mode, filled, fill_qty, exit_reason, entry_t, exit_t, {rcols(SIM_D)}, {r('pnl', 'pnl', 4)} FROM {_p}sim",
     )
     def _sim(spark, sf, mode=_mode):
-        return rounded(simulated(spark, sf, mode), pnl=4)
+        return rounded(simulated(decided_tape(spark, sf), mode), pnl=4)
 
 
 BOTH = with_ctes(ENTRIES, VOLS, sim_ctes("taker", "ta"), sim_ctes("maker", "ma"), "sims AS (SELECT * FROM tasim UNION ALL SELECT * FROM masim)", recursive=True)
@@ -468,11 +482,9 @@ BOTH = with_ctes(ENTRIES, VOLS, sim_ctes("taker", "ta"), sim_ctes("maker", "ma")
     {r("coalesce(avg(slippage_ps) FILTER (filled AND exit_reason = 'stop'), 0)", "stop_slippage_ps_mean", 5)} FROM sims GROUP BY entry_mode""",
 )
 def _fill_report(spark, sf):
-    both = simulated(spark, sf, "taker").unionByName(simulated(spark, sf, "maker"))
-    return rounded(fl.fill_report(both))
+    return rounded(fl.fill_report(simulated_both(spark, sf)))
 
 
 @query("fill_exit_reasons", BOTH + "SELECT entry_mode, exit_reason, count(*) AS n FROM sims WHERE filled GROUP BY ALL")
 def _exit_reasons(spark, sf):
-    both = simulated(spark, sf, "taker").unionByName(simulated(spark, sf, "maker"))
-    return fl.exit_reason_counts(both)
+    return fl.exit_reason_counts(simulated_both(spark, sf))

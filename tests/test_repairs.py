@@ -252,3 +252,17 @@ def test_one_timer_wakes_the_feeds_of_a_bucket():
     assert list(out[["feed", "ts", "after"]].itertuples(index=False, name=None)) == [("b", at(110), "PAUSED")] and handle.timers == [130_001]
     out = pd.concat(state.handleExpiredTimer((1,), Now(1_000_000), None))
     assert sorted(out[["feed", "after"]].itertuples(index=False, name=None)) == [("a", "KILLED"), ("a", "PAUSED"), ("b", "KILLED")] and handle.timers == []
+
+
+def test_fills_read_the_bars_once(spark):
+    from tapeloom.config import FillConfig
+    from tapeloom.operators import fills as fl
+    from tapeloom.queries import QUERIES, bar_queries as bq
+
+    sf = "/root/testdata/sf0.001"
+    plan = QUERIES["maker_fills"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 2  # trades and quotes
+    tape = bq.decided_tape(spark, sf)
+    want = fl.simulate_fills(bq.bars(spark, sf), bq.entries(spark, sf), FillConfig(entry_mode="maker", maker_wait=4))
+    got = bq.simulated(tape, "maker").drop("entry_mode")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
