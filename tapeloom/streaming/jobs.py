@@ -39,7 +39,7 @@ def stream_bars(ticks: DataFrame, spec: BarSpec = BarSpec(), grace: str = TICK_G
     """Streaming twin of ``second_bars``; bars may trail the last trade of a session with quotes only."""
     use_rocksdb(ticks.sparkSession)
     keyed = ticks.withWatermark("ts", grace).withColumn("session_date", local_date(ceil_time("ts", spec.interval_s), spec.zone))
-    out = keyed.groupBy("symbol", "session_date").transformWithStateInPandas(
+    out = bucketed(keyed, "symbol", 64).groupBy("_bucket", "session_date").transformWithStateInPandas(
         statefulProcessor=pr.BarState(spec), outputStructType=BAR_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
     numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]

@@ -266,3 +266,28 @@ def test_fills_read_the_bars_once(spark):
     want = fl.simulate_fills(bq.bars(spark, sf), bq.entries(spark, sf), FillConfig(entry_mode="maker", maker_wait=4))
     got = bq.simulated(tape, "maker").drop("entry_mode")
     assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_one_call_makes_the_bars_of_many_symbols():
+    import pandas as pd
+
+    from tapeloom.config import BarSpec
+    from tapeloom.streaming.processors import BarState
+
+    t0 = pd.Timestamp("2024-01-02 14:30:00")
+    cols = ["symbol", "ts", "seq", "kind", "price", "size", "bid", "ask", "bid_size", "ask_size"]
+
+    def rows(*r):
+        return iter([pd.DataFrame([(x, t0 + pd.Timedelta(seconds=s), q, k, p, 2.0, b, None if b is None else b + 1, 1.0, 1.0) for x, s, q, k, p, b in r], columns=cols)])
+
+    handle, state, key = Timed(), BarState(BarSpec(interval_s=1)), (7, date(2024, 1, 2))
+    state.init(handle)
+    list(state.handleInputRows(key, rows(("A", 0.5, 1, 1, 5.0, None), ("B", 2.5, 2, 1, 7.0, None), ("Q", 1.0, 3, 0, None, 4.0)), None))
+    ms = int(t0.timestamp() * 1000)
+    assert ms + 1000 in handle.timers
+    out = pd.concat(state.handleExpiredTimer(key, Now(ms + 2000), None))
+    assert [(r.symbol, r.ts.second, r.n_trades) for r in out.itertuples()] == [("A", 1, 1.0), ("A", 2, 0.0)]
+    list(state.handleInputRows(key, rows(("A", 1.5, 4, 1, 9.0, None), ("A", 2.5, 5, 1, 6.0, None), ("B", 2.2, 6, 0, None, 4.0), ("B", 2.6, 7, 1, 8.0, None)), None))
+    out = pd.concat(state.handleExpiredTimer(key, Now(ms + 3000), None)).set_index("symbol")
+    assert (out.loc["A", "close"], out.loc["A", "late_trades"], out.loc["B", "open"], out.loc["B", "close"], out.loc["B", "bid"], out.loc["B", "late_trades"]) == (6.0, 1, 7.0, 8.0, 4.0, 0)
+    assert np.isnan(out.loc["A", "bid"]) and out.loc["B", "vwap"] == 7.5
