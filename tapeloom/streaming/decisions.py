@@ -21,6 +21,7 @@ from tapeloom.config import BarrierConfig, FeatureConfig
 from tapeloom.functions.scalar import no_nan, tradable_nbbo
 from tapeloom.operators.bar_features import feature_names
 from tapeloom.operators.bars import KEY
+from tapeloom.streaming.processors import in_groups
 
 INPUTS = ("close", "high", "low", "volume", "n_trades", "vwap", "bid", "ask", "bid_size", "ask_size", "spread")
 #: Running values of a session: the last price, sums, the high, and the rows of the last flat, high and low-imbalance bar.
@@ -150,50 +151,59 @@ def tail_features(x: Mapping[str, np.ndarray], minutes: np.ndarray, carried: Map
 
 
 class FeatureState(StatefulProcessor):
-    """Features and barriers of every new bar of a (symbol, session).
+    """Features and barriers of every new bar of the (symbol, session)s of a bucket.
 
     Bars come in order (as ``stream_bars`` gives them); a bar that is not later than the
-    last one seen is a repetition and is left out.
+    last one of its session is a repetition and is left out. Keyed by (bucket of symbols,
+    session), so that a call into Python and a state access cost many sessions and not one.
     """
 
-    STATE = "kept binary, last_us long, " + ", ".join(f"{c} double" for c in CARRIED)
+    STATE = {"symbols": "string", "kept": "binary", "last_us": "long", **dict.fromkeys(CARRIED, "double")}
 
     def __init__(self, cfg: FeatureConfig, barrier: BarrierConfig):
         self.cfg, self.barrier, self.reach = cfg, barrier, look_back(cfg, barrier)
         self.shown = [*feature_names(cfg), "bid", "ask", "target_ps", "stop_ps"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.STATE)
+        self.state = handle.getValueState("state", ", ".join(f"{c} array<{k}>" for c, k in self.STATE.items()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable").drop_duplicates("ts")
-        nan = float("nan")
-        kept, last_us, *values = self.state.get() if self.state.exists() else (b"", -(1 << 62), 0.0, nan, 0.0, 0.0, nan, 0.0, 0.0, 0.0)
-        us = batch["ts"].astype("datetime64[us]").astype("int64")
-        batch, us = batch[us > last_us], us[us > last_us]
-        if not len(batch):
-            return
-        old = np.frombuffer(kept, float).reshape(-1, len(INPUTS))
-        table = np.concatenate([old, batch[list(INPUTS)].to_numpy(dtype=float)])
+        batch = pd.concat(list(rows)).sort_values(["symbol", "ts"], kind="stable").drop_duplicates(["symbol", "ts"], ignore_index=True)
         local = batch["ts"].dt.tz_localize("UTC").dt.tz_convert(self.cfg.zone).dt.tz_localize(None)
         minutes = ((local - local.dt.normalize()).dt.total_seconds() / 60.0).to_numpy()
-        with np.errstate(all="ignore"):
-            out, running = tail_features(dict(zip(INPUTS, table.T)), minutes, dict(zip(CARRIED, values)), len(batch), self.cfg, self.barrier)
-        drop = max(0, len(table) - self.reach)
-        if drop:
-            values = [float(running[c][drop - 1]) for c in CARRIED]
-        self.state.update((table[drop:].tobytes(), int(us.iloc[-1]), *values))
-        yield pd.DataFrame({"symbol": key[0], "session_date": key[1], "ts": batch["ts"].to_numpy()} | {c: out[c] for c in self.shown})
+        us, inputs = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy(), batch[list(INPUTS)].to_numpy(dtype=float)
+        nan = float("nan")
+        known = {name: state for name, *state in zip(*self.state.get())} if self.state.exists() else {}
+        made, taken = [], []
+        for symbol, i, j in in_groups(batch, "symbol"):
+            kept, last_us, *values = known.get(symbol, (b"", -(1 << 62), 0.0, nan, 0.0, 0.0, nan, 0.0, 0.0, 0.0))
+            i += int(np.searchsorted(us[i:j], last_us, side="right"))
+            if i == j:
+                continue
+            table = np.concatenate([np.frombuffer(kept, float).reshape(-1, len(INPUTS)), inputs[i:j]])
+            with np.errstate(all="ignore"):
+                out, running = tail_features(dict(zip(INPUTS, table.T)), minutes[i:j], dict(zip(CARRIED, values)), j - i, self.cfg, self.barrier)
+            drop = max(0, len(table) - self.reach)
+            if drop:
+                values = [float(running[c][drop - 1]) for c in CARRIED]
+            known[symbol] = (table[drop:].tobytes(), int(us[j - 1]), *values)
+            made.append(np.column_stack([out[c] for c in self.shown]))
+            taken.append(np.arange(i, j))
+        if made:
+            self.state.update((list(known), *map(list, zip(*known.values()))))
+            at = batch.iloc[np.concatenate(taken)].reset_index(drop=True)
+            yield pd.concat([at[["symbol"]].assign(session_date=key[1], ts=at["ts"]), pd.DataFrame(np.concatenate(made), columns=self.shown)], axis=1)
 
 
 def stream_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), barrier: BarrierConfig = BarrierConfig()) -> DataFrame:
     """Features, quote and barriers of a stream of final bars, one row per bar."""
-    from tapeloom.streaming.jobs import use_rocksdb
+    from tapeloom.streaming.jobs import bucketed, use_rocksdb
 
     use_rocksdb(bars.sparkSession)
     step = FeatureState(cfg, barrier)
     schema = "symbol string, session_date date, ts timestamp, " + ", ".join(f"{c} double" for c in step.shown)
-    out = bars.select(*KEY, "ts", *INPUTS).groupBy(*KEY).transformWithStateInPandas(statefulProcessor=step, outputStructType=schema, outputMode="Append", timeMode="None")
+    keyed = bucketed(bars.select(*KEY, "ts", *INPUTS), "symbol", 64).groupBy("_bucket", "session_date")
+    out = keyed.transformWithStateInPandas(statefulProcessor=step, outputStructType=schema, outputMode="Append", timeMode="None")
     return out.select(*KEY, "ts", *[no_nan(c).alias(c) for c in step.shown])
 
 

@@ -291,3 +291,21 @@ def test_one_call_makes_the_bars_of_many_symbols():
     out = pd.concat(state.handleExpiredTimer(key, Now(ms + 3000), None)).set_index("symbol")
     assert (out.loc["A", "close"], out.loc["A", "late_trades"], out.loc["B", "open"], out.loc["B", "close"], out.loc["B", "bid"], out.loc["B", "late_trades"]) == (6.0, 1, 7.0, 8.0, 4.0, 0)
     assert np.isnan(out.loc["A", "bid"]) and out.loc["B", "vwap"] == 7.5
+
+
+def test_one_call_makes_the_features_of_many_symbols():
+    import pandas as pd
+
+    from tapeloom.queries.base import BARRIER, FEATURES
+    from tapeloom.streaming.decisions import INPUTS, FeatureState
+
+    def rows(*r):
+        return iter([pd.DataFrame([(x, pd.Timestamp("2024-01-02 15:00") + pd.Timedelta(minutes=m), *[px] * len(INPUTS)) for x, m, px in r], columns=["symbol", "ts", *INPUTS])])
+
+    key, state = (7, date(2024, 1, 2)), FeatureState(FEATURES, BARRIER)
+    state.init(Timed())
+    out = pd.concat(state.handleInputRows(key, rows(("B", 0, 4.0), ("A", 0, 1.0), ("A", 10, 2.0)), None))
+    assert list(out["symbol"]) == ["A", "A", "B"] and out["ret_1s"].iloc[1] == 1.0
+    out = pd.concat(state.handleInputRows(key, rows(("B", 10, 6.0), ("A", 10, 2.0), ("A", 20, 3.0), ("C", 0, 9.0)), None))
+    assert list(out["symbol"]) == ["A", "B", "C"] and list(out["ret_1s"].iloc[:2]) == [0.5, 0.5] and np.isnan(out["ret_1s"].iloc[2])
+    assert list(state.handleInputRows(key, rows(("A", 20, 3.0)), None)) == []
