@@ -16,7 +16,7 @@ from tapeloom.plans import training as tr
 from tapeloom.queries.bar_queries import FEATURE_COLS, FEATURE_CTES, LABEL_CTES, study
 from tapeloom.queries.base import BARRIER, BARS, FEATURES, bars, query, r, rcols, rounded, with_ctes
 from tapeloom.queries.data_queries import EARLY, day_context
-from tapeloom.queries.daily_queries import NAMES, dataset
+from tapeloom.queries.daily_queries import NAMES, dataset, panel
 from tapeloom.session import cut
 from tapeloom.sources import driver_tables as tables
 from tapeloom.sources import files as fs
@@ -121,14 +121,14 @@ def years(data):
 
 @query("yearly_ranker_scores")
 def _yearly(spark, sf):
-    data = cut(dataset(spark, sf))
+    data = cut(dataset(panel(spark, sf)))
     models = rkg.yearly_models(data, years(data), NAMES, lambda d, n: rkg.fit_boosted(d, n, max_iter=ITER, depth=3))
     return rounded(rkg.predict_scores(data, models, NAMES), 4)
 
 
 @query("teacher_student")
 def _teacher(spark, sf):
-    data = cut(dataset(spark, sf))
+    data = cut(dataset(panel(spark, sf)))
     train = data.dropna(subset=["y_rank"])
     boosted, forest = rkg.fit_boosted(train, NAMES, max_iter=ITER, depth=3), rkg.fit_forest(train, NAMES, trees=5)
     taught = cut(rkg.teacher_scores(data, boosted, forest, NAMES))
@@ -139,10 +139,11 @@ def _teacher(spark, sf):
 @query("tournament")
 def _tournament(spark, sf):
     """Yearly models against the momentum baseline, judged by the same portfolio."""
-    data = cut(dataset(spark, sf))
+    daily = panel(spark, sf)
+    data = cut(dataset(daily))
     ys = years(data)
     models = rkg.yearly_models(data, ys, NAMES, lambda d, n: rkg.fit_boosted(d, n, max_iter=ITER, depth=3))
-    daily, out = tables.daily(spark, sf), None
+    out = None
     for name, s in (("boosted", rkg.predict_scores(data, models, NAMES)), ("momentum", rkg.momentum_scores(data, ys))):
         p = xs.run_portfolio(s, daily, PortfolioConfig(top_n=4)).withColumn("series", F.lit(name))
         out = p if out is None else out.unionByName(p)

@@ -233,3 +233,44 @@ def test_signals_stay_in_bounds_and_atr_uses_fifteen_bars(spark):
     w = np.clip((abs(px[-1] - px[-25]) / np.abs(np.diff(px[-25:])).sum() - 0.10) / 0.25, 0, 1)
     assert sg.trend_weight(df).first().trend_w == pytest.approx(w)
     assert sg.trend_weight(df.limit(5)).first().trend_w == 0.5
+
+
+def test_factors_at_dates_are_those_of_all_dates(spark):
+    """Short histories, missing and huge prices, a zero volume, a date twice, a symbol that ends early."""
+    rng = np.random.default_rng(5)
+    days = pd.bdate_range("2020-01-01", periods=330)
+    rows = []
+    for k, n in enumerate((330, 300, 64, 1, 330)):
+        px = 50 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+        px[200:201] *= 1e9
+        rows += [(f"S{k}", d.date(), None if rng.random() < 0.01 * (k == 1) else float(p), float(rng.integers(0, 50))) for d, p in zip(days, px)]
+    daily = spark.createDataFrame(rows, "symbol string, date date, close double, volume double")
+    market = xs.daily_returns(daily).groupBy("date").agg(F.avg("ret").alias("mret"))
+    dates = spark.createDataFrame([(days[i].date(),) for i in (0, 30, 63, 280, 299, 299, 329)], "date date")
+    want = xs.factors(daily, market).join(dates.distinct(), "date", "left_semi").select("symbol", "date", *xs.FACTORS, *xs.MARKET_FACTORS, "fwd_ret")
+    got = xs.factors(daily, market, dates)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 15
+
+
+def test_rolling_windows_pass_in_blocks_and_only_where_asked(spark):
+    from tapeloom.functions.session_scan import Rolling, scan_sessions
+
+    df = spark.range(3000).repartition(1).select((F.col("id") / 3).cast("long").alias("k"), "id", F.col("id").cast("double").alias("v"), (F.col("id") % 50 == 2).alias("on"))
+    calls, rows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def stat(x):
+        calls.add(1)
+        rows.add(len(x))
+        return np.nansum(x, axis=1)
+
+    got = scan_sessions(df, ["k"], "id", [Rolling("s", ("v",), 3, stat, 2, at="on")], keep="on").collect()
+    assert len(got) == 60 and all(r.s == (None if r.id % 3 == 0 else sum(range(3 * r.k, r.id + 1))) for r in got)
+    assert calls.value <= 8 and rows.value == 40  # once a block, not once a session, and not for other rows
+
+
+def test_queries_over_the_panel_make_the_daily_bars_once(spark):
+    """The factors, the rebalance dates and the market each aggregated all prints."""
+    from tapeloom.queries import QUERIES
+
+    for name in ("factors", "rebalance_dataset", "top_holdings"):
+        assert not any("lineitem" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()), name
