@@ -51,6 +51,7 @@ _PART = 1 << 16  # table entries per row on the way to the driver
 _CLASS = 6  # decisions for the class of a known word
 _RUN_INPUTS, _RUN_GATES, _RUN_SLICE = 5, 60, 1 << 14  # the running text's inputs with bias; weight sets; words per online step
 _NEW = 3  # path of a word that training has not met
+_LOGS = np.log(np.arange(65536) + 0.4).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -297,6 +298,14 @@ class Mixer:
     adapted: np.ndarray  # log odds by weight set and level
 
 
+def _above(values: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
+    """How many of the limits each whole number is above."""
+    out = np.zeros(values.shape, np.uint8)
+    for limit in limits:
+        out += values > limit
+    return out
+
+
 def decisions(b: Block, lo: int, hi: int, tables: list[np.ndarray], unseen: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, bits, weight sets) of the bytes lo..hi, bit by bit.
 
@@ -305,26 +314,27 @@ def decisions(b: Block, lo: int, hi: int, tables: list[np.ndarray], unseen: bool
     n = hi - lo
     x = np.empty((_INPUTS, 8, n), np.float32)
     x[5] = 0.3
-    bits, gate = np.empty((8, n), np.uint8), np.empty((8, n), np.int64)
+    bits, gate = np.empty((8, n), np.uint8), np.empty((8, n), np.uint8)
     known = b.c[b.owner[lo:hi]] > 0
     within = np.arange(lo, hi) - b.start[b.owner[lo:hi]] >= b.reach
+    pairs = [table.view(np.uint32).ravel() for table in tables]  # zeros in the lower half, ones in the upper
     for k, bit, at in table_slots(b, lo, hi, len(tables[1])):
-        own = (known & unseen).astype(np.float32)
-        for t in range(5):
-            if t < 4:
-                pair = tables[t][at[t]]
-                zero, one = pair[:, 0].astype(np.float32), pair[:, 1].astype(np.float32)
-            else:
-                one = b.ones[lo:hi, k]
-                zero = b.total[lo:hi, k] - one
-            one = np.maximum(one - own * bit, 0)
-            zero = np.maximum(zero - own * (1 - bit), 0)
-            x[t, k] = np.log((one + 0.4) / (zero + 0.4))
-            if t == 3:
-                near = np.digitize(zero + one, (0.5, 2.5, 30.5))
-        seen = np.digitize(zero + one, (0.5, 1.5, 2.5, 6.5, 30.5)) + 1
+        own_one = known & unseen & (bit == 1)
+        own_zero = known & unseen & (bit == 0)
+        for t in range(4):
+            pair = np.take(pairs[t], at[t])
+            zero, one = pair & np.uint32(0xFFFF), pair >> np.uint32(16)
+            zero -= own_zero & (zero > 0)
+            one -= own_one & (one > 0)
+            np.subtract(_LOGS[one], _LOGS[zero], out=x[t, k])
+        near = _above(zero + one, (0, 2, 30))
+        one = b.ones[lo:hi, k]
+        zero = np.maximum(b.total[lo:hi, k] - one - own_zero, 0)
+        one = np.maximum(one - own_one, 0)
+        x[4, k] = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
+        seen = _above(zero + one, (0, 1, 2, 6, 30)) + np.uint8(1)
         bits[k] = bit
-        path = np.digitize(b.settled[lo:hi, k], (1, 8, 24))
+        path = _above(b.settled[lo:hi, k], (0, 7, 23))
         gate[k] = (np.where(within, seen * 4 + np.where(seen > 1, path, near), near)) * 8 + k
     return x.reshape(_INPUTS, -1), bits.ravel(), gate.ravel()
 
@@ -350,12 +360,13 @@ def first_weights() -> np.ndarray:
     return w.reshape(_GATES, _INPUTS)
 
 
-def block_slices(row: dict, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, bits, weight sets, weights) of a block's decisions, without their own occurrence."""
-    b = Block(row["reach"], row["toks"], row["lens"], row["counts"])
-    for first, stop in b.slices():
-        lo, hi = b.start[first], b.start[stop - 1] + b.length[stop - 1]
-        yield *decisions(b, lo, hi, tables, True), np.tile(b.c[b.owner[lo:hi]], 8)
+def block_slices(rows: Iterator[dict], tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, bits, weight sets, weights) of the blocks' decisions, without their own occurrence."""
+    for row in rows:
+        b = Block(row["reach"], row["toks"], row["lens"], row["counts"])
+        for first, stop in b.slices():
+            lo, hi = b.start[first], b.start[stop - 1] + b.length[stop - 1]
+            yield *decisions(b, lo, hi, tables, True), np.tile(b.c[b.owner[lo:hi]], 8).astype(np.float32)
 
 
 def learn_weights(rows: DataFrame, slices: Callable, weights: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,19 +378,29 @@ def learn_weights(rows: DataFrame, slices: Callable, weights: np.ndarray, rounds
         def run(batches: Iterator[pa.RecordBatch], begin: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             w, mass = begin.copy(), np.zeros((gates, inputs))
             true, n = np.zeros(gates * _LEVELS), np.zeros(gates * _LEVELS)
-            for row in rows_of(batches):
-                for x, bit, gate, weight in slices(row):
-                    odds = _mixed(x, gate, w)
-                    p = 1 / (1 + np.exp(-odds))
-                    error, slope = weight * (bit - p), weight * np.maximum(p * (1 - p), 0.01)
-                    reach = slope * np.abs(x).sum(axis=0)
-                    for i in range(inputs):  # the row sum bounds the curvature, so a step can't overshoot
-                        h = np.bincount(gate, reach * np.abs(x[i]), gates)
-                        mass[:, i] += h  # steps shrink as evidence grows
-                        w[:, i] += np.clip(np.bincount(gate, error * x[i], gates) / (mass[:, i] + 1), -0.1, 0.1)
-                    spot = gate * _LEVELS + _level(odds)
-                    true += np.bincount(spot, weight * bit, len(true))
-                    n += np.bincount(spot, weight, len(n))
+            for x, bit, gate, weight in slices(rows_of(batches)):
+                size = np.bincount(gate, minlength=gates)
+                order = np.argsort(gate.astype(np.uint8), kind="stable")  # decisions of a weight set lie together
+                x, bit, gate = np.take(x, order, axis=1), bit[order], gate[order]
+                stop = np.cumsum(size)
+                sets = [(g, slice(stop[g] - size[g], stop[g])) for g in np.flatnonzero(size)]
+                odds, now = np.empty(len(bit), np.float32), w.astype(np.float32)
+                for g, at in sets:
+                    np.dot(now[g], x[:, at], out=odds[at])
+                np.clip(odds, -12, 12, out=odds)
+                p = 1 / (1 + np.exp(-odds))
+                error, slope = bit - p, np.maximum(p * (1 - p), np.float32(0.01))
+                if weight is not None:
+                    weight = weight[order]
+                    error, slope = error * weight, slope * weight
+                size_of_x = np.abs(x)
+                reach = slope * size_of_x.sum(axis=0)
+                for g, at in sets:  # the row sum bounds the curvature, so a step can't overshoot
+                    mass[g] += size_of_x[:, at] @ reach[at]  # steps shrink as evidence grows
+                    w[g] += np.clip((x[:, at] @ error[at]) / (mass[g] + 1), -0.1, 0.1)
+                spot = gate * np.int64(_LEVELS) + _level(odds)
+                true += np.bincount(spot, bit if weight is None else weight * bit, len(true))
+                n += np.bincount(spot, weight, len(n))
             flat = np.concatenate([(w * mass).ravel(), mass.ravel(), true, n])
             own = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(flat[own])], ["i", "v"])
@@ -431,6 +452,29 @@ def word_paths(vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
     )
 
 
+class Evidence:
+    """What the running contexts have seen, by slot: log odds, and their share in the choice of a weight set.
+
+    learning: by slot and bit, without the decision's own occurrence.
+    """
+
+    def __init__(self, tables: list[np.ndarray], learning: bool):
+        self.learning, self.slots = learning, len(tables[0])
+        self.odds, self.sets = [], []
+        for t, table in enumerate(tables):
+            zero, one = table[:, 0], table[:, 1]
+            pairs = [(zero - (zero > 0), one), (zero, one - (one > 0))] if learning else [(zero, one)]
+            odds = np.empty((len(table), len(pairs)), np.float32)
+            sets = np.empty((len(table), len(pairs)), np.uint8)
+            for k, (z, o) in enumerate(pairs):
+                np.subtract(_LOGS[o], _LOGS[z], out=odds[:, k])
+                if t in (1, 2):
+                    limits, weight = ((0, 1, 3, 15), 12) if t == 1 else ((0, 1, 5), 3)
+                    sets[:, k] = weight * _above(z.astype(np.int32) + o, limits)
+            self.odds.append(odds.ravel())
+            self.sets.append(sets.ravel() if t in (1, 2) else None)
+
+
 class Running:
     """The words of a chunk's texts in their order: paths, counts and the words before.
 
@@ -440,91 +484,109 @@ class Running:
     def __init__(self, row: dict, trained: bool = False):
         codes, n = unpacked(row["codes"], np.int32), np.frombuffer(row["n"], np.int64)
         start = np.cumsum(n) - n
-        held = np.repeat(np.array(row["held_out"], bool), n)
         self.codes, self.path, self.c = codes, unpacked(row["path"], np.int64)[codes], unpacked(row["c"], np.int64)[codes]
-        place = np.arange(len(codes)) - np.repeat(start, n)
-        self.before = [np.where(place >= k, self.path[np.maximum(np.arange(len(codes)) - k, 0)], 0).astype(np.uint64) for k in (1, 2)]
+        self.before = []
+        for k in (1, 2):
+            x = np.concatenate([np.zeros(k, np.int64), self.path[:-k]])[: len(codes)].astype(np.uint64)
+            for j in range(k):  # the first words of a text
+                x[start[n > j] + j] = 0
+            self.before.append(x)
         self.start = start
         if trained:  # only what may be learned from
-            self.path, self.c, self.before = self.path[~held], self.c[~held], [x[~held] for x in self.before]
-        self.length = np.frexp(self.path.astype(np.float64))[1].astype(np.int64) - 1
+            learned = ~np.repeat(np.array(row["held_out"], bool), n)
+            self.path, self.c, self.before = self.path[learned], self.c[learned], [x[learned] for x in self.before]
+        self.length = (np.frexp(self.path.astype(np.float64))[1] - 1).astype(np.int8)
 
     def slices(self) -> Iterator[tuple[int, int]]:
         for lo in range(0, len(self.path), _RUN_SLICE):
             yield lo, min(lo + _RUN_SLICE, len(self.path))
 
-    def slots(self, lo: int, hi: int, slots: int, learning: bool) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-        """For every depth: the words lo..hi that go on there, the depth, their bits, and the four contexts' slots.
+    def falling(self, lo: int, hi: int) -> np.ndarray:
+        """The words lo..hi by falling length of their paths, so that those that go on at a depth are the first."""
+        return np.argsort(-self.length[lo:hi], kind="stable")
+
+    def slots(self, lo: int, hi: int, slots: int, learning: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For every depth: the depth, the bits of the ``falling`` words that go on there, and the four contexts' slots.
 
         Learning, a word met once is new at its first decision, as it would be without itself.
         """
-        one, two = (x[lo:hi] for x in self.before)
-        mixed = [np.zeros(hi - lo, np.uint64), (one + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)]
+        order = self.falling(lo, hi)
+        one, two = (x[lo:hi][order] for x in self.before)
+        mixed = [None, (one + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)]
         mixed.append((mixed[1] ^ (mixed[1] >> np.uint64(29)) ^ two) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2))
         mixed.append((two + np.uint64(3)) * np.uint64(0x165667B19E3779F9))
-        path, length = self.path[lo:hi], self.length[lo:hi]
+        path, length = self.path[lo:hi][order], self.length[lo:hi][order].astype(np.int64)
         shift = np.uint64(64 - slots.bit_length() + 1)
-        at = np.arange(hi - lo)
         for depth in range(int(length.max(initial=0))):
-            at = at[length[at] > depth]
-            left = length[at] - depth
-            node = (path[at] >> left).astype(np.uint64)
-            bit = (path[at] >> (left - 1)) & 1
+            n = int(np.searchsorted(-length, -depth))
+            node = path[:n] >> (length[:n] - (depth + 1))
+            bit = node & 1
             if depth == 0 and learning:
-                bit = (self.c[lo:hi] == 1).astype(np.int64)
-            spot = np.empty((4, len(at)), np.int64)
-            salt = node * np.uint64(0xD6E8FEB86659FD93)
+                bit = (self.c[lo:hi][order] == 1).astype(np.int64)
+            node >>= 1
+            spot = np.empty((4, n), np.uint64)
+            salt = node.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             for t in range(4):
-                h = (mixed[t][at] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+                h = spot[t]
+                h[:] = salt if t == 0 else mixed[t][:n] ^ salt
+                h *= np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(32)
-                spot[t] = (h * np.uint64(0x94D049BB133111EB)) >> shift
-            yield at, depth, bit, spot
-
-    def decisions(self, lo: int, hi: int, tables: list[np.ndarray], learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, bits, weight sets, words) of the words lo..hi."""
-        parts = []
-        for at, depth, bit, spot in self.slots(lo, hi, len(tables[0]), learning):
-            x = np.empty((_RUN_INPUTS, len(at)), np.float32)
-            x[4] = 0.3
-            seen = []
+                h *= np.uint64(0x94D049BB133111EB)
+                h >>= shift
+            yield depth, bit, spot.view(np.int64)
+
+    def decisions(self, lo: int, hi: int, evidence: Evidence) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """(inputs, bits, weight sets) of the words lo..hi, depth by depth, and the numbers of words that go on at each."""
+        size = int(self.length[lo:hi].sum(dtype=np.int64))
+        x, bits, gate, sizes, done = np.empty((_RUN_INPUTS, size), np.float32), np.empty(size, np.uint8), np.empty(size, np.uint8), [], 0
+        x[4] = 0.3
+        for depth, bit, spot in self.slots(lo, hi, evidence.slots, evidence.learning):
+            at = slice(done, done + len(bit))
+            done, bits[at] = done + len(bit), bit
+            sizes.append(len(bit))
+            if evidence.learning:
+                spot = 2 * spot + bit
             for t in range(4):
-                pair = tables[t][spot[t]].astype(np.float32)
-                if learning:
-                    pair[np.arange(len(at)), bit] -= 1
-                    np.maximum(pair, 0, out=pair)
-                x[t] = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4))
-                seen.append(pair.sum(axis=1))
+                np.take(evidence.odds[t], spot[t], out=x[t, at], mode="clip")
             kind = 0 if depth == 0 else 1 if depth <= _CLASS else 2
-            gate = (np.digitize(seen[1], (0.5, 1.5, 3.5, 15.5)) * 4 + np.digitize(seen[2], (0.5, 1.5, 5.5))) * 3 + kind
-            parts.append((x, bit, gate, at))
-        if not parts:
-            return np.zeros((_RUN_INPUTS, 0), np.float32), *(np.zeros(0, np.int64) for _ in range(3))
-        x, bit, gate, at = zip(*parts)
-        return np.concatenate(x, axis=1), np.concatenate(bit), np.concatenate(gate), np.concatenate(at)
-
-    def scores(self, mixer: Mixer) -> np.ndarray:
+            gate[at] = np.take(evidence.sets[1], spot[1]) + np.take(evidence.sets[2], spot[2]) + np.uint8(kind)
+        return x, bits, gate, sizes
+
+    def scores(self, evidence: Evidence, weights: np.ndarray, adapted: np.ndarray) -> np.ndarray:
         """log10 probability of every word's path."""
         out = np.zeros(len(self.path))
+        columns, flat = weights.T.astype(np.float32), adapted.ravel()
         for lo, hi in self.slices():
-            x, bit, gate, at = self.decisions(lo, hi, mixer.tables, False)
-            odds = _mixed(x, gate, mixer.weights)
-            odds = (odds + mixer.adapted[gate, _level(odds)]) / 2
-            out[lo:hi] = np.bincount(at, -np.logaddexp(0, np.where(bit == 1, -odds, odds)), hi - lo) / np.log(10)
+            x, bit, gate, sizes = self.decisions(lo, hi, evidence)
+            gate = gate.astype(np.int64)
+            odds = columns[0][gate] * x[0]
+            for i in range(1, _RUN_INPUTS):
+                odds += columns[i][gate] * x[i]
+            np.clip(odds, -12, 12, out=odds)
+            odds = (odds + flat[gate * _LEVELS + _level(odds)]) / 2
+            nats = -np.log(1 + np.exp(np.where(bit == 1, -odds, odds)))
+            sums, done = np.zeros(hi - lo), 0
+            for n in sizes:
+                sums[:n] += nats[done : done + n]
+                done += n
+            out[lo + self.falling(lo, hi)] = sums / np.log(10)
         return out
 
 
 def run_events(row: dict, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     words = Running(row, trained=True)
     for lo, hi in words.slices():
-        for _, _, bit, spot in words.slots(lo, hi, slots, True):
+        for _, bit, spot in words.slots(lo, hi, slots, True):
             yield spot, bit, np.float32(1)
 
 
-def run_slices(row: dict, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    words = Running(row, trained=True)
-    for lo, hi in words.slices():
-        x, bit, gate, _ = words.decisions(lo, hi, tables, True)
-        yield x, bit, gate, np.ones(len(bit))
+def run_slices(rows: Iterator[dict], tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, None]]:
+    evidence = None
+    for row in rows:
+        evidence = evidence or Evidence(tables, True)
+        words = Running(row, trained=True)
+        for lo, hi in words.slices():
+            yield *words.decisions(lo, hi, evidence)[:3], None
 
 
 def first_run_weights() -> np.ndarray:
@@ -555,7 +617,7 @@ def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFr
     blocks = token_blocks(vocabulary, cfg)
     slots = max(1 << 16, min(cfg.slots, 1 << (2 * distinct).bit_length()))
     sent = spark.sparkContext.broadcast(count_contexts(blocks, _sizes(slots), lambda row: block_events(row, slots)))  # at most 13 MB, sent once
-    weights, adapted = learn_weights(blocks, lambda row: block_slices(row, sent.value), first_weights(), cfg.rounds)
+    weights, adapted = learn_weights(blocks, lambda rows: block_slices(rows, sent.value), first_weights(), cfg.rounds)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -589,13 +651,15 @@ def score_documents(docs: DataFrame, cfg: MixLmConfig = MixLmConfig()) -> DataFr
     chunks = stored(texts.groupBy("part").cogroup(known.groupBy("chunk")).applyInArrow(gather, schema))
     run_slots = max(1 << 16, min(cfg.run_slots, 1 << (4 * total).bit_length()))
     run_sent = spark.sparkContext.broadcast(count_contexts(chunks, [run_slots] * 4, lambda row: run_events(row, run_slots)))  # at most 67 MB, sent once
-    run_weights, run_adapted = learn_weights(chunks, lambda row: run_slices(row, run_sent.value), first_run_weights(), 1)
+    run_weights, run_adapted = learn_weights(chunks, lambda rows: run_slices(rows, run_sent.value), first_run_weights(), 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = None
         for row in rows_of(batches):
+            evidence = evidence or Evidence(run_sent.value, False)
             words = Running(row)
             base = np.log10((words.c + 1) / (total + types + 1))
-            lp = words.scores(Mixer(run_sent.value, run_weights, run_adapted)) + unpacked(row["lp"], np.float64)[words.codes]
+            lp = words.scores(evidence, run_weights, run_adapted) + unpacked(row["lp"], np.float64)[words.codes]
             n, at = np.frombuffer(row["n"], np.int64), words.start
             sums = np.add.reduceat(lp, at)
             yield pa.RecordBatch.from_arrays([

@@ -8,7 +8,8 @@ import numpy as np
 
 from tapeloom.llm.common import table
 from tapeloom.llm.mixlm import Block, MixLmConfig, Mixer, _level, _mixed, decisions, score_documents, token_scores
-from tapeloom.llm.mixlm import word_paths
+from tapeloom.llm.mixlm import Evidence, Running, word_paths
+from tapeloom.llm.mixlm import packed as packed_array
 
 
 def tokens(text):
@@ -125,3 +126,60 @@ def test_paths_are_those_of_a_prefix_code(spark):
     paths = [f"{r.path:b}" for r in got]
     assert len(got) == 74 and all(x.startswith("10") for x in paths)
     assert not any(x != y and y.startswith(x) for x in paths for y in paths) and len(set(paths)) == 74
+
+
+def test_running_decisions_match_one_word_at_a_time():
+    """Slots, log odds, weight sets and scores of whole slices against a plain loop over words, learning and scoring."""
+    rng = np.random.default_rng(8)
+    paths = [3, 0b10, 0b11101, *(int(x) for x in rng.integers(1 << 6, 1 << 11, 40))]
+    count = np.array([0, 1, 5, *rng.integers(1, 3, 40)], np.int64)
+    n = np.array([1, 2, 3, 40, 7], np.int64)
+    codes, held = rng.integers(0, len(paths), n.sum()).astype(np.int32), [False, True, False, False, False]
+    row = {"codes": packed_array(codes), "n": n.tobytes(), "held_out": held, "c": packed_array(count), "path": packed_array(np.array(paths, np.int64))}
+    slots, mask = 1 << 16, (1 << 64) - 1
+    tables = [rng.integers(0, 9, (slots, 2)).astype(np.uint16) for _ in range(4)]
+    weights, adapted = rng.normal(0.2, 0.1, (60, 5)), rng.normal(0, 1, (60, 33))
+
+    def plain(learning):
+        for text in np.split(codes, np.cumsum(n)[:-1]) if not learning else [x for x, h in zip(np.split(codes, np.cumsum(n)[:-1]), held) if not h]:
+            for i, code in enumerate(text):
+                one, two = (paths[text[i - k]] if i >= k else 0 for k in (1, 2))
+                first = (one + 1) * 0x9E3779B97F4A7C15 & mask
+                mixed = [0, first, ((first ^ (first >> 29) ^ two) * 0xC2B2AE3D27D4EB4F + 2) & mask, (two + 3) * 0x165667B19E3779F9 & mask]
+                word = f"{paths[code]:b}"[1:]
+                made = []
+                for depth, b in enumerate(word):
+                    bit = int(count[code] == 1) if learning and depth == 0 else int(b)
+                    node = int("1" + word[:depth], 2)
+                    x, seen = [], []
+                    for t in range(4):
+                        h = (mixed[t] ^ (node * 0xD6E8FEB86659FD93 & mask)) * 0xBF58476D1CE4E5B9 & mask
+                        h = (h ^ (h >> 32)) * 0x94D049BB133111EB & mask
+                        pair = [int(v) for v in tables[t][h >> 48]]
+                        pair[bit] -= learning and pair[bit] > 0
+                        x.append(math.log((pair[1] + 0.4) / (pair[0] + 0.4)))
+                        seen.append(sum(pair))
+                    kind = 0 if depth == 0 else 1 if depth <= 6 else 2
+                    gate = (sum(seen[1] > v for v in (0, 1, 3, 15)) * 4 + sum(seen[2] > v for v in (0, 1, 5))) * 3 + kind
+                    made.append((*x, 0.3, bit, gate))
+                yield made
+
+    for learning in (True, False):
+        words, want = Running(row, trained=learning), list(plain(learning))
+        x, bit, gate, sizes = words.decisions(0, len(words.path), Evidence(tables, learning))
+        got, done = [[] for _ in want], 0
+        for size in sizes:
+            for j, w in enumerate(words.falling(0, len(words.path))[:size]):
+                got[w].append((*x[:, done + j], bit[done + j], gate[done + j]))
+            done += size
+        assert [len(w) for w in got] == [len(w) for w in want]
+        np.testing.assert_allclose(np.array([d for w in got for d in w], float), np.array([d for w in want for d in w], float), atol=1e-5)
+    scores = []
+    for made in want:
+        total = 0.0
+        for *x, bit, gate in made:
+            odds = float(np.dot(weights[gate], x))
+            odds = (odds + adapted[gate, _level(np.array(odds))]) / 2
+            total -= math.log10(1 + math.exp(-odds if bit else odds))
+        scores.append(total)
+    np.testing.assert_allclose(words.scores(Evidence(tables, False), weights, adapted), scores, atol=1e-4)
