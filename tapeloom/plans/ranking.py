@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -38,10 +40,15 @@ def fit_morning_ranker(dataset: DataFrame, names: Sequence[str] = MORNING_FEATUR
     return fit_boosted(rows, names, "y", seed, max_iter, 0.1)
 
 
-def yearly_models(dataset: DataFrame, years: Sequence[int], names: Sequence[str], fit: Callable[[DataFrame, Sequence[str]], Model]) -> dict[int, Model]:
-    """One model per out-of-sample year, fitted on samples up to 30 November of the year before."""
+def yearly_models(dataset: DataFrame, years: Sequence[int], names: Sequence[str], fit: Callable[[DataFrame, Sequence[str]], Model], at_once: int = 1) -> dict[int, Model]:
+    """One model per out-of-sample year, fitted on samples up to 30 November of the year before; ``at_once`` fits run side by side."""
     train = dataset.dropna(subset=["fwd_ret", "y_rank"])
-    return {y: fit(train.where(F.col("date") <= F.make_date(F.lit(y - 1), F.lit(11), F.lit(30))), names) for y in years}
+
+    def one(year: int) -> Model:
+        return fit(train.where(F.col("date") <= F.make_date(F.lit(year - 1), F.lit(11), F.lit(30))), names)
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return dict(zip(years, pool.map(inheritable_thread_target(dataset.sparkSession)(one), years)))
 
 
 def predict_scores(dataset: DataFrame, models: dict[int, Model], names: Sequence[str]) -> DataFrame:

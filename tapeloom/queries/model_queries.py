@@ -138,13 +138,13 @@ def _teacher(spark, sf):
 
 @query("tournament")
 def _tournament(spark, sf):
-    """Yearly models against the momentum baseline, judged by the same portfolio."""
+    """Yearly models against the momentum baseline, judged by the same portfolio: all names, the published rounds, depth and list."""
     daily = panel(spark, sf)
-    data = cut(dataset(daily))
+    data = cut(dataset(daily, None))
     ys = years(data)
-    models = rkg.yearly_models(data, ys, NAMES, lambda d, n: rkg.fit_boosted(d, n, max_iter=ITER, depth=3))
+    models = rkg.yearly_models(data, ys, NAMES, rkg.fit_boosted, at_once=4)
     out = None
     for name, s in (("boosted", rkg.predict_scores(data, models, NAMES)), ("momentum", rkg.momentum_scores(data, ys))):
-        p = xs.run_portfolio(s, daily, PortfolioConfig(top_n=4)).withColumn("series", F.lit(name))
+        p = xs.run_portfolio(s, daily, PortfolioConfig()).withColumn("series", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return rounded(xs.summarize_returns(out, "net", ["series"]), 4)

@@ -309,3 +309,35 @@ def test_one_call_makes_the_features_of_many_symbols():
     out = pd.concat(state.handleInputRows(key, rows(("B", 10, 6.0), ("A", 10, 2.0), ("A", 20, 3.0), ("C", 0, 9.0)), None))
     assert list(out["symbol"]) == ["A", "B", "C"] and list(out["ret_1s"].iloc[:2]) == [0.5, 0.5] and np.isnan(out["ret_1s"].iloc[2])
     assert list(state.handleInputRows(key, rows(("A", 20, 3.0)), None)) == []
+
+
+def test_the_tournament_ranks_every_name_with_the_published_settings(spark, monkeypatch):
+    """All 15 names are samples (12 were) and the fits, their rounds and the list are the published ones."""
+    from tapeloom.config import PortfolioConfig
+    from tapeloom.operators import xsec as xs
+    from tapeloom.plans import ranking as rkg
+    from tapeloom.queries import model_queries as mq
+
+    rng = np.random.default_rng(5)
+    close = 20 * np.exp(np.cumsum(rng.normal(scale=0.02, size=(700, 15)), axis=0))
+    rows = [(f"P{j}", i, float(close[i, j]), float(rng.integers(100, 900))) for i in range(700) for j in range(15)]
+    daily = spark.createDataFrame(rows, "symbol string, i int, close double, volume double").withColumn("date", F.expr("date_add(DATE'2020-01-01', i)")).drop("i")
+    seen = {}
+
+    def models(data, years, names, fit, **_):
+        seen["names"] = {r["n"] for r in data.groupBy("date").agg(F.count("*").alias("n")).collect()}
+        seen["fit"], seen["years"] = fit, years
+        return dict.fromkeys(years)
+
+    def portfolio(scores, daily, cfg):
+        seen["cfg"] = cfg
+        return held(scores, daily, cfg)
+
+    held = xs.run_portfolio
+    monkeypatch.setattr(mq, "panel", lambda *_: xs.daily_returns(daily))
+    monkeypatch.setattr(rkg, "yearly_models", models)
+    monkeypatch.setattr(rkg, "predict_scores", lambda data, fitted, names: rkg.momentum_scores(data, list(fitted)))
+    monkeypatch.setattr(xs, "run_portfolio", portfolio)
+    got = {r["series"] for r in mq._tournament(spark, "").collect()}
+    assert got == {"boosted", "momentum"} and seen["years"] == [2021]
+    assert seen["names"] == {15} and seen["fit"] is rkg.fit_boosted and seen["cfg"] == PortfolioConfig()
