@@ -178,12 +178,14 @@ def _uses_median(name: str) -> bool:
     return name in ("vol_surge", "tape_speed", "spread_rel", "tsize_surge")
 
 
-def bar_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), keys: Sequence[str] = KEY, extra_steps: Sequence = (), carry: Sequence[str] = ()) -> DataFrame:
+def bar_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), keys: Sequence[str] = KEY, extra_steps: Sequence = (), carry: Sequence[str] = (), blocks: bool = False) -> DataFrame:
     """One feature row per bar; no row is dropped.
 
     Only the finished features and the four median sources travel through the
     Arrow pass. ``extra_steps`` (with their ``carry`` columns) lets a job run
-    further per-session scans, such as barrier touches, in the same pass.
+    further per-session scans, such as barrier touches, in the same pass. With ``blocks``
+    the pass takes blocks of whole sessions as the windows leave them, instead of one
+    group (and another shuffle) per symbol and week.
     """
     df = with_windowed_inputs(bars, cfg, keys)
     final = finish_features(df, cfg)
@@ -192,7 +194,7 @@ def bar_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), keys: Se
     early = [c.alias(n) for n, c in final.items() if not _uses_median(n)]
     slim = df.select(*keys, "ts", *early, *sources, *carry)
     week = [F.date_trunc("week", c) if c == "session_date" else F.col(c) for c in keys]  # a group is at most seven sessions of a symbol
-    scanned = scan_sessions(slim, keys, "ts", [*steps, *extra_steps], within=week)
+    scanned = scan_sessions(slim, keys, "ts", [*steps, *extra_steps], within=() if blocks else week)
     return scanned.select(
         *keys, "ts", *[c.alias(n) if _uses_median(n) else F.col(n) for n, c in final.items()], *carry, *[s.out for s in extra_steps]
     )

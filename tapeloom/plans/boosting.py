@@ -4,8 +4,11 @@ Features are cut into bins at their exact quantiles once; bin 0 holds missing va
 Every level of a round's trees (one per class) costs one pass over the bins: tasks add
 up gradients and curvatures per (tree, node, feature, bin), a shuffle sums them, and
 the best split of each node is chosen from these sums, whose number does not depend on
-the rows. A split also says on which side missing values go. Sums are kept in fixed
-point, so they and the trees do not depend on the order or the number of tasks.
+the rows. Of two sister nodes the smaller is counted, the other is the rest of their
+parent; the last level's totals are known from the splits above it. A split also says
+on which side missing values go. Sums are kept in fixed point, so they and the trees do
+not depend on the order or the number of tasks. Binned rows are stored in blocks, a
+feature's bins side by side.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ordered import exact_quantiles
 from tapeloom.session import cut
 
 _ONE = 1 << 28  # fixed point of gradients and curvatures
+_BLOCK = 1 << 15  # binned rows stored as one
+_SORTED = 1 << 17  # rows whose values are sorted at a time
+_MARKS = 2048  # kept of each feature's sorted values
 
 
 @dataclass(frozen=True)
@@ -54,14 +59,16 @@ class Tree:
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """Node in which each row of ``bins`` (rows x features) ends."""
         node = np.zeros(len(bins), np.int64)
-        while True:
-            split = self.feature[node]
-            go = split >= 0
-            if not go.any():
-                return node
-            b = bins[np.arange(len(bins)), np.maximum(split, 0)]
-            left = np.where(b == 0, self.missing_left[node], b <= self.bin[node])
-            node = np.where(go, 2 * node + 2 - left, node)
+        todo = [(0, np.arange(len(bins)))]
+        while todo:
+            k, rows = todo.pop()
+            if self.feature[k] < 0 or not rows.size:
+                node[rows] = k
+                continue
+            b = bins[:, self.feature[k]].take(rows)
+            left = b <= self.bin[k] if self.missing_left[k] else (b <= self.bin[k]) & (b != 0)
+            todo += [(2 * k + 1, rows[left]), (2 * k + 2, rows[~left])]
+        return node
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.leaves(bins)]
@@ -112,16 +119,118 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def bin_edges(rows: DataFrame, names: Sequence[str], bins: int) -> list[list[float]]:
-    """Distinct inner quantiles of each feature, from one pass over (feature, value) counts."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(n).cast("double").alias("v")) for j, n in enumerate(names)])).alias("x")).select("x.j", "x.v")
-    probs = {f"q{i}": i / bins for i in range(1, bins)}
-    cuts = {r["j"]: [r[q] for q in probs] for r in exact_quantiles(long.where(F.col("v").isNotNull() & ~F.isnan("v")), "v", probs, ["j"]).collect()}  # one row per feature
-    return [sorted(set(cuts.get(j, []))) for j in range(len(names))]
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches as tables of about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
-    return np.column_stack([batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]) if names else np.zeros((batch.num_rows, 0))
+def _sorted_values(table: pa.Table, names: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
+    for j, name in enumerate(names):
+        x = table.column(name).cast(pa.float64()).to_numpy()
+        yield j, np.sort(x[~np.isnan(x)] + 0.0)  # no negative zeros
+
+
+def _distinct(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order with the sums of their counts."""
+    order = np.argsort(v, kind="stable")
+    v, c = v[order], c[order]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    return v[first], np.add.reduceat(c, first) if len(v) else c
+
+
+def _parts(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _places(n: int, bins: int) -> list[float]:
+    """Positions of the inner quantiles among n sorted values; between two of them a quantile is interpolated."""
+    return [(n - 1) * (i / bins) for i in range(1, bins)]
+
+
+def bin_edges(rows: DataFrame, names: Sequence[str], bins: int, block_rows: int = _SORTED, marks: int = _MARKS) -> list[list[float]]:
+    """Distinct inner quantiles of each feature: exact, from two passes that shuffle a small share of the values.
+
+    The first pass sorts blocks of rows and keeps evenly spaced marks of each feature's values; their
+    counts bound every wanted value from both sides. The second counts the values up to the lower
+    bounds and brings together those between the bounds, in which the wanted places are then found.
+    """
+    names = list(names)
+    values = rows.select(*[F.col(n).cast("double").alias(n) for n in names])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, block_rows):
+            out = []
+            for j, x in _sorted_values(table, names):
+                step = -(-len(x) // marks)
+                at = np.append(np.arange(step - 1, len(x) - 1, step), len(x) - 1) if step else np.zeros(0, np.int64)
+                out.append((j, x[at].tobytes(), np.diff(np.append(-1, at)).tobytes(), max(0, step - 1)))
+            yield pa.RecordBatch.from_pylist([dict(zip(("j", "v", "c", "slack"), r)) for r in out], schema=pa.schema([("j", pa.int32()), ("v", pa.binary()), ("c", pa.binary()), ("slack", pa.int64())]))
+
+    def bound(group: pa.Table) -> pa.Table:
+        """Of each wanted place a value that lies below it (NaN: none is known) and one that doesn't."""
+        v, c = _distinct(_parts(group.column("v"), np.float64), _parts(group.column("c"), np.int64))
+        upto, slack = np.cumsum(c), sum(group.column("slack").to_pylist())
+        n = int(upto[-1]) if len(upto) else 0
+        wanted = np.unique([f(p) for p in _places(n, bins) for f in (np.floor, np.ceil)]).astype(np.int64) if n else np.zeros(0, np.int64)
+        high = v[np.searchsorted(upto, wanted + 1)] if n else v
+        below = np.searchsorted(upto, wanted + 1 - slack) - 1
+        low = np.where(below >= 0, v[np.maximum(below, 0)], np.nan) if n else v
+        return pa.table({"j": group.column("j").slice(0, 1), "n": pa.array([n], pa.int64()), "low": pa.array([low.tobytes()], pa.binary()), "high": pa.array([high.tobytes()], pa.binary()), "wanted": pa.array([wanted.tobytes()], pa.binary())})
+
+    found = values.mapInArrow(mark, "j int, v binary, c binary, slack long").groupBy("j").applyInArrow(bound, "j int, n long, low binary, high binary, wanted binary").collect()  # one row per feature
+    size, spans = {}, []  # spans: (feature, lower bound, upper bound, places)
+    for r in sorted(found, key=lambda r: r["j"]):
+        size[r["j"]] = r["n"]
+        for low, high, k in zip(np.frombuffer(r["low"]), np.frombuffer(r["high"]), np.frombuffer(r["wanted"], np.int64)):
+            if spans and spans[-1][0] == r["j"] and not low >= spans[-1][2]:
+                spans[-1] = (r["j"], spans[-1][1], max(high, spans[-1][2]), [*spans[-1][3], int(k)])
+            else:
+                spans.append((r["j"], low, high, [int(k)]))
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, block_rows):
+            sorted_ = dict(_sorted_values(table, names))
+            out = []
+            for g, (j, low, high, _) in enumerate(spans):
+                x = sorted_[j]
+                i = 0 if np.isnan(low) else int(np.searchsorted(x, low, side="right"))
+                v, c = _distinct(x[i : np.searchsorted(x, high, side="right")], np.ones(max(0, int(np.searchsorted(x, high, side="right")) - i), np.int64))
+                out.append({"part": g // 8, "g": g, "below": i, "v": v.tobytes(), "c": c.tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("g", pa.int32()), ("below", pa.int64()), ("v", pa.binary()), ("c", pa.binary())]))
+
+    def pick(group: pa.Table) -> pa.Table:
+        out = []
+        numbers = group.column("g").to_numpy()
+        for g in np.unique(numbers).tolist():
+            own = group.filter(pa.array(numbers == g))
+            v, c = _distinct(_parts(own.column("v"), np.float64), _parts(own.column("c"), np.int64))
+            upto = sum(own.column("below").to_pylist()) + np.cumsum(c)
+            out += [{"j": spans[g][0], "place": k, "v": float(v[np.searchsorted(upto, k, side="right")])} for k in spans[g][3]]
+        return pa.Table.from_pylist(out, schema=pa.schema([("j", pa.int32()), ("place", pa.int64()), ("v", pa.float64())]))
+
+    if not spans:
+        return [[] for _ in names]
+    at = {(r["j"], r["place"]): r["v"] for r in values.mapInArrow(between, "part int, g int, below long, v binary, c binary").groupBy("part").applyInArrow(pick, "j int, place long, v double").collect()}  # two per feature and quantile
+    edges: list[list[float]] = []
+    for j in range(len(names)):
+        cuts = set()
+        for p in _places(size.get(j, 0), bins) if size.get(j) else []:
+            low, high = at[j, int(np.floor(p))], at[j, int(np.ceil(p))]
+            cuts.add(low + (high - low) * (p - np.floor(p)))
+        edges.append(sorted(map(float, cuts)))
+    return edges
+
+
+def _matrix(batch: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(n).cast(pa.float64()).to_pandas().to_numpy() for n in names]) if names else np.zeros((batch.num_rows, 0))
 
 
 def best_splits(sums: np.ndarray, cfg: BoostConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,6 +259,25 @@ def best_splits(sums: np.ndarray, cfg: BoostConfig) -> tuple[np.ndarray, np.ndar
     return gain, np.where(good, feature, -1), cut_bin, side == 0
 
 
+def _exact_sums(at: np.ndarray, values: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Sums of whole numbers per place, in pieces whose sums a double holds exactly; ``least``: rows of a piece."""
+    out = np.zeros(size, np.int64)
+    for i in range(0, len(at), least):
+        out += np.bincount(at[i : i + least], values[i : i + least], size).astype(np.int64)
+    return out
+
+
+def _piece(values: np.ndarray) -> int:
+    top = float(np.abs(values).max(initial=1.0))
+    return max(1, int(2.0**52 / top))
+
+
+def _side_sums(node: np.ndarray, feature: int, at: int, missing_left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) totals of a split from ``node[feature, bin, (g, h, n)]``."""
+    left = node[feature, 1 : at + 1].sum(axis=0) + (node[feature, 0] if missing_left else 0)
+    return left, node[feature].sum(axis=0) - left
+
+
 def fit_boosted_classes(rows: DataFrame, names: Sequence[str], label: str = "label", weight: str | None = None, cfg: BoostConfig = BoostConfig()) -> BoostedModel:
     """Fit on the rows with a label; every distinct label is a class (a handful).
 
@@ -165,101 +293,123 @@ def fit_boosted_classes(rows: DataFrame, names: Sequence[str], label: str = "lab
     classes = sorted(share)
     total = sum(share.values())
     prior = np.log(np.array([max(share[c] / total, 1e-12) for c in classes]))
-    model = BoostedModel(names, bin_edges(used, names, cfg.bins), classes, (prior - prior.mean()).tolist())
+    model = BoostedModel(names, bin_edges(used, names, cfg.bins) if names else [], classes, (prior - prior.mean()).tolist())
     width, k = cfg.bins + 1, len(classes)
+    shape = (len(names), width, 3)
 
-    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = model.binned(_matrix(batch, names))
-            y = np.searchsorted(classes, batch.column("_y").to_numpy())
-            scores = np.tile(np.array(model.base), (len(bins), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), batch.column("_w"), pa.array(list(map(bytes, bins)), pa.binary()), pa.array(list(scores), pa.list_(pa.float64()))], ["y", "w", "bins", "scores"])
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, _BLOCK):
+            y = np.searchsorted(classes, table.column("_y").to_numpy()).astype(np.int32)
+            scores = np.tile(np.array(model.base), (len(y), 1))
+            yield block(y.tobytes(), table.column("_w").to_numpy().astype(float).tobytes(), model.binned(_matrix(table, names)).T.tobytes(), scores.tobytes())
 
-    schema = "y int, w double, bins binary, scores array<double>"
-    data = cut(used.mapInArrow(to_bins, schema))
-    kept = 0
+    def block(*columns: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["y", "w", "bins", "scores"])
 
-    def parts(batch: pa.RecordBatch, now: BoostedModel, since: int) -> tuple[np.ndarray, np.ndarray]:
-        bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, len(names)) if names else np.zeros((batch.num_rows, 0), np.uint8)
-        start = np.array(batch.column("scores").to_pylist(), float).reshape(batch.num_rows, k)
-        return bins, now.scores(bins, start, since)
+    schema = "y binary, w binary, bins binary, scores binary"
+    data = cut(used.mapInArrow(to_blocks, schema))
+    kept = 0
 
-    def level_sums(now: BoostedModel, since: int, growing: list[Tree], first: int, nodes: int) -> np.ndarray:
+    def blocks(batches: Iterator[pa.RecordBatch], now: BoostedModel, since: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(class, weight, bins, scores) of the rows of each block."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                y, w, bins, scores = (batch.column(c)[i].as_buffer() for c in ("y", "w", "bins", "scores"))
+                y = np.frombuffer(y, np.int32)
+                bins = np.frombuffer(bins, np.uint8).reshape(len(names), len(y)).T
+                yield y, np.frombuffer(w), bins, now.scores(bins, np.frombuffer(scores).reshape(len(y), k), since)
+
+    def counted(now: BoostedModel, since: int, growing: list[Tree], nodes: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+        """Sums[feature, bin, (g, h, n)] of the (class, node)s."""
         sent = data.sparkSession.sparkContext.broadcast((now.trees, growing))
+        slots = {node: i for i, node in enumerate(nodes)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trees, open_trees = sent.value
             here = BoostedModel(now.names, now.edges, now.classes, now.base, trees)
-            out = np.zeros((k * nodes * len(names) * width, 3), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins, scores = parts(batch, here, since)
+            out = np.zeros((len(nodes), *shape), np.int64)
+            for y, weights, bins, scores in blocks(batches, here, since):
                 p = softmax(scores)
-                weights = batch.column("w").to_numpy()
-                y = batch.column("y").to_numpy()
-                for c in range(k):
-                    node = open_trees[c].leaves(bins) - first
-                    inside = (node >= 0) & (open_trees[c].feature[node + first] == -2)
-                    node = node[inside]
-                    pc = p[inside, c]
-                    wide = weights[inside]
-                    g = np.rint((pc - (y[inside] == c)) * wide * _ONE).astype(np.int64)
-                    h = np.rint(pc * (1 - pc) * wide * _ONE).astype(np.int64)
+                for c in sorted({c for c, _ in nodes}):
+                    own = [n for d, n in nodes if d == c]
+                    place = np.full(len(open_trees[c].feature), -1)
+                    place[own] = np.arange(len(own))
+                    slot = place[open_trees[c].leaves(bins)]
+                    inside = np.flatnonzero(slot >= 0)
+                    start, pc, wide = slot[inside] * width, p[inside, c], weights[inside]
+                    g = np.rint((pc - (y[inside] == c)) * wide * _ONE)
+                    h = np.rint(pc * (1 - pc) * wide * _ONE)
+                    g_piece, h_piece, cells = _piece(g), _piece(h), len(own) * width
+                    first = slots[c, own[0]]
                     for j in range(len(names)):
-                        at = ((c * nodes + node) * len(names) + j) * width + bins[inside, j]
-                        np.add.at(out[:, 0], at, g)
-                        np.add.at(out[:, 1], at, h)
-                        out[:, 2] += np.bincount(at, minlength=len(out))
-            some = np.flatnonzero(out[:, 2])
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(out[some, i]) for i in range(3))], ["at", "g", "h", "n"])
-
-        found = data.mapInArrow(run, "at long, g long, h long, n long").groupBy("at").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()  # classes x nodes x features x bins at most
-        sums = np.zeros((k * nodes * len(names) * width, 3))
-        at = found.column("at").to_numpy()
-        sums[at] = np.column_stack([found.column("g").to_numpy() / _ONE, found.column("h").to_numpy() / _ONE, found.column("n").to_numpy()])
-        return sums.reshape(k, nodes, len(names), width, 3)
+                        at = start + bins[:, j].take(inside)
+                        sums = (_exact_sums(at, g, cells, g_piece), _exact_sums(at, h, cells, h_piece), np.bincount(at, minlength=cells))
+                        for i, s in enumerate(sums):
+                            out[first : first + len(own), j, :, i] += s.reshape(len(own), width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(nodes)), pa.int32()), pa.array([o.tobytes() for o in out], pa.binary())], ["slot", "sums"])
+
+        def add(group: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(s.as_buffer(), np.int64) for chunk in group.column("sums").chunks for s in chunk)
+            return pa.table({"slot": group.column("slot").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        found = data.mapInArrow(run, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary").collect()  # one row per class and node
+        return {nodes[r["slot"]]: np.frombuffer(r["sums"], np.int64).reshape(shape) for r in found}
+
+    def plain(sums: np.ndarray) -> np.ndarray:
+        return np.stack([sums[..., 0] / _ONE, sums[..., 1] / _ONE, sums[..., 2].astype(float)], axis=-1)
 
     for round_no in range(cfg.rounds if names else 0):
         size = 2 ** (cfg.depth + 1) - 1
         trees = [Tree(np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size)) for _ in classes]
-        for t in trees:
-            t.feature[0] = -2  # still to be decided
-        for level in range(cfg.depth + 1):
-            first, nodes = 2**level - 1, 2**level
-            if not any((t.feature[first : first + nodes] == -2).any() for t in trees):
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        above: dict[tuple[int, int], np.ndarray] = {}  # sums of the level before
+        open_ = [(c, 0) for c in range(k)]
+        for level in range(max(1, cfg.depth)):
+            if not open_:
                 break
-            sums = level_sums(model, kept, trees, first, nodes)
-            for c, t in enumerate(trees):
-                open_ = np.flatnonzero(t.feature[first : first + nodes] == -2)
-                if not len(open_):
-                    continue
-                whole = sums[c, open_, 0].sum(axis=1)
-                t.value[first + open_] = -cfg.step * whole[:, 0] / np.maximum(whole[:, 1] + cfg.penalty, 1e-12)
-                t.feature[first + open_] = -1
-                if level == cfg.depth or width < 3:
+            small = [n for n in open_ if level == 0 or totals[n][2] < totals[n[0], _sister(n[1])][2] or (totals[n][2] == totals[n[0], _sister(n[1])][2] and n[1] % 2)]
+            sums = counted(model, kept, trees, small)
+            sums |= {n: above[n[0], (n[1] - 1) // 2] - sums[n[0], _sister(n[1])] for n in open_ if n not in sums}
+            if level == 0:
+                totals = {n: s[0].sum(axis=0) for n, s in sums.items()}
+                for c, t in enumerate(trees):
+                    t.value[0] = leaf(plain(totals[c, 0]), cfg)
+            if level == cfg.depth or width < 3:
+                break
+            split = best_splits(plain(np.stack([sums[n] for n in open_])), cfg)
+            grown = []
+            for (c, node), f, b, m in zip(open_, *(x.tolist() for x in split[1:])):
+                if f < 0:
                     continue
-                _, feature, at, left = best_splits(sums[c, open_], cfg)
-                for node, f, b, m in zip((first + open_).tolist(), feature.tolist(), at.tolist(), left.tolist()):
-                    if f >= 0:
-                        t.feature[node], t.bin[node], t.missing_left[node] = f, b, m
-                        t.feature[2 * node + 1 : 2 * node + 3] = -2
+                t = trees[c]
+                t.feature[node], t.bin[node], t.missing_left[node] = f, b, m
+                for child, s in zip((2 * node + 1, 2 * node + 2), _side_sums(sums[c, node], f, b, m)):
+                    totals[c, child] = s
+                    t.value[child] = leaf(plain(s), cfg)
+                    grown.append((c, child))
+            open_, above = grown if level + 1 < cfg.depth else [], sums
         model.trees.append(trees)
         if (round_no + 1) % cfg.keep_every == 0 and round_no + 1 < cfg.rounds:
             sent = data.sparkSession.sparkContext.broadcast(model)
             since = kept
 
             def advance(batches: Iterator[pa.RecordBatch], sent=sent, since=since) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if batch.num_rows:
-                        _, scores = parts(batch, sent.value, since)
-                        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("w"), batch.column("bins"), pa.array(list(scores), pa.list_(pa.float64()))], ["y", "w", "bins", "scores"])
+                for y, weights, bins, scores in blocks(batches, sent.value, since):
+                    yield block(y.tobytes(), weights.tobytes(), bins.T.tobytes(), scores.tobytes())
 
             data = cut(data.mapInArrow(advance, schema))
             kept = len(model.trees)
     return model
 
 
+def _sister(node: int) -> int:
+    return node + 1 if node % 2 else node - 1
+
+
+def leaf(total: np.ndarray, cfg: BoostConfig) -> float:
+    return -cfg.step * total[0] / max(total[1] + cfg.penalty, 1e-12)
+
+
 def class_probabilities(df: DataFrame, model: BoostedModel, prefix: str = "p_") -> DataFrame:
     """Add one probability per class, ``p_-1``, ``p_0``, ``p_1`` for labels -1, 0 and 1; they add up to one."""
     sent = df.sparkSession.sparkContext.broadcast(model.to_json())

@@ -15,19 +15,21 @@ from tapeloom.config import BarrierConfig, FillConfig, TrainConfig
 from tapeloom.functions.ordered import ordered_prefix
 from tapeloom.operators.bar_features import bar_features, drop_features, feature_names
 from tapeloom.operators.bars import KEY
-from tapeloom.operators.fills import entry_decisions, fill_report, fills_on_tape, threshold_sweep
+from tapeloom.operators.fills import fill_report, fills_on_tape, threshold_sweep, with_decisions
 from tapeloom.operators.labels import balanced_weights, barrier_inputs, barrier_label_columns, barrier_steps, with_barriers
 from tapeloom.operators.splits import day_split, stratified_cap
 from tapeloom.plans.boosting import BoostConfig, BoostedModel, class_probabilities, fit_boosted_classes, load_boosted, save_model
 from tapeloom.session import cut
 
+TAPE = ["low", "ask_size", "spread", "volume"]  # what simulated fills read of a bar beside its quote
+
 
 def labelled_features(bars: DataFrame, cfg: TrainConfig, keys: Sequence[str] = KEY, keep: Sequence[str] = ()) -> DataFrame:
     """Features, barriers and outcome of every bar: one shuffle, one Arrow pass per session."""
     b = cfg.barrier
     base = barrier_inputs(with_barriers(bars, b, keys).drop("px"), b, keys)
     carry = list(dict.fromkeys(["bid", "ask", "target_ps", "stop_ps", "_ok", "entry_px", "_win_px", "_loss_px", "_bid_timeout", *keep]))
-    df = bar_features(base, cfg.features, keys, barrier_steps(b), carry)
+    df = bar_features(base, cfg.features, keys, barrier_steps(b), carry, blocks=True)
     labels = barrier_label_columns(b)
     shown = [c for c in carry if not c.startswith("_") and c != "entry_px"]
     return df.select(*keys, "ts", *feature_names(cfg.features), *shown, *[c.alias(n) for n, c in labels.items()])
@@ -71,37 +73,47 @@ def split_rows(rows: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, DataFrame]
     parts = cut(day_split(rows, cfg.split)).withColumnRenamed("date", "session_date")
 
     def part(name: str) -> DataFrame:
-        return rows.join(parts.where(F.col("part") == name).select("session_date"), "session_date", "left_semi")
+        return rows.join(F.broadcast(parts.where(F.col("part") == name).select("session_date")), "session_date", "left_semi")
 
     return part("train"), part("test")
 
 
+def capped(rows: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """As ``stratified_cap``; rows are placed within their sessions only if a session is larger than the cap."""
+    large = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cfg.max_rows_per_day)
+    return rows if large.isEmpty() else stratified_cap(rows, cfg.max_rows_per_day, cfg.seed)
+
+
 def _sweep(rows: DataFrame, cfg: TrainConfig, drop: str, max_iter: int) -> tuple[BoostedModel, DataFrame]:
     rows = drop_features(rows, drop)
     names = [n for n in feature_names(cfg.features) if n in rows.columns]
     train, test = split_rows(rows, cfg)
-    model = fit_entry_model(stratified_cap(train, cfg.max_rows_per_day, cfg.seed), names, max_iter)
+    model = fit_entry_model(capped(train, cfg), names, max_iter)
     return model, threshold_sweep(score(test, model, names), cfg.thresholds)
 
 
-def walk_forward(bars: DataFrame, cfg: TrainConfig, drop: str = "", max_iter: int = 20) -> tuple[BoostedModel, DataFrame]:
-    """Split by day, fit on the past (capped rows), report the threshold economics of all unseen rows."""
-    rows = cut(labelled_features(bars, cfg).where(F.col("label").isNotNull()))
+def walk_forward(bars: DataFrame, cfg: TrainConfig, drop: str = "", max_iter: int = 20, features: DataFrame | None = None) -> tuple[BoostedModel, DataFrame]:
+    """Split by day, fit on the past (capped rows), report the threshold economics of all unseen rows.
+
+    ``features`` are the labelled features of the bars where they are stored already.
+    """
+    rows = cut(labelled_features(bars, cfg).where(F.col("label").isNotNull())) if features is None else features.where(F.col("label").isNotNull())
     if rows.isEmpty():
         raise ValueError("no labelled rows in any session")
     return _sweep(rows, cfg, drop, max_iter)
 
 
-def fill_realism(bars: DataFrame, model: BoostedModel, cfg: TrainConfig, threshold: float, qty: int, modes: Sequence[str] = ("taker", "maker"), stop_mult: float = 1.0, fill: FillConfig = FillConfig()) -> DataFrame:
-    """Simulated fills of the model's decisions on the test sessions, against the label assumption."""
+def fill_realism(bars: DataFrame, model: BoostedModel, cfg: TrainConfig, threshold: float, qty: int, modes: Sequence[str] = ("taker", "maker"), stop_mult: float = 1.0, fill: FillConfig = FillConfig(), features: DataFrame | None = None) -> DataFrame:
+    """Simulated fills of the model's decisions on the test sessions, against the label assumption.
+
+    ``features`` are the labelled features of the bars with ``TAPE`` where they are stored already.
+    """
     names = feature_names(cfg.features)
-    tape_cols = ["low", "ask_size", "spread", "volume"]
-    rows = labelled_features(bars, cfg, keep=tape_cols)
+    rows = labelled_features(bars, cfg, keep=TAPE) if features is None else features
     _, test = split_rows(rows, cfg)
-    scored = cut(score(test, model, names).select(*KEY, "ts", "bid", "ask", *tape_cols, "target_ps", "stop_ps", "label", "timeout_edge", "p_win"))
-    decisions = entry_decisions(scored, threshold, qty, cfg.barrier, stop_mult)
-    on = [*KEY, "ts"]
-    tape = scored.select(*on, "bid", "ask", *tape_cols).join(decisions, on, "left")
+    shown = [*KEY, "ts", "bid", "ask", *TAPE]
+    scored = score(test, model, names).select(*shown, "target_ps", "stop_ps", "label", "timeout_edge", "p_win")
+    tape = cut(with_decisions(scored, threshold, qty, cfg.barrier, stop_mult, shown))
     sims = None
     for mode in modes:
         one = fills_on_tape(tape, dataclasses.replace(fill, entry_mode=mode)).withColumn("entry_mode", F.lit(mode))

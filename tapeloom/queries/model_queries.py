@@ -43,9 +43,13 @@ def _walk(spark, sf):
 
 @query("fill_realism_report")
 def _realism(spark, sf):
-    t = cut(bars(spark, sf))
-    model, _ = tr.walk_forward(t, CFG, max_iter=ITER)
-    return rounded(tr.fill_realism(t, model, CFG, 0.4, 500, fill=FillConfig(maker_wait=4)), 4)
+    """Features and labels are made once and stored: the fit, the split and the fills read them."""
+    t = bars(spark, sf)
+    path = fs.scratch_path(spark, "labelled")
+    tr.labelled_features(t, CFG, keep=tr.TAPE).write.parquet(path)
+    features = spark.read.parquet(path)
+    model, _ = tr.walk_forward(t, CFG, max_iter=ITER, features=features)
+    return rounded(tr.fill_realism(t, model, CFG, 0.4, 500, fill=FillConfig(maker_wait=4), features=features), 4)
 
 
 @query("permutation_importance")

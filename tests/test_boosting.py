@@ -101,3 +101,27 @@ def test_odd_tables(spark):
     constant = spark.createDataFrame([(3.0, float(i % 2)) for i in range(40)], "a double, label double")
     assert np.allclose(probabilities(constant, bo.fit_boosted_classes(constant, ["a"], cfg=CFG)), 0.5)
     assert bo.class_probabilities(df.limit(0), model).collect() == []
+
+
+def test_edges_are_exact_whatever_the_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=500), rng.integers(0, 4, 500), np.where(rng.random(500) < 0.9, 0.0, rng.random(500)), np.full(500, np.nan), np.exp(rng.normal(scale=9, size=500))])
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = list("abcde")
+    df = spark.createDataFrame([tuple(None if v != v and i % 2 else float(v) for i, v in enumerate(r)) for r in x], ", ".join(f"{n} double" for n in names))
+    want = [sorted({float(q) for q in np.quantile(c[~np.isnan(c)], [i / 16 for i in range(1, 16)])}) if not np.isnan(c).all() else [] for c in x.T]
+    for parts, block_rows, marks in ((1, 1 << 17, 2048), (3, 40, 5), (5, 7, 1)):
+        got = bo.bin_edges(df.repartition(parts), names, 16, block_rows, marks)
+        assert [len(g) for g in got] == [len(w) for w in want]
+        assert all(np.allclose(g, w, rtol=1e-12, atol=0) for g, w in zip(got, want))
+    assert bo.bin_edges(df.limit(0), names, 16) == [[]] * 5
+
+
+def test_a_level_counts_the_smaller_sisters_only(spark, monkeypatch):
+    """Rows of the larger one are the rest of the parent; the last level is not counted at all."""
+    _, _, _, df = table(spark, 300, 4)
+    jobs = []
+    seen = df.sparkSession.sparkContext.broadcast
+    monkeypatch.setattr(type(df.sparkSession.sparkContext), "broadcast", lambda self, v: jobs.append(v) or seen(v))
+    bo.fit_boosted_classes(df, ["a", "b", "c"], weight="weight", cfg=bo.BoostConfig(rounds=2, step=0.3, depth=3, bins=8, least_rows=5))
+    assert len(jobs) == 2 * 3

@@ -341,3 +341,22 @@ def test_the_tournament_ranks_every_name_with_the_published_settings(spark, monk
     got = {r["series"] for r in mq._tournament(spark, "").collect()}
     assert got == {"boosted", "momentum"} and seen["years"] == [2021]
     assert seen["names"] == {15} and seen["fit"] is rkg.fit_boosted and seen["cfg"] == PortfolioConfig()
+
+
+def test_the_realism_run_makes_its_features_once(spark, monkeypatch):
+    """One pass over the bars serves the fit, the split and the fills, in blocks; sessions are picked without a shuffle of rows."""
+    from tapeloom.plans import training as tr
+    from tapeloom.queries import model_queries as mq
+
+    plans, made = [], tr.labelled_features
+
+    def labelled(*args, **kwargs):
+        plans.append(made(*args, **kwargs))
+        return plans[-1]
+
+    monkeypatch.setattr(tr, "labelled_features", labelled)
+    got = mq._realism(spark, "/root/testdata/sf0.001").collect()
+    assert {r["entry_mode"] for r in got} == {"taker", "maker"} and len(plans) == 1
+    assert "FlatMapGroupsInArrow" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    train, test = tr.split_rows(plans[0].sparkSession.createDataFrame([("A", date(2024, 1, d)) for d in range(1, 9)], "symbol string, session_date date"), mq.CFG)
+    assert all("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in (train, test))
