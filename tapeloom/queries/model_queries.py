@@ -17,7 +17,7 @@ from tapeloom.queries.bar_queries import FEATURE_COLS, FEATURE_CTES, LABEL_CTES,
 from tapeloom.queries.base import BARRIER, BARS, FEATURES, bars, query, r, rcols, rounded, with_ctes
 from tapeloom.queries.data_queries import EARLY, day_context
 from tapeloom.queries.daily_queries import NAMES, dataset, panel
-from tapeloom.session import cut
+from tapeloom.session import cut, without_huge_methods
 from tapeloom.sources import driver_tables as tables
 from tapeloom.sources import files as fs
 from tapeloom.streaming import decisions as dc
@@ -46,7 +46,8 @@ def _realism(spark, sf):
     """Features and labels are made once and stored: the fit, the split and the fills read them."""
     t = bars(spark, sf)
     path = fs.scratch_path(spark, "labelled")
-    tr.labelled_features(t, CFG, keep=tr.TAPE).write.parquet(path)
+    with without_huge_methods(spark):
+        tr.labelled_features(t, CFG, keep=tr.TAPE).write.parquet(path)
     features = spark.read.parquet(path)
     model, _ = tr.walk_forward(t, CFG, max_iter=ITER, features=features)
     return rounded(tr.fill_realism(t, model, CFG, 0.4, 500, fill=FillConfig(maker_wait=4), features=features), 4)
